@@ -34,8 +34,12 @@ def encoding(path: str) -> tuple[tiktoken.Encoding, regex.Pattern]:
 
 
 def boundaries(pattern: regex.Pattern, text: str) -> list[int]:
-    """Ends of the pre-tokens of text. The pattern fits every character, so they are the starts too."""
-    return [m.end() for m in pattern.finditer(text)]
+    """Ends of the pre-tokens of text at which it can be cut. The pattern fits every character, so they are the starts too.
+
+    A run of white space looks at what follows it, so a piece must not end in one; and only at blanks,
+    and between plain ASCII characters, do all engines' character classes agree.
+    """
+    return [x for m in pattern.finditer(text) if (x := m.end()) < len(text) and not text[x - 1].isspace() and (text[x] in " \t\n\r" or ("!" <= text[x] <= "~" and "!" <= text[x - 1] <= "~"))]
 
 
 def agreed(left: list[int], right: list[int], low: int, high: int) -> int | None:
