@@ -22,9 +22,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones need no
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 BASE = ("assign", "access", "hex")
 
-#: What can be a credential: a maximal run of this length with at least so many digits and letters.
+#: What can be a credential: a maximal run of at least this length.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGITS, LETTERS = 2, 2
 #: Bits by which a format must explain a candidate better than running text does.
 THRESHOLD = 24.0
 #: Labelled credentials a format is learned from, and the significance of the test by which states merge.
@@ -148,7 +147,7 @@ class Grammar:
 
 
 #: Bits a character of running text takes: five for a letter, more for what is rare in words.
-TEXT_BITS = {"l": 5.0, "u": 7.0, "d": 7.0}
+TEXT_BITS = {"l": 5.0, "u": 9.0, "d": 9.0}
 
 
 def text_bits(text: str) -> float:
@@ -176,7 +175,7 @@ def learned_spans(text: str, known: dict[str, Grammar], taken: list[tuple[int, i
     out = []
     for m in CANDIDATE.finditer(text):
         s, e, value = m.start(), m.end(), m[0]
-        if any(s < b and a < e for a, b, _ in taken) or sum(c.isdigit() for c in value) < DIGITS or sum(c.isalpha() for c in value) < LETTERS:
+        if any(s < b and a < e for a, b, _ in taken):
             continue
         score, kind = max((g.score(value), k) for k, g in known.items()) if known else (-math.inf, "")
         if score - text_bits(value) >= threshold:
