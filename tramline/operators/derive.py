@@ -53,7 +53,8 @@ def bitmap_days(rows: DataFrame, bitmap: str, start: str) -> DataFrame:
 def local_seconds(time: Column, day_offset: Column) -> Column:
     """hh:mm:ss with a day offset as seconds of the service day; can be over a day or negative."""
     part = F.split(time, ":")
-    return day_offset.cast("int") * 86400 + part[0].cast("int") * 3600 + part[1].cast("int") * 60 + F.split(part[2], r"\.")[0].cast("int")
+    seconds = F.coalesce(F.substring_index(F.get(part, F.lit(2)), ".", 1).cast("int"), F.lit(0))
+    return day_offset.cast("int") * 86400 + F.get(part, F.lit(0)).cast("int") * 3600 + F.get(part, F.lit(1)).cast("int") * 60 + seconds
 
 
 def _order(trip: str, sequence: str) -> W.WindowSpec:

@@ -145,7 +145,7 @@ def message_calls(parsed: DataFrame) -> DataFrame:
     from ..operators.derive import local_seconds
 
     x = parsed.select("path", F.posexplode("message.CZPTTInformation.CZPTTLocation").alias("n", "l"))
-    timing = lambda code: F.filter("l.TimingAtLocation.Timing", lambda t: t["_TimingQualifierCode"] == code)[0]
+    timing = lambda code: F.get(F.filter("l.TimingAtLocation.Timing", lambda t: t["_TimingQualifierCode"] == code), F.lit(0))
     seconds = lambda code: F.when(timing(code).isNotNull(), local_seconds(timing(code)["Time"], F.coalesce(timing(code)["Offset"], F.lit("0"))))
     acts = F.coalesce(F.transform("l.TrainActivity", lambda a: a["TrainActivityType"]), F.array().cast("array<string>"))
     stops = F.array_contains(acts, "0001")
