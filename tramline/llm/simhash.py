@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -110,15 +110,16 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, errors: int = ERRORS)
 def links(classes: DataFrame, errors: int = ERRORS, group: int = GROUP) -> DataFrame:
     """(a, b): links between different fingerprints of ``classes`` (fp) with the components of all links.
 
-    The 64 bits are errors + 1 blocks; of two fingerprints that differ in at most ``errors`` bits
-    at least one block agrees, so each block's value deals out one trie. A value shared by more
+    The 64 bits are cut into blocks; of two fingerprints that differ in at most ``errors`` bits all but
+    ``errors`` blocks agree, so each choice of so many blocks deals out tries by their bits. There
+    are errors + 1 blocks, and one agrees, until the fingerprints are so many that the tries would grow
+    beyond an eighth of ``group``: then one block more, and so on. A value shared by more
     than ``group`` fingerprints is cut into parts by hash, each pair of parts a task of its own, so
     that no task gets more than 2 * group entries and no link is lost.
     """
-    n = errors + 1
-    edges = [BITS * k // n for k in range(n + 1)]
-    blocks = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(edges, edges[1:])])
-    dealt = cut(classes.select("fp", F.posexplode(blocks).alias("block", "value")))
+    masks = block_masks(classes.count(), errors, group)
+    values = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])
+    dealt = cut(classes.select("fp", F.posexplode(values).alias("block", "value")))
     # a hot value is one whose count is over group: few, and each stands for over group rows
     hot = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > group)
     hot = hot.select(F.col("block").alias("_b"), F.col("value").alias("_v"), F.ceil(F.col("n") / (group / 2)).cast("int").alias("parts"))
@@ -127,48 +128,69 @@ def links(classes: DataFrame, errors: int = ERRORS, group: int = GROUP) -> DataF
     pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keyed = pairs.select("fp", "block", "value", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(pdf.p.iloc[0]), int(pdf.q.iloc[0])
-        a = np.sort(pdf.fp[pdf.mine == p].to_numpy().view(np.uint64))
-        b = None if p == q else np.sort(pdf.fp[pdf.mine == q].to_numpy().view(np.uint64))
-        both = a if b is None else np.concatenate([a, b])
-        found = np.array(trie_join(a, b, errors), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": both[found[:, 0]].view(np.int64), "b": both[found[:, 1]].view(np.int64)})
+    parts = keyed.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q", "mine", "fp")
 
-    return grouped_in_tasks(keyed, ["block", "value", "p", "q"], join, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, mine, fp in whole_groups(batches):
+            found = group_links(key, mine, fp, errors)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
+    return parts.select("block", "value", "p", "q", "mine", "fp").mapInArrow(run, "a long, b long")
 
-def grouped_in_tasks(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """groupBy(keys).applyInPandas for very many small groups: one Arrow pass over sorted parts.
 
-    A group is whole within its part; groups of one row are dropped before Python sees them.
+def block_masks(n: int, errors: int, group: int) -> list[int]:
+    """The bits of each choice of blocks that must agree; a function of the number of fingerprints only."""
+    blocks = errors + 1
+    while n > (group // 8 or 1) << (BITS * (blocks - errors) // blocks) and blocks < 3 * errors:
+        blocks += 1
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    each = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    return [sum(c) for c in itertools.combinations(each, blocks - errors)]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted rows of (four keys, mine, fp) as arrays that hold whole groups: a batch's last group waits for the next batch."""
+    held: tuple[np.ndarray, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+        new = (key, batch.column(4).to_numpy(), batch.column(5).to_numpy())
+        rows = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+        last = int(np.argmax((rows[0] == rows[0][-1]).all(axis=1)))
+        if last:
+            yield tuple(x[:last] for x in rows)
+        held = tuple(x[last:] for x in rows)
+    if held is not None:
+        yield held
+
+
+def group_links(key: np.ndarray, mine: np.ndarray, fp: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of all groups: groups no larger than a leaf are compared at once, the others by their tries.
+
+    A pair of parts (p < q) joins p's entries with q's, and p = q a part with itself.
     """
-    alone = W.Window.partitionBy(*keys)
-    more = df.withColumn("_n", F.count("*").over(alone)).filter("_n > 1").drop("_n")
-    sorted_parts = more.sortWithinPartitions(*keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            k = pdf[keys]
-            new = (k != k.shift()).any(axis=1).to_numpy().copy()
-            new[0] = bool(held) and not (held[-1][keys].iloc[-1] == k.iloc[0]).all()
-            at = [0, *np.flatnonzero(new[0:]).tolist(), len(pdf)]
-            at = sorted(set(at))
-            outs = []
-            for s, e in zip(at, at[1:]):
-                if new[s] and held:
-                    outs.append(f(pd.concat(held)))
-                    held = []
-                held.append(pdf.iloc[s:e])
-            if outs:
-                yield pd.concat(outs)
-        if held:
-            yield f(pd.concat(held))
-
-    return sorted_parts.mapInPandas(run, schema)
+    u = fp.view(np.uint64)
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(u)])
+    small = np.repeat((sizes <= LEAF) & (key[starts, 2] == key[starts, 3]), sizes)
+    group = np.repeat(np.arange(len(starts)), sizes)
+    a, b = [], []
+    for step in range(1, min(LEAF, int(sizes.max()))):
+        near = np.flatnonzero(small[step:] & (group[step:] == group[:-step]) & (np.bitwise_count(u[step:] ^ u[:-step]) <= errors))
+        a.append(fp[near])
+        b.append(fp[near + step])
+    for g in np.flatnonzero((sizes > LEAF) | (key[starts, 2] != key[starts, 3])):
+        s, e = starts[g], starts[g] + sizes[g]
+        p, q = key[s, 2], key[s, 3]
+        left = np.sort(u[s:e][mine[s:e] == p])
+        right = None if p == q else np.sort(u[s:e][mine[s:e] == q])
+        both = left if right is None else np.concatenate([left, right])
+        found = np.array(trie_join(left, right, errors), dtype=np.int64).reshape(-1, 2)
+        a.append(both[found[:, 0]].view(np.int64))
+        b.append(both[found[:, 1]].view(np.int64))
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
