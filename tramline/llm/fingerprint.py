@@ -10,6 +10,7 @@ inner products, from which the likeness of two texts is told.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 EXACT, SKETCH, SHINGLE = 8, 128, 3
 BYTES = 8 * EXACT + 4 * SKETCH
-#: Parts that the rows are dealt over in order of their ids.
-PARTS = 256
+#: Parts that the rows are dealt over in order of their ids: as many as the input has, within these bounds.
+PARTS, MOST_PARTS = 256, 16_384
 
 _seen: dict[str, int] = {}
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -120,7 +121,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     """
     oid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     spark = docs.sparkSession
-    bounds = docs.select(oid.alias("o")).agg(F.percentile_approx("o", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(20_000)).alias("b")).first()["b"]
+    bounds = docs.select(oid.alias("o")).agg(F.percentile_approx("o", F.from_json(F.lit(json.dumps([k / parts for k in range(1, parts)])), "array<double>"), F.lit(max(20_000, 8 * parts))).alias("b")).first()["b"]
     bounds = sorted(set(bounds or []))
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
@@ -129,9 +130,10 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
         """Bounds below o, counted in two steps; parts go by descending id."""
         if not groups:
             return F.lit(0)
-        tops = F.array(*[F.lit(g[-1]) for g in groups])
+        tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
+        each = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
         coarse = F.size(F.filter(tops, lambda x: x < o))
-        fine = F.coalesce(F.size(F.filter(F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.least(coarse + 1, F.lit(len(groups)))), lambda x: x < o)), F.lit(0))
+        fine = F.coalesce(F.size(F.filter(F.element_at(each, F.least(coarse + 1, F.lit(len(groups)))), lambda x: x < o)), F.lit(0))
         return F.lit(len(bounds)) - F.when(coarse < len(groups), coarse * step + fine).otherwise(F.lit(len(bounds)))
 
     placed = docs.select("doc_id", oid.alias("oid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("part", part(F.col("oid")))
@@ -144,13 +146,14 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     return both.select("doc_id", "oid", "text", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("x")).select("doc_id", "oid", "text", "x.part", "x.guest")
 
 
-def compare_next(docs: DataFrame, parts: int = PARTS) -> DataFrame:
+def compare_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The next document is the one below in descending doc_id, after the last the first; equal ids go
     by a hash of their text and the text, and null ids come last. The only row of a table follows
     itself. Null text reads as empty. Rows of one id are read by one task. Empty table: no rows.
     """
+    parts = parts or min(MOST_PARTS, max(PARTS, docs.rdd.getNumPartitions()))
     dealt = _dealt(docs, parts)
     rows = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("oid"), F.xxhash64("text"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
