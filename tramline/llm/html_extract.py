@@ -46,7 +46,7 @@ def _dropped(tag: str, found: dict[str, str], inside: bool) -> bool:
     """inside: within an article or main element, where a header is the article's own."""
     if tag in DROP or (tag == "header" and not inside):
         return True
-    if tag in ("html", "body", "article", "main") or not found:
+    if tag in ("html", "body", "main") or not found:
         return False
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
