@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows that a pass hands to its step at once, whatever the batches' size.
+SLICE = 1_024
 #: Rows a side may have to be broadcast; the side is counted first, and salted joins take over beyond it.
 BROADCAST_ROWS = 200_000
 
@@ -42,7 +44,7 @@ def arrow_pass(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: T.
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             out = step(batch)
             columns = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f, x in zip(arrow, (out[f.name] for f in arrow))]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
