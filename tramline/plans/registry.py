@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import DOMAINS, REFERENCES
-from ..operators import checks, derive, overlay, reconcile, resolve
+from ..functions import names
+from ..operators import checks, derive, export, matching, overlay, reconcile, resolve
 from ..sources import readers
 from ..streaming import realtime
 from .projections import cte, frames
@@ -439,6 +440,64 @@ query(
 query("bounding_box", "location", "SELECT location_id FROM location WHERE longitude BETWEEN 10 AND 30.5 AND latitude BETWEEN 5 AND 45")(lambda f: realtime.boxed(f["location"], 10.0, 5.0, 30.5, 45.0).select("location_id"))
 
 
+# feeds
+
+_CLOCK = "lpad(CAST({0} // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0')"
+query(
+    "feed_stop_times",
+    "trip_call",
+    f"""SELECT trip_id, CAST(row_number() OVER (PARTITION BY trip_id ORDER BY sequence) AS INT) AS stop_sequence, {_CLOCK.format("coalesce(scheduled_arrival, scheduled_departure)")} AS arrival_time,
+        {_CLOCK.format("coalesce(scheduled_departure, scheduled_arrival)")} AS departure_time, boarding_point_id AS stop_id, pickup_type, dropoff_type AS drop_off_type FROM trip_call WHERE passenger_service""",
+)(lambda f: export.stop_times(f["trip_call"]))
+query(
+    "feed_calendar",
+    "service_calendar",
+    "SELECT service_id, "
+    + ", ".join(f"CAST((CAST(weekday_mask AS INT) >> {k}) & 1 AS INT) AS {d}" for k, d in enumerate("monday tuesday wednesday thursday friday saturday sunday".split()))
+    + ", strftime(valid_from, '%Y%m%d') AS start_date, strftime(valid_to, '%Y%m%d') AS end_date FROM service_calendar",
+)(lambda f: export.calendar_rows(f["service_calendar"]))
+query("feed_calendar_dates", "service_exception", "SELECT service_id, strftime(service_date, '%Y%m%d') AS date, CAST(CASE WHEN added THEN 1 ELSE 2 END AS INT) AS exception_type FROM service_exception")(lambda f: export.calendar_dates(f["service_exception"]))
+query(
+    "category_colours",
+    "trip",
+    "SELECT trip_id, CASE WHEN c IN ('IC', 'EC', 'RJ', 'rj', 'LE', 'SC', 'AEx') THEN 'b91c1c' WHEN c IN ('R', 'Ex', 'Rx') THEN 'b45309' WHEN c IN ('Os', 'Sp', 'TL', 'TLX', 'LET') THEN '1c1745' WHEN c IN ('NJ', 'EN', 'ES') THEN '4c1d95' ELSE '475569' END AS color FROM (SELECT trip_id, CASE direction WHEN 0 THEN 'EC' WHEN 1 THEN 'Os' ELSE headsign END AS c FROM trip)",
+)(lambda f: f["trip"].select("trip_id", names.colour(F.when(F.col("direction") == 0, "EC").when(F.col("direction") == 1, "Os").otherwise(F.col("headsign"))).alias("color")))
+query("normal_names", "stop", "SELECT stop_id, trim(regexp_replace(lower(stop_name), '[^a-z0-9]+', ' ', 'g')) AS normal_name, CASE WHEN length(stop_name) > 12 THEN rtrim(substr(stop_name, 1, 11)) || '.' ELSE stop_name END AS label FROM stop")(
+    lambda f: f["stop"].select("stop_id", names.normal(F.col("stop_name")).alias("normal_name"), names.label(F.col("stop_name"), 12).alias("label"))
+)
+query(
+    "regional_trip_match",
+    "trip trip_call",
+    """SELECT trip_id, CASE WHEN days > 0 AND a = b THEN a END AS national_trip_id, days, CASE WHEN days = 0 THEN 'unmatched' WHEN a = b THEN 'resolved' ELSE 'ambiguous' END AS status FROM (
+         SELECT r.trip_id, min(n.low) AS a, max(n.high) AS b, count(n.low) AS days FROM (SELECT trip_id, sequence AS d, location_id AS p FROM trip_call WHERE passenger_service) r
+         LEFT JOIN (SELECT sequence AS d, location_id AS p, min(trip_id) AS low, max(trip_id) AS high FROM trip_call WHERE line_id = 'R:1' AND pickup_type = 2 GROUP BY 1, 2) n ON n.d = r.d AND n.p = r.p GROUP BY r.trip_id)""",
+)(
+    lambda f: matching.regional_matches(
+        f["trip_call"].filter("passenger_service").select("trip_id", F.col("sequence").alias("service_date"), F.col("location_id").alias("pattern")),
+        f["trip_call"].filter("line_id = 'R:1' AND pickup_type = 2").select("trip_id", F.col("sequence").alias("service_date"), F.col("location_id").alias("pattern")),
+    )
+)
+
+
+@query(
+    "xml_calls",
+    "trip_call",
+    """SELECT trip_id AS path, CAST(row_number() OVER (PARTITION BY trip_id ORDER BY sequence) * 10 AS INT) AS sequence, location_id AS code, passenger_service,
+       CASE WHEN passenger_service THEN t END AS scheduled_departure, CASE WHEN NOT passenger_service THEN t END AS scheduled_passage FROM (SELECT *, CAST(coalesce(scheduled_departure, scheduled_passage) * 20 AS INT) AS t FROM trip_call)""",
+)
+def _xml_calls(f: Frames) -> DataFrame:
+    """Messages are written from the calls and read back."""
+    t = F.coalesce("scheduled_departure", "scheduled_passage") * 20
+    activity = F.when(F.col("passenger_service"), "<TrainActivity><TrainActivityType>0001</TrainActivityType></TrainActivity>").otherwise("")
+    xml = F.concat(
+        F.lit("<q:CZPTTLocation><Location><CountryCodeISO>CZ</CountryCodeISO><LocationPrimaryCode>"), "location_id", F.lit("</LocationPrimaryCode></Location><TimingAtLocation><Timing TimingQualifierCode='ALD'><Time>"),
+        export.clock(t % 86400), F.lit("</Time><Offset>"), F.floor(t / 86400).cast("string"), F.lit("</Offset></Timing></TimingAtLocation>"), activity, F.lit("</q:CZPTTLocation>"),
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("sequence", xml.alias("x")))), lambda c: c["x"])
+    body = f["trip_call"].groupBy(F.col("trip_id").alias("path")).agg(F.concat(F.lit('<q:M xmlns:q="urn:q"><CZPTTInformation>'), F.array_join(ordered, ""), F.lit("</CZPTTInformation></q:M>")).alias("content"))
+    return readers.message_calls(readers.messages(body)).select("path", "sequence", "code", "passenger_service", "scheduled_departure", "scheduled_passage")
+
+
 def _run(q: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: q.run(frames(spark, sf_dir, list(q.needs)))
 
