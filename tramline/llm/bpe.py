@@ -14,12 +14,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut
+from .common import arrow_pass, cut, join_bounded
 
 #: Code points of a chunk, and how far each chunk reads into the next.
 CHUNK, OVERLAP = 32_768, 1_024
 #: Boundaries this near to a chunk's end may differ in the whole text: a contraction is three characters.
 MARGIN = 4
+#: Rows of one long text that get its ids in one task.
+SPLIT = 1_000
 
 _known: dict[str, tuple] = {}
 
@@ -135,23 +137,34 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | Non
     out = f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     n = len(keep)
 
-    def digests(batch: pa.RecordBatch, lists: list[list[int]]) -> dict:
+    def digests(batch: pa.RecordBatch, lists: list[list[int]], names: tuple[str, ...] = keep) -> dict:
         codec, _ = encoding(path)
         made = {"n_tokens": [len(x) for x in lists], "ids_sha256": [digest(x) for x in lists], "decoded_sha256": [hashlib.sha256(codec.decode_bytes(x)).hexdigest() for x in lists], "ids": lists}
-        return {name: batch.column(k) for k, name in enumerate(keep)} | made
+        return {name: batch.column(k) for k, name in enumerate(names)} | made
 
     def short(batch: pa.RecordBatch) -> dict:
         codec, _ = encoding(path)
         return digests(batch, [codec.encode_ordinary(x) for x in batch.column(n).to_pylist()])
 
     def long(batch: pa.RecordBatch) -> dict:
-        return digests(batch, batch.column(n).to_pylist())
+        return digests(batch, batch.column(1).to_pylist(), ("_key",))
 
     is_long = F.length("_text") > chunk
     long_rows = rows.filter(is_long).withColumn("_key", F.sha2("_text", 256))
     ids = _long_ids(long_rows.select(F.col("_key").alias("key"), F.col("_text").alias("text")), path, chunk, overlap)
-    found = long_rows.drop("_text").join(ids, long_rows["_key"] == ids["key"]).select(*keep, F.col("ids").alias("_ids"))
-    return arrow_pass(rows.filter(~is_long), short, out).unionByName(arrow_pass(found, long, out))
+    done = arrow_pass(ids, long, "_key string" + out[len(fields) :])
+    found = _to_rows(long_rows.drop("_text"), done, keep).select(*keep, *[c for c in done.columns if c != "_key"])
+    return arrow_pass(rows.filter(~is_long), short, out).unionByName(found)
+
+
+def _to_rows(rows: DataFrame, done: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Gives each row what was found for its text. A text of more than SPLIT rows is repeated for each so many, and its rows are dealt over the repeats."""
+    rows = cut(rows)
+    hot = rows.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > SPLIT).select("_key", F.ceil(F.col("_n") / SPLIT).cast("int").alias("_parts"))
+    spread = F.xxhash64(*keep)
+    rows = join_bounded(rows, hot, "_key", spread).withColumn("_at", F.pmod(spread, F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    done = join_bounded(done, hot, "_key", F.col("n_tokens")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts").withColumnRenamed("_key", "_done")
+    return rows.join(done, (rows["_key"] == done["_done"]) & (rows["_at"] == done["_to"])).drop("_key", "_done", "_at", "_to")
 
 
 def decode(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
