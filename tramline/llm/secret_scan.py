@@ -223,7 +223,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[secret]
 
 
 def redact(docs: DataFrame, labelled: list[tuple[str, str]] | None = None) -> DataFrame:
-    """docs with each secret replaced by a mark, n_chars (if there) counted anew for changed texts; rows without one stay as they are."""
+    """docs with each secret replaced by a mark, n_chars (if there) counted anew for changed texts; rows without one stay as they are.
+
+    Null and empty texts stay, repeated rows each stay, other columns are kept. Empty table: no rows.
+    """
     given = tuple(labelled if labelled is not None else labelled_credentials())
     names = docs.columns
 

@@ -233,7 +233,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each component the row with its smallest doc_id stays.
 
     Rows repeated with that doc_id and text stay once. A component without a doc_id keeps its
-    smallest text key.
+    smallest text key. Null and empty texts are one component. Empty table: no rows.
     """
     found = cut(near_duplicates(docs, **options))
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_key").alias("_key"), F.first("doc_id").alias("_id")).drop("root")
