@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import arrow_pass, cut
+from .common import arrow_pass, cut, shared_folder
 
 #: Centroids of each half; cells are their pairs.
 CENTROIDS = 64
@@ -135,14 +137,19 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     queries = index.filter(is_query).select("id", "v").distinct()
     n = queries.count()
     blocks = max(1, math.ceil(n / block))
-    out = None
+    shared_folder(rows.sparkSession)
+    folder, out = f"{rows.sparkSession.sparkContext.getCheckpointDir()}/nearest-{uuid.uuid4().hex}", None
     for b in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(blocks)) == b)
         table = arrow_pass(own, plan, f"id {kind}, v array<double>, cells binary").toArrow().sort_by("id")
         if not table.num_rows:
             continue
-        found = _search(index, table, k, schema)
-        out = found if out is None else out.unionByName(found)
+        out, sent = _search(index, table, k, schema)
+        if blocks > 1:  # what one block was sent goes before the next comes
+            out.write.mode("append").parquet(folder)
+            sent.destroy()
+    if out is not None and blocks > 1:
+        out = rows.sparkSession.read.schema(schema).parquet(folder)
     if out is None:
         return empty
     # a query id with several vectors has one answer for each
@@ -150,7 +157,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(index: DataFrame, table: pa.Table, k: int, schema: str) -> DataFrame:
+def _search(index: DataFrame, table: pa.Table, k: int, schema: str) -> tuple[DataFrame, Broadcast]:
     ids = table.column("id").to_numpy()
     parts = np.zeros(len(ids), dtype=np.int32)  # tells repeated query ids apart
     for i in range(1, len(ids)):
@@ -192,7 +199,7 @@ def _search(index: DataFrame, table: pa.Table, k: int, schema: str) -> DataFrame
         n = [len(s) for s, _ in best]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best])), pa.array(np.repeat(parts, n))], names=["query_id", "vec_id", "score", "part"])
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(run, schema), sent
 
 
 def op9_nearest(embeddings: DataFrame) -> DataFrame:
