@@ -169,7 +169,7 @@ def check_keys(spark: SparkSession, path: str, relation: Relation) -> None:
 
 
 def validate_package(spark: SparkSession, root: str | os.PathLike, prefix: str = PREFIX, extra: dict[str, Any] | None = None) -> Package:
-    """The package if it keeps the contract, else PackageError for the first breach: header, each relation's entry and file, the whole, then the keys."""
+    """The package if it keeps the contract, else PackageError for the first breach: header, each relation's entry and file, their keys, then the whole."""
     root = Path(root).resolve()
     try:
         raw = (root / "manifest.json").read_bytes()
@@ -187,10 +187,10 @@ def validate_package(spark: SparkSession, root: str | os.PathLike, prefix: str =
         _check_entry(root, entry, relation, prefix)
         rows[relation.name] = entry["row_count"]
         digests.append({"name": relation.name, "sha256": entry["sha256"], "row_count": entry["row_count"]})
-    _need(list(rows) == list(RELATIONS), f"relations are missing or out of order: {sorted(set(RELATIONS) - set(rows))}")
-    _need(digest_of(digests) == manifest["serving_sha256"], "the package's digest differs")
     # the scans are independent jobs; the first breach in the relations' order is told
     with ThreadPoolExecutor(JOBS) as pool:
         for _ in pool.map(lambda name: check_keys(spark, str(root / "serving" / f"{name}.parquet"), RELATIONS[name]), rows):
             pass
+    _need(list(rows) == list(RELATIONS), f"relations are missing or out of order: {sorted(set(RELATIONS) - set(rows))}")
+    _need(digest_of(digests) == manifest["serving_sha256"], "the package's digest differs")
     return Package(root, manifest, hashlib.sha256(raw).hexdigest(), rows)
