@@ -136,6 +136,9 @@ def test_chunk_tasks_and_round_trip(spark):
         t = texts[r.doc_id] or ""
         assert list(r.ids) == codec().encode_ordinary(t) and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() and r.n_tokens == len(r.ids)
+    hot = documents(spark, [(k, "y z" * 100, "en", "s", 0) for k in range(2_500)] + [(9_999, "q" * 80, "en", "s", 0)])
+    counts = {r.n_tokens: r["count"] for r in bpe.encode(hot, chunk=64, overlap=16).groupBy("n_tokens").count().collect()}
+    assert counts == {len(codec().encode_ordinary("y z" * 100)): 2_500, len(codec().encode_ordinary("q" * 80)): 1}
     back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(bpe.encode(rows, chunk=64, overlap=16)).collect()}
     assert all(back[k] == (t or "").encode() for k, t in enumerate(texts))
 
@@ -199,6 +202,7 @@ def test_next_with_ties_nulls_and_one_row(spark):
         ("<div class='sidebar'><p>side side side</p></div><div class='content'><p>A &amp;amp; B&nbsp;C</p><!-- no <p>x</p> --><script>var a='</p>';</script><p>D</p></div>", "A &amp; B C\nD"),
         ("<header><h1>Site</h1></header><main><p>Text of the page.</p><div id=comments><p>first!</p></div><form><p>name</p></form><aside>x</aside></main>", "Text of the page."),
         ("<article><header><h1>Head</h1></header><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "Head\na\nb\nc\nd"),
+        ("<article class='post has-sidebar'><p>main text</p></article><article class=comment><p>a much longer comment than the text</p></article>", "main text"),
         ("<article><p>x < y and <i>it</i>alic</p></article>", "x < y and italic"),
         ("<div class=cookie-notice>We use cookies</div><div class=ad>Buy</div>", ""),
         ("plain text without tags", "plain text without tags"),
@@ -239,7 +243,7 @@ def test_forward_sums_all_segmentations():
     p = {"a": 0.2, "b": 0.1, "ab": 0.05, "▁": 0.1, "▁a": 0.07}
     model = language_id.Model({"x": {k: math.log(v) for k, v in p.items()} | {"": math.log(1e-9)}})
     expected = 0.1 * 0.2 * 0.1 + 0.07 * 0.1 + 0.1 * 0.05
-    assert math.exp(model.forward("▁ab")[0]) == pytest.approx(expected)
+    assert math.exp(model.forward(["▁ab"])[0][0]) == pytest.approx(expected)
 
 
 def test_held_out_accuracy(spark, small):
@@ -337,6 +341,12 @@ def test_recall_and_exact_scores(spark, small):
     assert np.mean(hits) >= 0.9
 
 
+def test_blocks_of_queries_give_the_same(spark, small):
+    vectors = table(spark, small, "embeddings")
+    one = sorted(map(tuple, ann.nearest(vectors, F.col("id") % 50 == 0).collect()))
+    assert sorted(map(tuple, ann.nearest(vectors, F.col("id") % 50 == 0, block=3).collect())) == one
+
+
 def test_traversal_goes_by_summed_distance():
     rng = np.random.default_rng(3)
     d1, d2 = rng.random(6), rng.random(5)
@@ -419,6 +429,16 @@ def test_links_keep_all_components(spark, group):
     assert all(len(x) == 1 for x in groups.values()) and len({next(iter(x)) for x in groups.values()}) == len(groups)
 
 
+def test_block_choices_miss_no_pair():
+    rng = random.Random(8)
+    for n, choices in ((1_000, 4), (10**9, 10), (10**11, 20)):
+        masks = simhash.block_masks(n, 3, simhash.GROUP)
+        assert len(masks) == choices
+        for _ in range(500):
+            x = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(x & m == 0 for m in masks)
+
+
 def test_near_duplicates_of_the_table(spark, small):
     rows = table(spark, small, "documents").collect()
     fps = [brute_fingerprint(r.text) for r in rows]

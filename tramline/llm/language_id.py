@@ -26,7 +26,7 @@ SMOOTH = 0.01
 #: Longer words are cut; longer pieces than any word has are not in the vocabulary's use.
 LONGEST, PIECE = 40, 16
 #: Words whose scores a process keeps.
-CACHE = 400_000
+CACHE = 250_000
 #: Mark of a word's start in the vocabulary.
 START = "▁"
 UNKNOWN = "und"
@@ -93,64 +93,100 @@ def fit(words: Counter, pieces: frozenset[str], rounds: int = ROUNDS) -> dict[st
     return {k: math.log((v + SMOOTH) / total) for k, v in counts.items()} | {"": math.log(SMOOTH / total)}
 
 
+_BASE, _SPREAD, _BITMAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
+
+
+def _rolling(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * int(_BASE) + ord(c) + 1) & (1 << 64) - 1
+    return h
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h * _SPREAD) >> np.uint64(64 - _BITMAP)
+
+
 class Model:
     """Scores texts against all languages at once; word scores are kept, as texts repeat their words."""
 
     def __init__(self, table: dict[str, dict[str, float]]):
         self.langs = sorted(table)
-        floor = [math.exp(table[x][""]) for x in self.langs]
-        names = {p for t in table.values() for p in t if p}
-        self.p = {name: [math.exp(table[x].get(name, table[x][""])) for x in self.langs] for name in names}
-        self.floor = floor
+        names = sorted({p for t in table.values() for p in t if p})
+        #: Row 0 is for a character that is no piece.
+        self.p = np.array([[math.exp(table[x][""]) for x in self.langs], *([math.exp(table[x].get(n, table[x][""])) for x in self.langs] for n in names)]).reshape(1 + len(names), len(self.langs))
+        #: Pieces are found by a rolling hash of their characters: in a bitmap first, then in the sorted hashes.
+        hashes = np.array([_rolling(n) for n in names], dtype=np.uint64)
+        order = hashes.argsort()
+        self.hashes, self.found_row = hashes[order], order + 1
+        self.longest = max(map(len, names), default=1)
+        self.bitmap = np.zeros(1 << _BITMAP, dtype=bool)
+        self.bitmap[_slot(hashes)] = True
         self._reset()
 
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((4_096, len(self.langs)), dtype=np.float64)
 
-    def forward(self, part: str) -> list[float]:
-        """Log probability of the part in each language: the sum over its segmentations."""
-        langs, n, p = range(len(self.langs)), len(part), self.p
-        ahead: list[list[float] | None] = [[1.0] * len(self.langs)]
-        for i in range(1, n + 1):
-            here = [0.0] * len(self.langs)
-            for j in range(max(0, i - PIECE), i):
-                q = p.get(part[j:i])
-                if q is None:
-                    if i - j > 1:
-                        continue
-                    q = self.floor
-                before = ahead[j]
-                for x in langs:
-                    here[x] += before[x] * q[x]
-            ahead.append(here)
-        return [math.log(x) if x > 0 else -700.0 for x in ahead[n]]
-
-    def _add(self, word: str) -> int:
-        k = len(self.place)
-        if k == len(self.rows):
+    def forward(self, parts: list[str]) -> np.ndarray:
+        """Log probability of each part in each language: the sums over their segmentations. All parts have one length."""
+        n = len(parts[0])
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, n).astype(np.uint64)
+        ahead = np.zeros((n + 1, len(parts), len(self.langs)))
+        ahead[0] = 1.0
+        for j in range(n):
+            h = np.zeros(len(parts), dtype=np.uint64)
+            for i in range(j + 1, min(n, j + self.longest) + 1):
+                h = h * _BASE + codes[:, i - 1] + np.uint64(1)
+                at = np.flatnonzero(self.bitmap[_slot(h)])
+                place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+                fits = self.hashes[place] == h[at] if len(self.hashes) else np.zeros(0, dtype=bool)
+                at, row = at[fits], self.found_row[place[fits]]
+                ahead[i, at] += ahead[j, at] * self.p[row]
+                if i == j + 1:
+                    other = np.ones(len(parts), dtype=bool)
+                    other[at] = False
+                    ahead[i, other] += ahead[j, other] * self.p[0]
+        return np.log(np.maximum(ahead[n], 1e-300))
+
+    def learn_words(self, words: list[str]) -> None:
+        """Scores words that are not known yet, those of one length together."""
+        first = len(self.place)
+        while first + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = np.sum([self.forward(x) for x in cut_word(word)], axis=0)
-        self.place[word] = k
-        return k
-
-    def scores(self, text: str) -> np.ndarray | None:
-        """Log likelihoods, or None for a text without a letter."""
-        words = words_of(text)
-        if not any(c.isalpha() for w in words for c in w):
-            return None
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for k, word in enumerate(words, first):
+            self.place[word] = k
+            self.rows[k] = 0.0
+            for part in cut_word(word):
+                by_length.setdefault(len(part), []).append((k, part))
+        for both in by_length.values():
+            for s in range(0, len(both), 4_096):
+                some = both[s : s + 4_096]
+                np.add.at(self.rows, [k for k, _ in some], self.forward([x for _, x in some]))
+
+    def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Log likelihoods of each text, or None for one without a letter."""
         if len(self.place) > CACHE:
             self._reset()
-        place, add = self.place, self._add
-        index = [place[w] if w in place else add(w) for w in words]
-        return self.rows[index].sum(axis=0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = self.scores(text) if text and self.langs else None
-        if found is None:
-            return UNKNOWN, 0.0
-        share = np.exp(found - found.max())
-        return self.langs[int(found.argmax())], float(share.max() / share.sum())
+        found = [words_of(t) if t else [] for t in texts]
+        new: set[str] = set()
+        for words in found:
+            new |= set(words).difference(self.place)
+        if new:
+            self.learn_words(sorted(new))
+        get = self.place.__getitem__
+        return [self.rows[list(map(get, words))].sum(axis=0) if any(c.isalpha() for w in words for c in w) else None for words in found]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        for found in self.scores(texts) if self.langs else [None] * len(texts):
+            if found is None:
+                out.append((UNKNOWN, 0.0))
+            else:
+                share = np.exp(found - found.max())
+                out.append((self.langs[int(found.argmax())], float(share.max() / share.sum())))
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,7 +234,7 @@ def identify(docs: DataFrame, model: dict[str, dict[str, float]] | None = None)
 
     def step(batch: pa.RecordBatch) -> dict:
         known = _model(sent)
-        found = [known.predict(x) for x in batch.column(2).to_pylist()]
+        found = known.predict(batch.column(2).to_pylist())
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [a for a, _ in found], "score": [b for _, b in found]}
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
@@ -206,13 +242,17 @@ def identify(docs: DataFrame, model: dict[str, dict[str, float]] | None = None)
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those that are und or whose best language has less than the given share."""
+    """docs without those that are und or whose best language has less than the given share.
+
+    Null, empty and letterless texts go, and so do all if no language could be learned. Repeated rows
+    stay repeated; other columns stay as they are. Empty table: no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
     names = docs.columns
 
     def step(batch: pa.RecordBatch) -> dict:
         known = _model(sent)
-        found = [known.predict(x) for x in batch.column(names.index("text")).to_pylist()]
+        found = known.predict(batch.column(names.index("text")).to_pylist())
         kept = batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in found], pa.bool_()))
         return {n: kept.column(k) for k, n in enumerate(names)}
 
