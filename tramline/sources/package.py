@@ -157,7 +157,16 @@ def _check_entry(root: Path, entry: dict[str, Any], relation: Relation, prefix:
 
 
 def check_keys(spark: SparkSession, path: str, relation: Relation) -> None:
-    """Keys rise strictly in the file's physical order; row groups are checked in parallel."""
+    """Keys rise strictly in the file's physical order: a file of one batch is read here, in a larger one Spark checks batches in parallel."""
+    keys = list(relation.sort_key)
+    if pq.read_metadata(path).num_rows <= BATCH:
+        before = None
+        for key in zip(*pq.read_table(path, columns=keys).select(keys).to_pydict().values()):
+            _need(None not in key, f"{relation.name}: null keys")
+            _need(before is None or key != before, f"{relation.name}: duplicate keys")
+            _need(before is None or key > before, f"{relation.name}: unsorted keys")
+            before = key
+        return
     from pyspark.sql import functions as F
 
     from ..operators.checks import key_order
