@@ -38,10 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to a slice: with long texts the default of 10,000 rows is too much for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= SLICE:
+        spark.conf.set(key, str(SLICE))
+
+
 def arrow_pass(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: T.StructType | str) -> DataFrame:
     """A narrow pass: step gives the columns of schema (lists or arrays) for each batch; rows may grow or shrink."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):

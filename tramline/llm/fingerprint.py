@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 EXACT, SKETCH, SHINGLE = 8, 128, 3
 BYTES = 8 * EXACT + 4 * SKETCH
 #: Parts that the rows are dealt over in order of their ids: as many as the input has, within these bounds.
@@ -153,6 +155,7 @@ def compare_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     by a hash of their text and the text, and null ids come last. The only row of a table follows
     itself. Null text reads as empty. Rows of one id are read by one task. Empty table: no rows.
     """
+    bounded_batches(docs.sparkSession)
     parts = parts or min(MOST_PARTS, max(PARTS, docs.rdd.getNumPartitions()))
     dealt = _dealt(docs, parts)
     rows = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("oid"), F.xxhash64("text"), "text")
