@@ -57,3 +57,30 @@ def test_stages_on_odd_rows(spark, tmp_path):
             stage(spark, docs, "").write.parquet(out)
             docs = spark.read.parquet(out)
         assert docs.filter(F.col("doc_id") == 2).count() == 0
+
+
+def shingles(text):
+    w = text.encode().lower().split()
+    return frozenset([b" ".join(w)] if 0 < len(w) < 5 else zip(*(w[k:] for k in range(5))))
+
+
+def test_near_dedup_reaches_similarity(spark, small):
+    """All pairs of five-word shingle sets, one by one; many of those at 0.8 or more differ in over three fingerprint bits."""
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, r.text) for k, r in enumerate(spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect())]
+    copies = [(1_000 + k, " ".join("x" if n in (k, 3 * k) else w for n, w in enumerate(words))) for k in range(40)]
+    docs = [(n, t or "", "en", "s", len(t or "")) for n, t in rows + copies + [(5_000, " ".join(words)), (5_001, "a b"), (5_002, "A  b"), (5_003, "a c")]]
+    sets = [shingles(d[1]) for d in docs]
+    up = list(range(len(docs)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                far += (simhash.fingerprint(docs[i][1]) ^ simhash.fingerprint(docs[j][1])).bit_count() > 3
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    assert far > 5
+    frame = spark.createDataFrame(docs, DOCS)
+    least = sorted({min(docs[k][0] for k in range(len(docs)) if root(k) == r) for r in {root(k) for k in range(len(docs))}})
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, frame, small).collect()) == least
+    assert sorted({r.component_id for r in simhash.near_duplicates(frame, group=4).collect()}) == least

@@ -1,9 +1,13 @@
-"""SimHash near-dedup: fingerprints from word shingles, linked by a self-join of their binary trie."""
+"""SimHash: fingerprints from word shingles, linked by a self-join of their binary trie; and near-duplicates by five-word shingles.
+
+Texts of similarity 0.8 differ in some 10 of 64 fingerprint bits, up to 18, a budget under which a trie join
+rules out nothing; so near-duplicates come from MinHash bands, and an exact check of the shingles decides.
+"""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import arrow_pass, cut
+from .common import arrow_pass, cut, join_bounded
 
 WORDS, SEED, BITS = 3, 42, 64
 #: Bits in which linked fingerprints differ at most.
@@ -22,6 +26,15 @@ GROUP = 8_192
 #: Entries of a trie node that are compared at once rather than split further.
 LEAF = 32
 
+#: Near-duplicates: words of a shingle, and the share of common shingles that links two texts, as a fraction.
+NEAR_WORDS, SIMILAR = 5, (4, 5)
+#: MinHash bands and the minima in each: at similarity 0.8 all bands of a pair differ once in 20 million pairs.
+BANDS, MINIMA = 32, 4
+#: Minima that agree in a pair worth the exact check; at similarity 0.8 fewer do about three times in a million.
+LEAST_EQUAL = 82
+#: Rounds in which a bucket's texts are only compared with one of them, before the others are compared with each other.
+STARS = 3
+
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     """Bit b is 1 where it is set in over half of the shingles' hashes. bytes.lower() and bytes.split() know ASCII only."""
@@ -212,7 +225,148 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame, errors: int = ERRORS, group: int = GROUP) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str, words: int = NEAR_WORDS) -> np.ndarray:
+    """The different shingles' hashes, sorted. A text of fewer words is one shingle, a text without words has none."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(w) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)] if w else [], dtype=np.uint64)
+    each = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in w), dtype=np.uint64, count=len(w))
+    out = np.zeros(len(w) - words + 1, dtype=np.uint64)
+    for k in range(words):
+        out = _mixed(out + each[k : k + len(out)])
+    return np.unique(out)
+
+
+_SEEDS = _mixed(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each of the BANDS * MINIMA hash functions; all ones without shingles."""
+    out = np.full(len(_SEEDS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(shingles), 1 << 11):
+        x = shingles[k : k + (1 << 11), None] ^ _SEEDS
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        out = np.minimum(out, x.min(axis=0))
+    return out
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, fp, buckets, minima): fp names the set of shingles; a bucket is a band and its minima, and of each minimum a byte is kept."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def step(batch: pa.RecordBatch) -> dict:
+        fps, buckets, kept = [], [], []
+        for text in batch.column(1).to_pylist():
+            shingles = shingle_set(text)
+            least = minima(shingles)
+            fps.append(signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)))
+            band = np.arange(BANDS, dtype=np.uint64)
+            for k in range(MINIMA):
+                band = _mixed(band + least.reshape(BANDS, MINIMA)[:, k])
+            buckets.append(band.view(np.int64))
+            kept.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
+        return {"doc_id": batch.column(0), "text_key": batch.column(2), "fp": fps, "buckets": buckets, "minima": kept}
+
+    return arrow_pass(rows.withColumn("text_key", F.xxhash64("text")), step, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long, buckets array<long>, minima binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (fp, shingles) have the similarity, by exact count."""
+    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("_x"))
+    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("_y"))
+    sizes = F.size("_x") + F.size("_y")
+    both = pairs.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_x", "_y")))
+    return both.filter(F.col("_n") * SIMILAR[1] >= (sizes - F.col("_n")) * SIMILAR[0]).select("a", "b")
+
+
+def across(members: DataFrame, group: int = GROUP) -> DataFrame:
+    """(a, b): pairs of a bucket's members (bucket, fp, root, minima) with different roots and enough equal minima.
+
+    Large buckets are cut into parts, each pair of parts a task's group, as in links().
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")).filter("open")
+    parts = sizes.select("bucket", F.ceil(F.col("n") / (group / 2)).cast("int").alias("parts"))
+    mine = members.join(parts, "bucket").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = pairs.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "fp", "root", "minima")
+    dealt = keyed.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "mine", "fp")
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        _, p, q = rows[0][:3]
+        mine, fp, root = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5))
+        least = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        names, at, n = np.unique(root, return_inverse=True, return_counts=True)
+        out = []
+        largest = at == int(n.argmax())
+        for i in np.flatnonzero(~largest):  # of two members with different roots one isn't of the largest
+            fit = (root != root[i]) & (largest | (fp > fp[i]))
+            if p != q:
+                fit &= mine != mine[i]
+            js = np.flatnonzero(fit)
+            js = js[(least[js] == least[i]).sum(axis=1) >= LEAST_EQUAL]
+            out += [(min(int(fp[i]), x), max(int(fp[i]), x)) for x in fp[js].tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, g in itertools.groupby(rows, key=lambda r: r[:3]):
+            if found := compare(list(g)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_links(docs: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
+    """(a, b): links between sets of shingles (rows: fp, text_key, buckets, minima) with the components of all similar pairs.
+
+    Texts that share a bucket are compared, first for a few rounds with one text of it only, which joins
+    most of a large group of near copies; then those of a bucket that aren't yet joined with each other.
+    """
+    one = cut(rows.groupBy("fp").agg(F.min_by(F.struct("text_key", "buckets", "minima"), "text_key").alias("x")).select("fp", "x.*"))
+    each = one.select("fp", F.explode("buckets").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    dealt = cut(each.join(shared, "bucket"))
+    wanted = cut(dealt.select("fp").distinct().join(one.select("fp", "text_key", "minima"), "fp"))
+
+    def step(batch: pa.RecordBatch) -> dict:
+        return {"fp": batch.column(1), "shingles": [shingle_set(x).view(np.int64) for x in batch.column(0).to_pylist()]}
+
+    keyed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    texts = join_bounded(keyed, wanted.groupBy("text_key").agg(F.min("fp").alias("fp")), "text_key", F.length("text"), "inner").select("text", "fp")
+    sets = cut(arrow_pass(texts, step, "fp long, shingles array<long>").groupBy("fp").agg(F.any_value("shingles").alias("shingles")))
+    found = None
+    open_ = dealt
+    for k in range(STARS):
+        hubs = open_.groupBy("bucket").agg(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("hub"))
+        pairs = open_.join(hubs, "bucket").filter("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+        new = similar(pairs, sets)
+        found = cut(new if found is None else found.union(new))
+        roots = components(one, found)
+        members = dealt.join(roots, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
+        mixed = members.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("bucket")
+        open_ = cut(members.join(mixed, "bucket"))
+    rest = across(open_.join(wanted.select("fp", "minima"), "fp").select("bucket", "fp", "root", "minima"), group)
+    return cut(found.union(similar(rest, sets)))
+
+
+def _components_of(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id) for each of the rows; classes: fp and its least doc_id."""
+    roots = components(classes, edges)
+    of = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = cut(of.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
+    return rows.select("doc_id", "text_key", "fp").join(labels, rows["fp"] == labels["_fp"]).drop("_fp")
+
+
+def near_fingerprints(docs: DataFrame, errors: int = ERRORS, group: int = GROUP) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id) for each row of (doc_id, text).
 
     component_id is the smallest doc_id among all rows whose fingerprints can be reached over links.
@@ -222,20 +376,23 @@ def near_duplicates(docs: DataFrame, errors: int = ERRORS, group: int = GROUP) -
     """
     rows = cut(fingerprints(docs))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(classes, links(classes, errors, group))
-    of = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = cut(of.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
-    return rows.join(labels, rows["fp"] == labels["_fp"]).drop("_fp")
+    return _components_of(rows, classes, links(classes, errors, group))
+
+
+def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id) like near_fingerprints(), but linked are texts whose five-word shingles have a similarity of 0.8 or more; fp names a text's set of shingles. Null and empty texts are one set."""
+    rows = cut(signatures(docs))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _components_of(rows, classes, near_links(docs, rows, group))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: of each component the row with its smallest doc_id stays.
+def keep_one(docs: DataFrame, find: Callable[..., DataFrame] = near_fingerprints, **options) -> DataFrame:
+    """docs without near-duplicates: of each component that find tells the row with its smallest doc_id stays.
 
     Rows repeated with that doc_id and text stay once. A component without a doc_id keeps its
     smallest text key. Null and empty texts are one component. Empty table: no rows.
     """
-    found = cut(near_duplicates(docs, **options))
+    found = cut(find(docs, **options))
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_key").alias("_key"), F.first("doc_id").alias("_id")).drop("root")
     keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     kept = keyed.join(first, (keyed["_text_key"] == first["_key"]) & keyed["doc_id"].eqNullSafe(first["_id"]))
@@ -244,4 +401,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_simhash(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_fingerprints(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
