@@ -57,6 +57,19 @@ def test_learned_formats_find_new_credentials_and_leave_prose():
         assert secret_scan.all_spans(text, known)[1] == secret_scan.base_spans(text)
 
 
+def test_credentials_joined_to_other_text():
+    known = secret_scan.grammars(tuple(secret_scan.labelled_credentials()))
+    for kind, value in secret_scan.labelled_credentials(10, seed=98):
+        for before, after in (("?key=", "&x=1"), ("GH_PAT=", ""), ("https://host/x/", "/y"), ("a-", "-b"), ("x_", "=="), ("one=", f"/two={value}")):
+            text = f"see {before}{value}{after} there"
+            spans = [(s, e) for s, e, _ in secret_scan.all_spans(text, known)[1]]
+            at = 4 + len(before)
+            assert (at, at + len(value)) in spans, (kind, text)
+            assert value not in secret_scan.redacted(text, secret_scan.all_spans(text, known)[1])
+    for text in ("x" + "ghp_" + "a1B2" * 9, "path/ghp_short/of-a-page-with-a-long-name"):
+        assert secret_scan.all_spans(text, known)[1] == secret_scan.base_spans(text)
+
+
 def test_scan_whole_table(spark, small):
     texts = {r.doc_id: r.text or "" for r in table(spark, small, "documents").collect()}
     rows = queries.queries()["op1_secret_scans"](spark, small).collect()

@@ -31,6 +31,7 @@ SAMPLES, ALPHA, SEED = 400, 0.05, 11
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGIT
+ALNUM = frozenset(_ALNUM)
 #: Published credential formats: kind, then fixed text and (alphabet, length) in turn.
 FORMATS = (
     ("github", "ghp_", (_ALNUM, 36)),
@@ -171,18 +172,49 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def learned_spans(text: str, known: dict[str, Grammar], taken: list[tuple[int, int, str]], threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Candidates that touch no base span, each with the format that is likeliest, by at least the threshold."""
+    """Candidates that touch no base span, each with the format that is likeliest, by at least the threshold.
+
+    A credential joined to other text by = / + - or _ is looked for from each format's head within the run.
+    """
     out = []
+    heads = re.compile("|".join(f"(?={re.escape(h)})" for h in sorted({g.head for g in known.values()})) or "(?!)")
     for m in CANDIDATE.finditer(text):
         s, e, value = m.start(), m.end(), m[0]
         if any(s < b and a < e for a, b, _ in taken):
+            whole = None
+        else:
+            score, kind = max((g.score(value), k) for k, g in known.items()) if known else (-math.inf, "")
+            whole = kind if score - text_bits(value) >= threshold else None
+        if whole is not None:
+            out.append((s, e, whole))
             continue
-        score, kind = max((g.score(value), k) for k, g in known.items()) if known else (-math.inf, "")
-        if score - text_bits(value) >= threshold:
-            out.append((s, e, kind))
+        at = 0
+        for h in heads.finditer(value):
+            if h.start() < at or (h.start() and value[h.start() - 1] in ALNUM):
+                continue
+            found = _inside(value, h.start(), known, threshold)
+            if found and not any(s + h.start() < b and a < s + found[0] for a, b, _ in taken):
+                at = found[0]
+                out.append((s + h.start(), s + at, found[1]))
     return out
 
 
+def _inside(value: str, start: int, known: dict[str, Grammar], threshold: float) -> tuple[int, str] | None:
+    """(end, format) of the likeliest credential that begins at start and ends at the run's end or before a mark."""
+    best = None
+    for k, g in known.items():
+        if not value.startswith(g.head, start):
+            continue
+        for end in range(start + g.lengths[0], min(len(value), start + g.lengths[1]) + 1):
+            if end < len(value) and value[end] in ALNUM:
+                continue
+            part = value[start:end]
+            bits = g.score(part) - text_bits(part)
+            if bits >= threshold and (best is None or (bits, k) > best[:2]):
+                best = (bits, k, end)
+    return None if best is None else (best[2], best[1])
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
