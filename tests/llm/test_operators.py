@@ -229,6 +229,21 @@ def test_pages(spark, body, text):
     assert (r.text, r.n_chars) == (text, len(text))
 
 
+def extracted(spark, *bodies, head="</head>"):
+    rows = [(k, f"http://h.com/{k}", f"<html><head><title>t</title>{head}<body>{b}") for k, b in enumerate(bodies)]
+    return [r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_repeated_siblings_are_all_extracted(spark):
+    parts = [c * 300 for c in "abc"]
+    for one in ("<div class=content>{}</div>", "{}"):
+        for part in ("<section><p>{}</p></section>", "<div class=part><p>{}</p></div>"):
+            body = one.format("".join(part.format(x) for x in parts))
+            assert extracted(spark, body, body) == ["\n".join(parts)] * 2
+    table = "<table><tr><td><p>{}</p></td><td><p>{}</p></td><td><p>{}</p></td></tr></table>".format(*parts)
+    assert extracted(spark, table) == ["\n".join(parts)]
+
+
 def test_host_consensus_beats_a_page_of_its_own(spark):
     usual = "<div class=post-{k}><p>{t}</p></div><div class=box><p>{b}</p></div>"
     rows = [(k, f"http://h.com/{k}", usual.format(k=k, t="long text " * 20, b="short")) for k in range(9)] + [(9, "http://h.com/9", usual.format(k=9, t="brief", b="other " * 30))]

@@ -34,9 +34,6 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
-#: Containers that a page votes for, best first, each with its share of the page's best score.
-VOTES = 3
-
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
@@ -172,20 +169,23 @@ class Page:
         return out
 
     def votes(self) -> list[tuple[str, int]]:
-        scores = self.scores()
-        best = sorted(((s, -k) for k, s in enumerate(scores) if s > 0), reverse=True)[:VOTES]
-        return [(self.containers[-k][1], 1000 * s // best[0][0]) for s, k in best]
+        """Each path once, with its best container's share of the page's best score."""
+        best: dict[str, int] = {}
+        for s, (_, path) in zip(self.scores(), self.containers):
+            if s > best.get(path, 0):
+                best[path] = s
+        return [(path, 1000 * s // max(best.values())) for path, s in best.items()]
 
     def text(self, path: str | None) -> str:
-        """All blocks under the container with the path and the best score; without one, under the best of the page."""
+        """All blocks under the containers with the path, in page order; without one, with the path of the page's best."""
         scores = self.scores()
         fit = [k for k, (_, p) in enumerate(self.containers) if p == path and scores[k] > 0] or [k for k, s in enumerate(scores) if s > 0]
         if not fit:
             return ""
-        top = max(fit, key=lambda k: (scores[k], -k))
+        path = self.containers[max(fit, key=lambda k: (scores[k], -k))][1]
         under = [False] * len(self.containers)
-        for k, (parent, _) in enumerate(self.containers):
-            under[k] = k == top or (parent >= 0 and under[parent])
+        for k, (parent, p) in enumerate(self.containers):
+            under[k] = p == path or (parent >= 0 and under[parent])
         return "\n".join(t for k, t, _ in self.blocks if under[k])
 
 
