@@ -234,6 +234,14 @@ def extracted(spark, *bodies, head="</head>"):
     return [r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
 
 
+def test_head_without_end_tag(spark):
+    body = "<article><p>one</p><p>two</p></article>"
+    assert extracted(spark, body, head="") == ["one\ntwo"]
+    assert extracted(spark, body, head="<meta charset=utf-8><script>x</script><noscript><img src=a>n</noscript>") == ["one\ntwo"]
+    rows = [(1, "http://a.b/1", "<head>\n<title>t</title>\n<p>three</p>"), (2, "http://a.c/2", "<head><title>t</title>four")]
+    assert [r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()] == ["three", "four"]
+
+
 def test_repeated_siblings_are_all_extracted(spark):
     parts = [c * 300 for c in "abc"]
     for one in ("<div class=content>{}</div>", "{}"):

@@ -26,6 +26,8 @@ DROP_WORDS = frozenset(
     " footer gdpr legal login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification outbrain pager pagination popup promo promotion recommended related reply replies respond"
     " share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola teaser toc toolbar tooltip topbar tracking warning widget widgets alert".split()
 )
+#: What can stand in a head; anything else ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 OPENING = frozenset(("header", "heading", "top"))
 #: Class names with these words tell of other elements.
 ABOUT_OTHERS = frozenset(("with", "has", "no", "without", "is", "show", "hide"))
@@ -86,7 +88,16 @@ class Page:
         self._text(source[at:])
         self._flush()
 
+    def _end_head(self, tag: str) -> None:
+        """An open head ends where a body, or content right within the head, begins."""
+        if self._stack[-1][0] == "head" and tag not in HEAD or tag == "body":
+            k = next((k for k, x in enumerate(self._stack) if x[0] == "head"), None)
+            if k is not None:
+                self._pop(k)
+
     def _text(self, raw: str) -> None:
+        if self._stack[-1][0] == "head" and raw.strip():
+            self._end_head("")
         if raw and not self._stack[-1][2]:
             text = html.unescape(raw) if "&" in raw else raw
             self._parts.append(text)
@@ -110,6 +121,7 @@ class Page:
             self._articles -= tag in ("article", "main")
 
     def _open(self, tag: str, found: dict[str, str]) -> None:
+        self._end_head(tag)
         if tag == "br" or tag == "wbr":
             self._text(" " if tag == "br" else "")
             return
