@@ -234,6 +234,15 @@ def extracted(spark, *bodies, head="</head>"):
     return [r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
 
 
+def test_parts_of_articles_stay(spark):
+    inner = "<h2 id=related-work>R</h2><p>{t}</p><section id=discussion><h2 id=notice-period>N</h2><p class=text-warning>W <math><mi>x</mi></math></p></section><p>a <span class=tooltip>b</span></p>".format(t="long text " * 30)
+    cut = "<div class=comments>c</div><div class='cookie-notice'>k</div><div id=sidebar>s</div><div class=ad>d</div>"
+    text = "\n".join(["R", ("long text " * 30).strip(), "N", "W x", "a b"])
+    for outer in ("<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>"):
+        assert extracted(spark, "<div class=related>more</div>" + outer.format(inner + cut)) == [text]
+    assert extracted(spark, f"<p>{'plain ' * 20}</p><div class=related>more</div>") == [("plain " * 20).strip()]
+
+
 def test_head_without_end_tag(spark):
     body = "<article><p>one</p><p>two</p></article>"
     assert extracted(spark, body, head="") == ["one\ntwo"]

@@ -20,7 +20,7 @@ CONTAINER = frozenset("article body div main section td".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist")}
 #: Elements that are never part of the main text, and what words of class, id or role say the same.
-DROP = frozenset("aside audio button canvas datalist dialog footer form head iframe input label legend math menu nav noembed noframes noscript object script search select style svg template textarea title video xmp".split())
+DROP = frozenset("aside audio button canvas datalist dialog footer form head iframe input label menu nav noembed noframes noscript object script search select style svg template textarea title video xmp".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog discussion disqus"
     " footer gdpr legal login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification outbrain pager pagination popup promo promotion recommended related reply replies respond"
@@ -28,6 +28,15 @@ DROP_WORDS = frozenset(
 )
 #: What can stand in a head; anything else ends it.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Whole names of class, id or role that tell the same anywhere; with the words above only as their first or last, names can also be those of an article's parts.
+DROP_NAMES = frozenset(
+    "ad ads advert adverts advertisement adbox breadcrumb breadcrumbs comment comments commentlist comment-list comments-area comments-list comment-section comments-section cookie-notice cookie-banner cookie-bar cookie-consent"
+    " consent-banner disqus disqus-thread footer masthead nav navbar newsletter-signup outbrain pagination related-articles related-posts share-buttons sharing-buttons site-footer site-nav social-share sidebar sidebars taboola".split()
+)
+DROP_ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar tooltip".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: How an element is left out: not at all, but within the winning container, everywhere.
+KEPT, OUTSIDE, ALWAYS = 0, 1, 2
 OPENING = frozenset(("header", "heading", "top"))
 #: Class names with these words tell of other elements.
 ABOUT_OTHERS = frozenset(("with", "has", "no", "without", "is", "show", "hide"))
@@ -41,31 +50,36 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def _dropped(tag: str, found: dict[str, str], inside: bool) -> bool:
-    """inside: within an article or main element, where a header is the article's own."""
+def _dropped(tag: str, found: dict[str, str], inside: bool) -> int:
+    """inside: within an article or main element, where a header is the article's own, and only whole names drop."""
     if tag in DROP or (tag == "header" and not inside):
-        return True
+        return ALWAYS
     if tag in ("html", "body", "main") or not found:
-        return False
+        return KEPT
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    for name in (*found.get("class", "").split(), found.get("id", ""), found.get("role", "")):
+        return ALWAYS
+    if found.get("role", "").lower() in DROP_ROLES:
+        return ALWAYS
+    out = KEPT
+    for name in (*found.get("class", "").split(), "" if tag in HEADINGS else found.get("id", ""), found.get("role", "")):
         words = [w.lower() for w in SPLIT.split(name) if w]
-        if words and not ABOUT_OTHERS.intersection(words):
+        if "-".join(words) in DROP_NAMES:
+            return ALWAYS
+        if words and not inside and not ABOUT_OTHERS.intersection(words):
             ends = {words[0], words[-1]}
-            if ends & DROP_WORDS or (not inside and ends & OPENING and "heading" not in ends):
-                return True
-    return False
+            if ends & DROP_WORDS or (ends & OPENING and "heading" not in ends):
+                out = OUTSIDE
+    return out
 
 
 class Page:
-    """containers: (parent, path); blocks: (container, text, characters in links)."""
+    """containers: (parent, path); blocks: (container, text, characters in links, text with what is left out outside the winner only)."""
 
     def __init__(self, source: str):
         self.containers: list[tuple[int, str]] = [(-1, "")]
-        self.blocks: list[tuple[int, str, int]] = []
-        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
-        self._parts: list[str] = []
+        self.blocks: list[tuple[int, str, int, str]] = []
+        self._stack: list[tuple[str, int, int]] = [("", 0, KEPT)]  # tag, container, dropped
+        self._parts: list[tuple[str, int]] = []
         self._linked = self._links = self._articles = 0
         at = 0
         while m := TAG.search(source, at):
@@ -98,17 +112,19 @@ class Page:
     def _text(self, raw: str) -> None:
         if self._stack[-1][0] == "head" and raw.strip():
             self._end_head("")
-        if raw and not self._stack[-1][2]:
+        dropped = self._stack[-1][2]
+        if raw and dropped != ALWAYS:
             text = html.unescape(raw) if "&" in raw else raw
-            self._parts.append(text)
-            if self._links:
+            self._parts.append((text, dropped))
+            if self._links and not dropped:
                 self._linked += len(text)
 
     def _flush(self) -> None:
         if self._parts:
-            text = " ".join("".join(self._parts).split())
-            if text:
-                self.blocks.append((self._stack[-1][1], text, min(self._linked, len(text))))
+            whole = " ".join("".join(t for t, _ in self._parts).split())
+            text = whole if not any(d for _, d in self._parts) else " ".join("".join(t for t, d in self._parts if not d).split())
+            if whole:
+                self.blocks.append((self._stack[-1][1], text, min(self._linked, len(text)), whole))
         self._parts, self._linked = [], 0
 
     def _pop(self, n: int) -> None:
@@ -146,7 +162,7 @@ class Page:
         if tag in VOID:
             return
         _, container, dropped = self._stack[-1]
-        dropped = dropped or _dropped(tag, found, self._articles > 0)
+        dropped = max(dropped, _dropped(tag, found, self._articles > 0)) if dropped != ALWAYS else ALWAYS
         if tag in CONTAINER and not dropped:
             names = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
             self.containers.append((container, f"{self.containers[container][1]}>{'.'.join([tag, *names])}"))
@@ -168,7 +184,7 @@ class Page:
     def scores(self) -> list[int]:
         """A block counts for its container, half for the one around it, and a quarter beyond; links don't count. An article or main counts three times."""
         out = [0] * len(self.containers)
-        for at, text, linked in self.blocks:
+        for at, text, linked, _ in self.blocks:
             worth, node = 4 * max(0, len(text) - 2 * linked), at
             for share in (1, 2, 4):
                 if node < 0:
@@ -198,7 +214,8 @@ class Page:
         under = [False] * len(self.containers)
         for k, (parent, p) in enumerate(self.containers):
             under[k] = p == path or (parent >= 0 and under[parent])
-        return "\n".join(t for k, t, _ in self.blocks if under[k])
+        whole = path.rpartition(">")[2].partition(".")[0] not in ("", "body")  # in a body names tell what isn't the article's
+        return "\n".join(x for k, t, _, w in self.blocks if under[k] and (x := w if whole else t))
 
 
 def host_of(url: Column) -> Column:
