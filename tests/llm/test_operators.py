@@ -361,6 +361,18 @@ def test_ordered_rules(spark):
     assert got == {1: ("mit_grant,mit_notice,mit_warranty", "MIT"), 2: ("mit_warranty,mit_notice,mit_grant", ""), 3: ("mit_short,ccbync4_short", "CC-BY-NC-4.0,MIT"), 4: ("", ""), 5: ("", "")}
 
 
+def test_wrapped_sentences(spark):
+    import textwrap
+
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    wrapped = lambda i, mark: "\n".join(mark + x for x in textwrap.wrap(dict(license_scan.SENTENCES)[i].capitalize() + ".", 60))
+    rows = [apache, apache.replace("\n", "\n# "), "// " + mpl, *["\n".join(wrapped(i, m) for i in ids) for m in ("", " * ") for ids in (("mit_grant", "mit_notice", "mit_warranty"), ("gpl_free", "gpl_hope"), ("isc_grant",), ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_names"))]]
+    got = [r.licenses for r in license_scan.scan(documents(spark, [(k, t, None, None, 0) for k, t in enumerate(rows)])).orderBy("doc_id").collect()]
+    assert got == ["Apache-2.0", "Apache-2.0", "MPL-2.0", *["MIT", "GPL-3.0", "ISC", "BSD-3-Clause"] * 2]
+    assert all(any(w in s for w in license_scan.SIGNS) for _, s in license_scan.SENTENCES)
+
+
 def test_license_plan_has_no_python(spark, small):
     plan = queries.queries()["op8_license_scans"](spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -66,17 +66,24 @@ END = r"[.!?;:]+(?:[\x20\t\r\n]+|$)|[\r\n]+"
 OTHER = r"[^a-z0-9]+"
 
 
+#: Each known sentence has one of these.
+SIGNS = ("license", "software", "redistribution", "mpl", "program", "reserved")
+
+
 def _sentence_ids(text: Column) -> Column:
-    """Known ids in the order of the text; the array's only long-lived part are the few that are known."""
-    parts = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), END)
-    # a known sentence begins with a known word and has no other length; the cheap tests come first
-    least, most = min(len(s) for _, s in SENTENCES), 4 * max(len(s) for _, s in SENTENCES)
-    firsts = sorted({s.split(" ")[0] for _, s in SENTENCES})
-    begins = r"^[^a-z0-9]*(?:" + "|".join(firsts) + r")(?:[^a-z0-9]|$)"
-    likely = F.filter(parts, lambda s: (F.length(s) >= least) & s.rlike(begins))
+    """Known ids in the order of the text.
+
+    A known sentence is found in the sequence of words from one end to another; within it, ends count as white
+    space, so it may be wrapped over lines, behind comment marks or not. Of two that begin alike the longer is found.
+    """
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_replace(F.regexp_replace(lower, END, "\n"), r"[^a-z0-9\n]+", " ")
+    words = F.regexp_replace(words, r"^\x20| ?\n[\x20\n]*|\x20$", "\n")
+    each = sorted((s.replace(" ", r"[\x20\n]") for _, s in SENTENCES), key=len, reverse=True)
+    found = F.regexp_extract_all(words, F.lit(r"(?<![^\n])(?:" + "|".join(each) + r")(?![^\n])"), F.lit(0))
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES for x in (s, i)])
-    ids = F.transform(likely, lambda s: F.element_at(known, F.trim(F.regexp_replace(s, OTHER, " "))))
-    return F.filter(ids, lambda x: x.isNotNull())
+    ids = F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
+    return F.when(lower.rlike("|".join(SIGNS)), ids)
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
