@@ -77,6 +77,11 @@ def test_listing_and_logs(spark):
     assert [(r.severity, r.event.k if r.event else None) for r in got] == [("error", None), (None, 1), (None, None)]
 
 
+def test_long_log_event(spark):
+    lines = spark.createDataFrame([('EVENT {"x": "' + "y" * (1 << 20) + '", "k": 1}',)], "line string")
+    assert readers.log_events(lines, "line", "EVENT ", "k int").first().event.k == 1
+
+
 def test_stop_identity_keeps_plus(spark):
     r = spark.createDataFrame([("-CZPTT-CZ:1%3A2:a+b",)], "s string").select(readers.stop_identity(F.col("s")).alias("x")).first().x
     assert (list(r.parts), r.parent) == (["-CZPTT-CZ", "1:2", "a+b"], "-CZPTT-CZ:1%3A2")

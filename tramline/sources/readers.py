@@ -171,7 +171,7 @@ def log_events(lines: DataFrame, column: str, prefix: str, schema: str) -> DataF
     text = F.regexp_replace(F.col(column), "\x1b\\[[0-9;]*m", "")
     severity = F.lower(F.regexp_extract(text, r"(?i)\b(error|warning|warn|info)\b", 1))
     rows = lines.withColumn("text", text).withColumn("severity", F.when(severity == "warn", "warning").when(severity != "", severity))
-    return rows.withColumn("event", F.when(F.col("text").startswith(prefix), F.from_json(F.substring("text", len(prefix) + 1, 1 << 20), schema)))
+    return rows.withColumn("event", F.when(F.col("text").startswith(prefix), F.from_json(F.expr(f"substring(text, {len(prefix) + 1})"), schema)))
 
 
 def tagged_nodes(nodes: DataFrame, tags: dict[str, list[str]]) -> DataFrame:
