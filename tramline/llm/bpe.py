@@ -18,30 +18,94 @@ from .common import arrow_pass, cut, join_bounded
 
 #: Code points of a chunk, and how far each chunk reads into the next.
 CHUNK, OVERLAP = 32_768, 1_024
-#: Boundaries this near to a chunk's end may differ in the whole text: a contraction is three characters.
+#: Boundaries this near to a chunk's end may differ in the whole text (a contraction is three characters); a piece is read with so many characters behind it.
 MARGIN = 4
 #: Rows of one long text that get its ids in one task.
 SPLIT = 1_000
+#: Pre-tokens whose ids a process keeps, and the longest of them.
+CACHE, CACHED = 200_000, 40
+#: Stands for a character that is neither letter, digit nor white space.
+OTHER = "\ue000"
 
-_known: dict[str, tuple] = {}
+_known: dict[str, Codec] = {}
 
 
-def encoding(path: str) -> tuple[tiktoken.Encoding, regex.Pattern]:
-    """The encoding by a rank file, read once a process; only the merges come from the library's file format."""
-    if path not in _known:
+class Codec:
+    """Pre-tokens by the public pattern, each merged by the ranks on its own.
+
+    The library's whole-text splitter overflows its stack on a long run of white space, so the matches come from
+    another engine, whose letters and digits are of a newer Unicode: the characters on which the two
+    differ are asked of the library once, and taken as it does.
+    """
+
+    def __init__(self, path: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        _known[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(public_tokenizers.PATTERN)
+        self.library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.others = _classed_otherwise()
+        self.least = min(map(chr, self.others), default=chr(0x10FFFF))
+        self.kept: dict[str, list[int]] = {}
+
+    def _plain(self, text: str) -> str:
+        """The text with the library's classes, character for character."""
+        return text if text.isascii() or max(text) < self.least else text.translate(self.others)
+
+    def ends(self, text: str) -> list[int]:
+        """Ends of the matches. The pattern fits every character, so they are the starts too."""
+        return [m.end() for m in self.pattern.finditer(self._plain(text))]
+
+    def encode(self, text: str, size: int | None = None) -> list[int]:
+        """Ids of the matches that begin before ``size``."""
+        plain = self._plain(text)
+        if plain is text and (size is None or size >= len(text)):
+            words = self.pattern.findall(text)
+        else:
+            size, words = len(text) if size is None else size, []
+            for m in self.pattern.finditer(plain):
+                if m.start() >= size:
+                    break
+                words.append(text[m.start() : m.end()])
+        out: list[int] = []
+        get, kept = self.kept.get, self.kept
+        for w in words:
+            ids = get(w)
+            if ids is None:
+                ids = self.library._encode_single_piece(w.encode("utf-8", "replace"))
+                if len(w) <= CACHED:
+                    if len(kept) >= CACHE:
+                        kept.clear()
+                    kept[w] = ids
+            out += ids
+        return out
+
+    def decode(self, ids: list[int]) -> bytes:
+        return self.library.decode_bytes(ids)
+
+
+def _classed_otherwise() -> dict[int, str]:
+    """Characters that the pattern's engine takes for letters or digits and the library doesn't; it drops what a pattern doesn't fit."""
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([k]): k for k in range(256)}
+    found = []
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        theirs = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(everything)
+        found.append((set(regex.findall(name, everything)), set(bytes(theirs).decode())))
+    if any(theirs - ours for ours, theirs in found) or found[2][0] != found[2][1]:
+        raise ValueError("the library knows letters that the pattern's engine doesn't")
+    return {ord(c): OTHER for ours, theirs in found for c in ours - theirs}
+
+
+def encoding(path: str) -> Codec:
+    """The encoding by a rank file, read once a process; only the merges come from the library."""
+    if path not in _known:
+        _known[path] = Codec(path)
     return _known[path]
 
 
-def boundaries(pattern: regex.Pattern, text: str) -> list[int]:
-    """Ends of the pre-tokens of text at which it can be cut. The pattern fits every character, so they are the starts too.
-
-    A run of white space looks at what follows it, so a piece must not end in one; and only at blanks,
-    and between plain ASCII characters, do all engines' character classes agree.
-    """
-    return [x for m in pattern.finditer(text) if (x := m.end()) < len(text) and not text[x - 1].isspace() and (text[x] in " \t\n\r" or ("!" <= text[x] <= "~" and "!" <= text[x - 1] <= "~"))]
+def boundaries(codec: Codec, text: str) -> list[int]:
+    """Ends of the pre-tokens of text but the last, whose end the text's end may have made."""
+    return [x for x in codec.ends(text) if x < len(text)]
 
 
 def agreed(left: list[int], right: list[int], low: int, high: int) -> int | None:
@@ -51,30 +115,31 @@ def agreed(left: list[int], right: list[int], low: int, high: int) -> int | None
 
 
 def stitch(cuts: list[int | None], length: int) -> list[tuple[int, int]]:
-    """Pieces between agreed cuts. Chunks past one without a cut are in no known step: the rest is one piece."""
+    """Pieces between agreed cuts; chunks that a pre-token spans have none, and their piece goes on to the next.
+
+    Such a later cut is one of the whole text's, too: a match is a run of one class of characters, but for a blank before it and
+    for a contraction, so from a chunk's second match on its boundaries are those of the text.
+    """
     at, out = 0, []
     for x in cuts:
-        if x is None:
-            break
-        out.append((at, x))
-        at = x
+        if x is not None:
+            out.append((at, x))
+            at = x
     return [*out, (at, length)]
 
 
-def pieces(pattern: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+def pieces(codec: Codec, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """One text's pieces, its chunks pre-tokenised one by one."""
     if len(text) <= chunk:
-        return [text]
-    ends = [[k + x for x in boundaries(pattern, text[k : k + chunk + overlap])] for k in range(0, len(text), chunk)]
+        return [(0, len(text))]
+    ends = [[k + x for x in boundaries(codec, text[k : k + chunk + overlap])] for k in range(0, len(text), chunk)]
     cuts = [agreed(a, b, k, k + overlap - MARGIN) for k, a, b in zip(range(chunk, len(text), chunk), ends, ends[1:])]
-    return [text[a:b] for a, b in stitch(cuts, len(text))]
+    return stitch(cuts, len(text))
 
 
 def encode_text(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    codec, pattern = encoding(path)
-    return [i for piece in pieces(pattern, text, chunk, overlap) for i in codec.encode_ordinary(piece)]
-
-
+    codec = encoding(path)
+    return [i for a, b in pieces(codec, text, chunk, overlap) for i in codec.encode(text[a : b + MARGIN], b - a)]
 
 
 def _long_ids(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
@@ -88,34 +153,40 @@ def _long_ids(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame
     rows = different.select("key", "text", F.length("text").alias("length"))
     parts = max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = cut(rows)
-    last = F.floor((F.col("length") - 1) / chunk).cast("int")
-    chunks = rows.select("key", "length", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(F.col("text"), k * chunk + 1, F.lit(chunk + overlap)))).alias("k", "part"))
+
+    def split(batch: pa.RecordBatch) -> dict:
+        each = [(key, n, k, text[k * chunk : (k + 1) * chunk + overlap]) for key, text, n in zip(*(c.to_pylist() for c in batch.columns)) for k in range(-(-n // chunk))]
+        return {name: [x[i] for x in each] for i, name in enumerate(("key", "length", "k", "part"))}
 
     def scan(batch: pa.RecordBatch) -> dict:
-        _, pattern = encoding(path)
+        codec = encoding(path)
         starts, ends = [], []
         for k, part in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            b = boundaries(pattern, part)
+            b = boundaries(codec, part)
             starts.append([k * chunk + x for x in b if x <= overlap])
             ends.append([k * chunk + x for x in b if chunk < x <= chunk + overlap - MARGIN])
         return {"key": batch.column(0), "length": batch.column(1), "k": batch.column(2), "starts": starts, "ends": ends}
 
+    chunks = arrow_pass(rows, split, "key string, length int, k int, part string")
     found = arrow_pass(chunks.repartition(parts, "key", "k"), scan, "key string, length int, k int, starts array<int>, ends array<int>")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         cuts = [agreed(list(a), list(b), (k + 1) * chunk, (k + 1) * chunk + overlap - MARGIN) for k, a, b in zip(pdf.k, pdf.ends, pdf.starts[1:])]
         spans = stitch(cuts, int(pdf.length.iloc[0]))
-        return pd.DataFrame({"key": pdf.key.iloc[0], "k": range(len(spans)), "begin": [a for a, _ in spans], "size": [b - a for a, b in spans]})
+        return pd.DataFrame({"key": pdf.key.iloc[0], "spans": [[x for span in spans for x in span]]})
+
+    spans = found.groupBy("key").applyInPandas(join, "key string, spans array<int>")
 
-    spans = found.groupBy("key").applyInPandas(join, "key string, k int, begin int, size int")
-    cuts = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "begin", "size"))).alias("spans"))
-    each = rows.join(cuts, "key").select("key", F.explode(F.transform("spans", lambda s: F.struct(s["k"].alias("k"), F.substring(F.col("text"), s["begin"] + 1, s["size"]).alias("piece")))).alias("x")).select("key", "x.k", "x.piece")
+    def part(batch: pa.RecordBatch) -> dict:
+        each = [(key, k, spans[k + 1] - spans[k], text[spans[k] : spans[k + 1] + MARGIN]) for key, text, spans in zip(*(c.to_pylist() for c in batch.columns)) for k in range(0, len(spans), 2)]
+        return {name: [x[i] for x in each] for i, name in enumerate(("key", "k", "size", "piece"))}
 
     def encode(batch: pa.RecordBatch) -> dict:
-        codec, _ = encoding(path)
-        return {"key": batch.column(0), "k": batch.column(1), "ids": [codec.encode_ordinary(x) for x in batch.column(2).to_pylist()]}
+        codec = encoding(path)
+        return {"key": batch.column(0), "k": batch.column(1), "ids": [codec.encode(x, n) for n, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]}
 
+    each = arrow_pass(rows.join(spans, "key").select("key", "text", "spans"), part, "key string, k int, size int, piece string")
     ids = arrow_pass(each.repartition(parts, "key", "k"), encode, "key string, k int, ids array<int>")
     return ids.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
@@ -128,7 +199,8 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | Non
     """keep, n_tokens, ids_sha256, decoded_sha256 and, on demand, ids for every row of (…, text).
 
     Null and empty texts have no ids. Texts of more than one chunk go through chunk tasks, once for
-    each different text; others are encoded where they are read. Repeated rows each give a row.
+    each different text; others are encoded where they are read. A single match of the pattern, however
+    long, is merged in one task. Repeated rows each give a row.
     Empty table: no rows. Other columns than keep and text are not read.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -137,14 +209,16 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | Non
     out = f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     n = len(keep)
 
-    def digests(batch: pa.RecordBatch, lists: list[list[int]], names: tuple[str, ...] = keep) -> dict:
-        codec, _ = encoding(path)
-        made = {"n_tokens": [len(x) for x in lists], "ids_sha256": [digest(x) for x in lists], "decoded_sha256": [hashlib.sha256(codec.decode_bytes(x)).hexdigest() for x in lists], "ids": lists}
-        return {name: batch.column(k) for k, name in enumerate(names)} | made
+    def digests(batch: pa.RecordBatch, lists: list[list[int]], names: tuple[str, ...] = keep, at: list[int] | None = None) -> dict:
+        """lists: a batch's different ids, at: which of them each row has; by default one a row."""
+        codec, at = encoding(path), range(len(lists)) if at is None else at
+        made = {"n_tokens": [len(x) for x in lists], "ids_sha256": [digest(x) for x in lists], "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in lists], "ids": lists}
+        return {name: batch.column(k) for k, name in enumerate(names)} | {k: [v[i] for i in at] for k, v in made.items()}
 
     def short(batch: pa.RecordBatch) -> dict:
-        codec, _ = encoding(path)
-        return digests(batch, [codec.encode_ordinary(x) for x in batch.column(n).to_pylist()])
+        codec, texts = encoding(path), batch.column(n).to_pylist()
+        place = {x: k for k, x in enumerate(dict.fromkeys(texts))}  # a text that is there several times is encoded once
+        return digests(batch, [codec.encode(x) for x in place], at=[place[x] for x in texts])
 
     def long(batch: pa.RecordBatch) -> dict:
         return digests(batch, batch.column(1).to_pylist(), ("_key",))
@@ -172,8 +246,8 @@ def decode(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: s
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def step(batch: pa.RecordBatch) -> dict:
-        codec, _ = encoding(path)
-        return {id_col: batch.column(0), "bytes": [codec.decode_bytes(x or []) for x in batch.column(1).to_pylist()]}
+        codec = encoding(path)
+        return {id_col: batch.column(0), "bytes": [codec.decode(x or []) for x in batch.column(1).to_pylist()]}
 
     return arrow_pass(ids.select(id_col, ids_col), step, f"`{id_col}` {ids.schema[id_col].dataType.simpleString()}, bytes binary")
 
