@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, join_bounded
+from .common import arrow_pass, cut, join_bounded
 
 #: Fixed words of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -19,16 +21,18 @@ CONTAINER = frozenset("article body div main section td".split())
 #: A start tag of the key ends open elements of the values, up to the nearest container or list.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist")}
-#: Elements that are never part of the main text, and what words of class, id or role say the same.
+#: Elements that are never part of the main text.
 DROP = frozenset("aside audio button canvas datalist dialog footer form head iframe input label menu nav noembed noframes noscript object script search select style svg template textarea title video xmp".split())
+#: A name of class, id or role tells the same outside the article if its words are all of these and of PLACES, one of these at least.
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog discussion disqus"
-    " footer gdpr legal login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification outbrain pager pagination popup promo promotion recommended related reply replies respond"
-    " share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola teaser toc toolbar tooltip topbar tracking warning widget widgets alert".split()
+    "ad ads adv advert adverts advertisement advertising adbox alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies dialog discussion disqus"
+    " footer gdpr header login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification outbrain pager pagination popup promo promotion recommended related replies respond"
+    " share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola teaser teasers toc toolbar tooltip topbar tracking warning widget widgets".split()
 )
+PLACES = frozenset("area bar bottom box buttons container global left links list main message mobile page primary right secondary site slot top wrap wrapper".split())
 #: What can stand in a head; anything else ends it.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
-#: Whole names of class, id or role that tell the same anywhere; with the words above only as their first or last, names can also be those of an article's parts.
+#: Whole names that tell the same anywhere, within an article too.
 DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement adbox breadcrumb breadcrumbs comment comments commentlist comment-list comments-area comments-list comment-section comments-section cookie-notice cookie-banner cookie-bar cookie-consent"
     " consent-banner disqus disqus-thread footer masthead nav navbar newsletter-signup outbrain pagination related-articles related-posts share-buttons sharing-buttons site-footer site-nav social-share sidebar sidebars taboola".split()
@@ -37,21 +41,44 @@ DROP_ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: How an element is left out: not at all, but within the winning container, everywhere.
 KEPT, OUTSIDE, ALWAYS = 0, 1, 2
-OPENING = frozenset(("header", "heading", "top"))
-#: Class names with these words tell of other elements.
-ABOUT_OTHERS = frozenset(("with", "has", "no", "without", "is", "show", "hide"))
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+# A tag's parts, each matched where the one before ended, so that a page is read once from left to right.
+TAG = re.compile(r"[A-Za-z][^\s/>]*+")
+GAP = re.compile(r"[\s/]*+")
+NAME = re.compile(r"[^\s/>][^\s/>=]*+")
+EQUALS = re.compile(r"\s*+=\s*+")
+VALUE = re.compile(r"[^\s>]*+")
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
+def read_tag(source: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """Attributes from behind a tag's name, the end of the tag, and whether it has one.
+
+    A quote counts as one right behind an equals sign only. One that is never closed ends with the tag.
+    """
+    found: dict[str, str] = {}
+    while True:
+        at = GAP.match(source, at).end()
+        if at >= len(source):
+            return found, at, False
+        if source[at] == ">":
+            return found, at + 1, True
+        m = NAME.match(source, at)
+        name, value, at = m[0].lower(), "", m.end()
+        if m := EQUALS.match(source, at):
+            at = m.end()
+            end = source.find(source[at], at + 1) if source[at : at + 1] in ("'", '"') else -1
+            if end >= 0:
+                value, at = source[at + 1 : end], end + 1
+            elif source[at : at + 1] != ">":
+                m = VALUE.match(source, at)
+                value, at = m[0], m.end()
+        if name not in found:
+            found[name] = html.unescape(value) if "&" in value else value
 
 
 def _dropped(tag: str, found: dict[str, str], inside: bool) -> int:
-    """inside: within an article or main element, where a header is the article's own, and only whole names drop."""
+    """inside: within an article or main element, where a header is the article's own, and only names that are never an article's part drop."""
     if tag in DROP or (tag == "header" and not inside):
         return ALWAYS
     if tag in ("html", "body", "main") or not found:
@@ -65,36 +92,49 @@ def _dropped(tag: str, found: dict[str, str], inside: bool) -> int:
         words = [w.lower() for w in SPLIT.split(name) if w]
         if "-".join(words) in DROP_NAMES:
             return ALWAYS
-        if words and not inside and not ABOUT_OTHERS.intersection(words):
-            ends = {words[0], words[-1]}
-            if ends & DROP_WORDS or (ends & OPENING and "heading" not in ends):
-                out = OUTSIDE
+        if not inside and not DROP_WORDS.isdisjoint(words) and all(w in DROP_WORDS or w in PLACES for w in words):
+            out = OUTSIDE
     return out
 
 
 class Page:
-    """containers: (parent, path); blocks: (container, text, characters in links, text with what is left out outside the winner only)."""
+    """containers: (parent, path); blocks: (container, text, characters in links, text with what is left out outside the winner only).
+
+    A path is a digest of all that is around a container, and its own tag and classes.
+    """
 
     def __init__(self, source: str):
         self.containers: list[tuple[int, str]] = [(-1, "")]
         self.blocks: list[tuple[int, str, int, str]] = []
         self._stack: list[tuple[str, int, int]] = [("", 0, KEPT)]  # tag, container, dropped
+        self._at: dict[str, list[int]] = {}  # where in the stack each tag is
+        self._blocks: list[int] = [0]  # where in the stack blocks are
         self._parts: list[tuple[str, int]] = []
         self._linked = self._links = self._articles = 0
         at = 0
-        while m := TAG.search(source, at):
-            self._text(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                if m[0].startswith("<![CDATA["):
-                    continue
+        while (lt := source.find("<", at)) >= 0:
+            after = source[lt + 1 : lt + 2]
+            if after == "!" or after == "?":
+                self._text(source[at:lt])
+                at = _past(source, lt)
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            closing = after == "/"
+            m = TAG.match(source, lt + 1 + closing)
+            if m is None:
+                empty = source.startswith("</>", lt)
+                self._text(source[at : lt + 1 - empty])
+                at = lt + (3 if empty else 1)
+                continue
+            self._text(source[at:lt])
+            tag = m[0].lower()
+            found, at, ended = read_tag(source, m.end())
+            if not ended:
+                break  # the page ends within a tag
+            if closing:
                 self._close(tag)
                 continue
-            self._open(tag, _attributes(m[3]))
-            if tag in RAW and not m[3].endswith("/"):
+            self._open(tag, found)
+            if tag in RAW and source[at - 2] != "/":
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 self._text(source[at : end.start()] if end else source[at:])
                 at = end.end() if end else len(source)
@@ -104,10 +144,8 @@ class Page:
 
     def _end_head(self, tag: str) -> None:
         """An open head ends where a body, or content right within the head, begins."""
-        if self._stack[-1][0] == "head" and tag not in HEAD or tag == "body":
-            k = next((k for k, x in enumerate(self._stack) if x[0] == "head"), None)
-            if k is not None:
-                self._pop(k)
+        if (self._stack[-1][0] == "head" and tag not in HEAD or tag == "body") and self._at.get("head"):
+            self._pop(self._at["head"][0])
 
     def _text(self, raw: str) -> None:
         if self._stack[-1][0] == "head" and raw.strip():
@@ -133,6 +171,9 @@ class Page:
             if self._stack[-1][0] in BLOCK:
                 self._flush()
             tag = self._stack.pop()[0]
+            self._at[tag].pop()
+            if tag in BLOCK:
+                self._blocks.pop()
             self._links -= tag == "a"
             self._articles -= tag in ("article", "main")
 
@@ -142,22 +183,13 @@ class Page:
             self._text(" " if tag == "br" else "")
             return
         if tag in BLOCK:
-            for k in range(len(self._stack) - 1, 0, -1):  # a paragraph ends where a block begins
-                name = self._stack[k][0]
-                if name == "p":
-                    self._pop(k)
-                    break
-                if name in BLOCK:
-                    break
-            limits = LIMITS.get(tag, ())
-            k = len(self._stack) - 1
-            last = None
-            while tag in ENDS and k > 0 and self._stack[k][0] not in limits and self._stack[k][0] not in CONTAINER - {"td"}:
-                if self._stack[k][0] in ENDS[tag]:
-                    last = k
-                k -= 1
-            if last is not None:
-                self._pop(last)
+            if self._stack[self._blocks[-1]][0] == "p":  # a paragraph ends where a block begins
+                self._pop(self._blocks[-1])
+            if tag in ENDS:
+                limit = max((self._at[t][-1] for t in (*LIMITS[tag], *(CONTAINER - {"td"})) if self._at.get(t)), default=0)
+                ended = [own[k] for t in ENDS[tag] if (own := self._at.get(t)) and (k := bisect_right(own, limit)) < len(own)]
+                if ended:
+                    self._pop(min(ended))
             self._flush()
         if tag in VOID:
             return
@@ -165,20 +197,23 @@ class Page:
         dropped = max(dropped, _dropped(tag, found, self._articles > 0)) if dropped != ALWAYS else ALWAYS
         if tag in CONTAINER and not dropped:
             names = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
-            self.containers.append((container, f"{self.containers[container][1]}>{'.'.join([tag, *names])}"))
+            own = ".".join([tag, *names])
+            around = xxhash.xxh64_hexdigest(self.containers[container][1].encode("utf-8", "surrogatepass"))
+            self.containers.append((container, f"{around}>{own}"))
             container = len(self.containers) - 1
         self._links += tag == "a"
         self._articles += tag in ("article", "main")
+        self._at.setdefault(tag, []).append(len(self._stack))
+        if tag in BLOCK:
+            self._blocks.append(len(self._stack))
         self._stack.append((tag, container, dropped))
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self._stack[k][0] == tag:
-                self._pop(k)
-                return
-            if tag not in BLOCK and self._stack[k][0] in BLOCK:
-                return  # an inline end tag closes nothing beyond its block
-        if tag == "p":
+        """An inline end tag closes nothing beyond its block."""
+        own = self._at.get(tag)
+        if own and (tag in BLOCK or own[-1] > self._blocks[-1]):
+            self._pop(own[-1])
+        elif tag == "p":
             self._flush()
 
     def scores(self) -> list[int]:
@@ -218,6 +253,15 @@ class Page:
         return "\n".join(x for k, t, _, w in self.blocks if under[k] and (x := w if whole else t))
 
 
+def _past(source: str, at: int) -> int:
+    """Behind the comment, marked section or declaration that begins at ``at``; one without an end goes to the page's."""
+    for opening, ending, least in (("<!--", "-->", 2), ("<![CDATA[", "]]>", 9), ("<", ">", 1)):
+        if source.startswith(opening, at):
+            end = source.find(ending, at + least)
+            return len(source) if end < 0 else end + len(ending)
+    return at
+
+
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -249,7 +293,7 @@ def extract(pages: DataFrame) -> DataFrame:
         return {"page_id": batch.column(0), "url": batch.column(1), "text": found, "n_chars": [len(x) for x in found]}
 
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = join_bounded(rows, host_paths(pages), "host", F.struct("page_id", "url")).select("page_id", "url", "html", "path")
+    joined = join_bounded(rows, cut(host_paths(pages)), "host", F.struct("page_id", "url")).select("page_id", "url", "html", "path")
     return arrow_pass(joined, step, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
