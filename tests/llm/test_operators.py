@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -130,7 +131,7 @@ def test_url_cases(spark, url, host, path, rule, verdict):
 
 
 def codec():
-    return bpe.encoding(RANKS)[0]
+    return bpe.encoding(RANKS).library
 
 
 @settings(max_examples=100, deadline=None)
@@ -139,6 +140,44 @@ def test_chunks_encode_like_the_whole(text, chunk, overlap):
     assert bpe.encode_text(text, RANKS, chunk, overlap) == codec().encode_ordinary(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["'", "'s", "'ll", "re", "!", "  ", "\n", "12", "é", "中文", "ไทย", "🙂", "\U000107bb", "\U00011de0", "x"]), max_size=80).map("".join), st.integers(8, 24), st.integers(5, 20))
+def test_chunks_of_any_script_fall_into_step(text, chunk, overlap):
+    assert bpe.encode_text(text, RANKS, chunk, overlap) == codec().encode_ordinary(text)
+
+
+def test_classes_are_the_library_s():
+    whole = bpe.encoding(RANKS)
+    for start in range(0, 0x110000, 0x1000):
+        text = " ".join(f"a{chr(c)}1{chr(c)}" for c in range(start, start + 0x1000) if not 0xD800 <= c < 0xE000)
+        assert whole.encode(text) == codec().encode_ordinary(text)
+
+
+def by_matches(text):
+    """The library's ids match by match, where its splitter of whole texts fails."""
+    return [i for m in re.finditer(r" ?[^\W\d_]+|\s+(?!\S)|.", text, re.S) for i in codec()._encode_single_piece(m[0].encode())]
+
+
+@pytest.mark.parametrize("unit, n, cut", [(" ", 5_000_000, False), ("\n", 1_000_000, False), ("x", 1_000_000, False), ("中", 300_000, False), ("中文。", 100_000, True), ("ภาษาไทยนี้", 20_000, True), ("한국어 ", 50_000, True), ("🙂é", 60_000, True)])
+def test_very_long_runs(unit, n, cut):
+    text = "a" + unit * n + "b c"
+    whole = bpe.encoding(RANKS)
+    found = bpe.pieces(whole, text)
+    assert (len(found) > len(text) // bpe.CHUNK - 2) == cut
+    ids = bpe.encode_text(text, RANKS)
+    assert ids == (codec().encode_ordinary(text) if not unit.isspace() else by_matches(text))
+    assert whole.decode(ids) == text.encode()
+
+
+def test_long_runs_in_tables(spark):
+    texts = ["a" + " " * 1_000_000, "\n" * 200_000 + "x", "word " * 30_000 + " " * 150_000 + "word " * 30_000, "中文。" * 40_000]
+    for r in bpe.op3_byte_bpe(documents(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect():
+        t = texts[r.doc_id]
+        ids = bpe.encode_text(t, RANKS)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), bpe.digest(ids)) and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert len(bpe.pieces(bpe.encoding(RANKS), texts[2])) > 6
+
+
 def test_chunk_tasks_and_round_trip(spark):
     rng = random.Random(5)
     texts = ["", None, "x" * 300, " " * 200 + "a", "don't stop " * 30] + ["".join(rng.choices("ab 1é\n'lre🙂", k=rng.randint(1, 400))) for _ in range(30)]
@@ -229,6 +268,32 @@ def test_pages(spark, body, text):
     assert (r.text, r.n_chars) == (text, len(text))
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article><p title=it's>Hello</p><p>don't</p></article>", "Hello\ndon't"),
+        ('<article><p><a href="x>link</a> more</p></article>', "link more"),
+        ("<article><p class='a' \"b\" c = d/e>one</p><p =x>two</p></article>", "one\ntwo"),
+        ("<article><p>one</p><p", "one"),
+        ("<article>one<!-- <p>no</p>", "one"),
+        ("<article>a <? b > c <!d e> f <![CDATA[ > g ]]> h </> i</article>", "a c f h i"),
+        ("<div><p class=warning-signs>W</p><section class=copyright-reform>C</section><div id=social-history>S</div><p class=byline>B</p><p class=legal>L</p></div>", "W\nC\nS\nB\nL"),
+        ("<div class=site-header>H</div><div class=left-sidebar>S</div><div id=main-menu>M</div><div class=ad-slot>A</div><div class=comment-list>C</div><div class=notice>N</div><p>T</p>", "T"),
+    ],
+)
+def test_tags_are_read_as_browsers_do(source, text):
+    assert html_extract.Page(source).text(None) == text
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<div>" * 100_000, "<b>" * 60_000 + "</i>" * 60_000, "<i><div>" + "<b>" * 60_000 + "</i>" * 60_000, "<b>" * 60_000 + "<td>" * 60_000, "<!--" * 200_000, "</" * 300_000, "<a b='" * 100_001, "<p a" + " " * 1_000_000])
+def test_hostile_pages_take_linear_time(source):
+    start = time.perf_counter()
+    html_extract.Page(source[: len(source) // 4]).votes()
+    quarter = time.perf_counter() - start
+    html_extract.Page(source).votes()
+    assert time.perf_counter() - start < 9 * quarter + 2
+
+
 def extracted(spark, *bodies, head="</head>"):
     rows = [(k, f"http://h.com/{k}", f"<html><head><title>t</title>{head}<body>{b}") for k, b in enumerate(bodies)]
     return [r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
