@@ -426,16 +426,132 @@ def test_ordered_rules(spark):
     assert got == {1: ("mit_grant,mit_notice,mit_warranty", "MIT"), 2: ("mit_warranty,mit_notice,mit_grant", ""), 3: ("mit_short,ccbync4_short", "CC-BY-NC-4.0,MIT"), 4: ("", ""), 5: ("", "")}
 
 
-def test_wrapped_sentences(spark):
-    import textwrap
-
-    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by'
-    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
-    wrapped = lambda i, mark: "\n".join(mark + x for x in textwrap.wrap(dict(license_scan.SENTENCES)[i].capitalize() + ".", 60))
-    rows = [apache, apache.replace("\n", "\n# "), "// " + mpl, *["\n".join(wrapped(i, m) for i in ids) for m in ("", " * ") for ids in (("mit_grant", "mit_notice", "mit_warranty"), ("gpl_free", "gpl_hope"), ("isc_grant",), ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_names"))]]
-    got = [r.licenses for r in license_scan.scan(documents(spark, [(k, t, None, None, 0) for k, t in enumerate(rows)])).orderBy("doc_id").collect()]
-    assert got == ["Apache-2.0", "Apache-2.0", "MPL-2.0", *["MIT", "GPL-3.0", "ISC", "BSD-3-Clause"] * 2]
-    assert all(any(w in s for w in license_scan.SIGNS) for _, s in license_scan.SENTENCES)
+#: Texts as they are published, line by line.
+ORIGINALS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MIT": """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS\"""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "Zlib": """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.""",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+    "GPL-2.0 ": "// SPDX-License-Identifier: GPL-2.0-only",
+}
+ORIGINALS["BSD-3-Clause"] = ORIGINALS["BSD-2-Clause"].replace(
+    "THIS SOFTWARE", "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE"
+)
+
+
+def license_rows(spark, texts):
+    import duckdb
+
+    rows = [(k, t, None, None, 0) for k, t in enumerate(texts)]
+    got = sorted(map(tuple, license_scan.scan(documents(spark, rows)).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert got == sorted(con.execute(license_scan.SQL).fetchall())
+    return [r[3] for r in got]
+
+
+def test_published_texts(spark):
+    for mark in ("", "# ", " * ", "// ", "    "):
+        texts = {n: "\n".join(mark + x for x in t.splitlines()) for n, t in ORIGINALS.items()}
+        assert license_rows(spark, [f"Some words before.\n\n{t}\nand after" for t in texts.values()]) == [n.strip() for n in texts]
+    crlf = [t.replace("\n", "\r\n") for t in ORIGINALS.values()]
+    assert license_rows(spark, crlf) == [n.strip() for n in ORIGINALS]
+
+
+def test_known_sentences_are_apart():
+    """Where one begins as another ends, no third begins as it ends: the SQL looks at pairs. Each has a sign."""
+    words = [tuple(s.split()) for s in license_scan.KNOWN]
+    follows = {(a, b) for a in words for b in words for n in range(1, min(len(a), len(b))) if a[-n:] == b[:n]}
+    assert not {b for _, b in follows} & {a for a, _ in follows}
+    assert all(any(w in s for w in license_scan.SIGNS) for s in license_scan.KNOWN)
+    assert {i for _, ids in license_scan.RULES for i in ids} <= set(license_scan.KNOWN.values())
+
+
+def test_license_edges(spark):
+    many = "All rights reserved.\n" * 20_000
+    parts = ORIGINALS["MIT"].split("\n\n")
+    texts = [many, many + ORIGINALS["Apache-2.0"] + "\n" + many + ORIGINALS["MIT"], "\n\n".join(reversed(parts)), "", None, "license " * 5_000, "Licensed under the\nApache License\nVersion 2.0\nJanuary 2004", "Licensed under\nthe MIT\nLicense\nof old", "x Licensed under the MIT License"]
+    assert license_rows(spark, texts) == ["all-rights-reserved", "Apache-2.0,MIT,all-rights-reserved", "", "", "", "", "Apache-2.0", "MIT", ""]
 
 
 def test_license_plan_has_no_python(spark, small):
