@@ -6,7 +6,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,85 +22,144 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones need no
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 BASE = ("assign", "access", "hex")
 
-#: What can be a credential: a maximal run of at least this length.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Where credentials are looked for: runs of these characters of at least this length.
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 #: Bits by which a format must explain a candidate better than running text does.
 THRESHOLD = 24.0
-#: Labelled credentials a format is learned from, and the significance of the test by which states merge.
-SAMPLES, ALPHA, SEED = 400, 0.05, 11
+#: Labelled credentials a format is learned from, and the test statistic (chi squared, one degree) under which states merge: one in a thousand.
+SAMPLES, ALPHA, SEED = 800, 10.83, 11
+#: Bits that an end costs where the format could go on.
+GOING = 8.0
+#: Bits that a character of its own costs at a state, and another class than that of the state before.
+EDGE, CHANGE = 16.0, 24.0
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-_ALNUM = _UPPER + _LOWER + _DIGIT
+_ALNUM, _HEX = _UPPER + _LOWER + _DIGIT, _DIGIT + "abcdef"
+_URL = _ALNUM + "_-"
 ALNUM = frozenset(_ALNUM)
-#: Published credential formats: kind, then fixed text and (alphabet, length) in turn.
+#: Published credential formats: kind, then in turn texts of which one is drawn, and (alphabet, least length, most).
 FORMATS = (
-    ("github", "ghp_", (_ALNUM, 36)),
-    ("github_oauth", "gho_", (_ALNUM, 36)),
-    ("gitlab", "glpat-", (_ALNUM + "_-", 20)),
-    ("google", "AIza", (_ALNUM + "_-", 35)),
-    ("npm", "npm_", (_ALNUM, 36)),
-    ("slack", "xoxb-", (_DIGIT, 12), "-", (_DIGIT, 12), "-", (_ALNUM, 24)),
-    ("stripe", "sk_live_", (_ALNUM, 24)),
-    ("stripe_restricted", "rk_live_", (_ALNUM, 24)),
+    ("digitalocean", ("dop_v1_", "doo_v1_", "dor_v1_"), (_HEX, 64, 64)),
+    ("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), (_ALNUM, 36, 36)),
+    ("github_fine", ("github_pat_",), (_ALNUM, 22, 22), ("_",), (_ALNUM, 59, 59)),
+    ("gitlab", ("glpat-",), (_URL, 20, 20)),
+    ("google", ("AIza",), (_URL, 35, 35)),
+    ("huggingface", ("hf_",), (_UPPER + _LOWER, 34, 34)),
+    ("jwt", ("eyJhbGciOi",), (_URL, 14, 40), (".eyJ",), (_URL, 30, 120), (".",), (_URL, 43, 43)),
+    ("mailgun", ("key-",), (_HEX, 32, 32)),
+    ("npm", ("npm_",), (_ALNUM, 36, 36)),
+    ("pypi", ("pypi-AgEIcHlwaS5vcmc",), (_URL, 70, 130)),
+    ("sendgrid", ("SG.",), (_URL, 22, 22), (".",), (_URL, 43, 43)),
+    ("shopify", ("shpat_", "shpca_", "shppa_", "shpss_"), (_HEX, 32, 32)),
+    ("slack", ("xoxb-", "xoxp-", "xoxa-"), (_DIGIT, 10, 13), ("-",), (_DIGIT, 10, 13), ("-",), (_ALNUM, 24, 32)),
+    ("stripe", ("sk_live_", "sk_test_", "rk_live_", "rk_test_"), (_ALNUM, 24, 34)),
+    ("twilio", ("SK", "AC"), (_HEX, 32, 32)),
 )
 
 
 def labelled_credentials(samples: int = SAMPLES, seed: int = SEED) -> list[tuple[str, str]]:
     """(kind, credential) drawn from the published formats."""
     rng = random.Random(seed)
-    return [(kind, "".join(x if isinstance(x, str) else "".join(rng.choices(x[0], k=x[1])) for x in parts)) for kind, *parts in FORMATS for _ in range(samples)]
+    draw = lambda x: rng.choice(x) if isinstance(x[-1], str) else "".join(rng.choices(x[0], k=rng.randint(*x[1:])))
+    return [(kind, "".join(map(draw, parts))) for kind, *parts in FORMATS for _ in range(samples)]
 
 
-CLASSES = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys(_LOWER, "l"), **dict.fromkeys(_UPPER, "u")}
-SIZE = {"d": 10, "l": 26, "u": 26}
+#: Classes of characters from the smallest; the last has all that a run may have.
+CLASSES = tuple(frozenset(x) for x in (_DIGIT, _HEX, _LOWER, _UPPER, _DIGIT + _LOWER, _DIGIT + _UPPER, _LOWER + _UPPER, _ALNUM, _URL, _ALNUM + "+/=", _URL + "+/=."))
+
+
+def _symbols(chars: Counter, usual: int | None) -> tuple[set[str], int | None]:
+    """The characters told one by one and the class of the others that take the fewest bits; usual is the class of the state before."""
+    n = sum(chars.values())
+    best: tuple[float, set[str], int | None] | None = None
+    for k in (None, *range(len(CLASSES))):
+        single = set(chars) if k is None else set(chars) - CLASSES[k]
+        inside = n - sum(chars[c] for c in single)
+        if k is not None and not inside:
+            continue
+        bits = EDGE * len(single) + (CHANGE if k is not None and usual is not None and k != usual else 0.0)
+        bits += sum(x * math.log2(n / x) for x in (*(chars[c] for c in single), inside) if x) + (inside * math.log2(len(CLASSES[k])) if inside else 0.0)
+        if best is None or bits < best[0] - 1e-9:
+            best = (bits, single, k)
+    return best[1:]
 
 
 class Grammar:
-    """A probabilistic automaton over character classes, after the literal text all samples begin with."""
+    """A probabilistic automaton. An edge's symbol is a character, or a class (its number) of which all characters are equally likely.
+
+    Behind each prefix the tree has characters of their own and one class for the others, as takes the fewest bits; so a format's fixed text and its lengths are paths of the tree, and what states
+    merge decides what of them is kept.
+    """
 
     def __init__(self, values: list[str], alpha: float = ALPHA):
-        self.head = values[0] if values else ""
-        for v in values:
-            while not v.startswith(self.head):
-                self.head = self.head[:-1]
-        self.lengths = (min(map(len, values)), max(map(len, values)))
-        self._learn([[CLASSES.get(c, c) for c in v[len(self.head) :]] for v in values], alpha)
-
-    def _learn(self, words: list[list[str]], alpha: float) -> None:
-        """State merging: the prefix tree's states are folded into earlier ones that they agree with statistically."""
-        next_: list[dict[str, int]] = [{}]
-        count: list[dict[str, int]] = [defaultdict(int)]
-        end, seen = [0], [0]
-        for word in words:
-            s = 0
-            for c in word:
-                seen[s] += 1
-                count[s][c] += 1
-                if c not in next_[s]:
-                    next_[s][c] = len(next_)
-                    next_.append({})
-                    count.append(defaultdict(int))
-                    end.append(0)
-                    seen.append(0)
-                s = next_[s][c]
-            seen[s] += 1
-            end[s] += 1
+        self.next: list[dict[str | int, int]] = []
+        self.count: list[dict[str | int, int]] = []
+        self.end: list[int] = []
+        self.seen: list[int] = []
+        self._tree(values)
+        self.states = self._merge(alpha)
+        self._renumber()
+        size = lambda c: len(CLASSES[c]) if isinstance(c, int) else 1
+        self.steps = [self._by_character({c: (t, math.log2(self.count[s][c] / self.seen[s] / size(c))) for c, t in edges.items()}) for s, edges in enumerate(self.next)]
+        self.stop = [math.log2(e / n) if e else -math.inf for e, n in zip(self.end, self.seen)]
+        self.head = self._head()
+        del self.next, self.count, self.end, self.seen
+
+    @staticmethod
+    def _by_character(edges: dict[str | int, tuple[int, float]]) -> dict[str, tuple[int, float]]:
+        """A character's own edge goes before those of classes, the smallest of these first."""
+        out: dict[str, tuple[int, float]] = {}
+        for c, edge in sorted(edges.items(), key=lambda x: (-1, x[0]) if isinstance(x[0], str) else (x[0], "")):
+            for each in CLASSES[c] if isinstance(c, int) else c:
+                out.setdefault(each, edge)
+        return out
+
+    def _new(self) -> int:
+        for x, empty in ((self.next, {}), (self.count, {}), (self.end, 0), (self.seen, 0)):
+            x.append(empty)
+        return len(self.end) - 1
+
+    def _tree(self, values: list[str]) -> None:
+        todo: list[tuple[int, list[str], int, int | None]] = [(self._new(), sorted(values), 0, None)]
+        while todo:
+            s, own, depth, usual = todo.pop()
+            going = [v for v in own if len(v) > depth]
+            self.seen[s], self.end[s] = len(own), len(own) - len(going)
+            single, fit = _symbols(Counter(v[depth] for v in going), usual)
+            by: dict[str | int, list[str]] = defaultdict(list)
+            for v in going:
+                by[v[depth] if v[depth] in single else fit].append(v)
+            for c, vs in sorted(by.items(), key=lambda x: str(x[0])):
+                t = self._new()
+                self.next[s][c], self.count[s][c] = t, len(vs)
+                todo.append((t, vs, depth + 1, fit if c == fit else usual))
+
+    def _merge(self, alpha: float) -> int:
+        """The prefix tree's states are folded into earlier ones that they agree with statistically; the number of those that stay."""
+        next_, count, end, seen = self.next, self.count, self.end, self.seen
 
         def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
-            return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (n1**-0.5 + n2**-0.5)
-
-        def agree(a: int, b: int) -> bool:
-            todo = [(a, b)]
+            """Likelihood ratio test of two shares; its squared statistic is compared with that of the significance."""
+            if not n1 or not n2 or f1 * n2 == f2 * n1:
+                return False
+            both = (f1 + f2) / (n1 + n2)
+            part = lambda f, n: (f * math.log(f / n / both) if f else 0.0) + ((n - f) * math.log((n - f) / n / (1 - both)) if n - f else 0.0)
+            return 2 * (part(f1, n1) + part(f2, n2)) > alpha
+
+        def agree(a: int, b: int) -> int:
+            """How many of b's samples a's states explain to their ends; -1 if the two differ anywhere."""
+            todo, explained = [(a, b)], 0
             while todo:
                 a, b = todo.pop()
                 if differ(end[a], seen[a], end[b], seen[b]):
-                    return False
+                    return -1
+                explained += end[b] if end[a] else 0
                 for c in {*next_[a], *next_[b]}:
                     if differ(count[a].get(c, 0), seen[a], count[b].get(c, 0), seen[b]):
-                        return False
+                        return -1
                     if c in next_[a] and c in next_[b]:
                         todo.append((next_[a][c], next_[b][c]))
-            return True
+            return explained
 
         def fold(a: int, b: int) -> None:
             todo = [(a, b)]
@@ -109,7 +168,7 @@ class Grammar:
                 end[a] += end[b]
                 seen[a] += seen[b]
                 for c, n in count[b].items():
-                    count[a][c] += n
+                    count[a][c] = count[a].get(c, 0) + n
                 for c, t in next_[b].items():
                     if c in next_[a]:
                         if next_[a][c] != t:
@@ -117,42 +176,61 @@ class Grammar:
                     else:
                         next_[a][c] = t
 
-        red, blue = [0], sorted(next_[0].items())
+        red = {0: None}  # in the order in which they were found
         while True:
-            blue = [(r, c, t) for r in red for c, t in sorted(next_[r].items()) if t not in red]
+            blue = [(r, c, t) for r in red for c, t in sorted(next_[r].items(), key=lambda x: str(x[0])) if t not in red]
             if not blue:
-                break
+                return len(red)
             r, c, t = max(blue, key=lambda x: (seen[x[2]], -x[0]))
-            into = next((x for x in red if agree(x, t)), None)
-            if into is None:
-                red.append(t)
+            explained, first = max((agree(x, t), -k) for k, x in enumerate(red))
+            if explained < 0:
+                red[t] = None
             else:
+                into = list(red)[-first]
                 next_[r][c] = into
                 fold(into, t)
-        self.next, self.states = next_, len(red)
-        self.bits = [{c: math.log2(n / seen[s]) - math.log2(SIZE.get(c, 1)) for c, n in count[s].items()} if seen[s] else {} for s in range(len(next_))]
-        self.end = [math.log2(end[s] / seen[s]) if seen[s] and end[s] else -math.inf for s in range(len(next_))]
+
+    def _renumber(self) -> None:
+        """Only the states that merging left within reach stay."""
+        place, todo = {0: 0}, [0]
+        while todo:
+            for t in self.next[todo.pop()].values():
+                if t not in place:
+                    place[t] = len(place)
+                    todo.append(t)
+        self.next = [{c: place[t] for c, t in self.next[s].items()} for s in place]
+        self.count, self.end, self.seen = ([x[s] for s in place] for x in (self.count, self.end, self.seen))
+
+    def _head(self) -> tuple[str, ...]:
+        """What all of the format's credentials begin with: texts along the edges of single characters, as far as these go."""
+        out, todo = [], [(0, "", frozenset({0}))]
+        while todo:
+            s, text, past = todo.pop()
+            edges = self.next[s]
+            if edges and len(text) < 16 and all(isinstance(c, str) for c in edges) and not past.intersection(edges.values()):
+                todo += [(t, text + c, past | {t}) for c, t in edges.items()]
+            else:
+                out.append(text)
+        return tuple(sorted(out))
 
     def score(self, text: str) -> float:
         """log2 of the text's probability under the format; -inf where it doesn't fit."""
-        if not text.startswith(self.head) or not self.lengths[0] <= len(text) <= self.lengths[1]:
-            return -math.inf
         s, total = 0, 0.0
-        for c in text[len(self.head) :]:
-            k = CLASSES.get(c, c)
-            if k not in self.bits[s]:
+        for c in text:
+            edge = self.steps[s].get(c)
+            if edge is None:
                 return -math.inf
-            total += self.bits[s][k]
-            s = self.next[s][k]
-        return total + self.end[s]
+            s, bits = edge
+            total += bits
+        return total + self.stop[s]
 
 
 #: Bits a character of running text takes: five for a letter, more for what is rare in words.
-TEXT_BITS = {"l": 5.0, "u": 9.0, "d": 9.0}
+TEXT_BITS = {**dict.fromkeys(_LOWER, 5.0), **dict.fromkeys(_UPPER + _DIGIT, 9.0), **dict.fromkeys("+/_=.-", 8.0)}
 
 
 def text_bits(text: str) -> float:
-    return -sum(TEXT_BITS.get(CLASSES.get(c, c), 8.0) for c in text)
+    return -sum(TEXT_BITS.get(c, 8.0) for c in text)
 
 
 @lru_cache(maxsize=8)
@@ -171,48 +249,70 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, k) for s, k, e in sorted(out, key=lambda x: (x[0], BASE.index(x[1])))]
 
 
-def learned_spans(text: str, known: dict[str, Grammar], taken: list[tuple[int, int, str]], threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Candidates that touch no base span, each with the format that is likeliest, by at least the threshold.
+def bounded(text: str, at: int) -> bool:
+    """Whether a credential may begin or end here: not between two letters or digits."""
+    return not (0 < at < len(text) and text[at - 1] in ALNUM and text[at] in ALNUM)
 
-    A credential joined to other text by = / + - or _ is looked for from each format's head within the run.
+
+def likeliest(text: str, start: int, stop: int, known: Grammar, memo: dict[tuple[int, int], tuple[float, int]]) -> tuple[float, int]:
+    """(bits over running text, end) of the format's best credential that begins at start, of equal ones the longer; -inf without one.
+
+    What the automaton can still gain from a place and a state is the same for all that come there, and
+    is kept: a run is walked once for each state, wherever candidates begin.
     """
-    out = []
-    heads = re.compile("|".join(f"(?={re.escape(h)})" for h in sorted({g.head for g in known.values()})) or "(?!)")
-    for m in CANDIDATE.finditer(text):
-        s, e, value = m.start(), m.end(), m[0]
-        if any(s < b and a < e for a, b, _ in taken):
-            whole = None
-        else:
-            score, kind = max((g.score(value), k) for k, g in known.items()) if known else (-math.inf, "")
-            whole = kind if score - text_bits(value) >= threshold else None
-        if whole is not None:
-            out.append((s, e, whole))
-            continue
-        at = 0
-        for h in heads.finditer(value):
-            if h.start() < at or (h.start() and value[h.start() - 1] in ALNUM):
-                continue
-            found = _inside(value, h.start(), known, threshold)
-            if found and not any(s + h.start() < b and a < s + found[0] for a, b, _ in taken):
-                at = found[0]
-                out.append((s + h.start(), s + at, found[1]))
-    return out
+    path, p, s = [], start, 0
+    tail = (-math.inf, 0)
+    while True:
+        if (p, s) in memo:
+            tail = memo[p, s]
+            break
+        ends = known.stop[s] if p > start and known.stop[s] > -math.inf and bounded(text, p) else -math.inf
+        edge = known.steps[s].get(text[p]) if p < stop else None
+        ends -= GOING if edge else 0.0
+        path.append((p, s, ends, edge[1] + TEXT_BITS[text[p]] if edge else 0.0))
+        if edge is None:
+            break
+        p, s = p + 1, edge[0]
+    for p, s, ends, gain in reversed(path):
+        tail = (tail[0] + gain, tail[1])
+        if ends > tail[0]:
+            tail = (ends, p)
+        memo[p, s] = tail
+    return tail
 
 
-def _inside(value: str, start: int, known: dict[str, Grammar], threshold: float) -> tuple[int, str] | None:
-    """(end, format) of the likeliest credential that begins at start and ends at the run's end or before a mark."""
-    best = None
-    for k, g in known.items():
-        if not value.startswith(g.head, start):
-            continue
-        for end in range(start + g.lengths[0], min(len(value), start + g.lengths[1]) + 1):
-            if end < len(value) and value[end] in ALNUM:
+@lru_cache(maxsize=8)
+def _starts(heads: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[re.Pattern, dict[str, list[str]]]:
+    """Where any format's credentials can begin, and the formats of each head."""
+    of: dict[str, list[str]] = defaultdict(list)
+    for kind, texts in heads:
+        for t in texts:
+            of[t].append(kind)
+    each = "|".join(re.escape(t) for t in sorted(of, key=lambda t: (-len(t), t)))
+    return re.compile(rf"(?<![A-Za-z0-9])(?={each or '(?!)'})"), dict(of)
+
+
+def learned_spans(text: str, known: dict[str, Grammar], threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
+    """(start, end, format) of all credentials by format likelihood, leftmost and non-overlapping.
+
+    Candidates begin and end anywhere in a run but between two letters or digits; from each beginning the
+    format and the end with the most bits over running text count, by at least the threshold.
+    """
+    starts, of = _starts(tuple((k, g.head) for k, g in known.items()))
+    out = []
+    for m in RUN.finditer(text):
+        at, end = m.start(), m.end()
+        memos: dict[str, dict] = defaultdict(dict)
+        for h in starts.finditer(text, at, end):
+            s = h.start()
+            if s < at:
                 continue
-            part = value[start:end]
-            bits = g.score(part) - text_bits(part)
-            if bits >= threshold and (best is None or (bits, k) > best[:2]):
-                best = (bits, k, end)
-    return None if best is None else (best[2], best[1])
+            kinds = sorted({k for t, ks in of.items() if text.startswith(t, s) for k in ks})
+            bits, e, kind = max((*likeliest(text, s, end, known[k], memos[k]), k) for k in kinds)
+            if bits >= threshold:
+                out.append((s, e, kind))
+                at = e
+    return out
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -222,20 +322,19 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def all_spans(text: str, known: dict[str, Grammar]) -> tuple[list, list]:
     base = base_spans(text)
     order = {k: n for n, k in enumerate((*BASE, *sorted(known)))}
-    return base, sorted(base + learned_spans(text, known, base), key=lambda x: (x[0], order[x[2]]))
+    return base, sorted(base + learned_spans(text, known), key=lambda x: (x[0], order[x[2]]))
 
 
 def scan(docs: DataFrame, labelled: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of (doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive, by start and then by kind: assign,
-    access, hex, the learned formats by name. Null and empty texts have no spans and the digest of
+    access, hex, the learned formats by name; a learned one may lie within a base one. Null and empty texts have no spans and the digest of
     the empty string. Repeated rows each give a row. Empty table: no rows.
     """
-    given = tuple(labelled if labelled is not None else labelled_credentials())
+    known = grammars(tuple(labelled if labelled is not None else labelled_credentials()))
 
     def step(batch: pa.RecordBatch) -> dict:
-        known = grammars(given)
         found = [all_spans(x, known) for x in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], "spans": [joined(a) for _, a in found]} | {f"n_{k}": [sum(x[2] == k for x in b) for b, _ in found] for k in BASE}
 
@@ -259,11 +358,10 @@ def redact(docs: DataFrame, labelled: list[tuple[str, str]] | None = None) -> Da
 
     Null and empty texts stay, repeated rows each stay, other columns are kept. Empty table: no rows.
     """
-    given = tuple(labelled if labelled is not None else labelled_credentials())
+    known = grammars(tuple(labelled if labelled is not None else labelled_credentials()))
     names = docs.columns
 
     def step(batch: pa.RecordBatch) -> dict:
-        known = grammars(given)
         columns = {n: batch.column(k) for k, n in enumerate(names)}
         old = columns["text"].to_pylist()
         new = [x if not x or not (spans := all_spans(x, known)[1]) else redacted(x, spans) for x in old]
