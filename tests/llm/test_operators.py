@@ -430,6 +430,96 @@ def test_forward_sums_all_segmentations():
     assert math.exp(model.forward(["▁ab"])[0][0]) == pytest.approx(expected)
 
 
+def segmentations(part, pieces):
+    """All, as lists of pieces; single characters are pieces."""
+    if not part:
+        yield []
+    for n in range(1, len(part) + 1):
+        if n == 1 or part[:n] in pieces:
+            for rest in segmentations(part[n:], pieces):
+                yield [part[:n], *rest]
+
+
+def brute_fit(words, pieces, rounds):
+    counts = {}
+    for w, n in words.items():
+        part = "▁" + w
+        for i in range(len(part)):
+            for j in range(i + 1, len(part) + 1):
+                if j == i + 1 or part[i:j] in pieces:
+                    counts[part[i:j]] = counts.get(part[i:j], 0) + n
+    for _ in range(rounds):
+        total, new = sum(counts.values()), {}
+        for w, n in words.items():
+            ways = [(s, math.prod(counts.get(x, 0) / total for x in s)) for s in segmentations("▁" + w, pieces)]
+            everything = sum(v for _, v in ways)
+            for s, v in ways:
+                for x in s:
+                    new[x] = new.get(x, 0) + n * v / everything
+        counts = new
+    counts = {k: v for k, v in counts.items() if v > 1e-3}
+    total = sum(counts.values()) + language_id.SMOOTH * (len(pieces) + 1)
+    return {k: math.log((v + language_id.SMOOTH) / total) for k, v in counts.items()} | {"": math.log(language_id.SMOOTH / total)}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.text("abé", min_size=1, max_size=7), st.integers(1, 5), min_size=1, max_size=8), st.frozensets(st.text("ab▁", min_size=1, max_size=4), max_size=8), st.integers(0, 3))
+def test_fit_is_em_over_all_segmentations(words, pieces, rounds):
+    got, expected = language_id.fit(words, pieces, rounds), brute_fit(words, pieces, rounds)
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in expected.items())
+
+
+def brute_score(text, table):
+    total = 0.0
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        part, ahead = "▁" + w, [0.0]
+        for i in range(1, len(part) + 1):
+            terms = [ahead[j] + table.get(part[j:i], table[""]) for j in range(max(0, i - 20), i) if i - j == 1 or part[j:i] in PIECES]
+            top = max(terms)
+            ahead.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        total += ahead[-1]
+    return total
+
+
+PIECES = set()
+
+
+def test_predictions_equal_a_plain_forward_pass(spark, small):
+    docs = table(spark, small, "documents")
+    learned = language_id.learn(docs)
+    PIECES.update(k for t in learned.values() for k in t if k)
+    rows = [r.text for r in docs.orderBy("n_chars").limit(25).collect()] + ["x" * 300 + " 12 a_b, ééé!", "y" * 5_000, "internationalization" * 40]
+    model = language_id.Model(learned)
+    for text, found, (lang, score) in zip(rows, model.scores(rows), model.predict(rows)):
+        if found is None:
+            assert (lang, score) == ("und", 0.0) and not any(c.isalpha() for c in text)
+            continue
+        expected = [brute_score(text, learned[x]) for x in model.langs]
+        assert found.tolist() == pytest.approx(expected, rel=1e-9)
+        assert lang == model.langs[int(np.argmax(expected))] and score == pytest.approx(1 / sum(math.exp(x - max(expected)) for x in expected))
+
+
+def test_long_words_are_scored_whole():
+    p = {"a": 0.2, "b": 0.1, "ab": 0.05, "▁": 0.1, "▁a": 0.07, "bab": 0.01}
+    model = language_id.Model({"x": {k: math.log(v) for k, v in p.items()} | {"": math.log(1e-9)}, "y": {"a": math.log(0.1), "": math.log(1e-8)}})
+    for word in ("ab" * 30, "abcz" * 900, "a" * 4_095, "a" * 4_096, "ab" * 5_000):
+        assert model.forward_long("▁" + word) == pytest.approx(model.forward(["▁" + word])[0], rel=1e-12)
+    start = time.perf_counter()
+    assert model.predict(["a" * 500_000 + " " + "q" * 1_000])[0] == ("x", 1.0)
+    assert time.perf_counter() - start < 60
+
+
+def test_a_new_table_is_a_new_model():
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    for k in range(50):
+        table_ = {f"l{k}": {"a": -1.0, "": -9.0}}
+        assert language_id._model(Sent(table_)).langs == [f"l{k}"]
+        del table_
+
+
 def test_held_out_accuracy(spark, small):
     docs = table(spark, small, "documents")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()

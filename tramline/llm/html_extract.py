@@ -42,15 +42,28 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: How an element is left out: not at all, but within the winning container, everywhere.
 KEPT, OUTSIDE, ALWAYS = 0, 1, 2
 
-# A tag's parts, each matched where the one before ended, so that a page is read once from left to right.
+# A tag as most are, in one match, and its attributes.
+USUAL = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:\s++[^\s/>="'<]++(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'>=<`]++))?+)*+)\s*+>""")
+ATTRIBUTE = re.compile(r"""([^\s=]++)(?:=(?:"([^"]*+)"|'([^']*+)'|(\S++)))?+""")
+# The parts of any other, each matched where the one before ended, so that a page is read once from left to right.
 TAG = re.compile(r"[A-Za-z][^\s/>]*+")
 GAP = re.compile(r"[\s/]*+")
 NAME = re.compile(r"[^\s/>][^\s/>=]*+")
 EQUALS = re.compile(r"\s*+=\s*+")
 VALUE = re.compile(r"[^\s>]*+")
+#: The end tags of elements whose content is no markup.
+ENDED = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        value = m[2] or m[3] or m[4] or ""
+        found.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return found
+
+
 def read_tag(source: str, at: int) -> tuple[dict[str, str], int, bool]:
     """Attributes from behind a tag's name, the end of the tag, and whether it has one.
 
@@ -83,10 +96,12 @@ def _dropped(tag: str, found: dict[str, str], inside: bool) -> int:
         return ALWAYS
     if tag in ("html", "body", "main") or not found:
         return KEPT
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+    if "hidden" in found or found.get("aria-hidden") == "true" or ("style" in found and re.search(r"display\s*:\s*none", found["style"])):
         return ALWAYS
     if found.get("role", "").lower() in DROP_ROLES:
         return ALWAYS
+    if not ("class" in found or "id" in found or "role" in found):
+        return KEPT
     out = KEPT
     for name in (*found.get("class", "").split(), "" if tag in HEADINGS else found.get("id", ""), found.get("role", "")):
         words = [w.lower() for w in SPLIT.split(name) if w]
@@ -118,6 +133,15 @@ class Page:
                 self._text(source[at:lt])
                 at = _past(source, lt)
                 continue
+            if m := USUAL.match(source, lt):
+                if at < lt:
+                    self._text(source[at:lt])
+                at, tag = m.end(), m[2].lower()
+                if m[1]:
+                    self._close(tag)
+                    continue
+                at = self._start(source, tag, _attributes(m[3]) if m[3] else {}, at)
+                continue
             closing = after == "/"
             m = TAG.match(source, lt + 1 + closing)
             if m is None:
@@ -133,15 +157,20 @@ class Page:
             if closing:
                 self._close(tag)
                 continue
-            self._open(tag, found)
-            if tag in RAW and source[at - 2] != "/":
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                self._text(source[at : end.start()] if end else source[at:])
-                at = end.end() if end else len(source)
-                self._close(tag)
+            at = self._start(source, tag, found, at)
         self._text(source[at:])
         self._flush()
 
+    def _start(self, source: str, tag: str, found: dict[str, str], at: int) -> int:
+        """Opens the element whose tag ends before ``at``; where the page goes on: behind an element whose content is no markup."""
+        self._open(tag, found)
+        if tag in RAW and source[at - 2] != "/":
+            end = ENDED[tag].search(source, at)
+            self._text(source[at : end.start()] if end else source[at:])
+            at = end.end() if end else len(source)
+            self._close(tag)
+        return at
+
     def _end_head(self, tag: str) -> None:
         """An open head ends where a body, or content right within the head, begins."""
         if (self._stack[-1][0] == "head" and tag not in HEAD or tag == "body") and self._at.get("head"):

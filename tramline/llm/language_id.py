@@ -19,80 +19,34 @@ from .common import arrow_pass
 
 #: Documents a language is learned from at most (about: hashes of ids choose them), and rounds of EM.
 SAMPLE, ROUNDS = 400, 3
-#: Words, each with its count, that EM sees of a language at most, the most frequent first.
-WORDS = 40_000
+#: Longer words take no part in learning; any word is scored.
+LEARNED = 200
 #: Added to each piece's expected count.
 SMOOTH = 0.01
-#: Longer words are cut; longer pieces than any word has are not in the vocabulary's use.
-LONGEST, PIECE = 40, 16
+#: Words of more characters are scored one by one, over their pieces at once, the others by lengths.
+SHORT = 64
 #: Words whose scores a process keeps.
 CACHE = 250_000
 #: Mark of a word's start in the vocabulary.
 START = "▁"
 UNKNOWN = "und"
+#: Sums below are scaled up by as much.
+SMALL = 1e-100
 
+#: A word is a run of letters. Digits and marks tell of no language, but of numbers and keys: scored too, they cost accuracy.
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> frozenset[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return frozenset(p for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(p := model.id_to_piece(i)) <= PIECE)
+    return frozenset(model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def cut_word(word: str) -> list[str]:
-    """The word with its start marked, in parts of bounded length."""
-    if len(word) <= LONGEST:
-        return [START + word]
-    return [START * (k == 0) + word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
-
-
-def segments(part: str, pieces: frozenset[str]) -> list[list[tuple[int, str]]]:
-    """At each end, the (start, piece) that end there; a single character is a piece always."""
-    n = len(part)
-    return [[(j, part[j:i]) for j in range(max(0, i - PIECE), i) if i - j == 1 or part[j:i] in pieces] for i in range(1, n + 1)]
-
-
-def fit(words: Counter, pieces: frozenset[str], rounds: int = ROUNDS) -> dict[str, float]:
-    """Log probabilities of pieces by EM over all segmentations of the words; the key '' is for unseen ones."""
-    parts: Counter = Counter()
-    for word, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:WORDS]:
-        for part in cut_word(word):
-            parts[part] += n
-    lattices = [(segments(p, pieces), n) for p, n in parts.items()]
-    counts: Counter = Counter()
-    for lattice, n in lattices:
-        for ends in lattice:
-            for _, piece in ends:
-                counts[piece] += n
-    for _ in range(rounds):
-        total = sum(counts.values())
-        p = {k: v / total for k, v in counts.items()}
-        counts = Counter()
-        for lattice, n in lattices:
-            size = len(lattice)
-            ahead = [1.0] + [0.0] * size
-            for i, ends in enumerate(lattice, 1):
-                ahead[i] = sum(ahead[j] * p.get(piece, 0.0) for j, piece in ends)
-            if not ahead[size]:
-                continue
-            back = [0.0] * size + [1.0]
-            for i in range(size, 0, -1):
-                if back[i]:
-                    for j, piece in lattice[i - 1]:
-                        q = p.get(piece, 0.0) * back[i]
-                        back[j] += q
-                        if ahead[j] and q:
-                            counts[piece] += n * ahead[j] * q / ahead[size]
-    counts = Counter({k: v for k, v in counts.items() if v > 1e-3})
-    total = sum(counts.values()) + SMOOTH * (len(pieces) + 1)
-    return {k: math.log((v + SMOOTH) / total) for k, v in counts.items()} | {"": math.log(SMOOTH / total)}
-
-
 _BASE, _SPREAD, _BITMAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
 
 
@@ -107,21 +61,90 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h * _SPREAD) >> np.uint64(64 - _BITMAP)
 
 
+def _codes(parts: list[str]) -> np.ndarray:
+    """A row of character codes for each part; all have one length."""
+    return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(parts), -1).astype(np.uint64)
+
+
+class Pieces:
+    """Numbers of pieces, found by a rolling hash of their characters: in a bitmap first, then in the sorted hashes."""
+
+    def __init__(self, names: list[str]):
+        hashes = np.array([_rolling(n) for n in names], dtype=np.uint64)
+        self.order = hashes.argsort()
+        self.hashes = hashes[self.order]
+        self.longest = max(map(len, names), default=1)
+        self.bitmap = np.zeros(1 << _BITMAP, dtype=bool)
+        self.bitmap[_slot(hashes)] = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of the piece with each hash, -1 where there is none."""
+        out = np.full(h.shape, -1, dtype=np.int64)
+        at = np.flatnonzero(self.bitmap[_slot(h)])
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            out[at] = np.where(self.hashes[place] == h[at], self.order[place], -1)
+        return out
+
+
+def fit(words: Counter, pieces: frozenset[str], rounds: int = ROUNDS) -> dict[str, float]:
+    """Log probabilities of pieces by EM over all segmentations of the words; the key '' is for unseen ones.
+
+    A single character is a piece always. Words of one length are taken together: forward and backward sums go over
+    all their segmentations in logarithms, as products over long words would vanish.
+    """
+    parts = {START + w: n for w, n in words.items() if len(w) <= LEARNED}
+    names = sorted(pieces | set("".join(parts)))
+    known = Pieces(names)
+    lengths: dict[int, list[str]] = {}
+    for part in sorted(parts):
+        lengths.setdefault(len(part), []).append(part)
+    groups = []
+    for n, own in sorted(lengths.items()):
+        for k in range(0, len(own), 8_192):
+            some = own[k : k + 8_192]
+            codes, spans = _codes(some), []
+            for j in range(n):
+                h = np.zeros(len(some), dtype=np.uint64)
+                for i in range(j + 1, min(n, j + known.longest) + 1):
+                    h = h * _BASE + codes[:, i - 1] + np.uint64(1)
+                    number = known.find(h)
+                    at = np.flatnonzero(number >= 0)
+                    if len(at):
+                        spans.append((j, i, at, number[at]))
+            groups.append((n, np.array([parts[x] for x in some], dtype=np.float64), spans))
+    counts = np.zeros(len(names))
+    for _, weight, spans in groups:
+        for _, _, at, number in spans:
+            counts += np.bincount(number, weights=weight[at], minlength=len(names))
+    for _ in range(rounds):
+        with np.errstate(divide="ignore"):
+            p = np.log(counts / max(counts.sum(), 1e-300))
+        counts = np.zeros(len(names))
+        for n, weight, spans in groups:
+            ahead, back = (np.full((n + 1, len(weight)), -np.inf) for _ in range(2))
+            ahead[0] = back[n] = 0.0
+            for j, i, at, number in spans:  # by starts
+                ahead[i, at] = np.logaddexp(ahead[i, at], ahead[j, at] + p[number])
+            for j, i, at, number in reversed(spans):
+                back[j, at] = np.logaddexp(back[j, at], back[i, at] + p[number])
+            for j, i, at, number in spans:
+                share = np.exp(ahead[j, at] + p[number] + back[i, at] - ahead[n, at])
+                counts += np.bincount(number, weights=weight[at] * share, minlength=len(names))
+    seen = np.flatnonzero(counts > 1e-3)
+    total = counts[seen].sum() + SMOOTH * (len(pieces) + 1)
+    return {names[k]: math.log((counts[k] + SMOOTH) / total) for k in seen} | {"": math.log(SMOOTH / total)}
+
+
 class Model:
     """Scores texts against all languages at once; word scores are kept, as texts repeat their words."""
 
     def __init__(self, table: dict[str, dict[str, float]]):
         self.langs = sorted(table)
         names = sorted({p for t in table.values() for p in t if p})
-        #: Row 0 is for a character that is no piece.
-        self.p = np.array([[math.exp(table[x][""]) for x in self.langs], *([math.exp(table[x].get(n, table[x][""])) for x in self.langs] for n in names)]).reshape(1 + len(names), len(self.langs))
-        #: Pieces are found by a rolling hash of their characters: in a bitmap first, then in the sorted hashes.
-        hashes = np.array([_rolling(n) for n in names], dtype=np.uint64)
-        order = hashes.argsort()
-        self.hashes, self.found_row = hashes[order], order + 1
-        self.longest = max(map(len, names), default=1)
-        self.bitmap = np.zeros(1 << _BITMAP, dtype=bool)
-        self.bitmap[_slot(hashes)] = True
+        #: The last row is for a character that is no piece.
+        self.p = np.array([*([math.exp(table[x].get(n, table[x][""])) for x in self.langs] for n in names), [math.exp(table[x][""]) for x in self.langs]]).reshape(1 + len(names), len(self.langs))
+        self.known = Pieces(names)
         self._reset()
 
     def _reset(self) -> None:
@@ -129,41 +152,73 @@ class Model:
         self.rows = np.zeros((4_096, len(self.langs)), dtype=np.float64)
 
     def forward(self, parts: list[str]) -> np.ndarray:
-        """Log probability of each part in each language: the sums over their segmentations. All parts have one length."""
-        n = len(parts[0])
-        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, n).astype(np.uint64)
-        ahead = np.zeros((n + 1, len(parts), len(self.langs)))
+        """Log probability of each part in each language: the sums over their segmentations. All parts have one length.
+
+        Sums that get small are scaled up, with what is still to be added to them.
+        """
+        codes = _codes(parts)
+        n, longest = codes.shape[1], self.known.longest
+        ahead = np.zeros((n + longest + 1, len(parts), len(self.langs)))
         ahead[0] = 1.0
+        scale = np.zeros((len(parts), len(self.langs)))
         for j in range(n):
+            low = ahead[j] < SMALL
+            if low.any():
+                ahead[j : j + longest] *= np.where(low, 1 / SMALL, 1.0)
+                scale += np.where(low, math.log(SMALL), 0.0)
             h = np.zeros(len(parts), dtype=np.uint64)
-            for i in range(j + 1, min(n, j + self.longest) + 1):
+            for i in range(j + 1, min(n, j + longest) + 1):
                 h = h * _BASE + codes[:, i - 1] + np.uint64(1)
-                at = np.flatnonzero(self.bitmap[_slot(h)])
-                place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-                fits = self.hashes[place] == h[at] if len(self.hashes) else np.zeros(0, dtype=bool)
-                at, row = at[fits], self.found_row[place[fits]]
-                ahead[i, at] += ahead[j, at] * self.p[row]
-                if i == j + 1:
-                    other = np.ones(len(parts), dtype=bool)
-                    other[at] = False
-                    ahead[i, other] += ahead[j, other] * self.p[0]
-        return np.log(np.maximum(ahead[n], 1e-300))
+                number = self.known.find(h)
+                at = np.flatnonzero(number >= 0) if i > j + 1 else np.arange(len(parts))
+                ahead[i, at] += ahead[j, at] * self.p[number[at]]
+        return np.log(ahead[n]) + scale
+
+    def forward_long(self, part: str) -> np.ndarray:
+        """The same for a single part of any length, whose pieces are found a block at a time."""
+        n, longest, block = len(part), self.known.longest, 4_096
+        last = np.zeros((longest, len(self.langs)))  # sums of the last places, the newest first
+        last[0] = 1.0
+        scale = np.zeros(len(self.langs))
+        for begin in range(0, n, block):
+            end = min(n, begin + block)
+            first = max(0, begin - longest + 1)
+            codes = _codes([part[first:end]])[0]
+            p = np.zeros((end - begin, longest, len(self.langs)))
+            h = np.zeros(len(codes), dtype=np.uint64)
+            for size in range(1, min(longest, len(codes)) + 1):  # h[k]: of the characters from k on, so many
+                h = h[: len(codes) - size + 1] * _BASE + codes[size - 1 :] + np.uint64(1)
+                number = self.known.find(h)
+                at = np.flatnonzero(number >= 0) if size > 1 else np.arange(len(h))
+                ends = at + first + size - begin - 1
+                at, ends = at[ends >= 0], ends[ends >= 0]
+                p[ends, size - 1] = self.p[number[at]]
+            for row in p:
+                new = (row * last).sum(axis=0)
+                last[1:] = last[:-1]
+                last[0] = new
+                if new.min() < SMALL:
+                    low = new < SMALL
+                    last *= np.where(low, 1 / SMALL, 1.0)
+                    scale += np.where(low, math.log(SMALL), 0.0)
+        return np.log(last[0]) + scale
 
     def learn_words(self, words: list[str]) -> None:
         """Scores words that are not known yet, those of one length together."""
         first = len(self.place)
         while first + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for k, word in enumerate(words, first):
-            self.place[word] = k
-            self.rows[k] = 0.0
-            for part in cut_word(word):
-                by_length.setdefault(len(part), []).append((k, part))
-        for both in by_length.values():
-            for s in range(0, len(both), 4_096):
-                some = both[s : s + 4_096]
-                np.add.at(self.rows, [k for k, _ in some], self.forward([x for _, x in some]))
+        by_length: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            self.place[word] = first + k
+            if len(word) > SHORT:
+                self.rows[first + k] = self.forward_long(START + word)
+            else:
+                by_length.setdefault(len(word), []).append(k)
+        for own in by_length.values():
+            for s in range(0, len(own), 4_096):
+                some = own[s : s + 4_096]
+                self.rows[[first + k for k in some]] = self.forward([START + words[k] for k in some])
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log likelihoods of each text, or None for one without a letter."""
@@ -259,16 +314,16 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     return arrow_pass(docs, step, docs.schema)
 
 
-_models: dict[int, Model] = {}
+#: The table that the process's model was made of, and the model.
+_held: list = [None, None]
 
 
 def _model(sent) -> Model:
-    """The process's model for a broadcast table; an older one goes."""
-    key = id(sent.value)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(sent.value)
-    return _models[key]
+    """The process's model for a broadcast table, which is held with it: another table can't be taken for it."""
+    value = sent.value
+    if _held[0] is not value:
+        _held[:] = [value, Model(value)]
+    return _held[1]
 
 
 def op6_language_id(docs: DataFrame) -> DataFrame:
