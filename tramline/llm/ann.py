@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import arrow_pass, cut, shared_folder
+from .common import arrow_pass, cut, remove, shared_folder
 
 #: Centroids of each half; cells are their pairs.
-CENTROIDS = 64
+CENTROIDS = 256
 #: Vectors at most from which the centroids are fitted, those with the smallest hashes of their ids; k-means rounds.
 SAMPLE, ROUNDS, SEED = 20_000, 12, 7
-#: Share of the vectors that a query's cells must hold. Vectors without any cluster need about half for a recall over 0.95.
-SHARE = 0.5
-#: Queries that are sent to all executors at once.
-BLOCK = 4_096
+#: Share of the vectors that a query's cells must hold. Vectors without any cluster need about a quarter for a recall over 0.9; the README has figures.
+SHARE = 0.25
+#: Queries that are sent to all executors at once, and those and the vectors that a task multiplies at once.
+BLOCK, QUERIES, SLAB = 2_048, 512, 8_192
 NEAREST = 5
 
 
@@ -91,17 +91,17 @@ def cosines(q: np.ndarray, e: np.ndarray) -> np.ndarray:
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, share: float = SHARE, centroids: int = CENTROIDS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by cosine among what its cells hold.
 
-    is_query is a condition on the column ``id``. All vectors that take part are indexed, and the
+    is_query is a condition on the column ``id``. All vectors that take part are indexed, sorted by cell, and the
     queries go against them in blocks: a block with its cells is sent to all executors, each part
     of the index keeps its best k for each query, and the parts' bests meet in a window.
     Vectors that are null, zero, hold null or non-finite components, have a null id or another
-    length than most take no part. Candidates with the query's id are left out. Equal scores
+    length than most take no part. Candidates are all rows but the query's own. Equal scores
     go by id. Repeated rows are candidates each; a repeated query is answered once for each different
     vector. Empty table: no rows.
     """
     rows = usable(vectors, id_col, vector_col)
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"query_id {kind}, vec_id {kind}, score double, part int"
+    schema = f"query_id {kind}, vec_id {kind}, score double, own boolean, part int"
     total = rows.count()
     empty = rows.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     if not total:
@@ -120,7 +120,11 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         cell = distances(u[:, :half], c1).argmin(axis=1) * len(c2) + distances(u[:, half:], c2).argmin(axis=1)
         return {"id": batch.column(0), "v": batch.column(1), "cell": cell.astype(np.int32)}
 
-    index = cut(arrow_pass(rows, assign, f"id {kind}, v array<double>, cell int"))
+    assigned = arrow_pass(rows, assign, f"id {kind}, v array<double>, cell int")
+    # by cell, and by a hash within it: a cell of many vectors is several parts
+    placed = assigned.withColumn("h", F.xxhash64("id"))
+    parts = max(assigned.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
+    index = cut(placed.repartitionByRange(parts, "cell", "h").sortWithinPartitions("cell", "h").select("id", "v", "cell"))
     counts = np.zeros(len(c1) * len(c2), dtype=np.int64)
     for r in index.groupBy("cell").count().collect():  # centroids squared at most
         counts[r["cell"]] = r["count"]
@@ -134,27 +138,50 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
             cells.append(np.packbits(mask).tobytes())
         return {"id": batch.column(0), "v": batch.column(1), "cells": cells}
 
-    queries = index.filter(is_query).select("id", "v").distinct()
+    queries = cut(index.filter(is_query).select("id", "v").distinct())
     n = queries.count()
     blocks = max(1, math.ceil(n / block))
     shared_folder(rows.sparkSession)
-    folder, out = f"{rows.sparkSession.sparkContext.getCheckpointDir()}/nearest-{uuid.uuid4().hex}", None
+    folder = f"{rows.sparkSession.sparkContext.getCheckpointDir()}/nearest-{uuid.uuid4().hex}"
+    answered = False
     for b in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(blocks)) == b)
-        table = arrow_pass(own, plan, f"id {kind}, v array<double>, cells binary").toArrow().sort_by("id")
-        if not table.num_rows:
-            continue
-        out, sent = _search(index, table, k, schema)
-        if blocks > 1:  # what one block was sent goes before the next comes
+        planned = arrow_pass(own.repartition(rows.sparkSession.sparkContext.defaultParallelism), plan, f"id {kind}, v array<double>, cells binary")
+        table = planned.toArrow().sort_by("id")
+        if table.num_rows:  # what one block was sent goes before the next comes
+            out, sent = _search(index, table, k, schema)
             out.write.mode("append").parquet(folder)
             sent.destroy()
-    if out is not None and blocks > 1:
-        out = rows.sparkSession.read.schema(schema).parquet(folder)
-    if out is None:
+            answered = True
+    if not answered:
         return empty
-    # a query id with several vectors has one answer for each
+    # a query id with several vectors has one answer for each; of the rows equal to the query one is its own
     order = W.Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    before = F.sum(F.col("own").cast("int")).over(order.rowsBetween(W.Window.unboundedPreceding, 0))
+    found = rows.sparkSession.read.schema(schema).parquet(folder)
+    ranked = found.withColumn("before", before).withColumn("nth", F.row_number().over(order)).filter("NOT (own AND before = 1)")
+    ranked = ranked.withColumn("rank", F.col("nth") - F.least("before", F.lit(1)).cast("int")).filter(F.col("rank") <= k)
+    answers = cut(ranked.select("query_id", "rank", "vec_id", "score"))
+    remove(rows.sparkSession, folder)
+    return answers
+
+
+def best_of(query: np.ndarray, score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Each query's k best rows, by score and id; sorted by query."""
+    o = np.lexsort((ids, -score, query))
+    query, score, ids, own = query[o], score[o], ids[o], own[o]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return query[nth < k], score[nth < k], ids[nth < k], own[nth < k]
+
+
+def distinct_enough(ids: np.ndarray, e: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those of which k rows of the same vector have smaller ids: they score alike, so no query needs them."""
+    _, kind = np.unique(e, axis=0, return_inverse=True)
+    o = np.lexsort((ids, kind.ravel()))
+    first = np.flatnonzero(np.r_[True, kind.ravel()[o][1:] != kind.ravel()[o][:-1]])
+    nth = np.arange(len(o)) - np.repeat(first, np.diff(np.r_[first, len(o)]))
+    return np.sort(o[nth < k])
 
 
 def _search(index: DataFrame, table: pa.Table, k: int, schema: str) -> tuple[DataFrame, Broadcast]:
@@ -163,41 +190,40 @@ def _search(index: DataFrame, table: pa.Table, k: int, schema: str) -> tuple[Dat
     for i in range(1, len(ids)):
         parts[i] = parts[i - 1] + 1 if ids[i] == ids[i - 1] else 0
     q = matrix(table.column("v").combine_chunks())
-    u = unit(q)
-    cells = np.unpackbits(np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint8).reshape(len(ids), -1), axis=1).astype(bool)
-    sent = index.sparkSession.sparkContext.broadcast((ids, parts, q, u, cells))
+    cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+    sent = index.sparkSession.sparkContext.broadcast((ids, parts, q, unit(q), cells))
+    keep = k + 1  # the query's own row may be among them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, q, u, cells = sent.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=ids.dtype)) for _ in ids]
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=ids.dtype), np.zeros(0, dtype=bool))
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_096):
-                some = batch.slice(at, 4_096)
-                order = some.column(2).to_numpy().argsort(kind="stable")
-                e_ids, e, cell = some.column(0).to_numpy()[order], matrix(some.column(1))[order], some.column(2).to_numpy()[order]
-                eu = unit(e)
-                for lo in range(0, len(ids), 1_024):
-                    hi = min(lo + 1_024, len(ids))
+            for at in range(0, batch.num_rows, SLAB):
+                some = batch.slice(at, SLAB)
+                rows = distinct_enough(some.column(0).to_numpy(), matrix(some.column(1)), keep)
+                e_ids, e, cell = some.column(0).to_numpy()[rows], matrix(some.column(1))[rows], some.column(2).to_numpy()[rows]
+                order = cell.argsort(kind="stable")
+                e_ids, e, cell = e_ids[order], e[order], cell[order]
+                eu, first = unit(e), np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                runs = list(zip(first.tolist(), np.r_[first[1:], len(e)].tolist()))
+                for lo in range(0, len(ids), QUERIES):
+                    hi = min(lo + QUERIES, len(ids))
                     scores = np.full((hi - lo, len(e)), -np.inf)
-                    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                    for s, t in zip(first, np.r_[first[1:], len(e)]):
-                        who = np.flatnonzero(cells[lo:hi, cell[s]])
+                    for s, t in runs:  # only the queries that visit a cell see its vectors
+                        c = int(cell[s])
+                        who = np.flatnonzero(cells[lo:hi, c >> 3] & (128 >> (c & 7)))
                         if len(who):
-                            scores[who, s:t] = u[lo:hi][who] @ eu[s:t].T
-                    scores[e_ids[None, :] == ids[lo:hi, None]] = -np.inf
-                    keep = min(k, len(e))
-                    least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                    for i in range(hi - lo):
-                        g = lo + i
-                        mine = np.flatnonzero((scores[i] >= least[i] - 1e-9) & np.isfinite(scores[i]))
-                        if not len(mine):
-                            continue
-                        exact = cosines(np.broadcast_to(q[g], (len(mine), q.shape[1])), e[mine])
-                        s, v = np.r_[best[g][0], exact], np.r_[best[g][1], e_ids[mine]]
-                        o = np.lexsort((v, -s))[:k]
-                        best[g] = (s[o], v[o])
-        n = [len(s) for s, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best])), pa.array(np.repeat(parts, n))], names=["query_id", "vec_id", "score", "part"])
+                            scores[who, s:t] = u[lo + who] @ eu[s:t].T
+                    m = min(keep, len(e))
+                    least = -np.partition(-scores, m - 1, axis=1)[:, m - 1] - 1e-9
+                    i, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                    for z in range(0, len(i), SLAB):
+                        g, r = lo + i[z : z + SLAB], j[z : z + SLAB]
+                        own = (e_ids[r] == ids[g]) & (e[r] == q[g]).all(axis=1)
+                        new = (g, cosines(q[g], e[r]), e_ids[r], own)
+                        best = best_of(*(np.concatenate(x) for x in zip(best, new)), keep)
+        g, score, near, own = best
+        yield pa.RecordBatch.from_arrays([pa.array(ids[g]), pa.array(near), pa.array(score), pa.array(own), pa.array(parts[g])], names=["query_id", "vec_id", "score", "own", "part"])
 
     return index.mapInArrow(run, schema), sent
 
