@@ -22,8 +22,8 @@ CHUNK, OVERLAP = 32_768, 1_024
 MARGIN = 4
 #: Rows of one long text that get its ids in one task.
 SPLIT = 1_000
-#: Pre-tokens whose ids a process keeps, and the longest of them.
-CACHE, CACHED = 200_000, 40
+#: Characters of white space in a row, of which twice as many are kept from the library's splitter.
+BLANK = 2_048
 #: Stands for a character that is neither letter, digit nor white space.
 OTHER = "\ue000"
 
@@ -33,9 +33,9 @@ _known: dict[str, Codec] = {}
 class Codec:
     """Pre-tokens by the public pattern, each merged by the ranks on its own.
 
-    The library's whole-text splitter overflows its stack on a long run of white space, so the matches come from
-    another engine, whose letters and digits are of a newer Unicode: the characters on which the two
-    differ are asked of the library once, and taken as it does.
+    The library's splitter of whole texts overflows its stack on a long run of white space, and tells no boundaries; so
+    these, and the matches of such a text, come from another engine. Its letters and digits are of a newer Unicode: the characters
+    on which the two differ are asked of the library once, and taken as it does.
     """
 
     def __init__(self, path: str):
@@ -45,7 +45,6 @@ class Codec:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.others = _classed_otherwise()
         self.least = min(map(chr, self.others), default=chr(0x10FFFF))
-        self.kept: dict[str, list[int]] = {}
 
     def _plain(self, text: str) -> str:
         """The text with the library's classes, character for character."""
@@ -56,29 +55,22 @@ class Codec:
         return [m.end() for m in self.pattern.finditer(self._plain(text))]
 
     def encode(self, text: str, size: int | None = None) -> list[int]:
-        """Ids of the matches that begin before ``size``."""
-        plain = self._plain(text)
-        if plain is text and (size is None or size >= len(text)):
-            words = self.pattern.findall(text)
-        else:
-            size, words = len(text) if size is None else size, []
-            for m in self.pattern.finditer(plain):
-                if m.start() >= size:
-                    break
-                words.append(text[m.start() : m.end()])
+        """Ids of the matches that begin before ``size``; the library's own splitter finds them but where it can't be trusted with what is there."""
+        size = len(text) if size is None else min(size, len(text))
+        if not (size < len(text) and size and text[size - 1].isspace()) and not self._blank(text):
+            return self.library.encode_ordinary(text[:size])
         out: list[int] = []
-        get, kept = self.kept.get, self.kept
-        for w in words:
-            ids = get(w)
-            if ids is None:
-                ids = self.library._encode_single_piece(w.encode("utf-8", "replace"))
-                if len(w) <= CACHED:
-                    if len(kept) >= CACHE:
-                        kept.clear()
-                    kept[w] = ids
-            out += ids
+        for m in self.pattern.finditer(self._plain(text)):
+            if m.start() >= size:
+                break
+            out += self.library._encode_single_piece(text[m.start() : m.end()].encode("utf-8", "replace"))
         return out
 
+    @staticmethod
+    def _blank(text: str) -> bool:
+        """Whether a run of white space is as long as two of these steps, at least."""
+        return any(text[k : k + BLANK].isspace() for k in range(0, len(text) - BLANK + 1, BLANK))
+
     def decode(self, ids: list[int]) -> bytes:
         return self.library.decode_bytes(ids)
 
