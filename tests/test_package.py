@@ -189,21 +189,23 @@ def test_lifecycle(spark, written, tmp_path):
     store = publish.Store(tmp_path / "store")
     builds = publish.Builds(store)
     found = package.validate_package(spark, written)
-    ids = [builds.create(f"key{k}", f"feed{k}") for k in range(4)]
-    assert ids == [1, 2, 3, 4] and builds.create("key0", "feed0") == 1
+    ids = [builds.create("key0", "1", **publish.facts_of(found)), *[builds.create(f"key{k}", f"feed{k}") for k in range(1, 4)]]
+    assert ids == [1, 2, 3, 4] and builds.create("key0", "1") == 1
     counts = builds.load(spark, 1, found)
     assert counts == found.rows and builds.state(1) == "ready"
     assert builds.read(spark, "trip", 1).count() == 1
+    assert builds.read(spark, "shape_line", 1).columns == ["shape_id", "n_points", "line"]
+    assert builds.read(spark, "position", 1).count() == counts["location"]
     for k in ids[1:]:  # what a load leaves, without its checks
         builds.mark_loading(k)
-        for name in RELATIONS:
-            shutil.copytree(builds.relation_path(name, 1), builds.relation_path(name, k))
-        builds._build(k)["attached"] = True
+        shutil.copytree(builds.folder(1), builds.folder(k))
+        with store.locked():
+            builds._build(k)["attached"] = True
         builds.mark_ready(k)
     for k in (1, 2, 3, 4, 3, 4):
         builds.activate(k)
-    assert builds.active_build() == 4 and builds.prune(retain=3) == (1,)
-    assert builds.state(1) == "pruned" and not builds.relation_path("trip", 1).exists() and builds.relation_path("trip", 2).exists()
+    assert builds.active_build() == 4 and builds.prune(spark, retain=3) == (1,)
+    assert builds.state(1) == "pruned" and not builds.folder(1).exists() and builds.relation_path("trip", 2).exists()
     builds.activate(4, "other")
     builds.activate(3)
     assert builds.state(4) == "active"
@@ -218,10 +220,56 @@ def test_failed_load_leaves_nothing(spark, tmp_path):
     root = tmp_path / "bad"
     package.write_package(frames(spark, {"trip_call": lambda rows: rows[0].update(boarding_point_id=None)}), root, manifest())
     builds = publish.Builds(publish.Store(tmp_path / "store"))
-    k = builds.create("k", "f")
+    found = package.validate_package(spark, root)
+    k = builds.create("k", "1", **publish.facts_of(found))
     with pytest.raises(publish.LifecycleError, match="trip call shape"):
-        builds.load(spark, k, package.validate_package(spark, root))
-    assert builds.state(k) == "failed" and not any(builds.relation_path(n, k).exists() for n in RELATIONS)
+        builds.load(spark, k, found)
+    assert builds.state(k) == "failed" and not builds.folder(k).exists()
+
+
+@pytest.mark.parametrize("fact", [*publish.FACTS, "manifest_sha256"])
+def test_a_package_of_other_facts_is_not_loaded(spark, written, tmp_path, fact):
+    found = package.Package(written, json.loads((written / "manifest.json").read_text()), SHA, {})
+    builds = publish.Builds(publish.Store(tmp_path))
+    facts = {"feed_version": "1", **publish.facts_of(found)}
+    k = builds.create("k", **(facts | {fact: "other"}))
+    with pytest.raises(publish.LifecycleError, match="another manifest" if fact == "manifest_sha256" else fact):
+        builds.load(spark, k, found)
+    assert builds.state(k) == "building"
+    builds.compare(builds.create("j", **facts) if fact == "feed_version" else k, found) if fact == "feed_version" else None
+
+
+def test_advisory_validators(tmp_path):
+    builds = publish.Builds(publish.Store(tmp_path))
+    k = builds.create("k", "1")
+    builds.add_validation(k, "MobilityData-GTFS-Validator", False, {})
+    builds.add_validation(k, "mobilitydata", False, {})
+    assert not builds.blocked(k)
+    builds.add_validation(k, "netex-validator", False, {})
+    assert builds.blocked(k)
+
+
+def test_two_workers_never_share_a_job(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    publish.Jobs(publish.Store(tmp_path))
+    first = publish.Jobs(publish.Store(tmp_path))
+    ids = [first.enqueue(SHA) for _ in range(24)]
+    workers = [publish.Jobs(publish.Store(tmp_path)) for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        got = [x for xs in pool.map(lambda w: [w.claim("w") for _ in range(4)], workers) for x in xs]
+    assert sorted(j for j, _ in got) == ids and publish.Jobs(publish.Store(tmp_path)).claim("w") is None
+
+
+def test_events_of_an_interrupted_change_go(spark, tmp_path):
+    store = publish.Store(tmp_path)
+    jobs = publish.Jobs(store)
+    jobs.enqueue(SHA)
+    with open(store.log, "ab") as f:
+        f.write(b'{"event_id": 2, "job_id": 9')
+    other = publish.Jobs(publish.Store(tmp_path))
+    other.enqueue(SHA)
+    assert [(r.event_id, r.job_id, r.event) for r in other.events(spark).orderBy("event_id").collect()] == [(1, 1, "queued"), (2, 2, "queued")]
 
 
 def test_jobs(spark, tmp_path):
@@ -250,7 +298,7 @@ def test_facts_and_keys(tmp_path):
     with pytest.raises(ValueError):
         store.register("source", "s", {"a": 2})
     assert store.register_document("spec", {"b": 1, "a": 2}) == store.register_document("spec", {"a": 2, "b": 1})
-    assert publish.storage_key("a\\b/c") == "a/b/c"
-    for bad in ("", "/a", "C:/a", "a/../b", "a//b"):
+    assert publish.storage_key("a/b-c.d/e:f") == "a/b-c.d/e:f"
+    for bad in ("a\\b/c", "./a", "a/", "", "/a", "C:/a", "a/../b", "a//b"):
         with pytest.raises(ValueError):
             publish.storage_key(bad)

@@ -99,10 +99,10 @@ def prefixed_union(sources: dict[str, DataFrame], key: str) -> DataFrame:
 def retained(builds: DataFrame, publications: DataFrame, retain: int = 3) -> DataFrame:
     """(build_id, state, keep): of active and retired builds the newest by activation, those published and the active ones stay."""
     live = builds.filter("state IN ('active', 'retired')")
-    order = W.Window.orderBy(F.col("activated_at").desc_nulls_first(), F.col("build_id").desc())  # builds are few: control data
-    top = live.withColumn("_nth", F.row_number().over(order))
+    newest = live.orderBy(F.desc_nulls_first("activated_at"), F.desc("build_id")).limit(retain).select(F.col("build_id").alias("_n"))
     published = publications.select(F.col("active_build_id").alias("_p")).distinct()
-    return top.join(published, F.col("build_id") == F.col("_p"), "left").select("build_id", "state", ((F.col("_nth") <= retain) | F.col("_p").isNotNull() | (F.col("state") == "active")).alias("keep"))
+    kept = newest.select(F.col("_n").alias("_k")).union(published).distinct()
+    return live.join(kept, F.col("build_id") == F.col("_k"), "left").select("build_id", "state", (F.col("_k").isNotNull() | (F.col("state") == "active")).alias("keep"))
 
 
 def queue_order(jobs: DataFrame, limit: int | None = None) -> DataFrame:

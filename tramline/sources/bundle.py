@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import os
@@ -13,9 +14,11 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .package import canonical_json, digest_of, file_sha256
+from .package import canonical_json, digest_of, file_sha256, write_one
 from .publish import storage_key
 
 #: The time that all members of a deterministic archive have: the earliest that the format knows.
@@ -135,18 +138,42 @@ def dictionary_catalog(operations: Mapping[str, DataFrame], code: str = "code")
     return {name: [{k: v for k, v in sorted(r.asDict().items()) if v not in (None, "")} for r in df.dropDuplicates([code]).orderBy(code).toLocalIterator()] for name, df in sorted(operations.items())}
 
 
+class CsvFile:
+    """A CSV with a header, nulls as empty fields and booleans as 0 and 1, as timetable feeds have it."""
+
+    def __init__(self, path: str, columns: list[str]):
+        self.file = open(path, "w", encoding="utf-8", newline="")
+        self.rows = csv.writer(self.file, lineterminator="\r\n")
+        self.rows.writerow(columns)
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            self.rows.writerow(["" if v is None else int(v) if isinstance(v, bool) else v for v in row])
+
+    def close(self) -> None:
+        self.file.close()
+
+
 def write_csv(df: DataFrame, target: str | os.PathLike, order: list[str]) -> int:
-    """One CSV with a header and sorted rows, nulls as empty fields, as timetable feeds have it; the number of rows."""
-    import csv
-
-    n = 0
-    with open(target, "w", encoding="utf-8", newline="") as f:
-        out = csv.writer(f, lineterminator="\r\n")
-        out.writerow(df.columns)
-        for row in df.orderBy(*order).toLocalIterator(prefetchPartitions=True):
-            out.writerow(["" if v is None else int(v) if isinstance(v, bool) else v for v in row])
-            n += 1
-    return n
+    """One CSV of sorted rows, written by a task; the number of rows. On a cluster the target must be in a shared folder."""
+    columns = df.columns
+    return write_one(df.sort(*order), str(Path(target).resolve()), lambda out: CsvFile(out, columns))
+
+
+def write_feed(tables: Mapping[str, tuple[DataFrame, list[str]]], root: str | os.PathLike) -> dict[str, int]:
+    """Files of a feed or of its extensions: name to rows and their order; rows written of each. Columns without a value are left out if named with a question mark."""
+    base = Path(root)
+    base.mkdir(parents=True, exist_ok=True)
+    out = {}
+    for name, (df, order) in tables.items():
+        keep = [c for c in df.columns if not c.endswith("?")]
+        optional = [c for c in df.columns if c.endswith("?")]
+        if optional:
+            there = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in optional]).first()
+            keep += [c for c in optional if there[c]]
+        rows = df.select(*[F.col(f"`{c}`").alias(c.removesuffix("?")) for c in df.columns if c in keep])
+        out[name] = write_csv(rows, base / name, order)
+    return out
 
 
 def read_catalog(path: str | os.PathLike) -> Any:

@@ -10,6 +10,8 @@ import hashlib
 import json
 import os
 import re
+import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
@@ -64,42 +66,74 @@ def schema_document(relation: Relation) -> list[dict[str, Any]]:
 def write_package(relations: dict[str, DataFrame], root: str | os.PathLike, manifest: dict[str, Any], prefix: str = PREFIX) -> dict[str, Any]:
     """Writes each relation sorted by its key as one file with its footer keys, and then the manifest, which is returned.
 
-    Spark sorts; one writer a relation streams the batches, as the footer must name non-null fields.
+    Spark sorts by ranges; one task a relation reads these in order and writes the file, as its footer must name non-null
+    fields, batch by batch. On a cluster root must be a folder that executors and driver share.
     """
-    serving = Path(root) / "serving"
+    serving = Path(root).resolve() / "serving"
     serving.mkdir(parents=True)
-    entries, digests = [], []
-    for name, relation in RELATIONS.items():
-        path, schema = serving / f"{name}.parquet", arrow_schema(relation)
-        footer = schema.with_metadata({f"{prefix}.schema_version": str(SCHEMA_VERSION), f"{prefix}.relation": name})
+
+    def write(name: str) -> dict[str, Any]:
+        relation = RELATIONS[name]
+        schema = arrow_schema(relation)
+        marks = {f"{prefix}.schema_version": str(SCHEMA_VERSION), f"{prefix}.relation": name}
         rows = relations[name].select(*[relations[name][f.name].cast(f.dataType) for f in relation.schema]).sort(*relation.sort_key)
-        n = 0
-        with pq.ParquetWriter(path, footer, compression="snappy") as writer:
-            for row_batch in _arrow_batches(rows, schema):
-                writer.write_batch(row_batch.replace_schema_metadata(footer.metadata))
-                n += row_batch.num_rows
-        sha = file_sha256(path)
-        entries.append({"name": name, "schema": schema_document(relation), "sort_key": list(relation.sort_key), "path": f"serving/{name}.parquet", "sha256": sha, "size_bytes": path.stat().st_size, "row_count": n})
-        digests.append({"name": name, "sha256": sha, "row_count": n})
+        path = str(serving / f"{name}.parquet")
+        n = write_one(rows, path, lambda out: ParquetFile(out, schema.with_metadata(marks)))
+        return {"name": name, "schema": schema_document(relation), "sort_key": list(relation.sort_key), "path": f"serving/{name}.parquet", "sha256": file_sha256(path), "size_bytes": os.path.getsize(path), "row_count": n}
+
+    with ThreadPoolExecutor(JOBS) as pool:
+        entries = list(pool.map(write, RELATIONS))
+    digests = [{k: e[k] for k in ("name", "sha256", "row_count")} for e in entries]
     out = manifest | {"schema_version": SCHEMA_VERSION, "relations": entries, "serving_sha256": digest_of(digests)}
     (Path(root) / "manifest.json").write_bytes(canonical_json(out))
     return out
 
 
-def _arrow_batches(rows: DataFrame, schema: pa.Schema):
-    """Row batches in order, a partition at a time on the driver."""
-    held: list[tuple] = []
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        held.append(tuple(row))
-        if len(held) == BATCH:
-            yield _batch(held, schema)
-            held = []
-    if held:
-        yield _batch(held, schema)
+class ParquetFile:
+    """Row groups of BATCH rows whatever the batches' sizes, so that equal rows give equal bytes."""
+
+    def __init__(self, path: str, schema: pa.Schema):
+        self.schema, self.held, self.n = schema, [], 0
+        self.writer = pq.ParquetWriter(path, schema, compression="snappy")
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        self.held.append(pa.RecordBatch.from_arrays(batch.columns, schema=self.schema))
+        self.n += batch.num_rows
+        while self.n >= BATCH:
+            self._group(BATCH)
 
+    def _group(self, rows: int) -> None:
+        table = pa.Table.from_batches(self.held, self.schema)
+        self.writer.write_table(table.slice(0, rows).combine_chunks(), row_group_size=BATCH)
+        self.held = table.slice(rows).to_batches()
+        self.n -= min(rows, self.n)
+
+    def close(self) -> None:
+        if self.n:
+            self._group(BATCH)
+        self.writer.close()
+
+
+def write_one(rows: DataFrame, path: str, open_: Callable[[str], Any]) -> int:
+    """Writes sorted rows as one file by one task that reads the sorted parts in order; the number of rows.
+
+    The file takes its name when it is whole, so a task that runs again doesn't mix with what it left.
+    """
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        out, n = open_(part), 0
+        for batch in batches:
+            out.write(batch)
+            n += batch.num_rows
+        out.close()
+        os.replace(part, path)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    told = rows.coalesce(1).mapInArrow(run, "n long").collect()
+    if not told:  # no parts, so no task
+        open_(path).close()
+    return sum(r["n"] for r in told)
 
 
 @dataclass(frozen=True)
