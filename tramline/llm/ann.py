@@ -64,21 +64,26 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, wanted: float) -> list[int]:
-    """Cells in the order of the sum of their halves' distances until they hold the wanted number of vectors."""
-    o1, o2, k2 = d1.argsort(kind="stable"), d2.argsort(kind="stable"), len(d2)
-    s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    heap, reached, out, held = [(s1[0] + s2[0], 0, 0)], {(0, 0)}, [], 0
+def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray | list[int], wanted: float) -> list[int]:
+    """Cells in the order of the sum of their halves' distances until they hold the wanted number of vectors.
+
+    The heap has one entry a row of the first half, the next cell of it; a row comes in when the first cell of the row before goes.
+    """
+    o1, o2 = d1.argsort(kind="stable").tolist(), d2.argsort(kind="stable").tolist()
+    s1, s2, k2, held = [float(d1[k]) for k in o1], [float(d2[k]) for k in o2], len(d2), 0
+    heap, out, size = [(s1[0] + s2[0], 0, 0)], [], counts.tolist() if isinstance(counts, np.ndarray) else counts
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(o1[i]) * k2 + int(o2[j])
-        if counts[cell]:
+        _, i, j = heap[0]
+        cell = o1[i] * k2 + o2[j]
+        if size[cell]:
             out.append(cell)
-            held += int(counts[cell])
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(s1) and b < len(s2) and (a, b) not in reached:
-                reached.add((a, b))
-                heapq.heappush(heap, (s1[a] + s2[b], a, b))
+            held += size[cell]
+        if j + 1 < k2:
+            heapq.heapreplace(heap, (s1[i] + s2[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(s1):
+            heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
     return out
 
 
@@ -131,10 +136,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 
     def plan(batch: pa.RecordBatch) -> dict:
         u = unit(matrix(batch.column(1))) if batch.num_rows else np.zeros((0, x.shape[1]))
-        cells = []
+        cells, sizes = [], counts.tolist()
         for a, b in zip(distances(u[:, :half], c1), distances(u[:, half:], c2)):
             mask = np.zeros(len(counts), dtype=bool)
-            mask[traverse(a, b, counts, max(k + 1, share * total))] = True
+            mask[traverse(a, b, sizes, max(k + 1, share * total))] = True
             cells.append(np.packbits(mask).tobytes())
         return {"id": batch.column(0), "v": batch.column(1), "cells": cells}
 
