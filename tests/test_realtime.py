@@ -72,7 +72,7 @@ def test_alerts_platforms_crossings(spark):
 
 def test_redirects_messages_snapshots(spark):
     r = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (8, 7)], "old_id int, new_id int")
-    assert sorted(map(tuple, overlay.follow_redirects(r).collect())) == [(1, 4), (2, 4), (3, 4)]
+    assert sorted(map(tuple, overlay.follow_redirects(r).collect())) == [(1, 4, "redirected"), (2, 4, "redirected"), (3, 4, "redirected"), (7, None, "cycle"), (8, None, "cycle")]
     day = datetime.date(2026, 7, 18)
     m = spark.createDataFrame([("t", day, 1, False, "a"), ("t", day, 2, True, "c"), ("u", day, 1, True, "x"), ("v", day, 3, False, "b")], "trip string, service_date date, ord int, cancels boolean, path string")
     assert [x.trip for x in overlay.apply_messages(m).collect()] == ["v"]
@@ -101,3 +101,67 @@ def test_paths_and_names(spark):
     rows = spark.createDataFrame([("a/b",), ("../a",), ("C:\\x",), ("/x",), ("a/..b",), ("A/B",)], "p string")
     assert sorted(r.p for r in reconcile.unsafe_paths(rows, "p").collect()) == ["../a", "/x", "C:\\x"]
     assert [tuple(r) for r in reconcile.case_duplicates(rows, "p").collect()] == [("a/b", 2)]
+
+
+@pytest.mark.parametrize("length", [1, 2, 31, 32, 33, 40, 100])
+def test_redirect_chains_of_any_length(spark, length):
+    chain = [(k, k + 1) for k in range(length)]
+    cycle = [(1_000 + k, 1_000 + (k + 1) % 7) for k in range(7)] + [(2_000, 2_001), (2_001, 1_003), (3_000, 3_000)]
+    more = [(4_000, None), (4_001, 4_000), (5_000, 5_001), (5_000, 5_002), (5_003, 5_000), (6_000, 6_001), (6_000, 6_001)]
+    got = {r.old_id: (r.final_id, r.status) for r in overlay.follow_redirects(spark.createDataFrame(chain + cycle + more, "old_id int, new_id int")).collect()}
+    assert got == {
+        **{k: (length, "redirected") for k in range(length)}, **{1_000 + k: (None, "cycle") for k in range(7)}, 2_000: (None, "cycle"), 2_001: (None, "cycle"), 3_000: (None, "cycle"),
+        4_000: (None, "gone"), 4_001: (None, "gone"), 5_000: (None, "ambiguous"), 5_003: (5_000, "redirected"), 6_000: (6_001, "redirected"),
+    }
+
+
+def test_overlays_keep_repeated_rows(spark):
+    calls = spark.createDataFrame([("t", 10, "a"), ("t", 10, "a"), ("t", 20, None)], "trip_id string, sequence int, line string")
+    cover = spark.createDataFrame([("t", 5, 15, "x"), ("t", 1, 30, "y")], "trip_id string, from_sequence int, to_sequence int, line string")
+    assert sorted((r.sequence, r.line) for r in overlay.segment_overlay(calls, cover, "line").collect()) == [(10, "y"), (10, "y"), (20, "y")]
+    routes = spark.createDataFrame([("r", "A", "bus", 5, None), ("r", "A", "bus", 5, None), ("q", None, "bus", 5, 1)], "route_id string, agency_id string, mode string, route_number int, public_line int")
+    rules = spark.createDataFrame([("A", 1, 9, None, None, "bus", "tram", "why")], "agency_id string, route_id_from int, route_id_to int, public_line_from int, public_line_to int, expected_mode string, effective_mode string, reason string")
+    assert sorted((r.route_id, r.effective_mode) for r in overlay.mode_rules(routes, rules).collect()) == [("q", "bus"), ("r", "tram"), ("r", "tram")]
+
+
+def test_authoritative_conflicts_block(spark):
+    base = spark.createDataFrame([("k", "f", "b")], "id string, field string, value string")
+    claims = lambda mode: spark.createDataFrame([("k", "f", "x", "s1", mode, 1), ("k", "f", "y", "s2", mode, 1)], "id string, field string, value string, source_id string, mode string, priority int")
+    rules = {m: (r.value, r.rule) for m in ("authoritative", "preferred") for r in overlay.overlay(base, claims(m), ["id"]).collect()}
+    assert rules == {"authoritative": ("b", "blocking"), "preferred": ("b", "conflict")}
+
+
+def test_operational_points_and_adjacent_trips(spark):
+    calls = spark.createDataFrame([("t", 1, False, 1.0), ("t", 2, True, None), ("t", 3, False, 1.0), ("t", 4, False, None), ("t", 5, True, 1.0), ("t", 6, False, 1.0), ("u", 1, False, 1.0)], "trip_id string, sequence int, passenger_service boolean, longitude double")
+    shown = lambda mode: sorted(r.sequence for r in overlay.operational_points(calls, mode).filter("published").collect())
+    assert (shown("gtfs"), shown("sidecar")) == ([2, 3, 5], [2, 5])
+    rows = [("a", 1, "CZ", 0.0), ("a", 2, "CZ", 9.0), ("b", 1, "DE", 0.0), ("c", 1, "CZ", 0.0), ("c", 2, "DE", 59.0), ("d", 1, "CZ", 0.0), ("d", 2, "DE", 61.0), ("d", 3, "DE", 200.0), ("e", 1, "CZ", 0.0), ("e", 2, "FR", 5.0), ("f", 1, "CZ", 0.0), ("f", 2, "DE", 100.0), ("f", 3, "CZ", 119.0)]
+    frame = spark.createDataFrame([(*r, False) for r in rows], "trip_id string, sequence int, country string, distance_km double, integrated boolean")
+    got = {r.trip_id: (r.disposition, r.depth_km) for r in overlay.regional_adjacent(frame, "CZ", ["DE", "PL"]).collect()}
+    assert got == {"a": ("domestic", 0.0), "b": ("foreign", 0.0), "c": ("adjacent", 59.0), "d": ("rejected", 200.0), "e": ("rejected", 5.0), "f": ("adjacent", 19.0)}
+
+
+def test_stop_events(spark):
+    positions = spark.createDataFrame([("v", 0.0, 0.0), ("v", 100.0, 100.0), ("v", 160.0, 100.5), ("v", 200.0, 300.0), ("v", 210.0, 900.0)], "key string, seconds double, distance double")
+    stops = spark.createDataFrame([("v", "a", 100.25), ("v", "b", 600.0), ("v", "c", 890.0)], "key string, stop_id string, at double")
+    got = {r.stop_id: (r.arrival, r.departure, r.passage) for r in realtime.stop_events(positions, stops, "key").collect()}
+    assert got["a"][0] == pytest.approx(70.25) and got["a"][1] == pytest.approx(160 + 40 * 29.75 / 199.5) and got["a"][2] is None
+    assert got["b"][:2] == (None, None) and got["b"][2] == pytest.approx(205.0)
+    assert got["c"][0] == pytest.approx(200 + 10 * 560 / 600) and got["c"][1:] == (None, None)
+
+
+def test_pinned_resolution_stream(spark, tmp_path):
+    maps = spark.createDataFrame([("1", "t1")], "source_trip_id string, trip_id string")
+    spark.createDataFrame([("1",), ("2",)], "source_trip_id string").write.parquet(str(tmp_path / "in"))
+    out = []
+    stream = spark.readStream.schema("source_trip_id string").parquet(str(tmp_path / "in"))
+    query = realtime.resolution_stream(stream, lambda b: b.join(maps, "source_trip_id", "left"), 7, lambda df, n: out.extend(map(tuple, df.collect())), str(tmp_path / "checkpoint")).start()
+    query.awaitTermination()
+    assert sorted(out) == [("1", "t1", 7), ("2", None, 7)]
+
+
+def test_observations_by_day(spark, tmp_path):
+    rows = spark.sql("SELECT id AS claim_id, timestamp'2031-01-01 23:00:00' + make_interval(0, 0, 0, 0, id) AS event_time FROM range(4)")
+    for _ in range(2):
+        realtime.write_observations(rows, str(tmp_path / "o"))
+    assert {(str(r.date), r["count"]) for r in spark.read.parquet(str(tmp_path / "o")).groupBy("date").count().collect()} == {("2031-01-01", 2), ("2031-01-02", 6)}

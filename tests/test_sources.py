@@ -109,3 +109,65 @@ def test_identifiers(spark):
     for bad in ("0", "-1", "x", ""):
         with pytest.raises(ValueError):
             identifiers.jobs(bad)
+
+
+def test_listing_names(spark):
+    pages = ["<a href='a/b.zip'>x</a><a href=\"c%26&amp;d/\">y</a><a href=../>z</a>", "total 2\n-rw 1 one.gz\n\n  \n..\n.\nsub/two.gz \r\n", "", None]
+    rows = readers.listing_names(spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, html string")).orderBy("k").collect()
+    assert [r.names for r in rows] == [["b.zip", "c%26&d"], ["2", "one.gz", "two.gz"], [], []]
+
+
+def message(root, core, bits, start="2031-03-01T00:00:00", variant="00"):
+    ids = f"<n:PlannedTransportIdentifiers><ObjectType>TR</ObjectType><Company>9001</Company><Core>{core}</Core><Variant>{variant}</Variant><TimetableYear>2031</TimetableYear></n:PlannedTransportIdentifiers>"
+    calendar = f"<PlannedCalendar><BitmapDays>{bits}</BitmapDays><ValidityPeriod><StartDateTime>{start}</StartDateTime></ValidityPeriod></PlannedCalendar>"
+    inner = f"<Identifiers>{ids}</Identifiers><CZPTTInformation>{calendar}</CZPTTInformation>" if root == readers.TIMETABLE else ids + calendar
+    return f'<?xml version="1.0"?><n:{root} xmlns:n="urn:n">{inner}</n:{root}>'
+
+
+def test_cancellations_alter_calendars(spark):
+    from tramline.operators import overlay
+
+    xml = [message(readers.TIMETABLE, "0A", "1011"), message(readers.CANCELLATION, "0A", "11", "2031-03-03T00:00:00"), message(readers.TIMETABLE, "0B", "1"), message(readers.CANCELLATION, "0C", "1"), message(readers.TIMETABLE, "0A", "1", "2031-03-04T00:00:00")]
+    rows = spark.createDataFrame([(f"m{k}", k, x) for k, x in enumerate(xml)], "path string, ord int, content string")
+    found = readers.changes(rows).cache()
+    days = sorted((r.trip.split("/")[2], str(r.service_date), r.path) for r in overlay.apply_messages(found).collect())
+    assert days == [("0A", "2031-03-01", "m0"), ("0A", "2031-03-04", "m4"), ("0B", "2031-03-01", "m2")]
+    assert [(r.path, r.trip.split("/")[2]) for r in overlay.unknown_cancellations(found).collect()] == [("m3", "0C")]
+    for bad, said in (("<x/>", "unknown message"), (message(readers.TIMETABLE, "0A", "1").replace("<Core>0A</Core>", ""), "no full identity")):
+        with pytest.raises(Exception, match=said):
+            readers.changes(spark.createDataFrame([("p", 0, bad)], "path string, ord int, content string")).collect()
+
+
+def test_payloads_and_severities(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1}'), (2, "{"), (3, None)], "k int, body string")
+    got = {r.k: (r.payload and r.payload.a, r.broken) for r in readers.json_payloads(rows, "body", "a int").collect()}
+    assert got[1] == (1, False) and got[2][1] and got[3] == (None, True)
+    events = spark.createDataFrame([("Error",), ("warning",), (None,)], "severity string")
+    assert readers.errors_of(events).count() == 1
+
+
+def test_numbers_dates_and_identifiers(spark):
+    from tramline.functions import identifiers
+    from tramline.operators import derive, reconcile
+
+    times = ["08:00:00+02:00", "8:05", "23:59:59.7Z", "08:00:00.0000000+01:00", "nonsense", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(times)], "k int, t string")
+    assert [r[0] for r in rows.orderBy("k").select(derive.local_seconds(F.col("t"), F.lit("-1"))).collect()] == [28_800 - 86_400, 29_100 - 86_400, 86_399 - 86_400, 28_800 - 86_400, None, None]
+    with pytest.raises(Exception, match="no number"):
+        reconcile.with_numbers(rows, "t").collect()
+    instants = spark.sql("SELECT timestamp'2026-12-12 22:59:59' AS a, timestamp'2026-12-12 23:00:00' AS b")
+    assert tuple(instants.select(identifiers.year_of(F.col("a")), identifiers.year_of(F.col("b"))).first()) == (2026, 2027)
+    for kind, good, bad in (("public_id", "x", ""), ("line", "001234", "1234"), ("trip_number", 0, True), ("train_number", 1, 0), ("trip_number", 5, -1), ("line", "000000", 0), ("public_id", "a", "a\0")):
+        assert identifiers.checked(kind, good) == good
+        with pytest.raises(ValueError):
+            identifiers.checked(kind, bad)
+    assert reconcile.exists(rows) and not reconcile.exists(rows.filter("false"))
+    assert spark.range(1).select(reconcile.overlapping(F.array(F.lit(1), F.lit(None)), F.array(F.lit(None), F.lit(1))), reconcile.overlapping(F.array(F.lit(None).cast("int")), F.array(F.lit(None).cast("int")))).first() == (True, False)
+
+
+def test_line_segments_share_their_ends(spark):
+    from tramline.operators import derive
+
+    calls = [("t", k, v) for k, v in enumerate([None, None, "A", "A", "A", None, None, "B", "C", None], 1)] + [("u", 1, None), ("v", 1, "A"), ("v", 2, "A"), ("w", 1, None), ("w", 2, "A"), ("w", 3, None)]
+    got = sorted(((r.trip_id, r.from_sequence, r.to_sequence, r.line) for r in derive.line_segments(spark.createDataFrame(calls, "trip_id string, sequence int, line string"), "line").collect()), key=str)
+    assert got == [("t", 1, 3, None), ("t", 3, 5, "A"), ("t", 5, 8, None), ("t", 8, 9, "B"), ("t", 9, 10, None), ("u", 1, 1, None), ("v", 1, 2, "A"), ("w", 1, 2, None), ("w", 2, 3, None)]

@@ -42,6 +42,30 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+def date_prefix(c: Column) -> Column:
+    """The first ten characters, as text: the date of a longer time; null without any."""
+    return F.substring(F.nullif(c, F.lit("")), 1, 10)
+
+
+def year_of(instant: Column, zone: str = "Europe/Prague") -> Column:
+    """The timetable year of an instant (a timestamp of a UTC session), by the local day."""
+    day = F.from_utc_timestamp(instant, zone).cast("date")
+    return F.year(day) + (day >= timetable_change(F.year(day))).cast("int")
+
+
+def checked(kind: str, value: object) -> object:
+    """The value of a public_id, line, trip_number or train_number; another type, a truth value too, or a value out of its range is an error."""
+    fine = {
+        "public_id": lambda v: isinstance(v, str) and v != "" and "\0" not in v,
+        "line": lambda v: isinstance(v, str) and re.fullmatch("[0-9]{6}", v) is not None,
+        "trip_number": lambda v: type(v) is int and v >= 0,
+        "train_number": lambda v: type(v) is int and v > 0,
+    }
+    if not fine[kind](value):
+        raise ValueError(f"{value!r} is no {kind}")
+    return value
+
+
 def timetable_change(year: Column) -> Column:
     """The second Sunday of December, when a new timetable year begins."""
     return F.date_add(F.next_day(F.make_date(year, F.lit(11), F.lit(30)), "SUN"), 7)

@@ -51,10 +51,13 @@ def bitmap_days(rows: DataFrame, bitmap: str, start: str) -> DataFrame:
 
 
 def local_seconds(time: Column, day_offset: Column) -> Column:
-    """hh:mm:ss with a day offset as seconds of the service day; can be over a day or negative."""
-    part = F.split(time, ":")
-    seconds = F.coalesce(F.substring_index(F.get(part, F.lit(2)), ".", 1).cast("int"), F.lit(0))
-    return day_offset.cast("int") * 86400 + F.get(part, F.lit(0)).cast("int") * 3600 + F.get(part, F.lit(1)).cast("int") * 60 + seconds
+    """hh:mm:ss with a day offset as seconds of the service day; can be over a day or negative.
+
+    Fractions of seconds are cut. A zone behind the time is not used: times are local. Other texts give null.
+    """
+    pattern = r"^\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?\s*\z"
+    part = lambda k: F.regexp_extract(time, pattern, k).try_cast("int")
+    return day_offset.cast("int") * 86400 + part(1) * 3600 + part(2) * 60 + F.coalesce(part(3), F.lit(0))
 
 
 def _order(trip: str, sequence: str) -> W.WindowSpec:
@@ -69,6 +72,21 @@ def change_segments(calls: DataFrame, value: str, trip: str = "trip_id", sequenc
     return runs.groupBy(trip, "segment", value).agg(F.min(sequence).alias("from_sequence"), F.max(sequence).alias("to_sequence"))
 
 
+def line_segments(calls: DataFrame, value: str, trip: str = "trip_id", sequence: str = "sequence") -> DataFrame:
+    """(trip, value, from_sequence, to_sequence): parts of a trip that share the calls where a line begins or ends.
+
+    A line begins at the call where it is new. It ends one call earlier than the first call without it, since it isn't shown any more on
+    the way there. A part of no length goes: a line on one call only has no way.
+    """
+    w = _order(trip, sequence)
+    new = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
+    start = F.when(F.col(value).isNull() & F.lag(value).over(w).isNotNull(), F.lag(sequence).over(w)).otherwise(F.col(sequence))
+    last = F.max(sequence).over(W.Window.partitionBy(trip))
+    starts = calls.select(trip, sequence, value, new.alias("_new"), start.alias("from_sequence"), last.alias("_last")).filter("_new")
+    parts = starts.withColumn("to_sequence", F.coalesce(F.lead("from_sequence").over(w), F.col("_last")))
+    return parts.filter("from_sequence < to_sequence OR from_sequence = _last AND to_sequence = _last AND _last = sequence").select(trip, value, "from_sequence", "to_sequence")
+
+
 def collapse_consecutive(calls: DataFrame, value: str, trip: str = "trip_id", sequence: str = "sequence") -> DataFrame:
     """Calls without those that repeat the value of the one before."""
     w = _order(trip, sequence)
@@ -108,15 +126,23 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
 
 
 def speed_veto(calls: DataFrame, candidate: str, km_h: float = 150.0, slack_km: float = 2.0, trip: str = "trip_id", sequence: str = "sequence") -> DataFrame:
-    """(candidate, occurrences, vetoed): a coordinate is vetoed only if every occurrence is too fast from the call before.
+    """(candidate, occurrences, vetoed): a coordinate is vetoed if every occurrence is too fast from or to a neighbour.
 
-    calls has longitude, latitude and seconds. A first call, or one without coordinates or seconds, is no occurrence against it.
+    calls has longitude, latitude and seconds. Neighbours are the nearest calls before and behind with all three; an occurrence
+    without these, or without a neighbour, tells nothing, and without any that does a coordinate isn't vetoed.
     """
     w = _order(trip, sequence)
-    km = haversine_km(F.lag("longitude").over(w), F.lag("latitude").over(w), F.col("longitude"), F.col("latitude"))
-    hours = (F.col("seconds") - F.lag("seconds").over(w)) / 3600
-    fast = calls.withColumn("_fast", F.coalesce(km > hours * km_h + slack_km, F.lit(False)))
-    return fast.groupBy(candidate).agg(F.count("*").alias("occurrences"), F.bool_and("_fast").alias("vetoed"))
+    known = F.when(F.col("longitude").isNotNull() & F.col("latitude").isNotNull() & F.col("seconds").isNotNull(), F.struct("longitude", "latitude", "seconds"))
+    rows = calls.withColumn("_own", known)
+    rows = rows.withColumn("_a", F.last("_own", ignorenulls=True).over(w.rowsBetween(W.Window.unboundedPreceding, -1))).withColumn("_b", F.first("_own", ignorenulls=True).over(w.rowsBetween(1, W.Window.unboundedFollowing)))
+
+    def fast(side: str) -> Column:
+        km = haversine_km(F.col(f"{side}.longitude"), F.col(f"{side}.latitude"), F.col("longitude"), F.col("latitude"))
+        return F.coalesce(km > F.abs(F.col("seconds") - F.col(f"{side}.seconds")) / 3600 * km_h + slack_km, F.lit(False))
+
+    told = F.col("_own").isNotNull() & (F.col("_a").isNotNull() | F.col("_b").isNotNull())
+    rows = rows.withColumn("_told", told).withColumn("_fast", fast("_a") | fast("_b"))
+    return rows.groupBy(candidate).agg(F.count_if("_told").alias("occurrences"), F.coalesce(F.bool_and(F.when(F.col("_told"), F.col("_fast"))), F.lit(False)).alias("vetoed"))
 
 
 def monotone_violations(points: DataFrame) -> DataFrame:

@@ -92,6 +92,34 @@ def without_disposition(points: DataFrame, accepted: DataFrame, domestic: str) -
 def dated_attributes(journeys: DataFrame, attributes: DataFrame, key: str) -> DataFrame:
     """Journeys with the attributes of their key that are valid on their date: the smallest priority, then the latest start."""
     a = attributes.select(*[F.col(c).alias(f"_{c}") for c in attributes.columns])
-    joined = journeys.join(a, (journeys[key] == a[f"_{key}"]) & (a["_valid_from"] <= journeys["service_date"]) & (a["_valid_to"].isNull() | (a["_valid_to"] >= journeys["service_date"])), "left")
-    best = joined.groupBy(*[journeys[c] for c in journeys.columns]).agg(F.min_by(F.struct("_attribute", "_source_id"), F.struct("_priority", F.datediff(F.lit("9999-12-31").cast("date"), F.col("_valid_from")), "_source_id")).alias("_x"))
-    return best.select(*journeys.columns, F.col("_x._attribute").alias("attribute"), F.col("_x._source_id").alias("source_id"))
+    days = journeys.select(key, "service_date").distinct()
+    there = days.join(a, (days[key] == a[f"_{key}"]) & (a["_valid_from"] <= days["service_date"]) & (a["_valid_to"].isNull() | (a["_valid_to"] >= days["service_date"])))
+    best = there.groupBy(F.col(key).alias("_k"), F.col("service_date").alias("_d")).agg(F.min_by(F.struct("_attribute", "_source_id"), F.struct("_priority", F.datediff(F.lit("9999-12-31").cast("date"), F.col("_valid_from")), "_source_id")).alias("_x"))
+    both = journeys.join(best, journeys[key].eqNullSafe(best["_k"]) & journeys["service_date"].eqNullSafe(best["_d"]), "left")
+    return both.select(*journeys.columns, F.col("_x._attribute").alias("attribute"), F.col("_x._source_id").alias("source_id"))
+
+
+def shape_offsets(calls: DataFrame) -> DataFrame:
+    """(trip_id, problem): trips whose offsets along their shape are partly missing, fall, or pass the shape's length. calls: trip_id, sequence, offset, length."""
+    w = W.Window.partitionBy("trip_id").orderBy("sequence")
+    rows = calls.withColumn("_before", F.last("offset", ignorenulls=True).over(w.rowsBetween(W.Window.unboundedPreceding, -1)))
+    agg = rows.groupBy("trip_id").agg(F.count("offset").alias("_n"), F.count("*").alias("_all"), F.bool_or(F.col("offset") < F.col("_before")).alias("_falls"), F.bool_or((F.col("offset") > F.col("length")) | (F.col("offset") < 0)).alias("_out"))
+    problem = F.when((F.col("_n") > 0) & (F.col("_n") < F.col("_all")), "incomplete").when(F.col("_falls"), "falls").when(F.col("_out"), "outside")
+    return agg.select("trip_id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def build_report(relations: dict[str, DataFrame]) -> DataFrame:
+    """(relation, metric, value): rows of each relation, and what is missing in those that have measures; one scan for each relation."""
+    measures = {
+        "location": {"without_coordinates": "longitude IS NULL", "boarding_points": "kind = 'boarding_point'"},
+        "trip": {"without_headsign": "headsign IS NULL", "without_shape": "shape_id IS NULL"},
+        "trip_call": {"passenger": "passenger_service", "without_time": "coalesce(scheduled_arrival, scheduled_departure, scheduled_passage) IS NULL"},
+        "connection_claim": {"unresolved": "resolution_status = 'unresolved'"},
+    }
+    out = None
+    for name, df in sorted(relations.items()):
+        own = {"rows": "true"} | measures.get(name, {})
+        counts = df.agg(*[F.count_if(F.expr(c)).alias(m) for m, c in own.items()])
+        rows = counts.select(F.lit(name).alias("relation"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in own])).alias("x")).select("relation", "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -4,12 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions.names import cleaned, normal, sides
+from .derive import haversine_km
 from .overlay import best_candidate
 
 #: From the strongest to the weakest.
-METHODS = ("authority", "exact_code", "alias", "exact_name", "cleaned_name", "fuzzy_name")
+METHODS = ("authority", "exact_code", "alias", "exact_name", "cleaned_name", "fuzzy_name", "estimate")
+#: Kilometres of a degree of latitude, and those that a call at an open end lies north of the one before.
+DEGREE_KM, STEP_KM = 111.195, 0.3
+
+
+def _pieces(length: Column, k: int, edits: int) -> tuple[Column, Column]:
+    """Start (from 0) and size of piece k of a name cut evenly into one piece more than there are edits, the longer ones last."""
+    n = edits + 1
+    size, more = F.floor(length / n), length % n
+    longer = F.greatest(F.lit(0), F.lit(k - n) + more)
+    return (size * k + longer).cast("int"), (size + F.when(F.lit(k - n) + more >= 0, 1).otherwise(0)).cast("int")
+
+
+def fuzzy_pairs(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFrame:
+    """(point_id, object_id, edits): names (of points: _p, of objects: _o) within so many edits of each other.
+
+    So many edits leave one of edits + 1 pieces of a name as it is, moved by no more places. So pairs meet by an equal piece, its
+    number and the name's length, and no pair within the edits is missed; the distance then decides.
+    """
+    there = []
+    for k in range(edits + 1):
+        start, size = _pieces(F.length("_o"), k, edits)
+        there.append(F.struct(F.length("_o").alias("n"), F.lit(k).alias("k"), F.substring(F.col("_o"), start + 1, size).alias("piece")))
+    own = objects.filter(F.length("_o") > edits).select("object_id", "_o", F.explode(F.array(*there)).alias("x")).select("object_id", "_o", "x.*")
+    asked = []
+    for longer in range(-edits, edits + 1):
+        n = F.length("_p") + longer
+        for k in range(edits + 1):
+            start, size = _pieces(n, k, edits)
+            for move in range(-edits, edits + 1):
+                at = start + move
+                asked.append(F.when((at >= 0) & (n > edits), F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(F.col("_p"), at + 1, size).alias("piece"))))
+    probes = points.select("point_id", "_p", F.explode(F.array_distinct(F.array_compact(F.array(*asked)))).alias("x")).select("point_id", "_p", "x.*")
+    met = probes.join(own, ["n", "k", "piece"]).select("point_id", "object_id", "_p", "_o").distinct()
+    return met.withColumn("edits", F.levenshtein("_p", "_o")).filter(F.col("edits") <= edits)
 
 
 def _hits(points: DataFrame, objects: DataFrame, left: Column, right: Column, method: str) -> DataFrame:
@@ -21,11 +57,11 @@ def _hits(points: DataFrame, objects: DataFrame, left: Column, right: Column, me
 
 
 def candidates(points: DataFrame, authority: DataFrame, objects: DataFrame, aliases: DataFrame, edits: int = 2) -> DataFrame:
-    """(point_id, object_id, longitude, latitude, priority, method) by all methods.
+    """(point_id, object_id, longitude, latitude, priority, method) by all methods but the estimate.
 
     points: point_id, country, code, name; authority: code, longitude, latitude; objects: object_id,
-    reference, name, longitude, latitude; aliases: point_id, object_id. Fuzzy names agree in their
-    first four letters, by which they are joined, in their words that tell sides, and but for so many edits.
+    reference, name, longitude, latitude; aliases: point_id, object_id. Fuzzy names of four letters or more agree
+    but for so many edits, and in their words that tell sides.
     """
     first = authority.select(F.col("code").alias("_c"), F.lit("authority").alias("object_id"), "longitude", "latitude")
     found = points.filter("country = 'CZ'").join(first, F.col("code") == F.col("_c")).select("point_id", "object_id", "longitude", "latitude", F.lit(0).alias("priority"), F.lit("authority").alias("method"))
@@ -36,8 +72,8 @@ def candidates(points: DataFrame, authority: DataFrame, objects: DataFrame, alia
     found = found.unionByName(_hits(points, objects, cleaned(F.col("name")), cleaned(F.col("name")), "cleaned_name"))
     p = points.select("point_id", cleaned(F.col("name")).alias("_p")).filter("length(_p) >= 4")
     o = objects.select("object_id", "longitude", "latitude", cleaned(F.col("name")).alias("_o")).filter("length(_o) >= 4")
-    near = p.join(o, F.substring("_p", 1, 4) == F.substring("_o", 1, 4)).withColumn("_edits", F.levenshtein("_p", "_o")).filter((F.col("_edits") <= edits) & (sides(F.col("_p")) == sides(F.col("_o"))))
-    closest = near.groupBy("point_id").agg(F.min_by(F.struct("object_id", "longitude", "latitude"), F.struct("_edits", "object_id")).alias("x"))
+    near = fuzzy_pairs(p, o.select("object_id", "_o"), edits).filter(sides(F.col("_p")) == sides(F.col("_o"))).join(objects.select("object_id", "longitude", "latitude"), "object_id")
+    closest = near.groupBy("point_id").agg(F.min_by(F.struct("object_id", "longitude", "latitude"), F.struct("edits", "object_id")).alias("x"))
     return found.unionByName(closest.select("point_id", "x.*", F.lit(5).alias("priority"), F.lit("fuzzy_name").alias("method")))
 
 
@@ -49,6 +85,40 @@ def matched(points: DataFrame, found: DataFrame, vetoed: DataFrame | None = None
     return points.join(best_candidate(found, "point_id", "object_id").drop("priority"), "point_id", "left")
 
 
+def estimates(calls: DataFrame, known: DataFrame) -> DataFrame:
+    """(point_id, longitude, latitude, two_sided): where the timetable puts points without a coordinate, from one occurrence each.
+
+    calls: trip_id, sequence, point_id, seconds, days; known: point_id, longitude, latitude. Of a point's timed occurrences counts the
+    one between two known calls, with the fewest calls between these, the shortest way between them, the most days, then by trip
+    and sequence; it lies on the line between them by time. At an open end each call lies STEP_KM north of the one before.
+    """
+    k = known.select("point_id", F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat"))
+    w = W.Window.partitionBy("trip_id").orderBy("sequence")
+    rows = calls.join(k, "point_id", "left").withColumn("_n", F.row_number().over(w))
+    own = F.when(F.col("_lon").isNotNull() & F.col("seconds").isNotNull(), F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), F.col("seconds").alias("t"), F.col("_n").alias("n")))
+    rows = rows.withColumn("_a", F.last(own, ignorenulls=True).over(w.rowsBetween(W.Window.unboundedPreceding, -1))).withColumn("_b", F.first(own, ignorenulls=True).over(w.rowsBetween(1, W.Window.unboundedFollowing)))
+    open_ = rows.filter("_lon IS NULL AND seconds IS NOT NULL AND (_a IS NOT NULL OR _b IS NOT NULL)")
+    two = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    share = F.when(F.col("_b.t") != F.col("_a.t"), (F.col("seconds") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))).otherwise(F.lit(0.5))
+    one = F.coalesce("_a", "_b")
+    lon = F.when(two, F.col("_a.lon") + (F.col("_b.lon") - F.col("_a.lon")) * share).otherwise(one["lon"])
+    lat = F.when(two, F.col("_a.lat") + (F.col("_b.lat") - F.col("_a.lat")) * share).otherwise(one["lat"] + F.abs(F.col("_n") - one["n"]) * (STEP_KM / DEGREE_KM))
+    span = F.when(two, haversine_km(F.col("_a.lon"), F.col("_a.lat"), F.col("_b.lon"), F.col("_b.lat"))).otherwise(F.lit(0.0))
+    gap = F.when(two, F.col("_b.n") - F.col("_a.n")).otherwise(F.abs(F.col("_n") - one["n"]))
+    order = F.struct((~two).alias("open"), gap.alias("gap"), span.alias("span"), (-F.col("days")).alias("days"), "trip_id", "sequence")
+    return open_.groupBy("point_id").agg(F.min_by(F.struct(lon.alias("longitude"), lat.alias("latitude"), two.alias("two_sided")), order).alias("x")).select("point_id", "x.*")
+
+
+def with_estimates(found: DataFrame, calls: DataFrame) -> DataFrame:
+    """matched() points, those without a coordinate with the estimate of the calls, if there is one."""
+    known = found.filter("longitude IS NOT NULL").select("point_id", "longitude", "latitude")
+    e = estimates(calls, known).select("point_id", F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat"))
+    both = found.join(e, "point_id", "left")
+    use = F.col("longitude").isNull() & F.col("_lon").isNotNull()
+    new = {"longitude": F.coalesce("longitude", "_lon"), "latitude": F.coalesce("latitude", "_lat"), "method": F.when(use, "estimate").otherwise(F.col("method"))}
+    return both.select(*[new.get(c, F.col(c)).alias(c) for c in found.columns])
+
+
 def regional_matches(regional: DataFrame, national: DataFrame) -> DataFrame:
     """(trip_id, national_trip_id, days, status): trips by their pattern on each day.
 

@@ -129,3 +129,29 @@ def problems(events: DataFrame, category: list[str], example: str, shown: int =
     few = events.select(*category, example).distinct().withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= shown)
     examples = few.groupBy(*category).agg(F.array_join(F.array_sort(F.collect_list(F.col(example).cast("string"))), ",").alias("examples"))
     return events.groupBy(*category).agg(F.count("*").alias("n")).join(examples, category)
+
+
+def prefix_collisions(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """(folded, n): keys of prefixed_union() that are equal but for case; a source that repeats a key has them too."""
+    return case_duplicates(prefixed_union(sources, key), key)
+
+
+def source_counts(rows: DataFrame, source: str, content: Column) -> DataFrame:
+    """(source, n, bytes): rows and bytes of each source, null being one."""
+    return rows.groupBy(source).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(content)), F.lit(0)).alias("bytes"))
+
+
+def with_numbers(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with text columns as numbers; a filled one that is no number is an error, as in a stop's coordinates."""
+    number = lambda c: F.when(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), F.raise_error(F.concat(F.lit(f"{c} is no number: "), F.col(c))).cast("double")).otherwise(F.col(c).try_cast("double"))
+    return rows.withColumns({c: number(c) for c in columns})
+
+
+def overlapping(left: Column, right: Column) -> Column:
+    """Whether two arrays share an element; null or empty ones share none."""
+    return F.coalesce(F.arrays_overlap(F.array_compact(left), F.array_compact(right)), F.lit(False))
+
+
+def exists(rows: DataFrame) -> bool:
+    """Whether there is any row; the scan ends with the first."""
+    return bool(rows.limit(1).count())

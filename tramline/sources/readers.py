@@ -130,9 +130,42 @@ def messages(rows: DataFrame, content: str = "content") -> DataFrame:
     return rows.withColumn("root", root).withColumn("message", F.from_xml(xml, MESSAGE_SCHEMA))
 
 
+# Fixed names of the elements that are a whole message: a timetable, and the cancellation of days of one.
+TIMETABLE, CANCELLATION = "CZPTTCISMessage", "CZCanceledPTTMessage"
+#: A cancellation: the train's identifiers and the days.
+CANCELLATION_SCHEMA = (
+    "PlannedTransportIdentifiers array<struct<ObjectType: string, Company: string, Core: string, Variant: string, TimetableYear: string>>,"
+    " PlannedCalendar struct<BitmapDays: string, ValidityPeriod: struct<StartDateTime: string, EndDateTime: string>>"
+)
+
+
+def changes(rows: DataFrame, content: str = "content") -> DataFrame:
+    """(path, trip, service_date, ord, cancels) of timetables and cancellations, one row for each day that a message names: what apply_messages() reads.
+
+    rows: path, ord, content. trip is the train's identity but for its variant's kind: the message's sorted identifiers. A message
+    of another root is an error, and so is one without a full identity.
+    """
+    xml = without_namespaces(F.decode(F.col(content), "UTF-8") if rows.schema[content].dataType == T.BinaryType() else F.col(content))
+    root = F.regexp_extract(xml, r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->)*<([\w.-]+)", 1)
+    known = F.when(root.isin(TIMETABLE, CANCELLATION), root).otherwise(F.raise_error(F.concat(F.lit("unknown message "), root, F.lit(" in "), F.col("path"))).cast("string"))
+    both = rows.select("path", "ord", known.alias("root"), F.from_xml(xml, MESSAGE_SCHEMA).alias("_m"), F.from_xml(xml, CANCELLATION_SCHEMA).alias("_c"))
+    cancels = F.col("root") == CANCELLATION
+    ids = F.when(cancels, F.col("_c.PlannedTransportIdentifiers")).otherwise(F.col("_m.Identifiers.PlannedTransportIdentifiers"))
+    full = F.filter(ids, lambda i: F.concat(*[i[k] for k in IDENTIFIER]).isNotNull())
+    calendar = F.when(cancels, F.col("_c.PlannedCalendar")).otherwise(F.col("_m.CZPTTInformation.PlannedCalendar"))
+    named = F.when(F.coalesce(F.size(full), F.lit(0)) > 0, message_identity(full)).otherwise(F.raise_error(F.concat(F.lit("no full identity in "), F.col("path"))).cast("string"))
+    days = both.select("path", named.alias("trip"), "ord", cancels.alias("cancels"), calendar["BitmapDays"].alias("_bits"), F.substring(calendar["ValidityPeriod"]["StartDateTime"], 1, 10).cast("date").alias("_start"))
+    bits = F.posexplode(F.split(F.col("_bits"), "(?<=.)(?=.)"))
+    return days.select("path", "trip", "ord", "cancels", "_start", bits.alias("_at", "_bit")).filter("_bit = '1'").select("path", "trip", F.date_add("_start", F.col("_at")).alias("service_date"), "ord", "cancels")
+
+
+#: Fixed parts of an identifier, in their order.
+IDENTIFIER = ("ObjectType", "Company", "Core", "Variant", "TimetableYear")
+
+
 def message_identity(identifiers: Column) -> Column:
     """All identifiers as sorted tuples, so that their order in the message doesn't matter."""
-    one = lambda i: F.concat_ws("/", *[F.coalesce(i[k], F.lit("")) for k in ("ObjectType", "Company", "Core", "Variant", "TimetableYear")])
+    one = lambda i: F.concat_ws("/", *[F.coalesce(i[k], F.lit("")) for k in IDENTIFIER])
     return F.array_join(F.array_sort(F.transform(identifiers, one)), "|")
 
 
@@ -160,6 +193,17 @@ def listing_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("links", F.array_sort(F.array_distinct(value)))
 
 
+def listing_names(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with names: the last parts of the links' targets, sorted, each once; of a listing without any link the last words of its lines."""
+    last = lambda x: F.element_at(F.split(F.regexp_replace(x, r"/+\z", ""), "/"), -1)
+    rows = listing_links(pages, html)
+    lines = F.filter(F.split(F.coalesce(F.col(html), F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    words = F.transform(lines, lambda x: F.regexp_extract(x, r"(\S+)\s*\z", 1))
+    plain = lambda x: F.replace(F.replace(x, F.lit("&amp;"), F.lit("&")), F.lit("&#39;"), F.lit("'"))
+    names = F.transform(F.when(F.size("links") > 0, F.transform("links", plain)).otherwise(words), last)
+    return rows.withColumn("names", F.array_sort(F.array_distinct(F.filter(names, lambda x: ~x.isin("", ".", "..")))))
+
+
 def stop_identity(stop_id: Column) -> Column:
     """A stop id's parts: kind, country and code, with percent escapes decoded and plus signs kept; the parent is the id without its last part."""
     parts = F.transform(F.split(stop_id, ":"), lambda p: F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))))
@@ -174,6 +218,18 @@ def log_events(lines: DataFrame, column: str, prefix: str, schema: str) -> DataF
     return rows.withColumn("event", F.when(F.col("text").startswith(prefix), F.from_json(F.expr(f"substring(text, {len(prefix) + 1})"), schema)))
 
 
+def errors_of(events: DataFrame) -> DataFrame:
+    """Events or diagnostics of the severity that stops a build."""
+    return events.filter(F.lower("severity") == "error")
+
+
+def json_payloads(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Captured payloads (text or bytes) with ``payload`` by a schema, and ``broken``: what can't be read is kept and told."""
+    text = F.decode(F.col(column), "UTF-8") if rows.schema[column].dataType == T.BinaryType() else F.col(column)
+    parsed = F.from_json(text, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return rows.withColumn("payload", parsed).withColumn("broken", F.col("payload").isNull() | F.col("payload._corrupt").isNotNull()).withColumn("payload", F.col("payload").dropFields("_corrupt"))
+
+
 def tagged_nodes(nodes: DataFrame, tags: dict[str, list[str]]) -> DataFrame:
     """Nodes of a map extract (id, lon, lat, tags) that have any of the values of any of the keys."""
     fits = F.lit(False)

@@ -75,6 +75,41 @@ def crossings(positions: DataFrame, key: str, at: str) -> DataFrame:
     return rows.select(key, at, cross.alias("crossed_seconds"))
 
 
+def stop_events(positions: DataFrame, stops: DataFrame, key: str, radius: float = 30.0, dwell_seconds: float = 10.0) -> DataFrame:
+    """(key, stop_id, arrival, departure, passage): what two observations before, at and behind a stop tell, in seconds.
+
+    positions: key, seconds, distance along the way; stops: key, stop_id, at. A vehicle arrives where it comes within the radius and
+    departs where it leaves it, each on the line between two observations. With less time between than the dwell it only passes, at the
+    crossing of the stop itself; before it has left, it has arrived only.
+    """
+    w = W.Window.partitionBy(key).orderBy("seconds")
+    ways = positions.select(key, "seconds", "distance", F.lag("seconds").over(w).alias("_s"), F.lag("distance").over(w).alias("_d")).filter("_d < distance")
+    marks = stops.select(key, "stop_id", F.explode(F.map_from_arrays(F.array(F.lit("in"), F.lit("at"), F.lit("out")), F.array(F.col("at") - radius, F.col("at").cast("double"), F.col("at") + radius))).alias("mark", "place"))
+    met = ways.join(marks, key).filter("_d < place AND distance >= place")
+    at = F.col("_s") + (F.col("seconds") - F.col("_s")) * (F.col("place") - F.col("_d")) / (F.col("distance") - F.col("_d"))
+    each = met.withColumn("t", at).groupBy(key, "stop_id").agg(*[F.min(F.when(F.col("mark") == m, F.col("t"))).alias(f"_{m}") for m in ("in", "at", "out")])
+    passes = F.col("_out") - F.col("_in") < dwell_seconds
+    return each.select(key, "stop_id", F.when(~F.coalesce(passes, F.lit(False)), F.col("_in")).alias("arrival"), F.when(~F.coalesce(passes, F.lit(False)), F.col("_out")).alias("departure"), F.when(passes, F.col("_at")).alias("passage"))
+
+
+def write_observations(observations: DataFrame, path: str) -> None:
+    """Appends observations in one folder for each day of their event, so that a day is read or dropped alone."""
+    observations.withColumn("date", F.to_date("event_time")).repartition("date", F.pmod(F.xxhash64("claim_id"), F.lit(16))).write.mode("append").partitionBy("date").parquet(path)
+
+
+def resolution_stream(observations: DataFrame, resolve: Callable[[DataFrame], DataFrame], build_id: int, sink: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
+    """Micro-batches of observations resolved against one build's relations, told by build_id.
+
+    The build is the one that was active when the query began, and stays it: another is taken by a new query, so that no batch
+    mixes two.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        sink(resolve(batch).withColumn("build_id", F.lit(build_id)), number)
+
+    return observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def same_alerts(alerts: DataFrame) -> DataFrame:
     """Alerts without those of equal normalised text, period and scope: the first id stays, with the number of copies."""
     text = F.trim(F.regexp_replace(F.lower("text"), r"[\s\p{Punct}]+", " "))
