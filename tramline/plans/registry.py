@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,29 +12,10 @@ from ..functions import names
 from ..operators import checks, derive, export, matching, overlay, reconcile, resolve
 from ..sources import readers
 from ..streaming import realtime
+from . import more  # noqa: F401  its queries register themselves
+from .base import QUERIES, Frames, Query, query
 from .projections import cte, frames
 
-Frames = dict[str, DataFrame]
-
-
-@dataclass(frozen=True)
-class Query:
-    needs: tuple[str, ...]
-    run: Callable[[Frames], DataFrame]
-    sql: str | None
-
-
-QUERIES: dict[str, Query] = {}
-
-
-def query(name: str, needs: str, sql: str | None):
-    def add(f: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
-        QUERIES[name] = Query(tuple(needs.split()), f, sql)
-        return f
-
-    return add
-
-
 # resolution of foreign identifiers
 
 _TRIP_ON = """o.source_id = m.source_id AND o.trip_namespace = m.trip_namespace AND o.source_trip_id = m.source_trip_id AND o.service_date BETWEEN m.valid_from AND m.valid_to
@@ -523,6 +503,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _with(q: Query) -> str:
     head = cte(list(q.needs))
     body = q.sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE" + head.rstrip()[4:] + ", " + body[15:]
     return head.rstrip() + ", " + body[5:] if body.startswith("WITH ") else head + body
 
 
