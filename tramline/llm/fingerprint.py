@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded_batches
 
@@ -116,49 +118,62 @@ def edited(text: str, following: str) -> str:
 
 
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, oid, text, part, guest), each part a range of ids, followed by a copy of the next part's first row.
+    """(doc_id, oid, hash, text, part, guest), each part a range of ids, followed by a copy of the next part's first row.
 
-    The bounds come from an aggregate over the ids and so hold for every task that is run again;
-    heads are the largest id of each part that has rows: as many as parts, and so broadcast.
+    The bounds come from an aggregate over the ids and so hold for every task that is run again. An id that fills several
+    parts by itself is dealt over as many by ranges of its texts' hashes, in which its rows go. Heads are the first row
+    of each part that has rows: as many as parts, and so broadcast.
     """
-    oid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    oid = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(2**63)))
     spark = docs.sparkSession
-    bounds = docs.select(oid.alias("o")).agg(F.percentile_approx("o", F.from_json(F.lit(json.dumps([k / parts for k in range(1, parts)])), "array<double>"), F.lit(max(20_000, 8 * parts))).alias("b")).first()["b"]
-    bounds = sorted(set(bounds or []))
+    found = docs.select(oid.alias("o")).agg(F.percentile_approx("o", F.from_json(F.lit(json.dumps([k / parts for k in range(1, parts)])), "array<double>"), F.lit(max(20_000, 8 * parts))).alias("b")).first()["b"]
+    times = Counter(found or [])
+    bounds = sorted(times)
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    hot = {o: n for o, n in times.items() if n > 1}
+    most = max(hot.values(), default=0) + 1
 
-    def part(o):
-        """Bounds below o, counted in two steps; parts go by descending id."""
+    def part(o, h):
+        """Bounds below o, counted in two steps; parts go by descending id, and in a part its greatest id goes first."""
         if not groups:
-            return F.lit(0)
+            return F.lit(0).cast("long")
         tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
         each = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
         coarse = F.size(F.filter(tops, lambda x: x < o))
         fine = F.coalesce(F.size(F.filter(F.element_at(each, F.least(coarse + 1, F.lit(len(groups)))), lambda x: x < o)), F.lit(0))
-        return F.lit(len(bounds)) - F.when(coarse < len(groups), coarse * step + fine).otherwise(F.lit(len(bounds)))
-
-    placed = docs.select("doc_id", oid.alias("oid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("part", part(F.col("oid")))
-    heads = sorted((r["part"], r["head"]) for r in placed.groupBy("part").agg(F.max("oid").alias("head")).collect())
-    guests = [(heads[(k + 1) % len(heads)][1], p) for k, (p, _) in enumerate(heads)]
-    table = F.broadcast(spark.createDataFrame(guests or [(0, 0)], "head long, host int"))
-    both = placed.join(table, placed["oid"] == table["head"], "left")
+        below = F.when(coarse < len(groups), coarse * step + fine).otherwise(F.lit(len(bounds)))
+        if not hot:
+            return (F.lit(len(bounds)) - below).cast("long")
+        many = F.element_at(F.create_map(*[F.lit(x) for item in sorted(hot.items()) for x in item]), o)
+        # the hash's high bits as a number from 0 to 2^32, so that ranges of it are parts in order
+        within = F.when(many.isNull(), most - 1).otherwise(F.floor((F.shiftright(h, 32) + F.lit(1 << 31)) * many / F.lit(float(1 << 32))))
+        return ((F.lit(len(bounds)) - below) * most + within).cast("long")
+
+    placed = docs.select("doc_id", oid.alias("oid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    placed = placed.withColumn("part", part(F.col("oid"), F.col("hash")))
+    first = placed.groupBy("part").agg(F.min(F.struct(F.bitwise_not("oid").alias("later"), "hash")).alias("head"))
+    heads = sorted((r["part"], ~r["head"]["later"], r["head"]["hash"]) for r in first.collect())
+    guests = [(*heads[(k + 1) % len(heads)][1:], p) for k, (p, _, _) in enumerate(heads)]
+    table = F.broadcast(spark.createDataFrame(guests or [(0, 0, 0)], "head long, head_hash long, host long"))
+    both = placed.join(table, (placed["oid"] == table["head"]) & (placed["hash"] == table["head_hash"]), "left")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
     visit = F.struct(F.col("host").alias("part"), F.lit(True).alias("guest"))
-    return both.select("doc_id", "oid", "text", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("x")).select("doc_id", "oid", "text", "x.part", "x.guest")
+    return both.select("doc_id", "oid", "hash", "text", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("x")).select("doc_id", "oid", "hash", "text", "x.part", "x.guest")
 
 
 def compare_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The next document is the one below in descending doc_id, after the last the first; equal ids go
-    by a hash of their text and the text, and null ids come last. The only row of a table follows
-    itself. Null text reads as empty. Rows of one id are read by one task. Empty table: no rows.
+    by a hash of their text and the text, and null ids come last, as do ids that are no whole numbers. The only row of a
+    table follows itself. Null text reads as empty. Rows of one id and one text are read by one task, those of one id by as many
+    as they fill. Empty table: no rows.
     """
     bounded_batches(docs.sparkSession)
     parts = parts or min(MOST_PARTS, max(PARTS, docs.rdd.getNumPartitions()))
     dealt = _dealt(docs, parts)
-    rows = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("oid"), F.xxhash64("text"), "text")
+    rows = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("oid"), "hash", "text").select("doc_id", "text", "part", "guest")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -166,7 +181,7 @@ def compare_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         held: tuple | None = None  # part, id, text, fingerprint of the row whose next is still to come
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, part, guest in zip(batch.column(0), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for doc_id, text, part, guest in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 text = text.as_py()
                 if guest and (held is None or held[0] != part):
                     continue  # a tie of the guest that was used
@@ -180,7 +195,7 @@ def compare_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
 
-    types = [pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [to_arrow_type(docs.schema["doc_id"].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
