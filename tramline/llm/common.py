@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE = 1_024
 #: Rows a side may have to be broadcast; the side is counted first, and salted joins take over beyond it.
 BROADCAST_ROWS = 200_000
+#: Rows of one key that a split join gives to one task.
+SPLIT_ROWS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -30,6 +33,15 @@ def shared_folder(spark: SparkSession) -> None:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tramline-checkpoint-")
     sc.setCheckpointDir(folder)
+    # what was cut holds whole texts: Spark deletes it once no DataFrame refers to it
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +50,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and checkpoints that nothing refers to any more: it does so once the driver's collector has run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's rows in an Arrow batch to a slice: with long texts the default of 10,000 rows is too much for a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -65,6 +83,14 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def unused(name: str, *columns: list[str]) -> str:
+    """The name, or with underscores before it, so that no column has it."""
+    taken = {c.lower() for cs in columns for c in cs}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def join_bounded(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left", rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """Joins small, with one row for each key, to big, of which one key may hold any share of the rows.
 
@@ -72,13 +98,39 @@ def join_bounded(big: DataFrame, small: DataFrame, key: str, spread: Column, how
     ``salts`` parts of their key by ``spread``, and small is repeated once for each part, so no
     task gets all rows of a key. A null key matches a null key.
     """
-    small = small.withColumnRenamed(key, "_small_key")
+    own, part, other = (unused(n, big.columns, small.columns) for n in ("small_key", "part", "small_part"))
+    small = small.withColumnRenamed(key, own)
     if small.count() <= rows:
-        return big.join(F.broadcast(small), big[key].eqNullSafe(small["_small_key"]), how).drop("_small_key")
-    big = big.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    small = small.withColumn("_small_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = (big["_part"] == small["_small_part"]) & big[key].eqNullSafe(small["_small_key"])
-    return big.join(small, on, how).drop("_part", "_small_part", "_small_key")
+        return big.join(F.broadcast(small), big[key].eqNullSafe(small[own]), how).drop(own)
+    big = big.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    small = small.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = (big[part] == small[other]) & big[key].eqNullSafe(small[own])
+    return big.join(small, on, how).drop(part, other, own)
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = SPLIT_ROWS) -> DataFrame:
+    """(key, parts) of the keys with more than ``least`` rows: a key in so many rows at most. Written, as joins read it several times."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    return cut(counts.select(key, F.ceil(F.col("n") / least).cast("int").alias("parts")))
+
+
+def split_join(left: DataFrame, key: str, right: DataFrame, right_key: str, spread: Column, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Joins right, with one row for each key, to left, of which one key may hold any share of the rows.
+
+    The row of a hot key (of hot_keys(), by default left's) is repeated once for each of its parts, over which
+    left's rows are dealt by ``spread``. The columns of both but right_key have different names. Null keys match nothing.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    on = left[key] == right[right_key]
+    if not hot.limit(1).count():
+        return left.join(right, on, how).drop(right[right_key])
+    parts, at, to = (unused(n, left.columns, right.columns) for n in ("parts", "split_at", "split_to"))
+    marked = hot.toDF("hot_key", parts)
+    dealt = join_bounded(left, marked.withColumnRenamed("hot_key", key), key, spread)
+    dealt = dealt.withColumn(at, F.coalesce(F.pmod(F.xxhash64(spread), F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    again = join_bounded(right, marked.withColumnRenamed("hot_key", right_key), right_key, F.col(right_key))
+    again = again.withColumn(to, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return dealt.join(again, (dealt[key] == again[right_key]) & (dealt[at] == again[to]), how).drop(again[right_key]).drop(at, to)
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

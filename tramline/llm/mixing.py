@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, global_rank, join_bounded
+from .common import cut, global_rank, join_bounded, unused
 
 #: A document's size is its number of these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,15 +76,15 @@ def rates(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document ``copies`` times, columns as before. Cases: as in rates()."""
-    rows = docs.withColumn("_mix_size", size_of(docs["text"]))
-    sizes = rows.groupBy("source").agg(F.sum("_mix_size").alias("source_size"))
+    sizes = docs.select("source", size_of(docs["text"]).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     found = source_targets(sizes, **options)
-    found = found.select("source", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_mix_rate"))
+    rate, copy = (unused(n, docs.columns) for n in ("mix_rate", "mix_copy"))
+    found = found.select("source", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
     out = join_bounded(docs, found, "source", docs["doc_id"])
-    whole = F.floor("_mix_rate")
-    copies = (whole + F.when(uniform(F.col("doc_id")) < F.col("_mix_rate") - whole, 1).otherwise(0)).cast("int")
+    whole = F.floor(rate)
+    copies = (whole + F.when(uniform(F.col("doc_id")) < F.col(rate) - whole, 1).otherwise(0)).cast("int")
     again = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))
-    return out.withColumn("_mix_copy", again).select(*docs.columns)
+    return out.withColumn(copy, again).select(*[out[c] for c in docs.columns])
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:
