@@ -230,3 +230,13 @@ def test_realtime_feeds(spark):
     assert (got[1].trip_id, got[1].route_id, got[1].latitude, got[1].longitude, got[1].stop_sequence, got[1].timestamp, got[1].vehicle_id, got[1].feed_timestamp) == ("T9", "R2", 50.5, 14.25, 7, 1_900_000_000, "bus", 1_900_000_001)
     assert (got[2].departure_delay, got[2].stop_id, got[3].arrival_delay, got[3].stop_sequence) == (60, "s4", -90, 3)
     assert [(r.header, r.period_start, r.period_end, r.route_id) for r in got[4:]] == [("Works", 5, 9, "R2"), ("Works", 20, None, "R2")]
+
+
+def test_feeds_written_and_read_back(spark):
+    rows = [
+        {"kind": "vehicle", "entity_id": "v1", "trip_id": "T1", "latitude": 50.5, "longitude": -14.25, "timestamp": 1_900_000_000, "vehicle_id": "b", "stop_sequence": 300},
+        {"kind": "stop", "entity_id": "u1", "trip_id": "T2", "route_id": "R", "stop_sequence": 1, "arrival_delay": -61},
+        {"kind": "stop", "entity_id": "u1", "trip_id": "T2", "route_id": "R", "stop_id": "s", "departure_time": 1_900_000_060},
+    ]
+    back = list(realtime_feed.rows_of(realtime_feed.feed_of(rows, 1_900_000_005)))
+    assert [{k: v for k, v in r.items() if k != "feed_timestamp"} for r in back] == rows and {r["feed_timestamp"] for r in back} == {1_900_000_005}

@@ -97,3 +97,21 @@ def test_config(tmp_path, text, ok):
     else:
         with pytest.raises(bundle.BundleError):
             load()
+
+
+def test_a_whole_feed_and_its_extensions(spark, tmp_path):
+    import csv
+
+    from test_package import frames
+    from tramline.sources import verify
+
+    relations = frames(spark)
+    counts = bundle.write_feed(export.feed(relations), tmp_path / verify.FEED)
+    more = bundle.write_feed(export.extensions(relations), tmp_path / verify.EXTENSIONS)
+    read = lambda folder, name: list(csv.DictReader(open(tmp_path / folder / name, encoding="utf-8")))
+    assert set(counts) == {f"{n}.txt" for n in "agency routes trips stops stop_times calendar calendar_dates shapes".split()} and set(more) == set(verify.EXTENSION_FILES)
+    stops = {r["stop_id"]: r for r in read(verify.FEED, "stops.txt")}
+    called = {r["stop_id"] for r in read(verify.FEED, "stop_times.txt")}
+    assert called <= set(stops) and all(r.get("parent_station", "") in ("", *stops) for r in stops.values())
+    assert [int(r["stop_sequence"]) for r in read(verify.FEED, "stop_times.txt")] == list(range(1, counts["stop_times.txt"] + 1))
+    verify.check_extensions(spark, tmp_path)

@@ -171,3 +171,15 @@ def test_line_segments_share_their_ends(spark):
     calls = [("t", k, v) for k, v in enumerate([None, None, "A", "A", "A", None, None, "B", "C", None], 1)] + [("u", 1, None), ("v", 1, "A"), ("v", 2, "A"), ("w", 1, None), ("w", 2, "A"), ("w", 3, None)]
     got = sorted(((r.trip_id, r.from_sequence, r.to_sequence, r.line) for r in derive.line_segments(spark.createDataFrame(calls, "trip_id string, sequence int, line string"), "line").collect()), key=str)
     assert got == [("t", 1, 3, None), ("t", 3, 5, "A"), ("t", 5, 8, None), ("t", 8, 9, "B"), ("t", 9, 10, None), ("u", 1, 1, None), ("v", 1, 2, "A"), ("w", 1, 2, None), ("w", 2, 3, None)]
+
+
+def test_archives_in_place(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("c.xml", "<c/>")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("b.xml", "<b/>")
+        z.writestr("n.zip", inner.getvalue())
+        z.writestr("x.txt", "no")
+    both = [sorted((r.member, bytes(r.content), r.bytes) for r in readers.archive_members(spark, str(tmp_path), in_place=x).collect()) for x in (False, True)]
+    assert both[0] == both[1] == [("b.xml", b"<b/>", 4), ("n.zip!c.xml", b"<c/>", 4)]

@@ -123,3 +123,41 @@ def build_report(relations: dict[str, DataFrame]) -> DataFrame:
         rows = counts.select(F.lit(name).alias("relation"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in own])).alias("x")).select("relation", "x.*")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def feed(relations: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The standard feed's files: name to rows and their order, for bundle.write_feed(). A column marked with a question mark may be left out.
+
+    Operational calls and points stay out; a stop is a place or a boarding point that a passenger call uses, or the place of one.
+    """
+    passenger = relations["trip_call"].filter("passenger_service")
+    used = passenger.select(F.col("boarding_point_id").alias("_u")).union(passenger.select("location_id")).dropna().distinct()
+    own = relations["location"].filter("kind <> 'operational_point'")
+    direct = own.join(used, F.col("location_id") == F.col("_u"), "left_semi")
+    ids = direct.select(F.col("location_id").alias("_u")).union(direct.select("parent_location_id")).dropna().distinct()
+    stops = own.join(ids, F.col("location_id") == F.col("_u"), "left_semi")
+    renamed = lambda df, **columns: df.select(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])
+    stop_kind = F.when(F.col("kind") == "stop_place", 1).otherwise(0)
+    files = {
+        "agency": (renamed(relations["agency"], agency_id="agency_id", agency_name="name"), ["agency_id"]),
+        "routes": (renamed(relations["route"], route_id="route_id", agency_id="agency_id", route_type="gtfs_route_type"), ["route_id"]),
+        "trips": (relations["trip"].select("route_id", "service_id", "trip_id", F.col("headsign").alias("trip_headsign?"), F.col("direction").alias("direction_id?"), F.col("shape_id").alias("shape_id?")), ["trip_id"]),
+        "stops": (stops.select(F.col("location_id").alias("stop_id"), F.col("name").alias("stop_name"), F.col("latitude").alias("stop_lat"), F.col("longitude").alias("stop_lon"), stop_kind.alias("location_type"), F.col("parent_location_id").alias("parent_station?")), ["stop_id"]),
+        "stop_times": (stop_times(relations["trip_call"]), ["trip_id", "stop_sequence"]),
+        "calendar": (calendar_rows(relations["service_calendar"]), ["service_id"]),
+        "calendar_dates": (calendar_dates(relations["service_exception"]), ["service_id", "date"]),
+        "shapes": (relations["shape_point"].select("shape_id", F.col("latitude").alias("shape_pt_lat"), F.col("longitude").alias("shape_pt_lon"), F.col("sequence").alias("shape_pt_sequence"), F.col("distance_traveled").alias("shape_dist_traveled?")), ["shape_id", "shape_pt_sequence"]),
+    }
+    return {f"{name}.txt": x for name, x in files.items()}
+
+
+def extensions(relations: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Files beside the feed: routes with their source's mode, trips with the sources' ids, and zones by the feed's numbers of calls."""
+    numbered = relations["trip_call"].filter("passenger_service").select("trip_id", "sequence", F.row_number().over(W.Window.partitionBy("trip_id").orderBy("sequence")).alias("stop_sequence"))
+    zones = relations["call_zone"].join(numbered, ["trip_id", "sequence"]).select("trip_id", "stop_sequence", "fare_system_id", "zone_id").distinct()
+    ids = relations["source_trip_map"].groupBy("trip_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "source_id", "trip_namespace", "source_trip_id"))), "|").alias("source_trip_ids"))
+    return {
+        "cz_routes.txt": (relations["route"].select("route_id", F.col("mode").alias("source_mode")), ["route_id"]),
+        "cz_trips.txt": (relations["trip"].select("trip_id").join(ids, "trip_id"), ["trip_id"]),
+        "cz_trip_stop_zones.txt": (zones, ["trip_id", "stop_sequence", "fare_system_id", "zone_id"]),
+    }

@@ -60,14 +60,25 @@ def encoded_rows(spark: SparkSession, path: str, columns: list[str], encoding: s
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, f"file string, line int, {fields}")
 
 
-def archive_members(spark: SparkSession, path: str, suffix: str = ".xml", depth: int = 2) -> DataFrame:
+def opened(path: str):
+    """A file where it lies, of the local or shared disk or of a store that pyarrow reaches."""
+    if "://" not in path and not path.startswith("file:"):
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+    return store.open_input_file(inner)
+
+
+def archive_members(spark: SparkSession, path: str, suffix: str = ".xml", depth: int = 2, in_place: bool = False) -> DataFrame:
     """(archive, member, content, bytes, sha256) of all members with the suffix, by name; archives within archives are opened ``depth`` deep.
 
-    Members that would leave their folder are an error, and so are two whose names differ in case only.
+    Members that would leave their folder are an error, and so are two whose names differ in case only. A row holds an archive of 2 GB at most;
+    ``in_place`` reads larger ones member by member where they lie.
     """
 
-    def members(name: str, data: bytes, level: int) -> Iterator[tuple[str, bytes]]:
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+    def members(name: str, source: io.IOBase | bytes, level: int) -> Iterator[tuple[str, bytes]]:
+        with zipfile.ZipFile(io.BytesIO(source) if isinstance(source, bytes) else source) as archive:
             entries = sorted((i for i in archive.infolist() if not i.is_dir()), key=lambda i: i.filename)
             folded = [i.filename.casefold() for i in entries]
             if len(set(folded)) != len(folded):
@@ -84,11 +95,13 @@ def archive_members(spark: SparkSession, path: str, suffix: str = ".xml", depth:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for archive, content in zip(pdf.path, pdf.content):
-                for member, data in members(archive, bytes(content), depth):
-                    yield pd.DataFrame({"archive": [archive], "member": [member], "content": [data]})
+            for archive, content in zip(pdf.path, [None] * len(pdf) if in_place else pdf.content):
+                with opened(archive) if in_place else io.BytesIO(bytes(content)) as source:
+                    for member, data in members(archive, source, depth):
+                        yield pd.DataFrame({"archive": [archive], "member": [member], "content": [data]})
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
+    files = spark.read.format("binaryFile").load(path)
+    rows = files.select("path", *[] if in_place else ["content"]).mapInPandas(run, "archive string, member string, content binary")
     return rows.withColumn("bytes", F.length("content").cast("long")).withColumn("sha256", F.sha2("content", 256))
 
 

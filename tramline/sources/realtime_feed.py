@@ -111,6 +111,52 @@ def rows_of(data: bytes) -> Iterator[dict[str, object]]:
                     yield base | {"kind": "alert"} | text | target | period
 
 
+def _varint(n: int) -> bytes:
+    n &= (1 << 64) - 1
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number: int, value: object, kind: str) -> bytes:
+    if kind == "float":
+        return _varint(number << 3 | 5) + struct.pack("<f", value)
+    if kind in ("number", "signed"):
+        return _varint(number << 3) + _varint(int(value))
+    body = value if isinstance(value, bytes) else str(value).encode()
+    return _varint(number << 3 | 2) + _varint(len(body)) + body
+
+
+def message(row: dict[str, object], wanted: dict[tuple[int, ...], tuple[str, str]]) -> bytes:
+    """The reverse of picked(): a message of a row's values that aren't null."""
+    out = b""
+    for number in sorted({path[0] for path in wanted}):
+        if (number,) in wanted:
+            name, kind = wanted[number,]
+            out += _field(number, row[name], kind) if row.get(name) is not None else b""
+        elif body := message(row, {path[1:]: v for path, v in wanted.items() if path[0] == number}):
+            out += _field(number, body, "text")
+    return out
+
+
+def feed_of(rows: list[dict[str, object]], timestamp: int) -> bytes:
+    """A full feed of rows as rows_of() tells them: vehicles, and stops, those of an entity's id together in its trip update."""
+    head = _field(1, "2.0", "text") + _field(3, timestamp, "number")
+    entities: dict[str, bytes] = {}
+    for row in rows:
+        key = str(row["entity_id"])
+        if row["kind"] == "vehicle":
+            entities[key] = _field(VEHICLE_PART, message(row, VEHICLE), "text")
+        elif row["kind"] == "stop":
+            entities.setdefault(key, _field(1, message(row, _TRIP), "text"))
+            entities[key] += _field(2, message(row, STOP), "text")
+    updates = {str(r["entity_id"]) for r in rows if r["kind"] == "stop"}
+    body = b"".join(_field(2, _field(ENTITY_ID, k, "text") + (_field(TRIP_UPDATE, v, "text") if k in updates else v), "text") for k, v in entities.items())
+    return _field(1, head, "text") + body
+
+
 def feed_rows(payloads: DataFrame) -> DataFrame:
     """Rows of captured payloads (path, content); one that is no feed gives a row of the kind ``broken``. No entities, no rows."""
     names = [part.split()[0] for part in SCHEMA.split(", ")]
