@@ -354,3 +354,27 @@ query(
        SELECT vehicle, stop_id, CASE WHEN NOT coalesce(o - i < 10, false) THEN i END AS arrival, CASE WHEN NOT coalesce(o - i < 10, false) THEN o END AS departure, CASE WHEN o - i < 10 THEN c END AS passage FROM p""",
 )(lambda f: realtime.stop_events(f["position"], f["mark"], "vehicle"))
 query("observations_by_day", "claim", "SELECT CAST(event_time AS DATE) AS day, count(*) AS n FROM claim GROUP BY 1")(lambda f: f["claim"].groupBy(F.to_date("event_time").alias("day")).agg(F.count("*").alias("n")))
+
+# feeds
+
+query("feed_routes", "agency route trip location trip_call service_calendar service_exception shape_point", "SELECT route_id, agency_id, gtfs_route_type AS route_type FROM route")(lambda f: export.feed(f)["routes.txt"][0])
+query(
+    "feed_stops",
+    "agency route trip location trip_call service_calendar service_exception shape_point",
+    """WITH u AS (SELECT boarding_point_id AS u FROM trip_call WHERE passenger_service UNION SELECT location_id FROM trip_call WHERE passenger_service), d AS (SELECT * FROM location WHERE kind <> 'operational_point' AND location_id IN (SELECT u FROM u WHERE u IS NOT NULL))
+       SELECT location_id AS stop_id, name AS stop_name, latitude AS stop_lat, longitude AS stop_lon, CAST(CASE kind WHEN 'stop_place' THEN 1 ELSE 0 END AS INT) AS location_type, parent_location_id AS parent_station FROM location
+       WHERE kind <> 'operational_point' AND location_id IN (SELECT location_id FROM d UNION SELECT parent_location_id FROM d WHERE parent_location_id IS NOT NULL)""",
+)(lambda f: export.feed(f)["stops.txt"][0].withColumnRenamed("parent_station?", "parent_station"))
+query(
+    "feed_trips",
+    "agency route trip location trip_call service_calendar service_exception shape_point",
+    "SELECT route_id, service_id, trip_id, headsign AS trip_headsign, direction AS direction_id, shape_id FROM trip",
+)(lambda f: export.feed(f)["trips.txt"][0].toDF("route_id", "service_id", "trip_id", "trip_headsign", "direction_id", "shape_id"))
+query("extension_trips", "route trip trip_call call_zone source_trip_map", "SELECT t.trip_id, string_agg(DISTINCT source_id || ':' || trip_namespace || ':' || source_trip_id, '|' ORDER BY source_id || ':' || trip_namespace || ':' || source_trip_id) AS source_trip_ids FROM trip t JOIN source_trip_map USING (trip_id) GROUP BY t.trip_id")(
+    lambda f: export.extensions(f)["cz_trips.txt"][0]
+)
+query(
+    "extension_zones",
+    "route trip trip_call call_zone source_trip_map",
+    """SELECT DISTINCT trip_id, CAST(k AS INT) AS stop_sequence, fare_system_id, zone_id FROM call_zone JOIN (SELECT trip_id, sequence, row_number() OVER (PARTITION BY trip_id ORDER BY sequence) AS k FROM trip_call WHERE passenger_service) USING (trip_id, sequence)""",
+)(lambda f: export.extensions(f)["cz_trip_stop_zones.txt"][0])
