@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that a pass hands to its step at once, whatever the batches' size.
-SLICE = 1_024
+#: Rows, and bytes of texts and lists, that a pass hands to its step at once, whatever the batches' size.
+SLICE, SLICE_BYTES = 1_024, 4 << 20
 #: Rows a side may have to be broadcast; the side is counted first, and salted joins take over beyond it.
 BROADCAST_ROWS = 200_000
 #: Rows of one key that a split join gives to one task.
@@ -57,23 +60,53 @@ def tidy(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows in an Arrow batch to a slice: with long texts the default of 10,000 rows is too much for a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= SLICE:
-        spark.conf.set(key, str(SLICE))
+    """Lowers the session's rows and bytes in an Arrow batch to what a worker holds easily: with long texts the defaults are too much."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 * SLICE_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE rows, and of about SLICE_BYTES of texts and lists unless one row has more."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            sizes += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    for k, before in enumerate((np.cumsum(sizes) - sizes).tolist()):
+        if k == at:
+            start = before
+        elif k - at >= SLICE or before + int(sizes[k]) - start > SLICE_BYTES:
+            yield batch.slice(at, k - at)
+            at, start = k, before
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def give_back() -> None:
+    """Hands a worker's free memory to the system: workers wait for other tasks with what they have."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def arrow_pass(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: T.StructType | str) -> DataFrame:
-    """A narrow pass: step gives the columns of schema (lists or arrays) for each batch; rows may grow or shrink."""
+    """A narrow pass: step gives the columns of schema (lists or arrays) for each slice of a batch; rows may grow or shrink."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
+        for batch in (part for whole in batches for part in slices(whole)):
             out = step(batch)
             columns = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f, x in zip(arrow, (out[f.name] for f in arrow))]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            del out, columns
+        give_back()
 
     return df.mapInArrow(run, kind)
 

@@ -26,7 +26,7 @@ SMOOTH = 0.01
 #: Words of more characters are scored one by one, over their pieces at once, the others by lengths.
 SHORT = 64
 #: Words whose scores a process keeps.
-CACHE = 250_000
+CACHE = 150_000
 #: Mark of a word's start in the vocabulary.
 START = "▁"
 UNKNOWN = "und"
@@ -253,7 +253,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> dic
 
     Documents with a text, a lang and an id whose crc32 leaves no remainder 2 by 4. Of each language about
     ``sample`` are taken, by a hash of the id: under the share that gives as many, all if there are
-    fewer. The result has a vocabulary's pieces for each language at most.
+    fewer. The result has a vocabulary's pieces, and the single characters seen, for each language. A null
+    text, lang or id takes no part, nor does a text without letters; a language of such texts only is not learned. Repeated
+    rows count each. Empty table: no languages.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
