@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import arrow_pass, cut, join_bounded
+from .common import BROADCAST_ROWS, SPLIT_ROWS, arrow_pass, cut, give_back, hot_keys, join_bounded, split_join, tidy, unused
 
 WORDS, SEED, BITS = 3, 42, 64
 #: Bits in which linked fingerprints differ at most.
 ERRORS = 3
 #: Fingerprints that one task joins at most; a larger group is cut into parts, and each pair of parts is a task.
 GROUP = 8_192
+#: Shingles of a bucket's texts that a task holds about twice.
+GROUP_SHINGLES = 4_000_000
 #: Entries of a trie node that are compared at once rather than split further.
 LEAF = 32
 
@@ -32,8 +34,10 @@ NEAR_WORDS, SIMILAR = 5, (4, 5)
 BANDS, MINIMA = 32, 4
 #: Minima that agree in a pair worth the exact check; at similarity 0.8 fewer do about three times in a million.
 LEAST_EQUAL = 82
+#: Texts of a bucket from which its first comparisons are with its most central text.
+LARGE = 64
 #: Rounds in which a bucket's texts are only compared with one of them, before the others are compared with each other.
-STARS = 3
+STARS = 2
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -147,6 +151,7 @@ def links(classes: DataFrame, errors: int = ERRORS, group: int = GROUP) -> DataF
         for key, mine, fp in whole_groups(batches):
             found = group_links(key, mine, fp, errors)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+        give_back()
 
     return parts.select("block", "value", "p", "q", "mine", "fp").mapInArrow(run, "a long, b long")
 
@@ -210,15 +215,17 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, root) for each vertex of an edge: root is the smallest fp of its component.
 
     Each round every vertex takes the smallest root among its neighbours, and then its root's root;
-    the rounds end when none changes. Each is written, so lost executors cost one round.
+    the rounds end when none changes. Each is written, so lost executors cost one round. A vertex with
+    many neighbours, and a root of many, are dealt over several tasks.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    hubs = hot_keys(both, "b")
     roots = cut(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        near = both.join(roots, both["b"] == roots["fp"]).groupBy("a").agg(F.min("root").alias("near"))
-        better = roots.join(near, roots["fp"] == near["a"]).select("fp", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        above = roots.select(F.col("fp").alias("_fp"), F.col("root").alias("above"))
-        new = cut(better.join(above, better["root"] == above["_fp"], "left").select("fp", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
+        near = split_join(both, "b", roots.select(F.col("fp").alias("_fp"), "root"), "_fp", F.col("a"), hot=hubs).groupBy("a").agg(F.min("root").alias("near"))
+        better = cut(roots.join(near, roots["fp"] == near["a"]).select("fp", F.col("root").alias("old"), F.least("root", "near").alias("root")))
+        above = better.select(F.col("root").alias("_root")).distinct().join(roots.select("fp", F.col("root").alias("above")), F.col("_root") == F.col("fp")).select(F.col("_root").alias("root"), "above")
+        new = cut(join_bounded(better, above, "root", F.col("fp")).select("fp", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
         changed = new.filter("old != root").limit(1).count()
         roots = new.select("fp", "root")
         if not changed:
@@ -258,61 +265,75 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(least: np.ndarray) -> np.ndarray:
+    """A bucket for each band: the band's number and its minima."""
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(MINIMA):
+        out = _mixed(out + least.reshape(BANDS, MINIMA)[:, k])
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp, buckets, minima): fp names the set of shingles; a bucket is a band and its minima, and of each minimum a byte is kept."""
+    """(doc_id, text_key, fp, buckets): fp names the set of shingles."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def step(batch: pa.RecordBatch) -> dict:
-        fps, buckets, kept = [], [], []
-        for text in batch.column(1).to_pylist():
-            shingles = shingle_set(text)
-            least = minima(shingles)
-            fps.append(signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)))
-            band = np.arange(BANDS, dtype=np.uint64)
-            for k in range(MINIMA):
-                band = _mixed(band + least.reshape(BANDS, MINIMA)[:, k])
-            buckets.append(band.view(np.int64))
-            kept.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
-        return {"doc_id": batch.column(0), "text_key": batch.column(2), "fp": fps, "buckets": buckets, "minima": kept}
+        sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
+        fps = [signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets]
+        return {"doc_id": batch.column(0), "text_key": batch.column(2), "fp": fps, "buckets": [bands(minima(x)) for x in sets]}
 
-    return arrow_pass(rows.withColumn("text_key", F.xxhash64("text")), step, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long, buckets array<long>, minima binary")
+    return arrow_pass(rows.withColumn("text_key", F.xxhash64("text")), step, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long, buckets array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets (fp, shingles) have the similarity, by exact count."""
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("_y"))
+    """Those of the pairs (a, b; written) whose sets (fp, shingles) have the similarity, by exact count. b can be of many pairs, a of few."""
+    left = sets.select(F.col("fp").alias("_a"), F.col("shingles").alias("_x"))
+    right = sets.select(F.col("fp").alias("_b"), F.col("shingles").alias("_y"))
     sizes = F.size("_x") + F.size("_y")
-    both = pairs.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_x", "_y")))
+    first = pairs.join(left, F.col("a") == F.col("_a"))
+    both = split_join(first, "b", right, "_b", F.col("a"), hot=hot_keys(pairs, "b")).withColumn("_n", F.size(F.array_intersect("_x", "_y")))
     return both.filter(F.col("_n") * SIMILAR[1] >= (sizes - F.col("_n")) * SIMILAR[0]).select("a", "b")
 
 
-def across(members: DataFrame, group: int = GROUP) -> DataFrame:
-    """(a, b): pairs of a bucket's members (bucket, fp, root, minima) with different roots and enough equal minima.
+def across(members: DataFrame, group: int = GROUP, shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(a, b): links between a group's members (hub, fp, root, common, shingles, minima) that join different roots.
 
-    Large buckets are cut into parts, each pair of parts a task's group, as in links().
+    A pair needs enough equal minima, and enough shingles that any other text has too: of a text ``common`` are, and two
+    texts can't share more than the fewer. Then the shingles are counted, and only a link that joins two roots of the task's own forest
+    is told. Large groups are cut into parts, by texts and by shingles, each pair of parts a task's group, as in links().
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")).filter("open")
-    parts = sizes.select("bucket", F.ceil(F.col("n") / (group / 2)).cast("int").alias("parts"))
-    mine = members.join(parts, "bucket").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    sizes = members.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"), (F.min("root") != F.max("root")).alias("open")).filter("open")
+    cuts = F.greatest(F.ceil(F.col("n") / (group / 2)), F.ceil(F.col("bytes") / (8 * shingles))).cast("int")
+    parts = cut(sizes.select("hub", "n", cuts.alias("parts")))
+    hot = parts.filter(F.col("n") > SPLIT_ROWS).select("hub", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("split"))
+    mine = split_join(members, "hub", parts.select(F.col("hub").alias("_hub"), "parts"), "_hub", F.col("fp"), hot=hot).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = pairs.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "fp", "root", "minima")
-    dealt = keyed.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "mine", "fp")
+    keyed = pairs.select("hub", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "fp", "root", "common", "shingles", "minima")
+    dealt = keyed.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "mine", "fp")
+    more, of = SIMILAR[0], SIMILAR[0] + SIMILAR[1]
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         _, p, q = rows[0][:3]
-        mine, fp, root = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5))
-        least = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        mine, fp, root, common = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3, 7))
+        sets = [np.frombuffer(r[7], dtype=np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        least = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
         names, at, n = np.unique(root, return_inverse=True, return_counts=True)
-        out = []
+        forest, out = Forest(len(names)), []
         largest = at == int(n.argmax())
         for i in np.flatnonzero(~largest):  # of two members with different roots one isn't of the largest
-            fit = (root != root[i]) & (largest | (fp > fp[i]))
+            fit = (root != root[i]) & (largest | (fp > fp[i])) & (of * np.minimum(common, common[i]) >= more * (size + size[i]))
             if p != q:
                 fit &= mine != mine[i]
             js = np.flatnonzero(fit)
             js = js[(least[js] == least[i]).sum(axis=1) >= LEAST_EQUAL]
-            out += [(min(int(fp[i]), x), max(int(fp[i]), x)) for x in fp[js].tolist()]
+            for j in js.tolist():
+                if forest.root(int(at[i])) == forest.root(int(at[j])):
+                    continue
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if of * shared >= more * int(size[i] + size[j]):
+                    forest.link(int(at[i]), int(at[j]))
+                    out.append((int(fp[i]), int(fp[j])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,50 +341,79 @@ def across(members: DataFrame, group: int = GROUP) -> DataFrame:
         for _, g in itertools.groupby(rows, key=lambda r: r[:3]):
             if found := compare(list(g)):
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        give_back()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_links(docs: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
-    """(a, b): links between sets of shingles (rows: fp, text_key, buckets, minima) with the components of all similar pairs.
+    """(a, b): links between sets of shingles (rows: fp, text_key, buckets) with the components of all similar pairs.
 
-    Texts that share a bucket are compared, first for a few rounds with one text of it only, which joins
-    most of a large group of near copies; then those of a bucket that aren't yet joined with each other.
+    Texts that share a bucket are compared, first for a few rounds with one text of it only, which joins most of a large group
+    of near copies: at first, in a large bucket, that with the most others in its buckets. Then those are that aren't yet joined: all
+    texts of the buckets that had the same text for their first are one group, so a text goes to few, however many buckets it shares.
     """
-    one = cut(rows.groupBy("fp").agg(F.min_by(F.struct("text_key", "buckets", "minima"), "text_key").alias("x")).select("fp", "x.*"))
+    spark = docs.sparkSession
+    one = cut(rows.groupBy("fp").agg(F.min_by(F.struct("text_key", "buckets"), "text_key").alias("x")).select("fp", "x.*"))
     each = one.select("fp", F.explode("buckets").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    dealt = cut(each.join(shared, "bucket"))
-    wanted = cut(dealt.select("fp").distinct().join(one.select("fp", "text_key", "minima"), "fp"))
+    sizes = cut(each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    hot = cut(sizes.filter(F.col("n") > SPLIT_ROWS).select("bucket", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("parts")))
+    dealt = cut(split_join(each, "bucket", sizes.withColumnRenamed("bucket", "_bucket"), "_bucket", F.col("fp"), hot=hot))
+    tidy(spark)
 
     def step(batch: pa.RecordBatch) -> dict:
         return {"fp": batch.column(1), "shingles": [shingle_set(x).view(np.int64) for x in batch.column(0).to_pylist()]}
 
-    keyed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    texts = join_bounded(keyed, wanted.groupBy("text_key").agg(F.min("fp").alias("fp")), "text_key", F.length("text"), "inner").select("text", "fp")
-    sets = cut(arrow_pass(texts, step, "fp long, shingles array<long>").groupBy("fp").agg(F.any_value("shingles").alias("shingles")))
-    found = None
-    open_ = dealt
+    wanted = cut(dealt.select("fp").distinct().join(one.select("fp", "text_key"), "fp").groupBy("text_key").agg(F.min("fp").alias("fp")))
+    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    texts = join_bounded(keyed, wanted, "text_key", F.col("doc_id"), "inner").select("text", "fp")
+    sets = cut(arrow_pass(texts.dropDuplicates(["fp"]), step, "fp long, shingles array<long>"))
+    tidy(spark)
+    large = dealt.filter(F.col("n") > LARGE)
+    central = large.join(large.groupBy("fp").agg(F.sum(F.col("n") - 1).alias("weight")), "fp").groupBy("bucket").agg(F.max_by("fp", F.struct("weight", "fp")).alias("hub"))
+    small = dealt.filter(F.col("n") <= LARGE).groupBy("bucket").agg(F.max_by("fp", F.xxhash64("fp", F.lit(0))).alias("hub"))
+    hubs = heads = cut(central.unionByName(small).select(F.col("bucket").alias("_bucket"), "hub", F.col("hub").alias("hub_root")))
+    found, open_ = None, dealt.select("bucket", "fp", F.col("fp").alias("root"))
     for k in range(STARS):
-        hubs = open_.groupBy("bucket").agg(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("hub"))
-        pairs = open_.join(hubs, "bucket").filter("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+        if k:
+            best = F.max_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(k))).alias("x")
+            hubs = open_.groupBy(F.col("bucket").alias("_bucket")).agg(best).select("_bucket", F.col("x.fp").alias("hub"), F.col("x.root").alias("hub_root"))
+        pairs = cut(split_join(open_, "bucket", hubs, "_bucket", F.col("fp"), hot=hot).filter("root <> hub_root").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
         new = similar(pairs, sets)
         found = cut(new if found is None else found.union(new))
-        roots = components(one, found)
-        members = dealt.join(roots, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
-        mixed = members.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("bucket")
-        open_ = cut(members.join(mixed, "bucket"))
-    rest = across(open_.join(wanted.select("fp", "minima"), "fp").select("bucket", "fp", "root", "minima"), group)
-    return cut(found.union(similar(rest, sets)))
+        # a text goes by the least hub that it is linked to, or by this one's: texts that go by one are joined
+        own = cut(found.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("hub")))
+        above = own.join(found.select(F.col("b").alias("fp")).distinct(), "fp").select(F.col("fp").alias("hub"), F.col("hub").alias("next"))
+        label = join_bounded(own, above, "hub", F.col("fp")).select("fp", F.coalesce("next", "hub").alias("root"))
+        members = cut(dealt.select("bucket", "fp").join(label, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root")))
+        mixed = members.groupBy(F.col("bucket").alias("_bucket")).agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("_bucket")
+        open_ = cut(split_join(members, "bucket", mixed, "_bucket", F.col("fp"), hot=hot))
+        tidy(spark)
+    own = sets.join(open_.select("fp").distinct(), "fp").select("fp", "shingles")
+    lone = own.select("fp", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n = 1").groupBy("fp").agg(F.count("*").alias("lone"))
+    common = F.size("shingles") - F.coalesce("lone", F.lit(0))
+    some = own.join(lone, "fp", "left").select("fp", "shingles", common.alias("common")).filter(F.col("common") * SIMILAR[1] >= F.size("shingles") * SIMILAR[0])
+
+    def sign(batch: pa.RecordBatch) -> dict:
+        own = [np.array(x, dtype=np.int64).view(np.uint64) for x in batch.column(1).to_pylist()]
+        least = [minima(x) for x in own]
+        return {
+            "fp": batch.column(0), "common": batch.column(2), "shingles": [x.tobytes() for x in own],
+            "minima": [(x >> np.uint64(24)).astype(np.uint8).tobytes() for x in least],
+        }
+
+    bound = cut(arrow_pass(some, sign, "fp long, common long, shingles binary, minima binary"))
+    grouped = split_join(open_, "bucket", heads.select("_bucket", F.col("hub").alias("group")), "_bucket", F.col("fp"), hot=hot).select(F.col("group").alias("hub"), "fp", "root").distinct()
+    return cut(found.union(across(grouped.join(bound, "fp"), group)))
 
 
 def _components_of(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id) for each of the rows; classes: fp and its least doc_id."""
     roots = components(classes, edges)
-    of = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = cut(of.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
-    return rows.select("doc_id", "text_key", "fp").join(labels, rows["fp"] == labels["_fp"]).drop("_fp")
+    of = cut(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = of.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
+    labels = cut(split_join(of, "root", ids, "_root", F.col("fp")).select(F.col("fp").alias("_fp"), "root", "component_id"))
+    return split_join(rows.select("doc_id", "text_key", "fp"), "fp", labels, "_fp", F.struct("doc_id", "text_key"))
 
 
 def near_fingerprints(docs: DataFrame, errors: int = ERRORS, group: int = GROUP) -> DataFrame:
@@ -386,18 +436,31 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     return _components_of(rows, classes, near_links(docs, rows, group))
 
 
-def keep_one(docs: DataFrame, find: Callable[..., DataFrame] = near_fingerprints, **options) -> DataFrame:
+def keep_one(docs: DataFrame, find: Callable[..., DataFrame] = near_fingerprints, rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """docs without near-duplicates: of each component that find tells the row with its smallest doc_id stays.
 
     Rows repeated with that doc_id and text stay once. A component without a doc_id keeps its
     smallest text key. Null and empty texts are one component. Empty table: no rows.
+
+    What goes is told by keys: up to ``rows`` of them are broadcast, so that texts stay where they are; beyond that rows meet
+    the keys that stay by a shuffle.
     """
     found = cut(find(docs, **options))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_key").alias("_key"), F.first("doc_id").alias("_id")).drop("root")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = keyed.join(first, (keyed["_text_key"] == first["_key"]) & keyed["doc_id"].eqNullSafe(first["_id"]))
-    order = W.Window.partitionBy("_text_key", "doc_id").orderBy(F.lit(1))
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)
+    tidy(docs.sparkSession)
+    key, own, nth = (unused(n, docs.columns) for n in ("text_key", "own_id", "nth"))
+    named = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit("none"))
+    keys = cut(found.groupBy(F.col("text_key").alias(key), named.alias(own)).agg(F.count("*").alias("_n"), F.min("root").alias("_root"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_first")))
+    first = cut(keys.filter("_first").groupBy("_root").agg(F.min(F.struct(key, own)).alias("_x")).select(F.col(f"_x.{key}").alias(key), F.col(f"_x.{own}").alias(own)))
+    going = cut(keys.join(first, [key, own], "left_anti").select(key, own))
+    again = cut(keys.filter("_n > 1").join(first, [key, own], "left_semi").select(key, own))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn(own, named)
+    once = F.row_number().over(W.Window.partitionBy(key, own).orderBy(F.lit(1)))
+    if going.count() + again.count() > rows:  # rows that repeat an id and a text go before the join, most of them where they are read
+        kept = keyed.withColumn(nth, once).filter(F.col(nth) == 1).join(first, [key, own])
+    else:
+        staying = keyed.join(F.broadcast(going.unionByName(again)), [key, own], "left_anti")
+        kept = staying.unionByName(keyed.join(F.broadcast(again), [key, own], "left_semi").withColumn(nth, once).filter(F.col(nth) == 1).drop(nth)) if again.count() else staying
+    return kept.select(*[kept[c] for c in docs.columns])
 
 
 def op10_simhash(docs: DataFrame) -> DataFrame:
