@@ -29,12 +29,12 @@ DROP_WORDS = frozenset(
     " footer gdpr header login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification outbrain pager pagination popup promo promotion recommended related replies respond"
     " share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola teaser teasers toc toolbar tooltip topbar tracking warning widget widgets".split()
 )
-PLACES = frozenset("area bar bottom box buttons container global left links list main message mobile page primary right secondary site slot top wrap wrapper".split())
+PLACES = frozenset("area articles bar bottom box buttons container form global left links list main message mobile page posts primary reader readers right secondary site slot stories top user users wrap wrapper".split())
 #: What can stand in a head; anything else ends it.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Whole names that tell the same anywhere, within an article too.
 DROP_NAMES = frozenset(
-    "ad ads advert adverts advertisement adbox breadcrumb breadcrumbs comment comments commentlist comment-list comments-area comments-list comment-section comments-section cookie-notice cookie-banner cookie-bar cookie-consent"
+    "ad ads advert adverts advertisement adbox breadcrumb breadcrumbs comment comments commentlist comment-list comments-area comments-list comment-section comments-section reader-comments user-comments cookie-notice cookie-banner cookie-bar cookie-consent"
     " consent-banner disqus disqus-thread footer masthead nav navbar newsletter-signup outbrain pagination related-articles related-posts share-buttons sharing-buttons site-footer site-nav social-share sidebar sidebars taboola".split()
 )
 DROP_ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar tooltip".split())
@@ -297,7 +297,11 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): for each host the container path with the most votes, ties to the smaller path."""
+    """(host, path): for each host the container path with the most votes, ties to the smaller path.
+
+    A null URL, or one without ://, is of the host without a name. Null and empty html, and pages without text outside what is dropped,
+    have no votes; a host of such pages only has no row. Repeated rows vote each. Empty table: no rows.
+    """
 
     def step(batch: pa.RecordBatch) -> dict:
         out = [(h, p, n) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p, n in Page(x or "").votes()]
