@@ -309,6 +309,57 @@ def test_next_documents(spark, small, parts):
     assert np.mean([a for a, _ in near]) > 0.4 > np.mean([b for _, b in near])
 
 
+def chained(rows):
+    """What follows each row: by descending id, null last, equal ids by the hash of their text."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1] or ""), r[1] or ""))
+    return [(a[0], (a[1] or ""), (b[1] or "")) for a, b in zip(order, order[1:] + order[:1])]
+
+
+def signed_hash(text):
+    return simhash.signed(xxhash.xxh64_intdigest(text.encode(), 42))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 32])
+def test_a_hot_id_is_dealt_over_tasks(spark, parts):
+    rng = random.Random(9)
+    rows = [(7 if k % 3 else None if k % 2 else k, f"text {rng.random()} of {k}", None, None, 0) for k in range(600)]
+    docs = documents(spark, rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.fingerprint, r.edited_sha256) for r in fingerprint.compare_next(docs, parts).collect())
+    assert got == sorted((i if i is not None else -1, fingerprint.of_text(a).to_hex(), hashlib.sha256(fingerprint.edited(a, b).encode()).hexdigest()) for i, a, b in chained([r[:2] for r in rows]))
+    if parts == 32:
+        own = fingerprint._dealt(docs, parts).filter("oid = 7 AND NOT guest").groupBy("part").count().collect()
+        assert len(own) > 10 and max(r["count"] for r in own) < 100
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double", "smallint"])
+def test_ids_of_other_types(spark, kind):
+    docs = documents(spark, [(k, f"t {k}", None, None, 0) for k in range(5)]).withColumn("doc_id", F.col("doc_id").cast(kind))
+    out = fingerprint.compare_next(docs)
+    assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and out.count() == 5
+    odd = documents(spark, [(1, "a", None, None, 0), (2, "b", None, None, 0)]).withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))
+    assert fingerprint.compare_next(odd).count() == 2
+
+
+def test_likeness_is_near_the_shingles_cosine(spark, small):
+    """The true cosine of the shingle counts; the sketch of 128 places errs by about 1 / sqrt(128)."""
+    def counts(text):
+        out = {}
+        for p in text.split("\n"):
+            w = p.split()
+            for s in [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []:
+                out[s] = out.get(s, 0) + 1
+        return out
+
+    docs = [r.text for r in table(spark, small, "documents").filter("n_chars > 300").orderBy("doc_id").limit(60).collect()]
+    off = []
+    for a, b in zip(docs, docs[1:]):
+        for x, y in ((a, b), (a, fingerprint.edited(a, b)), (a, a[: len(a) * 9 // 10])):
+            p, q = counts(x), counts(y)
+            true = sum(n * q.get(s, 0) for s, n in p.items()) / math.sqrt(sum(n * n for n in p.values()) * sum(n * n for n in q.values()))
+            off.append(fingerprint.likeness(fingerprint.of_text(x), fingerprint.of_text(y)) - true)
+    assert np.std(off) < 0.09 and abs(np.mean(off)) < 0.04 and max(map(abs, off)) < 0.35
+
+
 def test_next_with_ties_nulls_and_one_row(spark):
     rows = [(5, "e e", None, None, 0), (5, "e e", None, None, 0), (3, None, None, None, 0), (None, "null id", None, None, 0)]
     got = fingerprint.compare_next(documents(spark, rows), 4).collect()
@@ -352,7 +403,8 @@ def test_pages(spark, body, text):
         ("<article>one<!-- <p>no</p>", "one"),
         ("<article>a <? b > c <!d e> f <![CDATA[ > g ]]> h </> i</article>", "a c f h i"),
         ("<div><p class=warning-signs>W</p><section class=copyright-reform>C</section><div id=social-history>S</div><p class=byline>B</p><p class=legal>L</p></div>", "W\nC\nS\nB\nL"),
-        ("<div class=site-header>H</div><div class=left-sidebar>S</div><div id=main-menu>M</div><div class=ad-slot>A</div><div class=comment-list>C</div><div class=notice>N</div><p>T</p>", "T"),
+        ("<div class=site-header>H</div><div class=left-sidebar>S</div><div id=main-menu>M</div><div class=ad-slot>A</div><div class=comment-list>C</div><div class=notice>N</div><div class=related-stories>R</div><p>T</p>", "T"),
+        ("<article><p>T</p><section class=reader-comments><p>first</p></section><p class=notice>kept</p></article>", "T\nkept"),
     ],
 )
 def test_tags_are_read_as_browsers_do(source, text):
@@ -726,7 +778,9 @@ def test_license_plan_has_no_python(spark, small):
 # nearest neighbours
 
 
-def test_recall_and_exact_scores(spark, small):
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_recall_and_exact_scores(spark, small, scale):
+    small = small.replace("sf0.001", scale)
     rows = [(r.vec_id, np.array(r.embedding, dtype=np.float64)) for r in table(spark, small, "embeddings").collect()]
     ids, m = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
     got = queries.queries()["op9_nearest"](spark, small).collect()
@@ -764,6 +818,24 @@ def test_neighbours_with_ties_nulls_and_odd_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_only_the_query_s_own_row_is_left_out(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (5, [1.0, 1.0])]
+    got = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0, share=1.0).collect())
+    assert got == sorted([(1, 0, 1.0), (2, 5, 0.707107), (3, 0, 0.0), (1, 5, 0.707107), (2, 0, 0.0), (3, 0, 0.0)])
+
+
+def test_one_vector_in_most_rows(spark):
+    rng = random.Random(2)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0] if k % 3 else [rng.random() for _ in range(4)]) for k in range(6_000)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0, share=1.0, block=40).collect()
+    m = np.array([v for _, v in rows], dtype=np.float32).astype(np.float64)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(0, 6_000, 50):
+        s = (u @ u[q]).round(12)
+        expected = [i for _, i in sorted((-x, i) for i, x in enumerate(s) if i != q)[:5]]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == expected
+
+
 # SimHash
 
 
@@ -856,8 +928,10 @@ def test_near_duplicates_of_the_table(spark, small):
 
 def test_keep_one_of_repeated_rows(spark):
     rows = [(1, "a b c d", "en", "s", 1), (1, "a b c d", "en", "s", 1), (2, "a b c d", "en", "s", 1), (None, None, None, None, None), (None, "", None, None, None), (9, "other words are here", None, None, None)]
-    kept = simhash.keep_one(documents(spark, rows)).collect()
-    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, "a b c d"), (9, "other words are here")]
+    for most in (100, 0):  # by broadcast, by shuffle
+        kept = simhash.keep_one(documents(spark, rows), rows=most).collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, "a b c d"), (9, "other words are here")]
+        assert simhash.keep_one(documents(spark, rows[2:3]), rows=most).count() == 1 and simhash.keep_one(documents(spark, []), rows=most).count() == 0
 
 
 # all operators: nulls, empty and long texts, ties, repeated rows, other columns, empty tables
@@ -873,6 +947,39 @@ OPS = {
     "op8": (license_scan.op8_license_scans, "documents"),
     "op10": (simhash.op10_simhash, "documents"),
 }
+
+
+def test_odd_vectors(spark):
+    """As for the other operators; rows that take no part give no row."""
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (50, None), (None, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.0, 0.0]), (3, []), (4, [1.0])]
+    odd = spark.createDataFrame([(*r, "x", 1, 2.0, 3) for r in rows], "vec_id long, embedding array<float>, id string, rank int, score double, part int")
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in ann.op9_nearest(odd).collect()) == [(0, 1, 0), (0, 2, 1)]
+    for none in (odd.limit(0), odd.select(*[F.lit(None).cast(t).alias(c) for c, t in odd.dtypes])):
+        assert ann.op9_nearest(none).count() == 0 and ann.op9_nearest(none).columns == ["query_id", "rank", "vec_id", "score"]
+#: Names that operators use within them, with underscores or not.
+HELPERS = "_text_key _key _nth _part _small_key _small_part small_key small_part part mix_rate mix_copy _mix_rate _mix_size text_key own_id nth parts split_at split_to hash".split()
+
+
+def test_helpers_never_take_a_column_s_name(spark):
+    rows = [(k, f"words of text {k % 2}", "en", f"s{k % 3}", 5, *[f"{n}{k}" for n in HELPERS]) for k in range(6)]
+    docs = spark.createDataFrame(rows, f"{DOCS}, " + ", ".join(f"`{n}` string" for n in HELPERS))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] < 2]
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(rows)
+    for out in (secret_scan.redact(docs), language_id.keep_known(docs)):
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows)
+    big = common_join(spark, docs)
+    assert sorted(map(tuple, big.select(*docs.columns).collect())) == rows
+
+
+def common_join(spark, docs):
+    from tramline.llm import common
+
+    small = spark.createDataFrame([(f"s{k}", k) for k in range(3)], "source string, more int")
+    return common.join_bounded(docs, small, "source", F.col("doc_id"), rows=0)
+
+
 CLASH = "spans string, size long, fp long, key string, part int, host string, path string, rank int, ids array<int>, target double, component_id long, held_out boolean"
 
 

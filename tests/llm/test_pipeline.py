@@ -1,6 +1,7 @@
 """The pipeline's stages, each against brute force on its own input, and the whole of run()."""
 
 import hashlib
+import pathlib
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ def test_stages_follow_each_other(spark, small, tmp_path):
     again = corpus_pipeline.run(spark, small)
     key = ["doc_id", "ids_sha256"]
     assert sorted(map(tuple, again.select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
+    folder = pathlib.Path(again.inputFiles()[0].split(":", 1)[1].replace("//", "/")).parent.parent
+    assert [p.name for p in folder.iterdir()] == ["4-byte_bpe"]
 
 
 def test_stages_on_odd_rows(spark, tmp_path):
