@@ -334,10 +334,10 @@ def test_a_hot_id_is_dealt_over_tasks(spark, parts):
 @pytest.mark.parametrize("kind", ["int", "string", "double", "smallint"])
 def test_ids_of_other_types(spark, kind):
     docs = documents(spark, [(k, f"t {k}", None, None, 0) for k in range(5)]).withColumn("doc_id", F.col("doc_id").cast(kind))
-    out = fingerprint.compare_next(docs)
+    out = fingerprint.compare_next(docs, 4)
     assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and out.count() == 5
     odd = documents(spark, [(1, "a", None, None, 0), (2, "b", None, None, 0)]).withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))
-    assert fingerprint.compare_next(odd).count() == 2
+    assert fingerprint.compare_next(odd, 4).count() == 2
 
 
 def test_likeness_is_near_the_shingles_cosine(spark, small):
