@@ -273,7 +273,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> dic
         return pd.DataFrame({"lang": pdf.lang.iloc[0], "piece": list(found), "p": list(found.values())})
 
     out: dict[str, dict[str, float]] = {}
-    for r in picked.groupBy("lang").applyInPandas(train, "lang string, piece string, p double").collect():
+    dealt = picked.repartition(2 * len(counts), "lang")  # a number of its own, so that languages aren't put together again
+    for r in dealt.groupBy("lang").applyInPandas(train, "lang string, piece string, p double").collect():
         out.setdefault(r["lang"], {})[r["piece"]] = r["p"]
     return {k: v for k, v in out.items() if len(v) > 1}
 
