@@ -1,16 +1,14 @@
-"""Acquisition, verification, runs and feeds, all without a network."""
+"""Acquisition, verification and feeds, all without a network."""
 
-import gzip
 import hashlib
 import json
 import os
 import struct
-import sys
 
 import pytest
 
 from tramline import __main__ as cli
-from tramline.sources import acquire, realtime_feed, runner, verify
+from tramline.sources import acquire, realtime_feed, verify
 from tramline.sources.bundle import BundleError
 
 
@@ -36,38 +34,6 @@ class Net:
         return (len(body) if self.lengths else None), parts()
 
 
-BASE = "https://data.example/x"
-LISTING = {
-    f"{BASE}/2031/": b"<html><a href='../'>up</a><A HREF=JR2031.zip>a</A><a href=\"2031-02/\">b</a><a href='2031-13/'>c</a><a href='/x/2031/2031-01/'>d</a></html>",
-    f"{BASE}/2031/2031-01/": b"total 3\n-rw-r--r-- 1 me 11 one.xml.zip\n-rw-r--r-- 1 me 12 Two&.XML.GZ\n.\n..\nreadme.txt\n",
-    f"{BASE}/2031/2031-02/": b"<a href='c%20d.xml.gz'>x</a>",
-}
-
-
-def test_discovery(spark):
-    found = acquire.discover(spark, BASE, 2031, Net(LISTING))
-    assert [(f.path, f.kind) for f in found] == [("annual/JR2031.zip", "annual_zip"), ("changes/2031-01/Two&.XML.GZ", "monthly_gzip"), ("changes/2031-01/one.xml.zip", "monthly_gzip"), ("changes/2031-02/c%20d.xml.gz", "monthly_gzip")]
-    assert found[1].url == f"{BASE}/2031/2031-01/Two%26.XML.GZ"
-    with pytest.raises(acquire.AcquisitionError, match="JR2032.zip"):
-        acquire.discover(spark, BASE, 2032, Net({f"{BASE}/2032/": b"<a href=x>x</a>"}))
-    with pytest.raises(acquire.AcquisitionError, match="ftp"):
-        acquire.discover(spark, "ftp://data.example/", 2031, Net({}))
-
-
-def test_downloads(tmp_path):
-    body = gzip.compress(b"content") * 50
-    item = acquire.Remote("changes/2031-01/a.xml.zip", f"{BASE}/a", "monthly_gzip")
-    net = Net({item.url: body}, breaks=1)
-    held = acquire.download(item, tmp_path, net)
-    assert (held.bytes, held.sha256) == (len(body), hashlib.sha256(body).hexdigest()) and len(net.asked) == 2
-    assert (tmp_path / item.path).read_bytes() == body and os.listdir(tmp_path / "changes/2031-01") == ["a.xml.zip"]
-    with pytest.raises(acquire.AcquisitionError, match="connection"):
-        acquire.download(item, tmp_path / "b", Net({item.url: body}, breaks=2))
-    with pytest.raises(acquire.AcquisitionError, match="cut off"):
-        acquire.download(acquire.Remote("x", item.url, "k", 3), tmp_path / "c", Net({item.url: body}, lengths=False))
-    assert [h.path for h in acquire.download_all([acquire.Remote(p, item.url, "k") for p in "ba"], tmp_path / "d", Net({item.url: body}))] == ["a", "b"]
-
-
 def test_dictionaries(tmp_path):
     asked = {}
 
@@ -112,22 +78,6 @@ def test_extracts(tmp_path):
     assert list(acquire.polled(Net({"u": b"a"}), "u", 3, sleep=lambda s: None)) == [b"a"]
 
 
-def test_runs(tmp_path):
-    lines = [
-        'P {"event":"execution_plan","stage":"s","resolved_workers":2}', 'P {"event":"batch_started","stage":"s","batch":"a"}', 'P {"event":"batch_started","stage":"s","batch":"b"}', "P {broken",
-        'P {"event":"batch_completed","stage":"s","batch":"a"}', 'P {"event":"batch_started","stage":"t","batch":"z"}', "\x1b[31mWARN: odd\x1b[0m", 'P {"event":"phase","stage":"s","name":"merge","state":"completed"}',
-    ]
-    script = "import sys\nfor x in %r: print(x)\nprint('ERROR done'); sys.exit(int(sys.argv[1]))" % lines
-    seen = []
-    progress, _ = runner.run([sys.executable, "-c", script, "0"], tmp_path, tmp_path / "log/run.log", "P ", "s", lambda p: seen.append(len(p.open)))
-    assert (progress.most_open, progress.done, progress.last, progress.phase, progress.open) == (2, 1, "a", "merge done", {"b"})
-    assert progress.problems == {"warning": 1, "error": 1} and progress.examples["warning"] == ["WARN: odd"] and max(seen) == 2
-    assert b"\x1b[31mWARN" in (tmp_path / "log/run.log").read_bytes()
-    with pytest.raises(runner.RunFailed) as failed:
-        runner.run([sys.executable, "-c", script, "3"], tmp_path, tmp_path / "log2", "P ")
-    assert failed.value.code == 3 and failed.value.tail[-1] == "ERROR done" and failed.value.progress.most_open == 2 and failed.value.progress.open == {"b", "z"}
-
-
 def bundle(root, **changes):
     files = {
         "gtfs-intermediate/trips.txt": "route_id,trip_id\nr,t\n",
