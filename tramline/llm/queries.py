@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, hard_negatives, html_extract, language_id, license_scan, merkle, mixing, secret_scan, simhash, url_filter
+from . import ann, bpe, fingerprint, hard_negatives, html_extract, language_id, license_scan, merkle, mixing, secret_scan, simhash, substring, url_filter
 
 _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "op1_secret_scans": ("documents", secret_scan.op1_secret_scans, None),
@@ -19,6 +19,7 @@ _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]]
     "op8_license_scans": ("documents", license_scan.op8_license_scans, license_scan.SQL),
     "op9_nearest": ("embeddings", ann.op9_nearest, None),
     "op10_simhash": ("documents", simhash.op10_simhash, None),
+    "op11_substring_dedup": ("documents", substring.op11_substring_dedup, None),
     "op12_hard_negatives": ("embeddings", hard_negatives.op12_hard_negatives, hard_negatives.SQL),
     "op13_merkle": ("documents", merkle.op13_merkle, merkle.SQL),
 }
