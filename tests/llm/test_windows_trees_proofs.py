@@ -93,8 +93,8 @@ def test_one_occurrence_of_a_common_passage_leaves_a_task():
     for k in range(1_000):
         packer.add((k, k, k), keys, np.arange(30))
     batch = packer.flush()
-    sent = sum(len(x) // 16 for x in batch.column(1).to_pylist())
-    assert sent == 30 and sum(len(p.as_py()) // 4 for p in batch.column(4)) == 30_000
+    sent = sum(len(x) // 16 for x in batch.column(2).to_pylist())
+    assert sent == 30 and sum(batch.column(1).to_pylist()) == 30_000
 
 
 def test_ids_of_other_types(spark):

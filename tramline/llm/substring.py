@@ -17,7 +17,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, bounded_batches, cut, give_back, slices, tidy
@@ -31,8 +31,8 @@ HELD, CHARS = 1 << 20, 16 << 20
 PIECE = 1 << 18
 
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()), ("which", pa.binary()), ("places", pa.binary())])
-PACKED = "bucket int, keys binary, texts binary, which binary, places binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()), ("which", pa.binary()), ("places", pa.binary())])
+PACKED = "bucket int, n int, keys binary, texts binary, which binary, places binary"
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -134,8 +134,21 @@ def settled(keys: np.ndarray, which: np.ndarray, places: np.ndarray, texts: np.n
     return order, (np.bincount(group, minlength=1)[group] > 1) if len(k) else new, new
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers in two bytes each if all fit, else in four."""
+    return x.astype("<u2" if int(x.max(initial=0)) < 1 << 16 else "<u4").tobytes()
+
+
+def wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
+
+
 class Packer:
-    """What a task has found and not yet sent."""
+    """What a task has found and not yet sent.
+
+    Keys of one word are sent as its lower half: the upper one tells the bucket, and as a bucket holds about as many keys at
+    any size of the table, few others look equal. They only name more windows to look at.
+    """
 
     def __init__(self, buckets: int, later: bool, width: int):
         self.buckets, self.later, self.width = buckets, later, width
@@ -162,7 +175,8 @@ class Packer:
 
         def row(bucket: int, some: np.ndarray, with_keys: bool) -> None:
             few, again = np.unique(which[some], return_inverse=True)
-            rows.append({"bucket": bucket, "keys": keys[some].tobytes() if with_keys else b"", "texts": texts[few].tobytes(), "which": again.astype("<u4").tobytes(), "places": places[some].astype("<u4").tobytes()})
+            sent_keys = keys[some].astype("<u4" if self.width == 1 else "<u8").tobytes() if with_keys else b""
+            rows.append({"bucket": bucket, "n": len(some), "keys": sent_keys, "texts": texts[few].tobytes(), "which": narrow(again), "places": narrow(places[some])})
 
         out = order[sent]
         # keys are sorted, so buckets are ranges of them: as many slices
@@ -186,11 +200,12 @@ def marks(packed: DataFrame, buckets: int, later: bool, width: int) -> DataFrame
         keyed, plain, texts, n = ([], [], []), ([], []), [], 0
         for batch in batches:
             for r in range(batch.num_rows):
-                k, t, w, p = (np.frombuffer(batch.column(c)[r].as_py(), x) for c, x in zip(range(1, 5), ("<u8", "<i8", "<u4", "<u4")))
+                many = batch.column(1)[r].as_py()
+                k, t = (np.frombuffer(batch.column(c)[r].as_py(), x) for c, x in ((2, "<u4" if width == 1 else "<u8"), (3, "<i8")))
                 texts.append(t.reshape(-1, 3))
                 where = keyed if len(k) else plain
-                where[0].append(w.astype(np.int64) + n)
-                where[1].append(p)
+                where[0].append(wide(batch.column(4)[r].as_py(), many) + n)
+                where[1].append(wide(batch.column(5)[r].as_py(), many))
                 if len(k):
                     keyed[2].append(k.reshape(-1, width))
                 n += len(texts[-1])
@@ -208,7 +223,7 @@ def marks(packed: DataFrame, buckets: int, later: bool, width: int) -> DataFrame
             _, number = np.unique(of[:, :2], axis=0, return_inverse=True)
             number, shown = number.ravel(), np.zeros(len(of), dtype=np.int64)
             shown[number] = np.arange(len(of))
-            text, block, bit = number[which], places.astype(np.int64) >> 6, np.left_shift(np.int64(1), places.astype(np.int64) & 63)
+            text, block, bit = number[which], places >> 6, np.left_shift(np.int64(1), places & 63)
             order = np.lexsort((block, text))
             text, block, bit = text[order], block[order], bit[order]
             first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (block[1:] != block[:-1])])
@@ -251,6 +266,12 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
+def _forget(spark: SparkSession) -> None:
+    """Has the shuffles of the pass before deleted: what the first collection frees may hold others."""
+    tidy(spark)
+    tidy(spark)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chars: int = CHARS, held: int = HELD) -> DataFrame:
     """(id, n_words, n_removed, kept) for every row: kept has the words that no repeated window covers, joined by one space.
 
@@ -301,12 +322,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         give_back()
 
     frequent = cut(marks(rows.select("h1", "h2", "text").mapInArrow(find, PACKED), buckets, False, 1))
-    tidy(spark)
+    _forget(spark)
     asked = firsts.select("h1", "h2", "owner").join(frequent, ["h1", "h2"])
     on = ["h1", "h2", "owner"]
     to_extend = rows.select(*on, "text").join(asked.hint("shuffle_hash"), on).select(*on, "text", "marks")
     repeated = cut(marks(to_extend.mapInArrow(extend, PACKED), buckets, True, 2))
-    tidy(spark)
+    del asked, to_extend
+    _forget(spark)
 
     def keep(batch: pa.RecordBatch) -> dict:
         ids, first, places = batch.column(0), batch.column(2).to_pylist(), batch.column(3)
