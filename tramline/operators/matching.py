@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.names import cleaned, normal, sides
-from .derive import haversine_km
+from .derive import haversine_km, speed_veto
+from .lineage import cut
 from .overlay import best_candidate
 
 #: From the strongest to the weakest.
 METHODS = ("authority", "exact_code", "alias", "exact_name", "cleaned_name", "fuzzy_name", "estimate")
+#: Letters of a gram, and what stands before and behind a name.
+GRAM, PAD = 3, "\u0001"
 #: Kilometres of a degree of latitude, and those that a call at an open end lies north of the one before.
 DEGREE_KM, STEP_KM = 111.195, 0.3
 
@@ -24,17 +27,13 @@ def _pieces(length: Column, k: int, edits: int) -> tuple[Column, Column]:
     return (size * k + longer).cast("int"), (size + F.when(F.lit(k - n) + more >= 0, 1).otherwise(0)).cast("int")
 
 
-def fuzzy_pairs(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFrame:
-    """(point_id, object_id, edits): names (of points: _p, of objects: _o) within so many edits of each other.
-
-    So many edits leave one of edits + 1 pieces of a name as it is, moved by no more places. So pairs meet by an equal piece, its
-    number and the name's length, and no pair within the edits is missed; the distance then decides.
-    """
+def _met_by_pieces(points: DataFrame, objects: DataFrame, edits: int) -> DataFrame:
+    """(_p, _o) that meet by an equal piece, its number and the name's length: so many edits leave one of edits + 1 pieces as it is, moved by no more places."""
     there = []
     for k in range(edits + 1):
         start, size = _pieces(F.length("_o"), k, edits)
         there.append(F.struct(F.length("_o").alias("n"), F.lit(k).alias("k"), F.substring(F.col("_o"), start + 1, size).alias("piece")))
-    own = objects.filter(F.length("_o") > edits).select("object_id", "_o", F.explode(F.array(*there)).alias("x")).select("object_id", "_o", "x.*")
+    own = objects.filter(F.length("_o") > edits).select("_o", F.explode(F.array(*there)).alias("x")).select("_o", "x.*")
     asked = []
     for longer in range(-edits, edits + 1):
         n = F.length("_p") + longer
@@ -43,9 +42,56 @@ def fuzzy_pairs(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFr
             for move in range(-edits, edits + 1):
                 at = start + move
                 asked.append(F.when((at >= 0) & (n > edits), F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(F.col("_p"), at + 1, size).alias("piece"))))
-    probes = points.select("point_id", "_p", F.explode(F.array_distinct(F.array_compact(F.array(*asked)))).alias("x")).select("point_id", "_p", "x.*")
-    met = probes.join(own, ["n", "k", "piece"]).select("point_id", "object_id", "_p", "_o").distinct()
-    return met.withColumn("edits", F.levenshtein("_p", "_o")).filter(F.col("edits") <= edits)
+    probes = points.select("_p", F.explode(F.array_distinct(F.array_compact(F.array(*asked)))).alias("x")).select("_p", "x.*")
+    return probes.join(own, ["n", "k", "piece"]).select("_p", "_o")
+
+
+def _grams(names: DataFrame) -> DataFrame:
+    """(name, gram, nth, place) for each run of GRAM letters of the padded name; nth tells equal ones apart."""
+    padded = F.concat(F.lit(PAD * (GRAM - 1)), "name", F.lit(PAD * (GRAM - 1)))
+    grams = F.transform(F.sequence(F.lit(1), F.length("name") + GRAM - 1), lambda i: F.substring(padded, i, GRAM))
+    rows = names.select("name", F.posexplode(grams).alias("place", "gram"))
+    w = W.Window.partitionBy("name", "gram").orderBy("place")
+    return rows.withColumn("nth", F.row_number().over(w))
+
+
+def _rarest(names: DataFrame, counts: DataFrame, many: int) -> DataFrame:
+    """(name, n, gram, nth, place) of the ``many`` rarest grams of each name, in one order for all names."""
+    order = F.struct("often", "gram", "nth", "place")
+    kept = _grams(names).join(counts, "gram").groupBy("name").agg(F.slice(F.array_sort(F.collect_list(order)), 1, many).alias("x"))
+    return kept.select("name", F.length("name").alias("n"), F.explode("x").alias("x")).select("name", "n", "x.gram", "x.nth", "x.place")
+
+
+def _met_by_rare_grams(points: DataFrame, objects: DataFrame, edits: int) -> DataFrame:
+    """(_p, _o) that share a gram, of either's rarest ones, at places and in names of lengths that so many edits allow.
+
+    An edit changes GRAM grams at most, so names within the edits share all but GRAM * edits of the longer one's. Then the first
+    GRAM * edits + 1 of either, in any one order, have one in common; with the rarest first few names meet. Names of no more grams can share none.
+    """
+    own, asked = objects.select(F.col("_o").alias("name")), points.select(F.col("_p").alias("name"))
+    counts = _grams(own).groupBy("gram").agg(F.count("*").alias("often"))
+    there = _rarest(own, counts, GRAM * edits + 1).withColumnsRenamed({"name": "_o", "place": "_at"})
+    # grams that no object has come first and meet nothing
+    every = _grams(asked).select("gram").distinct().join(counts, "gram", "left").fillna(0, ["often"])
+    probes = _rarest(asked, every, GRAM * edits + 1).withColumnRenamed("name", "_p")
+    near = probes.withColumn("n", F.explode(F.sequence(F.col("n") - edits, F.col("n") + edits)))
+    return near.join(there, ["n", "gram", "nth"]).filter(F.abs(F.col("place") - F.col("_at")) <= edits).select("_p", "_o")
+
+
+def fuzzy_pairs(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFrame:
+    """(point_id, object_id, edits): names (of points: _p, of objects: _o) within so many edits of each other; no pair is missed.
+
+    Different names are compared once. Long ones meet by rare grams; where either is too short for that, by pieces: there both are so short that
+    pieces are few. Names no longer than the edits take no part. The distance then decides.
+    """
+    p, o = points.select("_p").filter(F.length("_p") > edits).distinct(), objects.select("_o").filter(F.length("_o") > edits).distinct()
+    # longest name that has no more grams than the edits can change
+    short = GRAM * edits - (GRAM - 1)
+    small = lambda df, c: df.filter(F.length(c) <= short + edits)
+    few = _met_by_pieces(small(p, "_p"), small(o, "_o"), edits)
+    met = _met_by_rare_grams(p, o, edits).unionByName(few).distinct()
+    names = met.withColumn("edits", F.levenshtein("_p", "_o", edits)).filter("edits >= 0")
+    return points.select("point_id", "_p").join(names, "_p").join(objects.select("object_id", "_o"), "_o").select("point_id", "object_id", "_p", "_o", "edits")
 
 
 def _hits(points: DataFrame, objects: DataFrame, left: Column, right: Column, method: str) -> DataFrame:
@@ -109,6 +155,33 @@ def estimates(calls: DataFrame, known: DataFrame) -> DataFrame:
     return open_.groupBy("point_id").agg(F.min_by(F.struct(lon.alias("longitude"), lat.alias("latitude"), two.alias("two_sided")), order).alias("x")).select("point_id", "x.*")
 
 
+def too_fast(found: DataFrame, calls: DataFrame, **limits) -> DataFrame:
+    """(point_id, object_id) of candidates that every occurrence in calls rules out, by the speed from and to neighbours with a coordinate of the authority's.
+
+    calls: trip_id, sequence, point_id, seconds. Each candidate is tried at its point's calls; calls of other points stand where the authority has them.
+    """
+    sure = found.filter("method = 'authority'").select(F.col("point_id").alias("_sure"), F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat"))
+    others = found.filter("method <> 'authority'").join(sure, F.col("point_id") == F.col("_sure"), "left_anti")
+    tried = others.groupBy("point_id", "object_id").agg(F.first("longitude").alias("longitude"), F.first("latitude").alias("latitude"))
+    here = calls.join(tried, "point_id").select("trip_id", "sequence", F.struct("point_id", "object_id").alias("candidate"), "longitude", "latitude", "seconds")
+    there = calls.join(sure, F.col("point_id") == F.col("_sure")).select("trip_id", "sequence", "_lon", "_lat", F.col("seconds").alias("_t"))
+    # a candidate's trips are told apart, as each is a row of tries of its own between the sure calls
+    own = here.select(F.struct("trip_id", "candidate").alias("_try"), "trip_id").distinct()
+    around = own.join(there, "trip_id").select("_try", "sequence", F.lit(None).cast(here.schema["candidate"].dataType).alias("candidate"), F.col("_lon").alias("longitude"), F.col("_lat").alias("latitude"), F.col("_t").alias("seconds"))
+    rows = here.select(F.struct("trip_id", "candidate").alias("_try"), "sequence", "candidate", "longitude", "latitude", "seconds").unionByName(around)
+    told = speed_veto(rows, "candidate", trip="_try", **limits).filter("vetoed AND candidate IS NOT NULL")
+    return told.select("candidate.point_id", "candidate.object_id")
+
+
+def cascade(points: DataFrame, authority: DataFrame, objects: DataFrame, aliases: DataFrame, calls: DataFrame, edits: int = 2) -> DataFrame:
+    """points with (object_id, longitude, latitude, method) by the whole cascade: candidates, those too fast left out, the best that is left, and estimates where none is.
+
+    calls: trip_id, sequence, point_id, seconds, days.
+    """
+    found = cut(candidates(points, authority, objects, aliases, edits))
+    return with_estimates(matched(points, found, too_fast(found, calls)), calls)
+
+
 def with_estimates(found: DataFrame, calls: DataFrame) -> DataFrame:
     """matched() points, those without a coordinate with the estimate of the calls, if there is one."""
     known = found.filter("longitude IS NOT NULL").select("point_id", "longitude", "latitude")

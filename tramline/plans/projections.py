@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LINE_ORDER = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 _LINES = f"(SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) AS INT) AS rn FROM {{lineitem}})"
+_LETTERS = "translate(substr(md5(c_name), 1, 9), '0123456789', 'ghijklmnop')"
 _DAY = "CAST(DATE '1995-01-01' + CAST({0} AS INT) AS DATE)"
 
 
@@ -180,7 +181,19 @@ PROJECTIONS: dict[str, str] = {
         SELECT 'T:' || CAST(l_orderkey AS STRING) AS trip_id, CAST(rn AS INT) AS sequence, CASE WHEN l_orderkey % 4 = 0 THEN 'CZ' WHEN l_suppkey % 3 = 0 THEN 'CZ' WHEN l_suppkey % 41 = 0 THEN 'FR' WHEN l_suppkey % 3 = 1 THEN 'DE' ELSE 'PL' END AS country,
                CAST(rn * 22 AS DOUBLE) AS distance_km, l_orderkey % 3 = 0 AS integrated FROM {_LINES}""",
     "matched_point": "SELECT 'SP:' || CAST(n_nationkey AS STRING) AS point_id, CAST(n_nationkey * 1.5 AS DOUBLE) AS longitude, CAST(40 + n_nationkey * 0.25 AS DOUBLE) AS latitude FROM {nation} WHERE n_nationkey % 3 > 0",
-    "word_name": "SELECT CAST(p_partkey AS INT) AS id, substr(p_name, 1, 12) AS name FROM {part} WHERE p_partkey <= 1200",
+    "word_name": "SELECT CAST(p_partkey AS INT) AS id, p_name || ' ' || CAST(p_partkey * 7 % 900 AS STRING) AS name FROM {part}",
+    # places whose names are nine letters; objects have the same, one with another letter, or other names
+    "place": f"""
+        SELECT 'P' || CAST(c_custkey AS STRING) AS point_id, CASE WHEN c_custkey % 3 = 0 THEN 'CZ' ELSE 'DE' END AS country, lpad(CAST(c_custkey AS STRING), 6, '0') AS code, {_LETTERS} AS name FROM {{customer}}""",
+    "place_authority": "SELECT lpad(CAST(c_custkey AS STRING), 6, '0') AS code, CAST(c_custkey % 30 AS DOUBLE) / 10 AS longitude, CAST(50 + c_custkey % 20 * 0.1 AS DOUBLE) AS latitude FROM {customer} WHERE c_custkey % 6 = 0",
+    "place_object": f"""
+        SELECT 'O' || CAST(c_custkey AS STRING) AS object_id, CASE WHEN c_custkey % 5 = 0 THEN 'DE' || lpad(CAST(c_custkey AS STRING), 6, '0') END AS reference,
+               CASE WHEN c_custkey % 7 < 3 THEN {_LETTERS} WHEN c_custkey % 7 < 5 THEN 'z' || substr({_LETTERS}, 2) ELSE 'other ' || {_LETTERS} END AS name,
+               CAST((c_custkey + c_custkey % 4) % 30 AS DOUBLE) / 10 AS longitude, CAST(50 + c_custkey % 20 * 0.1 AS DOUBLE) AS latitude FROM {{customer}}""",
+    "place_alias": "SELECT 'P' || CAST(c_custkey AS STRING) AS point_id, 'O' || CAST(c_custkey + 1 AS STRING) AS object_id FROM {customer} WHERE c_custkey % 29 = 0",
+    "place_call": f"""
+        SELECT 'T' || CAST(l_orderkey AS STRING) AS trip_id, CAST(rn * 10 AS INT) AS sequence, 'P' || CAST(o_custkey % 500 + l_partkey % 40 AS STRING) AS point_id,
+               CASE WHEN l_suppkey % 9 > 0 THEN CAST(rn * 2400 AS INT) END AS seconds, CAST(1 + l_orderkey % 5 AS INT) AS days FROM {_LINES} JOIN {{orders}} ON o_orderkey = l_orderkey""",
     "text_line": "SELECT doc_id, source, text FROM {documents}",
     "position": "SELECT CAST(user_id AS STRING) AS vehicle, CAST(event_id AS DOUBLE) AS seconds, CAST(event_id * 3 AS DOUBLE) AS distance FROM {events}",
     "mark": "SELECT CAST(user_id AS STRING) AS vehicle, CAST(event_id AS STRING) AS stop_id, CAST(event_id * 3 + 40 AS DOUBLE) AS at FROM {events} WHERE event_id % 17 = 0",

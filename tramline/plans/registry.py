@@ -12,7 +12,7 @@ from ..functions import names
 from ..operators import checks, derive, export, matching, overlay, reconcile, resolve
 from ..sources import readers
 from ..streaming import realtime
-from . import more  # noqa: F401  its queries register themselves
+from . import further, more  # noqa: F401  their queries register themselves
 from .base import QUERIES, Frames, Query, query
 from .projections import cte, frames
 

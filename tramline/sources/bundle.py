@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .package import canonical_json, digest_of, file_sha256, write_one
+from . import joined
+from .package import canonical_json, digest_of, file_sha256
 from .publish import storage_key
 
 #: The time that all members of a deterministic archive have: the earliest that the format knows.
@@ -138,26 +139,23 @@ def dictionary_catalog(operations: Mapping[str, DataFrame], code: str = "code")
     return {name: [{k: v for k, v in sorted(r.asDict().items()) if v not in (None, "")} for r in df.dropDuplicates([code]).orderBy(code).toLocalIterator()] for name, df in sorted(operations.items())}
 
 
-class CsvFile:
-    """A CSV with a header, nulls as empty fields and booleans as 0 and 1, as timetable feeds have it."""
-
-    def __init__(self, path: str, columns: list[str]):
-        self.file = open(path, "w", encoding="utf-8", newline="")
-        self.rows = csv.writer(self.file, lineterminator="\r\n")
-        self.rows.writerow(columns)
-
-    def write(self, batch: pa.RecordBatch) -> None:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            self.rows.writerow(["" if v is None else int(v) if isinstance(v, bool) else v for v in row])
+def write_csv(df: DataFrame, target: str | os.PathLike, order: list[str]) -> int:
+    """One CSV of sorted rows with a header, nulls as empty fields and booleans as 0 and 1, as timetable feeds have it; the number of rows.
 
-    def close(self) -> None:
-        self.file.close()
+    Its pieces are written side by side. On a cluster the target must be in a shared folder.
+    """
+    columns = df.columns
 
+    def encode(path: str, batches: list[pa.RecordBatch], group: int) -> None:
+        with open(path, "w", encoding="utf-8", newline="") as file:
+            rows = csv.writer(file, lineterminator="\r\n")
+            if not group:
+                rows.writerow(columns)
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    rows.writerow(["" if v is None else int(v) if isinstance(v, bool) else v for v in row])
 
-def write_csv(df: DataFrame, target: str | os.PathLike, order: list[str]) -> int:
-    """One CSV of sorted rows, written by a task; the number of rows. On a cluster the target must be in a shared folder."""
-    columns = df.columns
-    return write_one(df.sort(*order), str(Path(target).resolve()), lambda out: CsvFile(out, columns))
+    return joined.write_sorted(df, order, str(Path(target).resolve()), encode, lambda _, parts, path: joined.join_bytes(parts, path))
 
 
 def write_feed(tables: Mapping[str, tuple[DataFrame, list[str]]], root: str | os.PathLike) -> dict[str, int]:

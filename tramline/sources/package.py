@@ -10,8 +10,6 @@ import hashlib
 import json
 import os
 import re
-import uuid
-from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
@@ -20,9 +18,12 @@ from typing import Any
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..contract import RELATIONS, SCHEMA_VERSION, Relation
+from ..operators.checks import key_order
+from . import joined
 
 #: Manifest entries that are digests, beside one for each relation.
 DIGESTS = ("build_key_sha256", "source_set_sha256", "overlay_policy_sha256", "compiler_sha256", "compiler_options_sha256", "gtfs_sha256", "serving_sha256")
@@ -66,8 +67,8 @@ def schema_document(relation: Relation) -> list[dict[str, Any]]:
 def write_package(relations: dict[str, DataFrame], root: str | os.PathLike, manifest: dict[str, Any], prefix: str = PREFIX) -> dict[str, Any]:
     """Writes each relation sorted by its key as one file with its footer keys, and then the manifest, which is returned.
 
-    Spark sorts by ranges; one task a relation reads these in order and writes the file, as its footer must name non-null
-    fields, batch by batch. On a cluster root must be a folder that executors and driver share.
+    Row groups are sorted and written side by side, in tasks of their own, and then joined as they are: equal rows give equal bytes, however many tasks
+    there were. On a cluster root must be a folder that executors and driver share.
     """
     serving = Path(root).resolve() / "serving"
     serving.mkdir(parents=True)
@@ -76,9 +77,9 @@ def write_package(relations: dict[str, DataFrame], root: str | os.PathLike, mani
         relation = RELATIONS[name]
         schema = arrow_schema(relation)
         marks = {f"{prefix}.schema_version": str(SCHEMA_VERSION), f"{prefix}.relation": name}
-        rows = relations[name].select(*[relations[name][f.name].cast(f.dataType) for f in relation.schema]).sort(*relation.sort_key)
+        rows = relations[name].select(*[relations[name][f.name].cast(f.dataType) for f in relation.schema])
         path = str(serving / f"{name}.parquet")
-        n = write_one(rows, path, lambda out: ParquetFile(out, schema.with_metadata(marks)))
+        n = joined.write_parquet(rows, list(relation.sort_key), path, schema.with_metadata(marks), BATCH)
         return {"name": name, "schema": schema_document(relation), "sort_key": list(relation.sort_key), "path": f"serving/{name}.parquet", "sha256": file_sha256(path), "size_bytes": os.path.getsize(path), "row_count": n}
 
     with ThreadPoolExecutor(JOBS) as pool:
@@ -89,53 +90,6 @@ def write_package(relations: dict[str, DataFrame], root: str | os.PathLike, mani
     return out
 
 
-class ParquetFile:
-    """Row groups of BATCH rows whatever the batches' sizes, so that equal rows give equal bytes."""
-
-    def __init__(self, path: str, schema: pa.Schema):
-        self.schema, self.held, self.n = schema, [], 0
-        self.writer = pq.ParquetWriter(path, schema, compression="snappy")
-
-    def write(self, batch: pa.RecordBatch) -> None:
-        self.held.append(pa.RecordBatch.from_arrays(batch.columns, schema=self.schema))
-        self.n += batch.num_rows
-        while self.n >= BATCH:
-            self._group(BATCH)
-
-    def _group(self, rows: int) -> None:
-        table = pa.Table.from_batches(self.held, self.schema)
-        self.writer.write_table(table.slice(0, rows).combine_chunks(), row_group_size=BATCH)
-        self.held = table.slice(rows).to_batches()
-        self.n -= min(rows, self.n)
-
-    def close(self) -> None:
-        if self.n:
-            self._group(BATCH)
-        self.writer.close()
-
-
-def write_one(rows: DataFrame, path: str, open_: Callable[[str], Any]) -> int:
-    """Writes sorted rows as one file by one task that reads the sorted parts in order; the number of rows.
-
-    The file takes its name when it is whole, so a task that runs again doesn't mix with what it left.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        out, n = open_(part), 0
-        for batch in batches:
-            out.write(batch)
-            n += batch.num_rows
-        out.close()
-        os.replace(part, path)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    told = rows.coalesce(1).mapInArrow(run, "n long").collect()
-    if not told:  # no parts, so no task
-        open_(path).close()
-    return sum(r["n"] for r in told)
-
-
 @dataclass(frozen=True)
 class Package:
     root: Path
@@ -191,20 +145,7 @@ def _check_entry(root: Path, entry: dict[str, Any], relation: Relation, prefix:
 
 
 def check_keys(spark: SparkSession, path: str, relation: Relation) -> None:
-    """Keys rise strictly in the file's physical order: a file of one batch is read here, in a larger one Spark checks batches in parallel."""
-    keys = list(relation.sort_key)
-    if pq.read_metadata(path).num_rows <= BATCH:
-        before = None
-        for key in zip(*pq.read_table(path, columns=keys).select(keys).to_pydict().values()):
-            _need(None not in key, f"{relation.name}: null keys")
-            _need(before is None or key != before, f"{relation.name}: duplicate keys")
-            _need(before is None or key > before, f"{relation.name}: unsorted keys")
-            before = key
-        return
-    from pyspark.sql import functions as F
-
-    from ..operators.checks import key_order
-
+    """Keys rise strictly in the file's physical order: Spark checks batches of it in parallel."""
     rows = spark.read.schema(relation.schema).parquet(path).select(*relation.sort_key, F.col("_metadata.row_index").alias("_at"))
     found = {r["kind"]: r["violations"] for r in key_order(rows.withColumn("_part", F.floor(F.col("_at") / BATCH)), list(relation.sort_key), "_at", "_part").collect()}
     for kind in ("null", "duplicate", "unsorted"):

@@ -60,14 +60,48 @@ def encoded_rows(spark: SparkSession, path: str, columns: list[str], encoding: s
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, f"file string, line int, {fields}")
 
 
+class _Stored(io.RawIOBase):
+    """A file of a store, with the errors that files of a disk give."""
+
+    def __init__(self, file):
+        self._file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._file.tell()
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self._file.tell(), self._file.size())[whence]
+        if at < 0:
+            raise OSError(f"{at} is before the file")
+        self._file.seek(at)
+        return at
+
+    def readinto(self, into) -> int:
+        data = self._file.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self._file.close()
+        super().close()
+
+
 def opened(path: str):
     """A file where it lies, of the local or shared disk or of a store that pyarrow reaches."""
-    if "://" not in path and not path.startswith("file:"):
+    if path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    if "://" not in path:
         return open(path, "rb")
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
-    return store.open_input_file(inner)
+    store, inner = fs.FileSystem.from_uri(path)
+    return io.BufferedReader(_Stored(store.open_input_file(inner)), 1 << 16)
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = ".xml", depth: int = 2, in_place: bool = False) -> DataFrame:

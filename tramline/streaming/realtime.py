@@ -58,11 +58,11 @@ def downsampled(observations: DataFrame, key: str, width: str = "1 hour") -> Dat
 def as_of(observations: DataFrame, schedule: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Observations with the value of the last schedule row of their key at or before their time.
 
-    Both sides go into one window by key, so neither is broadcast nor joined by range.
+    Both sides go into one window by key, so neither is broadcast nor joined by range. Of schedule rows of one time the greatest value counts.
     """
     left = observations.withColumn("_value", F.lit(None).cast(schedule.schema[value].dataType)).withColumn("_side", F.lit(1))
     right = schedule.select(key, time, F.col(value).alias("_value")).withColumn("_side", F.lit(0))
-    w = W.Window.partitionBy(key).orderBy(time, "_side").rowsBetween(W.Window.unboundedPreceding, 0)
+    w = W.Window.partitionBy(key).orderBy(time, "_side", "_value").rowsBetween(W.Window.unboundedPreceding, 0)
     both = left.unionByName(right, allowMissingColumns=True)
     return both.withColumn(value, F.last("_value", ignorenulls=True).over(w)).filter("_side = 1").drop("_value", "_side")
 
