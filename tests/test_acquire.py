@@ -190,3 +190,28 @@ def test_feeds_written_and_read_back(spark):
     ]
     back = list(realtime_feed.rows_of(realtime_feed.feed_of(rows, 1_900_000_005)))
     assert [{k: v for k, v in r.items() if k != "feed_timestamp"} for r in back] == rows and {r["feed_timestamp"] for r in back} == {1_900_000_005}
+
+
+def test_payloads_as_a_stream(spark, tmp_path):
+    folder, out = tmp_path / "captured", tmp_path / "out"
+    folder.mkdir()
+    feed = lambda k: realtime_feed.feed_of([{"kind": "vehicle", "entity_id": f"v{k}", "trip_id": f"T{k}"}, {"kind": "vehicle", "entity_id": "w"}], 1_900_000_000 + k)
+
+    def capture(k, body):
+        (folder / f"{k}.pb").write_bytes(body)
+
+    def query():
+        rows = realtime_feed.feed_rows(realtime_feed.payload_stream(spark, str(folder), files=2))
+        q = rows.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sum(p["numInputRows"] > 0 for p in q.recentProgress)
+
+    for k in range(5):
+        capture(k, feed(k // 2))  # some payloads repeat the one before
+    capture(9, b"\xff\xff")
+    assert query() == 3
+    capture(10, feed(7))
+    capture(11, feed(0))
+    assert query() == 1
+    got = sorted((r.kind, r.entity_id, r.feed_timestamp) for r in spark.read.schema(realtime_feed.SCHEMA).parquet(str(out)).collect() if r.kind == "vehicle")
+    assert got == sorted(("vehicle", e, 1_900_000_000 + k) for k in (0, 1, 2, 7) for e in (f"v{k}", "w"))

@@ -38,16 +38,6 @@ def test_arbitration_stream_equals_batch(spark, claims, tmp_path):
     assert sorted(map(tuple, state["df"].select(*expected.columns).collect())) == sorted(map(tuple, expected.collect()))
 
 
-def test_fused_state_ends_at_the_batch_winner(spark, claims, tmp_path):
-    batch, stream = claims
-    query = realtime.fused_stream(stream.select("trip_instance", "capability", "priority", "event_time", "claim_id", "value", "eligible")).writeStream.outputMode("update").format("memory").queryName("fused").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    order = F.struct("priority", "event_time", -F.col("claim_id"))
-    last = spark.table("fused").groupBy("trip_instance", "capability").agg(F.max_by("claim_id", order).alias("claim_id"))
-    expected = realtime.arbitrate(batch, ["trip_instance"]).select("trip_instance", "capability", "claim_id")
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, expected.collect()))
-
-
 def test_window_stream_equals_batch(spark, claims, tmp_path):
     batch, stream = claims
     realtime.downsampled_stream(stream, "trip_instance").writeStream.outputMode("complete").format("memory").queryName("hourly").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
@@ -150,14 +140,31 @@ def test_stop_events(spark):
     assert got["c"][0] == pytest.approx(200 + 10 * 560 / 600) and got["c"][1:] == (None, None)
 
 
-def test_pinned_resolution_stream(spark, tmp_path):
-    maps = spark.createDataFrame([("1", "t1")], "source_trip_id string, trip_id string")
-    spark.createDataFrame([("1",), ("2",)], "source_trip_id string").write.parquet(str(tmp_path / "in"))
-    out = []
-    stream = spark.readStream.schema("source_trip_id string").parquet(str(tmp_path / "in"))
-    query = realtime.resolution_stream(stream, lambda b: b.join(maps, "source_trip_id", "left"), 7, lambda df, n: out.extend(map(tuple, df.collect())), str(tmp_path / "checkpoint")).start()
-    query.awaitTermination()
-    assert sorted(out) == [("1", "t1", 7), ("2", None, 7)]
+def test_a_query_goes_over_to_a_new_build_between_batches(spark, tmp_path):
+    maps = {7: "old", 8: "new", 9: "newest"}
+    shown, out, fail = [7], [], [2]
+    spark.range(5).selectExpr("CAST(id AS STRING) AS source_trip_id").repartition(5, "source_trip_id").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source_trip_id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def sink(df, n):
+        rows = df.collect()
+        if n in fail:
+            raise RuntimeError("the sink is down")
+        out.append((n, {(r.build_id, r.trip_id) for r in rows}))
+        if n == 0:
+            shown[0] = 8
+
+    def query():
+        realtime.resolution_stream(stream, lambda b, build: b.withColumn("trip_id", F.lit(maps[build])), lambda: shown[0], sink, str(tmp_path / "checkpoint")).start().awaitTermination()
+
+    with pytest.raises(Exception, match="the sink is down"):
+        query()
+    shown[0] = 9
+    fail.clear()
+    query()
+    # the batch that failed keeps the build that was shown when it began
+    assert out == [(0, {(7, "old")}), (1, {(8, "new")}), (2, {(8, "new")}), (3, {(9, "newest")}), (4, {(9, "newest")})]
+    assert realtime.Epochs(spark, str(tmp_path / "checkpoint")).of(2) == 8
 
 
 def test_observations_by_day(spark, tmp_path):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, spatial
+from ..operators import matching, netex, spatial
 from ..operators.lineage import shared_folder
-from ..sources import joined
+from ..sources import joined, realtime_feed
 from ..streaming import stateful
 from .base import Frames, query
 
@@ -136,3 +137,92 @@ _CASCADE = f"""
 def _cascade(f: Frames) -> DataFrame:
     found = matching.cascade(f["place"], f["place_authority"], f["place_object"], f["place_alias"], f["place_call"])
     return found.select("point_id", "object_id", F.round("longitude", 9).alias("longitude"), F.round("latitude", 9).alias("latitude"), "method")
+
+
+# captured feeds
+
+
+@query(
+    "feed_vehicles",
+    "claim",
+    """
+    SELECT CAST(claim_id AS VARCHAR) AS entity_id, 'vehicle' AS kind, trip_instance % 50 AS feed_timestamp, 'T' || trip_instance AS trip_id,
+           CAST(claim_id % 90 AS DOUBLE) AS latitude, CAST(claim_id % 180 AS DOUBLE) + 0.5 AS longitude, CASE WHEN claim_id % 3 > 0 THEN CAST(priority AS INT) END AS stop_sequence
+    FROM claim""",
+)
+def _vehicles(f: Frames) -> DataFrame:
+    """Claims are put into feeds, one for each fiftieth of the trips, and these are read again."""
+    rows = f["claim"].select(
+        (F.col("trip_instance") % 50).alias("feed"),
+        F.col("claim_id").cast("string").alias("entity_id"),
+        F.lit("vehicle").alias("kind"),
+        F.concat(F.lit("T"), "trip_instance").alias("trip_id"),
+        (F.col("claim_id") % 90).cast("double").alias("latitude"),
+        ((F.col("claim_id") % 180).cast("double") + 0.5).alias("longitude"),
+        F.when(F.col("claim_id") % 3 > 0, F.col("priority")).cast("int").alias("stop_sequence"),
+    )
+    part = F.pmod(F.xxhash64("entity_id"), F.lit(16))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.drop(columns=["feed", "part"]).astype(object)
+        body = realtime_feed.feed_of(own.where(own.notna(), None).to_dict("records"), int(key[0]))
+        return pd.DataFrame({"path": [f"{key[0]}-{key[1]}"], "content": [body]})
+
+    payloads = rows.withColumn("part", part).groupBy("feed", "part").applyInPandas(pack, "path string, content binary")
+    return realtime_feed.feed_rows(payloads).select("entity_id", "kind", "feed_timestamp", "trip_id", "latitude", "longitude", "stop_sequence")
+
+
+# a NeTEx document, written and read again
+
+_NETEX = "agency location route trip trip_call service_calendar service_exception service_note connection_claim"
+
+
+def _document(f: Frames) -> tuple[SparkSession, str]:
+    spark = f["trip"].sparkSession
+    shared_folder(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    path = f"{folder}/netex-{uuid.uuid4().hex}.xml"
+    netex.write(f, path, size=8_192)
+    return spark, path
+
+
+@query(
+    "netex_calls",
+    _NETEX,
+    """
+    SELECT trip_id, sequence, location_id, boarding_point_id, passenger_service, scheduled_arrival, scheduled_departure, scheduled_passage
+    FROM trip_call JOIN (SELECT DISTINCT trip_id FROM trip) USING (trip_id)""",
+)
+def _netex_calls(f: Frames) -> DataFrame:
+    spark, path = _document(f)
+    return netex.calls_of(netex.read(spark, f"file://{path}", "ServiceJourney", netex.JOURNEY))
+
+
+@query(
+    "netex_interchanges",
+    "trip connection_claim",
+    """
+    SELECT connection_id, origin_trip_id AS from_trip, target_trip_id AS to_trip, wait_minutes AS wait
+    FROM connection_claim WHERE resolution_status = 'resolved' AND target_trip_id IS NOT NULL""",
+)
+def _netex_interchanges(f: Frames) -> DataFrame:
+    spark, path = _document(f)
+    schema = "_id string, MaximumWaitTime string, FromJourneyRef struct<_ref: string>, ToJourneyRef struct<_ref: string>"
+    rows = netex.read(spark, f"file://{path}", "ServiceJourneyInterchange", schema)
+    wait = F.regexp_extract("MaximumWaitTime", r"^PT(-?\d+)M$", 1).cast("int")
+    return rows.select(F.col("_id").alias("connection_id"), F.col("FromJourneyRef._ref").alias("from_trip"), F.col("ToJourneyRef._ref").alias("to_trip"), wait.alias("wait"))
+
+
+@query(
+    "netex_lost",
+    "trip connection_claim",
+    """
+    SELECT 'trip' AS relation, f AS field, n AS rows
+    FROM (SELECT {'direction': count(direction), 'shape_id': count(shape_id)} AS x FROM trip), LATERAL (SELECT unnest(['direction', 'shape_id']) AS f, unnest([x.direction, x.shape_id]) AS n)
+    UNION ALL
+    SELECT 'connection_claim', f, n
+    FROM (SELECT [count(target_derivation), count(target_public_line), count(target_destination_text), count(target_location_id), count(source_snapshot_sha256)] AS x FROM connection_claim),
+         LATERAL (SELECT unnest(['target_derivation', 'target_public_line', 'target_destination_text', 'target_location_id', 'source_snapshot_sha256']) AS f, unnest(x) AS n)""",
+)
+def _netex_lost(f: Frames) -> DataFrame:
+    return netex.lost({name: f[name] for name in ("trip", "connection_claim")})

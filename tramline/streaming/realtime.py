@@ -6,13 +6,13 @@ the state: late claims are kept and flagged.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 #: How long state waits for late events.
 WATERMARK = "1 hour"
@@ -97,15 +97,57 @@ def write_observations(observations: DataFrame, path: str) -> None:
     observations.withColumn("date", F.to_date("event_time")).repartition("date", F.pmod(F.xxhash64("claim_id"), F.lit(16))).write.mode("append").partitionBy("date").parquet(path)
 
 
-def resolution_stream(observations: DataFrame, resolve: Callable[[DataFrame], DataFrame], build_id: int, sink: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    """Micro-batches of observations resolved against one build's relations, told by build_id.
+class Epochs:
+    """Which build each micro-batch was resolved against: a file a batch beside the query's checkpoint, in whatever store it is.
 
-    The build is the one that was active when the query began, and stays it: another is taken by a new query, so that no batch
-    mixes two.
+    A batch's build is written before the batch is resolved. A batch that runs again after a failure keeps it, whatever is active by
+    then; so no batch mixes two builds, and results don't depend on when a query was started again.
     """
 
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._folder = f"{checkpoint}/builds"
+
+    def _path(self, name: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(self._folder, name)
+        return path.getFileSystem(self._conf), path
+
+    def of(self, batch: int) -> int | None:
+        store, path = self._path(str(batch))
+        if not store.exists(path):
+            return None
+        file = store.open(path)
+        try:
+            return file.readLong()
+        finally:
+            file.close()
+
+    def begin(self, batch: int, active: Callable[[], int]) -> int:
+        """The batch's build: the one it had, or else the active one, which takes its name in one rename."""
+        known = self.of(batch)
+        if known is not None:
+            return known
+        build = int(active())
+        store, part = self._path(f".{batch}-{uuid.uuid4().hex}")
+        file = store.create(part)
+        file.writeLong(build)
+        file.close()
+        if not store.rename(part, self._path(str(batch))[1]):
+            raise RuntimeError(f"batch {batch} has a build already")
+        return build
+
+
+def resolution_stream(observations: DataFrame, resolve: Callable[[DataFrame, int], DataFrame], active: Callable[[], int], sink: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
+    """Micro-batches of observations, each resolved against one build's relations, told by build_id.
+
+    active tells the build that is shown now; it is asked once for each new batch, so a running query goes over to a new build between
+    batches. resolve gets a batch and its build.
+    """
+    epochs = Epochs(observations.sparkSession, checkpoint)
+
     def run(batch: DataFrame, number: int) -> None:
-        sink(resolve(batch).withColumn("build_id", F.lit(build_id)), number)
+        build = epochs.begin(number, active)
+        sink(resolve(batch, build).withColumn("build_id", F.lit(build)), number)
 
     return observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -127,39 +169,6 @@ def boxed(points: DataFrame, west: float, south: float, east: float, north: floa
     return points.filter(F.col("longitude").between(west, east) & F.col("latitude").between(south, north))
 
 
-class FusedState(StatefulProcessor):
-    """The best eligible claim so far of each key and capability, told whenever it changes."""
-
-    def __init__(self, schema: str):
-        self._schema = schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._best = handle.getValueState("best", "priority int, event_time timestamp, claim_id long, value double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self._best.get() if self._best.exists() else None
-        before = best
-        for pdf in rows:
-            for r in pdf[pdf.eligible].itertuples():
-                mine = (int(r.priority), r.event_time.to_pydatetime(), int(r.claim_id), float(r.value))
-                if best is None or (-mine[0], -mine[1].timestamp(), mine[2]) < (-best[0], -best[1].timestamp(), best[2]):
-                    best = mine
-        if best is not None and best != before:
-            self._best.update(best)
-            yield pd.DataFrame({"trip_instance": [key[0]], "capability": [key[1]], "priority": [best[0]], "event_time": [best[1]], "claim_id": [best[2]], "value": [best[3]]})
-
-    def close(self) -> None:
-        pass
-
-
-FUSED = "trip_instance long, capability string, priority int, event_time timestamp, claim_id long, value double"
-
-
-def fused_stream(claims: DataFrame) -> DataFrame:
-    """Each change of the winning claim of a trip instance's capability; needs the RocksDB state store."""
-    return claims.groupBy("trip_instance", "capability").transformWithStateInPandas(FusedState(FUSED), outputStructType=FUSED, outputMode="Update", timeMode="None")
-
-
 def arbitration_stream(claims: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
     """Micro-batches of claims for a sink that arbitrates with what it has; event_time has a watermark, but no claim is dropped."""
     return claims.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True)

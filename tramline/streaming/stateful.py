@@ -46,13 +46,18 @@ class Waiting(StatefulProcessor):
         for pdf in rows:
             some = self.take(pdf)
             if len(some):
-                self._rows.appendList(list(map(tuple, some.astype(object).where(some.notna(), None).itertuples(index=False))))
+                self._rows.appendList(self._tuples(some))
                 least = int(some[self.columns[0]].min())
                 first = least if first is None else min(first, least)
         if first is not None:
             self._look(first)
         return iter(())
 
+    def _tuples(self, rows: pd.DataFrame) -> list[tuple]:
+        """Rows as the state takes them: whole numbers beside nulls are floats in pandas, which it would read as null."""
+        kinds = [int if c.split()[1] in ("int", "long") else float for c in self.held.split(", ")]
+        return list(zip(*([None if x is None or x != x else kind(x) for x in rows[c].tolist()] for c, kind in zip(self.columns, kinds))))
+
     def _look(self, micros: int) -> None:
         self._handle.registerTimer(-(-micros // 1_000))
 
@@ -63,7 +68,7 @@ class Waiting(StatefulProcessor):
         rest, told, again = self.passed(key, rows, since, until)
         self._seen.update((until,))
         if len(rest):
-            self._rows.put(list(map(tuple, rest.astype(object).where(rest.notna(), None).itertuples(index=False))))
+            self._rows.put(self._tuples(rest))
         else:
             self._rows.clear()
         if again is not None:
