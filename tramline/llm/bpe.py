@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, cut, join_bounded
 
-#: Code points of a chunk, and how far each chunk reads into the next.
+#: Code points of a chunk that a task of its own reads, and how far each chunk reads into the next.
 CHUNK, OVERLAP = 32_768, 1_024
+#: The same of the chunks of a text that one task reads: most texts have several.
+WITHIN, WITHIN_OVERLAP = 1_024, 128
 #: Boundaries this near to a chunk's end may differ in the whole text (a contraction is three characters); a piece is read with so many characters behind it.
 MARGIN = 4
 #: Rows of one long text that get its ids in one task.
@@ -193,7 +195,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | Non
     """keep, n_tokens, ids_sha256, decoded_sha256 and, on demand, ids for every row of (…, text).
 
     Null and empty texts have no ids. Texts of more than one chunk go through chunk tasks, once for
-    each different text; others are encoded where they are read. A single match of the pattern, however
+    each different text; others are cut into smaller chunks, stitched and encoded where they are read. A single match of the pattern, however
     long, is merged in one task. Repeated rows each give a row.
     Empty table: no rows. Other columns than keep and text are not read.
     """
@@ -210,9 +212,9 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | Non
         return {name: batch.column(k) for k, name in enumerate(names)} | {k: [v[i] for i in at] for k, v in made.items()}
 
     def short(batch: pa.RecordBatch) -> dict:
-        codec, texts = encoding(path), batch.column(n).to_pylist()
+        texts = batch.column(n).to_pylist()
         place = {x: k for k, x in enumerate(dict.fromkeys(texts))}  # a text that is there several times is encoded once
-        return digests(batch, [codec.encode(x) for x in place], at=[place[x] for x in texts])
+        return digests(batch, [encode_text(x, path, min(WITHIN, chunk), min(WITHIN_OVERLAP, overlap)) for x in place], at=[place[x] for x in texts])
 
     def long(batch: pa.RecordBatch) -> dict:
         return digests(batch, batch.column(1).to_pylist(), ("_key",))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -19,7 +21,7 @@ from .common import arrow_pass
 
 #: Documents a language is learned from at most (about: hashes of ids choose them), and rounds of EM.
 SAMPLE, ROUNDS = 400, 3
-#: Longer words take no part in learning; any word is scored.
+#: Longer words are learned from in parts of so many characters.
 LEARNED = 200
 #: Added to each piece's expected count.
 SMOOTH = 0.01
@@ -33,8 +35,17 @@ UNKNOWN = "und"
 #: Sums below are scaled up by as much.
 SMALL = 1e-100
 
-#: A word is a run of letters. Digits and marks tell of no language, but of numbers and keys: scored too, they cost accuracy.
-WORD = re.compile(r"[^\W\d_]+")
+def _marks() -> str:
+    """All combining marks, as ranges for a class of a pattern."""
+    own = [k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k))[0] == "M"]
+    starts = [k for k, before in zip(own, [-2, *own]) if k != before + 1]
+    ends = [k for k, after in zip(own, [*own[1:], -2]) if after != k + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
+#: A word is a run of letters with their marks: vowel signs and accents belong to their letters. Digits and other characters tell of no language, but of
+#: numbers and keys: scored too, they cost accuracy.
+WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_marks()}])*")
 
 
 @lru_cache(maxsize=2)
@@ -93,7 +104,11 @@ def fit(words: Counter, pieces: frozenset[str], rounds: int = ROUNDS) -> dict[st
     A single character is a piece always. Words of one length are taken together: forward and backward sums go over
     all their segmentations in logarithms, as products over long words would vanish.
     """
-    parts = {START + w: n for w, n in words.items() if len(w) <= LEARNED}
+    parts: Counter = Counter()
+    for word, n in words.items():
+        whole = START + word
+        for k in range(0, len(whole), LEARNED + 1):
+            parts[whole[k : k + LEARNED + 1]] += n
     names = sorted(pieces | set("".join(parts)))
     known = Pieces(names)
     lengths: dict[int, list[str]] = {}
@@ -252,10 +267,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> dic
     """Language to piece to log probability, learned in one task for each language.
 
     Documents with a text, a lang and an id whose crc32 leaves no remainder 2 by 4. Of each language about
-    ``sample`` are taken, by a hash of the id: under the share that gives as many, all if there are
+    ``sample`` are taken, by a hash of the id and the text: under the share that gives as many, all if there are
     fewer. The result has a vocabulary's pieces, and the single characters seen, for each language. A null
     text, lang or id takes no part, nor does a text without letters; a language of such texts only is not learned. Repeated
-    rows count each. Empty table: no languages.
+    rows count each, and are sent as one. Empty table: no languages.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
@@ -263,12 +278,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> dic
     if not counts:
         return {}
     shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, math.ceil(min(1.0, sample / n) * (1 << 20)))])
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")))
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")))
+    picked = picked.groupBy("lang", "doc_id", "text").count()
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         words: Counter = Counter()
-        for text in pdf.text.sort_values():
-            words.update(words_of(text))
+        own = pdf.sort_values(["text", "doc_id"])
+        for text, n in zip(own.text, own["count"]):
+            for word in words_of(text):
+                words[word] += n
         found = fit(words, vocabulary(path))
         return pd.DataFrame({"lang": pdf.lang.iloc[0], "piece": list(found), "p": list(found.values())})
 
