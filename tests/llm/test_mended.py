@@ -1,16 +1,18 @@
 """Coins of equal rows, letters with marks, and chunks of most texts."""
 
 import math
+import random
 import unicodedata
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 import tiktoken
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, language_id, mixing
+from tramline.llm import bpe, language_id, mixing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,3 +83,60 @@ def test_most_texts_are_stitched_from_chunks(spark, small, monkeypatch):
     assert sum(n > 1 for n in cut) > len(texts) / 2
     library = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.library._mergeable_ranks, special_tokens={})
     assert all(bpe.encode_text(x, path, bpe.WITHIN, bpe.WITHIN_OVERLAP) == library.encode_ordinary(x) for x in texts)
+
+
+def test_links_of_the_table_come_out_of_the_descent(spark, small, monkeypatch):
+    texts = {r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()}
+    fps = sorted({simhash.fingerprint(x) for x in texts} | {simhash.fingerprint(x) ^ 0b101 << 40 for x in list(texts)[::3]})
+    pairs = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if (a ^ b).bit_count() <= 3}
+    steps, compared = [], []
+    found = simhash.trie_join(np.array(fps, dtype=np.uint64), None, seen=lambda bit, n: (compared if bit < 0 else steps).append((bit, n)))
+    assert {(fps[a], fps[b]) for a, b in found} <= pairs and len(found) > 50
+    # paths are followed down to a few entries, and few of all pairs are compared
+    assert min(bit for bit, _ in steps) < 58
+    rng = random.Random(2)
+    many = np.array(sorted({rng.getrandbits(64) for _ in range(8_000)}), dtype=np.uint64)
+    compared.clear()
+    simhash.trie_join(many, None, seen=lambda bit, n: compared.append((bit, n)) if bit < 0 else None)
+    assert sum(n for _, n in compared) < len(many) ** 2 / 2 / 8
+    called = []
+    join = simhash.trie_join
+    monkeypatch.setattr(simhash, "trie_join", lambda *a, **b: called.append(len(join(*a, **b))) or join(*a, **b))
+    fp = np.array(fps, dtype=np.uint64).view(np.int64)
+    for group in (64, 8192):
+        called.clear()
+        dealings = simhash.tries(len(fps), 3, group)
+        links = []
+        for block, (chosen, others, bits) in enumerate(dealings):
+            value = simhash.moved(fp.view(np.uint64), chosen + others) >> np.uint64(64 - bits) if bits else np.zeros(len(fp), dtype=np.uint64)
+            order = value.argsort(kind="stable")
+            key = np.stack([np.full(len(fp), block), value[order].astype(np.int64), np.zeros(len(fp), dtype=np.int64), np.zeros(len(fp), dtype=np.int64)], axis=1)
+            links += list(zip(*(x.tolist() for x in simhash.group_links(key, np.zeros(len(fp), dtype=np.int64), fp[order], 3, dealings))))
+        assert sum(called) == len(links) and {tuple(sorted((a % 2**64, b % 2**64))) for a, b in links} <= pairs
+        forest, at = simhash.Forest(len(fps)), {f: k for k, f in enumerate(fps)}
+        for a, b in links:
+            forest.link(at[a % 2**64], at[b % 2**64])
+        whole = simhash.Forest(len(fps))
+        for a, b in pairs:
+            whole.link(at[a], at[b])
+        assert [forest.root(k) for k in range(len(fps))] == [whole.root(k) for k in range(len(fps))]
+
+
+@pytest.mark.parametrize("n", [9_000, 10**6, 10**9, 10**11])
+def test_tries_have_depth_and_miss_no_pair(n):
+    rng = random.Random(n)
+    dealings = simhash.tries(n, 3, simhash.GROUP)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x ^ sum(1 << b for b in rng.sample(range(64), 3))
+        both = [simhash.moved(np.array([x, y], dtype=np.uint64), chosen + others) for chosen, others, _ in dealings]
+        assert any((u[0] ^ u[1]) >> np.uint64(64 - sum(hi - lo for lo, hi in chosen)) == 0 for u, (chosen, _, _) in zip(both, dealings))
+        assert all((u[0] ^ u[1]).item().bit_count() == 3 for u in both)
+    assert all(n / 2**bits <= simhash.GROUP for _, _, bits in dealings)
+
+
+def test_dense_groups_tell_a_forest():
+    base = 0x0123456789ABCDEF
+    fps = sorted({base ^ 1 << a ^ 1 << b for a in range(64) for b in range(a)} | {base ^ 1 << a for a in range(64)})
+    found = simhash.trie_join(np.array(fps, dtype=np.uint64), None)
+    assert len(found) == len(fps) - 1

@@ -25,8 +25,10 @@ ERRORS = 3
 GROUP = 8_192
 #: Shingles of a bucket's texts that a task holds about twice.
 GROUP_SHINGLES = 4_000_000
-#: Entries of a trie node that are compared at once rather than split further.
-LEAF = 32
+#: Entries of two trie nodes, on an average, that are compared rather than split further.
+LEAF = 4
+#: Pairs of nodes that are taken down at once, and links that are looked at before the components are told again.
+PAIRS, STEP = 1 << 17, 1 << 12
 
 #: Near-duplicates: words of a shingle, and the share of common shingles that links two texts, as a fraction.
 NEAR_WORDS, SIMILAR = 5, (4, 5)
@@ -86,56 +88,98 @@ class Forest:
         return True
 
 
-def trie_join(left: np.ndarray, right: np.ndarray | None, errors: int = ERRORS) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs that differ in at most ``errors`` bits.
+def _leaf_pairs(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of each pair of slices."""
+    n, m = hi - lo, hi2 - lo2
+    many = n * m
+    pair = np.repeat(np.arange(len(lo)), many)
+    off = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+    return lo[pair] + off // m[pair], lo2[pair] + off % m[pair]
 
-    left and right are sorted different uint64; a node of the binary trie is a slice of one and a
-    bit. Pairs of nodes are taken down together with the bits in which their paths differ, and
-    a pair of nodes goes once these exceed the budget. Positions in right are after those in left.
-    right None: left with itself.
+
+def trie_join(left: np.ndarray, right: np.ndarray | None, errors: int = ERRORS, firm: int = 0, seen: Callable[[int, int], None] | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs that differ in at most ``errors`` bits, and in none of the first ``firm``.
+
+    left and right are sorted different uint64; a node of the binary trie is a slice of one and a bit. Pairs of nodes are taken
+    down together, many at once, each with the bits that its paths may still differ in; where they differ one is spent, and a pair
+    without any left goes on with equal halves only. Pairs of a few entries are compared. Positions in right are after those in left. right None: left
+    with itself. seen is told each step's bit and its pairs of nodes, and bit -1 with the pairs of entries that are compared.
     """
     same = right is None
     a, b = left, left if same else right
     shift = 0 if same else len(a)
     forest, out = Forest(len(a) + (0 if same else len(b))), []
-    todo = [(0, len(a), 0, len(b), BITS - 1, errors)]
+    root = np.arange(len(forest.up))
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal root
+        for k in range(0, len(x), STEP):
+            i, j = x[k : k + STEP], y[k : k + STEP]
+            news = np.flatnonzero(root[i] != root[j])
+            before = len(out)
+            for u, v in zip(i[news].tolist(), j[news].tolist()):
+                if forest.link(u, v):
+                    out.append((u, v))
+            if len(out) > before:
+                root = np.array(forest.up)
+                while (root[root] != root).any():
+                    root = root[root]
+
+    first = [np.array([x], dtype=np.int64) for x in (0, len(a), 0, len(b), errors)]
+    todo = [(BITS - 1, *first)] if len(a) and len(b) else []
     while todo:
-        lo, hi, lo2, hi2, bit, budget = todo.pop()
-        if lo == hi or lo2 == hi2:
+        bit, lo, hi, lo2, hi2, budget = todo.pop()
+        if len(lo) > PAIRS:
+            half = len(lo) // 2
+            todo += [(bit, *(x[half:] for x in (lo, hi, lo2, hi2, budget))), (bit, *(x[:half] for x in (lo, hi, lo2, hi2, budget)))]
             continue
-        if bit < 0 or (hi - lo <= LEAF and hi2 - lo2 <= LEAF):
-            near = np.bitwise_count(a[lo:hi, None] ^ b[None, lo2:hi2]) <= errors
-            for x, y in np.argwhere(near):
-                x, y = lo + int(x), lo2 + int(y)
-                if (not same or x < y) and forest.link(x, y + shift):
-                    out.append((x, y + shift))
+        small = (hi - lo) * (hi2 - lo2) <= LEAF * LEAF if bit >= 0 else np.ones(len(lo), dtype=bool)
+        if small.any():
+            x, y = _leaf_pairs(lo[small], hi[small], lo2[small], hi2[small])
+            if seen:
+                seen(-1, len(x))
+            near = (np.bitwise_count(a[x] ^ b[y]) <= errors) & ((x < y) if same else True)
+            if firm:
+                near &= (a[x] ^ b[y]) >> np.uint64(BITS - firm) == 0
+            link(x[near], y[near] + shift)
+            lo, hi, lo2, hi2, budget = (z[~small] for z in (lo, hi, lo2, hi2, budget))
+        if not len(lo):
             continue
-        # values of a node agree above bit, so its halves are found by the first value with the bit set
+        if seen:
+            seen(bit, len(lo))
+        # values of a node agree above bit, so its halves meet at the first value with the bit set
         one = np.uint64(1) << np.uint64(bit)
-        low = one - np.uint64(1)
-        mid = lo + int(np.searchsorted(a[lo:hi], (a[lo] & ~(low | one)) | one))
-        mid2 = lo2 + int(np.searchsorted(b[lo2:hi2], (b[lo2] & ~(low | one)) | one))
-        todo.append((lo, mid, lo2, mid2, bit - 1, budget))
-        todo.append((mid, hi, mid2, hi2, bit - 1, budget))
-        if budget:
-            todo.append((lo, mid, mid2, hi2, bit - 1, budget - 1))
-            if not (same and lo == lo2 and hi == hi2):  # a node with itself has this pair already
-                todo.append((mid, hi, lo2, mid2, bit - 1, budget - 1))
+        above = ~((one << np.uint64(1)) - np.uint64(1)) if bit < BITS - 1 else np.uint64(0)
+        mid = np.clip(np.searchsorted(a, a[lo] & above | one), lo, hi)
+        mid2 = np.clip(np.searchsorted(b, b[lo2] & above | one), lo2, hi2)
+        spend = (budget > 0) & (bit < BITS - firm)
+        own = spend & ~(same & (lo == lo2) & (hi == hi2))  # a node with itself has the crossed pair once
+        parts = [(lo, mid, lo2, mid2, budget), (mid, hi, mid2, hi2, budget), tuple(z[spend] for z in (lo, mid, mid2, hi2, budget - 1)), tuple(z[own] for z in (mid, hi, lo2, mid2, budget - 1))]
+        lo, hi, lo2, hi2, budget = (np.concatenate(z) for z in zip(*parts))
+        full = (lo < hi) & (lo2 < hi2)
+        todo.append((bit - 1, *(z[full] for z in (lo, hi, lo2, hi2, budget))))
     return out
 
 
 def links(classes: DataFrame, errors: int = ERRORS, group: int = GROUP) -> DataFrame:
     """(a, b): links between different fingerprints of ``classes`` (fp) with the components of all links.
 
-    The 64 bits are cut into blocks; of two fingerprints that differ in at most ``errors`` bits all but
-    ``errors`` blocks agree, so each choice of so many blocks deals out tries by their bits. There
-    are errors + 1 blocks, and one agrees, until the fingerprints are so many that the tries would grow
-    beyond an eighth of ``group``: then one block more, and so on. A value shared by more
-    than ``group`` fingerprints is cut into parts by hash, each pair of parts a task of its own, so
-    that no task gets more than 2 * group entries and no link is lost.
+    Up to ``group`` fingerprints are one trie. More are dealt out to several: the 64 bits are cut into blocks, and of two that differ in at
+    most ``errors`` bits all but ``errors`` blocks agree, so for each choice of so many blocks there is a trie whose paths begin with these and don't differ
+    in them. Such a trie is dealt out by its first bits, as subtries of about half of ``group`` entries, however many there are in all. A subtrie of
+    more than ``group`` is cut into parts by hash, each pair of parts a task of its own, so that no task
+    gets more than 2 * group entries and no link is lost.
     """
-    masks = block_masks(classes.count(), errors, group)
-    values = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])
+    dealings = tries(classes.count(), errors, group)
+
+    def leading(chosen: list[tuple[int, int]], bits: int):
+        value, width = F.lit(0).cast("long"), 0
+        for lo, hi in chosen:
+            value = F.shiftleft(value, hi - lo).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
+            width += hi - lo
+        return F.shiftrightunsigned(value, width - bits)
+
+    values = F.array(*[leading(chosen, bits) for chosen, _, bits in dealings])
     dealt = cut(classes.select("fp", F.posexplode(values).alias("block", "value")))
     # a hot value is one whose count is over group: few, and each stands for over group rows
     hot = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > group)
@@ -145,17 +189,44 @@ def links(classes: DataFrame, errors: int = ERRORS, group: int = GROUP) -> DataF
     pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keyed = pairs.select("fp", "block", "value", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
 
-    parts = keyed.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q", "mine", "fp")
+    parts = keyed.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, mine, fp in whole_groups(batches):
-            found = group_links(key, mine, fp, errors)
+            found = group_links(key, mine, fp, errors, dealings)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
         give_back()
 
     return parts.select("block", "value", "p", "q", "mine", "fp").mapInArrow(run, "a long, b long")
 
 
+def tries(n: int, errors: int, group: int) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]], int]]:
+    """For each choice of blocks those that come first in its trie's paths, the others, and the leading bits by which it is dealt out; one trie as it is for few."""
+    if n <= group:
+        return [([], [(0, BITS)], 0)]
+    out = []
+    for mask in block_masks(n, errors, group):
+        chosen, others, lo = [], [], 0
+        while lo < BITS:
+            hi = lo
+            while hi < BITS and (mask >> hi & 1) == (mask >> lo & 1):
+                hi += 1
+            (chosen if mask >> lo & 1 else others).append((lo, hi))
+            lo = hi
+        out.append((chosen, others, min(sum(hi - lo for lo, hi in chosen), max(1, (2 * n // group).bit_length()))))
+    return out
+
+
+def moved(u: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their ranges of bits in another order, the first at the top; distances stay."""
+    out = np.zeros(len(u), dtype=np.uint64)
+    for lo, hi in parts:
+        if hi - lo == BITS:
+            return u.copy()
+        out = out << np.uint64(hi - lo) | u >> np.uint64(lo) & np.uint64((1 << (hi - lo)) - 1)
+    return out
+
+
 def block_masks(n: int, errors: int, group: int) -> list[int]:
     """The bits of each choice of blocks that must agree; a function of the number of fingerprints only."""
     blocks = errors + 1
@@ -183,30 +254,21 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield held
 
 
-def group_links(key: np.ndarray, mine: np.ndarray, fp: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of all groups: groups no larger than a leaf are compared at once, the others by their tries.
-
-    A pair of parts (p < q) joins p's entries with q's, and p = q a part with itself.
-    """
-    u = fp.view(np.uint64)
+def group_links(key: np.ndarray, mine: np.ndarray, fp: np.ndarray, errors: int, dealings: list) -> tuple[np.ndarray, np.ndarray]:
+    """Links of all groups, each by the join of its trie with itself, or of two parts' (p < q) tries with each other."""
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-    sizes = np.diff(np.r_[starts, len(u)])
-    small = np.repeat((sizes <= LEAF) & (key[starts, 2] == key[starts, 3]), sizes)
-    group = np.repeat(np.arange(len(starts)), sizes)
     a, b = [], []
-    for step in range(1, min(LEAF, int(sizes.max()))):
-        near = np.flatnonzero(small[step:] & (group[step:] == group[:-step]) & (np.bitwise_count(u[step:] ^ u[:-step]) <= errors))
-        a.append(fp[near])
-        b.append(fp[near + step])
-    for g in np.flatnonzero((sizes > LEAF) | (key[starts, 2] != key[starts, 3])):
-        s, e = starts[g], starts[g] + sizes[g]
-        p, q = key[s, 2], key[s, 3]
-        left = np.sort(u[s:e][mine[s:e] == p])
-        right = None if p == q else np.sort(u[s:e][mine[s:e] == q])
-        both = left if right is None else np.concatenate([left, right])
-        found = np.array(trie_join(left, right, errors), dtype=np.int64).reshape(-1, 2)
-        a.append(both[found[:, 0]].view(np.int64))
-        b.append(both[found[:, 1]].view(np.int64))
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(fp)]):
+        block, _, p, q = key[s].tolist()
+        chosen, others, _ = dealings[block]
+        own = [fp[s:e]] if p == q else [fp[s:e][mine[s:e] == p], fp[s:e][mine[s:e] == q]]
+        paths = [moved(x.view(np.uint64), chosen + others) for x in own]
+        order = [x.argsort() for x in paths]
+        found = trie_join(paths[0][order[0]], None if p == q else paths[1][order[1]], errors, sum(hi - lo for lo, hi in chosen))
+        at = np.array(found, dtype=np.int64).reshape(-1, 2)
+        both = np.concatenate([x[o] for x, o in zip(own, order)])
+        a.append(both[at[:, 0]])
+        b.append(both[at[:, 1]])
     none = [np.zeros(0, dtype=np.int64)]
     return np.concatenate(a or none), np.concatenate(b or none)
 
