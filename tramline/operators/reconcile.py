@@ -123,6 +123,11 @@ def most_in_flight(spans: DataFrame, key: str, start: str, end: str) -> DataFram
     return steps.withColumn("n", F.sum("d").over(w)).groupBy(key).agg(F.max("n").alias("most"))
 
 
+def next_attempts(events: DataFrame, key: str, attempt: str) -> DataFrame:
+    """(key, attempt): the number that the next attempt of each key has: one more than the greatest so far, null numbers being none; 1 where there is none."""
+    return events.groupBy(key).agg((F.coalesce(F.max(attempt), F.lit(0)) + 1).alias("attempt"))
+
+
 def problems(events: DataFrame, category: list[str], example: str, shown: int = 20) -> DataFrame:
     """(category, n, examples): counts, and the first so many different examples."""
     w = W.Window.partitionBy(*category).orderBy(example)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import os
 import uuid
+import zipfile
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, netex, spatial
+from ..operators import matching, netex, reconcile, spatial
 from ..operators.lineage import shared_folder
-from ..sources import joined, realtime_feed
+from ..sources import archives, joined, readers, realtime_feed
 from ..streaming import stateful
 from .base import Frames, query
 
@@ -226,3 +229,85 @@ def _netex_interchanges(f: Frames) -> DataFrame:
 )
 def _netex_lost(f: Frames) -> DataFrame:
     return netex.lost({name: f[name] for name in ("trip", "connection_claim")})
+
+
+# files in the sources' formats, written from the tables and read again
+
+
+@query("read_csv", "route", "SELECT route_id, agency_id, mode, CAST(route_number AS VARCHAR) AS route_number FROM route")
+def _read_csv(f: Frames) -> DataFrame:
+    rows = f["route"].select("route_id", "agency_id", "mode", "route_number")
+    path = _folder(rows, "csv")
+    rows.write.option("header", True).csv(path)
+    return readers.csv_rows(rows.sparkSession, path, rows.columns)
+
+
+@query("read_encoded", "agency", "SELECT agency_id AS id, 'Café ' || name AS name, CASE WHEN agency_id LIKE '%7' THEN 'a;b \"c\"' END AS note FROM agency")
+def _read_encoded(f: Frames) -> DataFrame:
+    note = F.when(F.endswith("agency_id", F.lit("7")), F.lit('a;b "c"'))
+    rows = f["agency"].select(F.col("agency_id").alias("id"), F.concat(F.lit("Café "), "name").alias("name"), note.alias("note"))
+    path = _folder(rows, "encoded")
+    rows.fillna("").write.options(sep=";", encoding="iso-8859-1", quoteAll=True, escape='"').csv(path)
+    read = readers.encoded_rows(rows.sparkSession, path, ["id", "name", "note"], encoding="iso-8859-1")
+    return read.select("id", "name", F.when(F.col("note") != "", F.col("note")).alias("note"))
+
+
+@query(
+    "read_coordinates",
+    "coordinate",
+    """
+    SELECT substr(code, 1, 5) AS code, min(lon) AS lon, min(lat) AS lat FROM coordinate
+    GROUP BY substr(code, 1, 5) HAVING count(DISTINCT lon) = 1 AND count(DISTINCT lat) = 1""",
+)
+def _read_coordinates(f: Frames) -> DataFrame:
+    lines = [f["coordinate"].select(F.concat_ws(",", "code", F.lit("any name"), F.col("lat").cast("string"), F.col("lon").cast("string")).alias("value"))]
+    lines.append(lines[0].select(F.regexp_replace("value", ",[^,]*$", ",none").alias("value")))
+    path = _folder(lines[0], "coordinates")
+    lines[0].unionByName(lines[1]).write.text(path)
+    return readers.reference_coordinates(lines[0].sparkSession, path)
+
+
+@query("read_gzip", "alert", "SELECT alert_id AS id FROM alert")
+def _read_gzip(f: Frames) -> DataFrame:
+    rows = f["alert"].select(F.concat(F.lit("id "), "alert_id").alias("value"))
+    path = _folder(rows, "gzip")
+    rows.repartition(5, "value").write.option("compression", "gzip").text(path)
+    lines = readers.gzip_objects(rows.sparkSession, path).select(F.explode(F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n")).alias("line"))
+    return lines.select(F.regexp_extract("line", r"^id (\d+)$", 1).cast("long").alias("id"))
+
+
+@query(
+    "read_archives",
+    "text_line",
+    """
+    SELECT CASE WHEN doc_id % 3 = 0 THEN 'inner.zip!' ELSE '' END || doc_id || '.xml' AS member, strlen(text) AS bytes, sha256(text) AS sha256
+    FROM text_line WHERE text IS NOT NULL""",
+)
+def _read_archives(f: Frames) -> DataFrame:
+    """Texts are packed into archives, a third of them into archives within these, and read by many tasks."""
+    rows = f["text_line"].filter("text IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    folder = _folder(rows, "archives-of")
+    local = folder.removeprefix("file:")
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as nested, zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as whole:
+            for doc_id, text in zip(pdf.doc_id, pdf.text):
+                (whole if doc_id % 3 else nested).writestr(f"{doc_id}.xml", text)
+            nested.close()
+            whole.writestr("inner.zip", inner.getvalue())
+        os.makedirs(local, exist_ok=True)
+        part = f"{local}/.{uuid.uuid4().hex}"
+        with open(part, "wb") as file:
+            file.write(outer.getvalue())
+        os.replace(part, f"{local}/{key[0]}.zip")
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    rows.groupBy("part").applyInPandas(pack, "n long").agg(F.sum("n")).collect()
+    return archives.split_members(rows.sparkSession, folder, task_bytes=1 << 18).select("member", "bytes", "sha256")
+
+
+@query("text_numbers", "location", "SELECT location_id, longitude, latitude FROM location WHERE longitude IS NOT NULL")
+def _text_numbers(f: Frames) -> DataFrame:
+    rows = f["location"].filter("longitude IS NOT NULL").select("location_id", F.col("longitude").cast("string"), F.col("latitude").cast("string"))
+    return reconcile.with_numbers(rows, "longitude", "latitude")

@@ -181,9 +181,9 @@ query("source_counts", "text_line", "SELECT source, count(*) AS n, CAST(coalesce
 query("unsafe_paths", "source_object", "SELECT doc_id FROM source_object WHERE doc_id % 5 < 2")(
     lambda f: reconcile.unsafe_paths(f["source_object"].withColumn("path", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a\\..\\"), "path")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("/"), "path")).otherwise(F.col("path"))), "path").select("doc_id")
 )
-query("attempt_numbers", "job_event", "SELECT job_id, max(event_id % 5) + 1 AS attempt FROM job_event GROUP BY job_id")(lambda f: f["job_event"].groupBy("job_id").agg((F.max(F.col("event_id") % 5) + 1).alias("attempt")))
-query("shared_elements", "source_object", "SELECT doc_id, len(list_intersect(string_split(substr(text, 1, 60), ' '), ['the', 'de', 'der'])) > 0 AS shares FROM source_object")(
-    lambda f: f["source_object"].select("doc_id", reconcile.overlapping(F.split(F.substring("text", 1, 60), " "), F.array(F.lit("the"), F.lit("de"), F.lit("der"))).alias("shares"))
+query("attempt_numbers", "job_event", "SELECT job_id, max(event_id % 5) + 1 AS attempt FROM job_event GROUP BY job_id")(lambda f: reconcile.next_attempts(f["job_event"].withColumn("n", F.col("event_id") % 5), "job_id", "n"))
+query("shared_elements", "source_object", "SELECT doc_id, len(list_intersect(string_split(text, ' '), ['the', 'de', 'der'])) > 0 AS shares FROM source_object")(
+    lambda f: f["source_object"].select("doc_id", reconcile.overlapping(F.split("text", " "), F.array(F.lit("the"), F.lit("de"), F.lit("der"))).alias("shares"))
 )
 query("railway_nodes", "node", "SELECT id FROM node WHERE tag = 'station'")(lambda f: readers.tagged_nodes(f["node"].withColumn("tags", F.create_map(F.lit("railway"), "tag")), readers.RAILWAY_TAGS).select("id"))
 query("transit_nodes", "node", "SELECT id FROM node WHERE CASE WHEN id % 2 = 0 THEN tag = 'bus_stop' ELSE tag IN ('tram_stop') END")(

@@ -168,7 +168,7 @@ PROJECTIONS: dict[str, str] = {
     "journey": "SELECT o_orderkey AS journey_id, CAST(o_custkey % 320 AS STRING) AS number, CAST(o_orderdate AS DATE) AS service_date FROM {orders}",
     "composition": "SELECT CAST(p_partkey % 90 AS INT) AS train_number, CAST(DATE '1994-01-01' + CAST(p_partkey % 900 AS INT) AS DATE) AS valid_from, CAST(DATE '1995-06-01' + CAST(p_partkey % 900 AS INT) AS DATE) AS valid_to, CAST(p_size % 4 AS INT) AS priority, CAST(p_partkey % 7 AS INT) AS position, p_brand AS vehicle_type FROM {part}",
     "alert": """
-        SELECT doc_id AS alert_id, CASE WHEN doc_id % 3 = 0 THEN '  ' || substr(text, 1, 5) || '!! ' ELSE substr(text, 1, 5) END AS text, CAST(doc_id % 2 AS BIGINT) AS period_start, CAST(doc_id % 4 AS BIGINT) AS period_end, source AS scope
+        SELECT doc_id AS alert_id, CASE WHEN doc_id % 3 = 0 THEN '  ' || text || '!! ' ELSE text END AS text, CAST(doc_id % 2 AS BIGINT) AS period_start, CAST(doc_id % 4 AS BIGINT) AS period_end, source AS scope
         FROM {documents}""",
     "platform_claim": """
         SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST(event_id % 4 AS STRING) END AS infrastructure, CASE WHEN event_id % 5 = 0 THEN event_type END AS operator, CASE WHEN event_id % 3 = 0 THEN 'p' || CAST(user_id AS STRING) END AS previous,

@@ -193,8 +193,8 @@ query("domain_violations", " ".join(_DOMAIN_NEEDS), _domain_sql())(checks.domain
          SELECT location_id AS k, lag(location_id) OVER (ORDER BY trip_id, sequence) AS b FROM trip_call)) WHERE kind IS NOT NULL GROUP BY kind""",
 )
 def _key_order(f: Frames) -> DataFrame:
-    # parts of trips that begin alike hold consecutive rows; there are as many as beginnings
-    rows = f["trip_call"].withColumn("at", F.struct("trip_id", "sequence")).withColumn("part", F.substring("trip_id", 1, 5))
+    # ranges of the order hold consecutive rows, and there are as many as the rows fill
+    rows = f["trip_call"].repartitionByRange("trip_id", "sequence").withColumn("at", F.struct("trip_id", "sequence")).withColumn("part", F.spark_partition_id())
     return checks.key_order(rows, ["location_id"], "at", "part")
 
 
