@@ -140,3 +140,56 @@ def test_dense_groups_tell_a_forest():
     fps = sorted({base ^ 1 << a ^ 1 << b for a in range(64) for b in range(a)} | {base ^ 1 << a for a in range(64)})
     found = simhash.trie_join(np.array(fps, dtype=np.uint64), None)
     assert len(found) == len(fps) - 1
+
+
+# licences
+
+BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+]
+ADVERTISING = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: made by X."
+WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+GPL3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+def third(holder):
+    return f"3. Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def lines(*parts):
+    return "\n".join([*parts, WARRANTY])
+
+
+LICENCES = [
+    (lines(*BSD, third("Google Inc.")), "BSD-3-Clause"),
+    (lines(*BSD, third("the University of California, Berkeley")), "BSD-3-Clause"),
+    (lines(*BSD, third("the\n * copyright\n * holder")), "BSD-3-Clause"),
+    (lines(*BSD, "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."), "BSD-3-Clause"),
+    (lines(*BSD), "BSD-2-Clause"),
+    (lines(*BSD) + "\n" + lines(*BSD, third("Google Inc.")), "BSD-2-Clause,BSD-3-Clause"),
+    (lines(*BSD, third("X")) + "\n" + lines(*BSD) + "\n" + lines(*BSD, ADVERTISING, third("Y")), "BSD-2-Clause,BSD-3-Clause,BSD-4-Clause"),
+    (lines(BSD[0], BSD[1]) + "\n" + lines(*BSD, third("X")) + "\n" + BSD[2], "BSD-3-Clause"),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;", "Apache-2.0,MIT"),
+    ("# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "Apache-2.0"),
+    ("/* SPDX-License-Identifier: GPL-2.0+ WITH Linux-syscall-note OR BSD-3-Clause AND ISC */", "BSD-3-Clause,GPL-2.0,ISC"),
+    ("SPDX-License-Identifier: mit and other words", "MIT"),
+    (GPL3, "GPL-3.0"),
+    ("You may take bread or wine and water. " * 3, ""),
+    ("The licenses for most software are designed to take away your freedom to share and change it.", "GPL-2.0"),
+]
+
+
+def test_licences_by_holders_texts_and_expressions(spark, tmp_path):
+    from tramline.llm import license_scan
+
+    rows = [(k, text, None, None, 0) for k, (text, _) in enumerate(LICENCES)] + [(99, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.licenses for r in license_scan.scan(docs).collect()}
+    assert [got[k] for k in range(len(LICENCES))] == [name for _, name in LICENCES] and got[99] == ""
+    docs.write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = db.sql(license_scan.SQL)
+    assert sorted(map(tuple, license_scan.scan(docs).collect())) == sorted(want.fetchall())
