@@ -37,6 +37,14 @@ DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement adbox breadcrumb breadcrumbs comment comments commentlist comment-list comments-area comments-list comment-section comments-section reader-comments user-comments cookie-notice cookie-banner cookie-bar cookie-consent"
     " consent-banner disqus disqus-thread footer masthead nav navbar newsletter-signup outbrain pagination related-articles related-posts share-buttons sharing-buttons site-footer site-nav social-share sidebar sidebars taboola".split()
 )
+#: A block whose class, or a part whose id, has one of these words and otherwise only such, places and kinds of parts, is no part of an article anywhere.
+NEVER = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adbox comment comments commenter commenters commentlist consent cookie cookies disqus gdpr newsletter newsletters outbrain promo promos promotion promotions"
+    " recommended related replies respond share sharing signup sponsor sponsored sponsors subscribe taboola".split()
+)
+KINDS = frozenset("author block body count date entry heading holder inner item label meta module name news outer panel part section text thread time title unit user content message messages story stories links".split())
+#: Elements whose id is a name of a part; a section's or a heading's may be made of its words.
+PARTS = frozenset("aside div ol ul".split())
 DROP_ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar tooltip".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: How an element is left out: not at all, but within the winning container, everywhere.
@@ -96,17 +104,19 @@ def _dropped(tag: str, found: dict[str, str], inside: bool) -> int:
         return ALWAYS
     if tag in ("html", "body", "main") or not found:
         return KEPT
-    if "hidden" in found or found.get("aria-hidden") == "true" or ("style" in found and re.search(r"display\s*:\s*none", found["style"])):
-        return ALWAYS
     if found.get("role", "").lower() in DROP_ROLES:
         return ALWAYS
     if not ("class" in found or "id" in found or "role" in found):
         return KEPT
     out = KEPT
-    for name in (*found.get("class", "").split(), "" if tag in HEADINGS else found.get("id", ""), found.get("role", "")):
+    classes, own = found.get("class", "").split(), "" if tag in HEADINGS else found.get("id", "")
+    for k, name in enumerate((*classes, own, found.get("role", ""))):
         words = [w.lower() for w in SPLIT.split(name) if w]
         if "-".join(words) in DROP_NAMES:
             return ALWAYS
+        part = tag in BLOCK if k < len(classes) else tag in PARTS
+        if part and not NEVER.isdisjoint(words) and all(w in NEVER or w in PLACES or w in KINDS for w in words):
+            return ALWAYS
         if not inside and not DROP_WORDS.isdisjoint(words) and all(w in DROP_WORDS or w in PLACES for w in words):
             out = OUTSIDE
     return out
