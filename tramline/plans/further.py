@@ -307,6 +307,23 @@ def _read_archives(f: Frames) -> DataFrame:
     return archives.split_members(rows.sparkSession, folder, task_bytes=1 << 18).select("member", "bytes", "sha256")
 
 
+@query(
+    "file_digests",
+    "source_object",
+    """
+    SELECT source, CAST(octet_length(encode(line)) AS BIGINT) + 1 AS bytes, sha256(line || chr(10)) AS sha256
+    FROM (SELECT source, string_agg(identity, ' ' ORDER BY doc_id) AS line FROM source_object WHERE source IS NOT NULL GROUP BY source)""",
+)
+def _file_digests(f: Frames) -> DataFrame:
+    rows = f["source_object"].filter("source IS NOT NULL")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "identity"))), lambda x: x["identity"])
+    lines = rows.groupBy("source").agg(F.array_join(ids, " ").alias("value"))
+    path = _folder(lines, "files")
+    lines.repartition("source").write.partitionBy("source").text(path)
+    found = readers.file_manifest(lines.sparkSession, path)
+    return found.select(F.regexp_extract("path", r"/source=([^/]*)/", 1).alias("source"), "bytes", "sha256")
+
+
 @query("text_numbers", "location", "SELECT location_id, longitude, latitude FROM location WHERE longitude IS NOT NULL")
 def _text_numbers(f: Frames) -> DataFrame:
     rows = f["location"].filter("longitude IS NOT NULL").select("location_id", F.col("longitude").cast("string"), F.col("latitude").cast("string"))
