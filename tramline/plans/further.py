@@ -328,3 +328,18 @@ def _file_digests(f: Frames) -> DataFrame:
 def _text_numbers(f: Frames) -> DataFrame:
     rows = f["location"].filter("longitude IS NOT NULL").select("location_id", F.col("longitude").cast("string"), F.col("latitude").cast("string"))
     return reconcile.with_numbers(rows, "longitude", "latitude")
+
+
+@query(
+    "odd_coordinates",
+    "stop",
+    """
+    SELECT stop_id, CASE k % 6 WHEN 0 THEN 'invalid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'missing' WHEN 3 THEN 'invalid' WHEN 4 THEN 'zero' ELSE 'fine' END AS status
+    FROM (SELECT stop_id, CAST(substr(stop_id, 3) AS INT) AS k FROM stop)""",
+)
+def _odd_coordinates(f: Frames) -> DataFrame:
+    """Coordinates that are no numbers, infinite, missing on one side, just beyond the world, zero, or at its corner."""
+    k = F.substring("stop_id", 3, 20).cast("int") % 6
+    lon = F.when(k == 0, float("nan")).when(k == 1, 0.0).when(k == 2, 1.0).when(k == 3, 180.0000001).when(k == 4, 0.0).otherwise(-180.0)
+    lat = F.when(k == 0, 0.0).when(k == 1, float("-inf")).when(k == 2, F.lit(None).cast("double")).when(k == 3, 0.0).when(k == 4, -0.0).otherwise(90.0)
+    return f["stop"].select("stop_id", reconcile.coordinate_status(lon, lat).alias("status"))
