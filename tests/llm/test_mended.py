@@ -10,9 +10,11 @@ import numpy as np
 import pytest
 import tiktoken
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, language_id, mixing, simhash
+from tramline.llm import bpe, fingerprint, language_id, mixing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -193,3 +195,16 @@ def test_licences_by_holders_texts_and_expressions(spark, tmp_path):
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
     want = db.sql(license_scan.SQL)
     assert sorted(map(tuple, license_scan.scan(docs).collect())) == sorted(want.fetchall())
+
+
+# fingerprints
+
+
+TEXT = st.lists(st.sampled_from(["a b c", "word", "\n", "\n\n", " ", "é x y z", "b"]), max_size=12).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXT, TEXT)
+def test_edits_take_paragraphs_out_and_in(text, following):
+    new = fingerprint.edited(text, following)
+    assert fingerprint.of_edited(text, fingerprint.of_text(text), new) == fingerprint.of_text(new)

@@ -117,6 +117,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def of_edited(text: str, own: Fingerprint, new: str) -> Fingerprint:
+    """The fingerprint of new from that of text: the paragraphs from the first different one on go out, and the new ones come in.
+
+    new begins with at least the first half of text, as edited() makes it; so about half of the paragraphs are hashed anew.
+    """
+    if not text or not new:
+        return of_text(new)
+    same = text.count("\n", 0, len(text) - len(text) // 2)
+    return own - of_paragraphs(text.split("\n")[same:]) + of_paragraphs(new.split("\n")[same:])
+
+
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, oid, hash, text, part, guest), each part a range of ids, followed by a copy of the next part's first row.
 
@@ -189,7 +200,7 @@ def compare_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 if held is not None and held[0] == part:
                     _, before, old, own = held
                     new = edited(old, text)
-                    other = of_text(new)
+                    other = of_edited(old, own, new)
                     out.append((before, len(old), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own.to_hex(), other.to_hex(), likeness(own, other), likeness(own, mark)))
                 held = None if guest else (part, doc_id.as_py(), text, mark)
             if out:
