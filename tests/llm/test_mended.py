@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, fingerprint, language_id, mixing, simhash
+from tramline.llm import ann, bpe, fingerprint, language_id, mixing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -208,3 +208,12 @@ TEXT = st.lists(st.sampled_from(["a b c", "word", "\n", "\n\n", " ", "é x y z",
 def test_edits_take_paragraphs_out_and_in(text, following):
     new = fingerprint.edited(text, following)
     assert fingerprint.of_edited(text, fingerprint.of_text(text), new) == fingerprint.of_text(new)
+
+
+# neighbours
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0, 0.1]), (50, [3.0]), (51, [1.0]), (52, [-1.0]), (100, [1.0, 2.0, 3.0])]
+    got = ann.op9_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 2), (0, 2, 1), (50, 1, 51), (50, 2, 52)]

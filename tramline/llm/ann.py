@@ -6,6 +6,7 @@ import heapq
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,11 @@ NEAREST = 5
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): the vectors that take part: not null, not zero, of finite components, of the most common length."""
+    """(id, v): the vectors that take part: not null, not zero, of finite components."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = rows.filter(F.col("id").isNotNull() & fine)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    return rows.filter(F.col("id").isNotNull() & fine)
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
@@ -99,12 +98,19 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     is_query is a condition on the column ``id``. All vectors that take part are indexed, sorted by cell, and the
     queries go against them in blocks: a block with its cells is sent to all executors, each part
     of the index keeps its best k for each query, and the parts' bests meet in a window.
-    Vectors that are null, zero, hold null or non-finite components, have a null id or another
-    length than most take no part. Candidates are all rows but the query's own. Equal scores
+    Vectors that are null, zero, hold null or non-finite components or have a null id take no part. A query is held against the vectors of its own
+    length: each length has an index of its own. Candidates are all rows but the query's own. Equal scores
     go by id. Repeated rows are candidates each; a repeated query is answered once for each different
     vector. Empty table: no rows.
     """
     rows = usable(vectors, id_col, vector_col)
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    found = [_nearest(rows.filter(F.size("v") == n), is_query, k, share, centroids, sample, block) for n in lengths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, share: float, centroids: int, sample: int, block: int) -> DataFrame:
+    """nearest() of rows (id, v) of one length."""
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"query_id {kind}, vec_id {kind}, score double, own boolean, part int"
     total = rows.count()
