@@ -6,6 +6,7 @@ import io
 import os
 import uuid
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -81,6 +82,89 @@ def _winners(f: Frames) -> DataFrame:
     return stateful.winners(f["claim"].withColumn("valid_until", until), ["trip_instance"], _MAX_AGE)
 
 
+# the same as streams: rows come as files, the query ends, goes on from its checkpoint when a row of the far future comes, and tells the rest
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _through(inputs: list[tuple[DataFrame, DataFrame]], stream: Callable[..., DataFrame], name: str) -> DataFrame:
+    """What a stream tells of its inputs, each with a row that moves the watermark beyond all others."""
+    spark = inputs[0][0].sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    base = _folder(inputs[0][0], name)
+    told = None
+    for last in (False, True):
+        streams = []
+        for k, (rows, end) in enumerate(inputs):
+            (end.coalesce(1) if last else rows).write.mode("append").parquet(f"{base}/in{k}")
+            streams.append(spark.readStream.schema(rows.schema).parquet(f"{base}/in{k}"))
+        told = stream(*streams)
+        out = told.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{base}/out")
+
+
+def _far(rows: DataFrame, **values: object) -> DataFrame:
+    """One row of the far future, with the given values."""
+    far = {"event_time": "2200-01-01 00:00:00", **values}
+    return rows.sparkSession.range(1).select(*[F.lit(far.get(c)).cast(t).alias(c) for c, t in rows.dtypes])
+
+
+@query(
+    "stream_winners",
+    "claim",
+    f"""
+    WITH {_LIVES},
+    points AS (SELECT trip_instance, capability, starts AS since FROM lives UNION SELECT trip_instance, capability, ends FROM lives),
+    live AS (
+        SELECT p.*, arg_max(l.claim_id, (l.priority, l.starts, -l.claim_id)) AS claim_id
+        FROM points p LEFT JOIN lives l ON l.trip_instance = p.trip_instance AND l.capability = p.capability AND l.starts <= p.since AND p.since < l.ends
+        GROUP BY ALL)
+    SELECT * FROM live
+    QUALIFY claim_id IS DISTINCT FROM lag(claim_id) OVER (PARTITION BY trip_instance, capability ORDER BY since)""",
+)
+def _stream_winners(f: Frames) -> DataFrame:
+    until = F.when(F.col("claim_id") % 3 == 0, F.col("event_time") + F.expr("INTERVAL 90 MINUTE")).cast("timestamp")
+    claims = f["claim"].select("trip_instance", "capability", "priority", F.col("event_time").cast("timestamp").alias("event_time"), until.alias("valid_until"), "claim_id", F.col("value").cast("double").alias("value"))
+    told = _through([(claims, _far(claims, trip_instance=-1, capability="end", priority=0, claim_id=-1, value=0.0))], lambda s: stateful.winners_stream(s, _MAX_AGE), "winners")
+    return told.filter("trip_instance >= 0").select("trip_instance", "capability", "since", "claim_id")
+
+
+@query(
+    "stream_stop_events",
+    "position mark",
+    """
+    WITH w AS (SELECT *, lag(seconds) OVER v AS s0, lag(distance) OVER v AS d0 FROM position WHERE seconds > 0 WINDOW v AS (PARTITION BY vehicle ORDER BY seconds)),
+    x AS (
+        SELECT m.vehicle, m.stop_id, k.n, min(s0 + (seconds - s0) * (m.at + k.d - d0) / (distance - d0)) AS t
+        FROM w JOIN mark m USING (vehicle), (VALUES ('in', -30.0::DOUBLE), ('at', 0.0::DOUBLE), ('out', 30.0::DOUBLE)) k(n, d)
+        WHERE d0 < m.at + k.d AND distance >= m.at + k.d GROUP BY ALL),
+    p AS (SELECT vehicle, stop_id, min(t) FILTER (n = 'in') AS i, min(t) FILTER (n = 'at') AS c, min(t) FILTER (n = 'out') AS o FROM x GROUP BY ALL)
+    SELECT vehicle, stop_id, CASE WHEN o - i < 10 THEN NULL ELSE i END AS arrival, CASE WHEN o - i < 10 THEN NULL ELSE o END AS departure, CASE WHEN o - i < 10 THEN c END AS passage
+    FROM p WHERE i IS NOT NULL OR o IS NOT NULL""",
+)
+def _stream_stop_events(f: Frames) -> DataFrame:
+    # a stream's watermark begins at second 0, where nothing is in time
+    positions = f["position"].filter("seconds > 0").select("vehicle", F.timestamp_seconds("seconds").alias("event_time"), "distance")
+    told = _through([(positions, _far(positions, vehicle="end", distance=0.0))], lambda s: stateful.stop_events_stream(s, f["mark"]), "stops")
+    last = told.groupBy("vehicle", "stop_id").agg(F.max_by(F.struct("arrival", "departure", "passage"), F.col("phase") != "arrived").alias("x"))
+    return last.select("vehicle", "stop_id", "x.*")
+
+
+@query(
+    "stream_as_of",
+    "claim",
+    """
+    WITH changes AS (SELECT trip_instance, event_time, max(value) AS value FROM claim WHERE claim_id % 5 = 0 AND value IS NOT NULL GROUP BY ALL)
+    SELECT c.claim_id AS id, v.value FROM claim c ASOF LEFT JOIN changes v ON v.trip_instance = c.trip_instance AND c.event_time >= v.event_time WHERE c.claim_id % 5 > 0""",
+)
+def _stream_as_of(f: Frames) -> DataFrame:
+    rows = f["claim"].select(F.col("trip_instance").cast("string").alias("key"), F.col("event_time").cast("timestamp").alias("event_time"), F.col("claim_id").alias("id"), F.col("value").cast("double").alias("value"))
+    observations, changes = rows.filter("id % 5 > 0").drop("value"), rows.filter("id % 5 = 0").drop("id")
+    told = _through([(observations, _far(observations, key="end", id=-1)), (changes, _far(changes, key="end", value=0.0))], stateful.as_of_stream, "as-of")
+    return told.filter("id >= 0").select("id", "value")
+
+
 # the cascade of matchers
 
 _KM = "2 * 6371.0088 * asin(sqrt(pow(sin(radians({b}.y - {a}.y) / 2), 2) + cos(radians({a}.y)) * cos(radians({b}.y)) * pow(sin(radians({b}.x - {a}.x) / 2), 2)))"
