@@ -31,9 +31,9 @@ def covers(date: Column, open_end: bool = False) -> Column:
     return (F.col("m_valid_from") <= date) & ((F.col("m_valid_to").isNull() | end) if open_end else end)
 
 
-def one(rows: DataFrame, observation: list[str], value: str) -> DataFrame:
-    """At most one different value for each observation: (status, value)."""
-    agg = rows.groupBy(*observation).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+def one(rows: DataFrame, observation: list[str], value: str, low: str | None = None, high: str | None = None) -> DataFrame:
+    """At most one different value for each observation: (status, value). Rows may hold the least and greatest of several values instead."""
+    agg = rows.groupBy(*observation).agg(F.min(low or value).alias("_low"), F.max(high or value).alias("_high"))
     status = F.when(F.col("_low").isNull(), "unmatched").when(F.col("_low") == F.col("_high"), "resolved").otherwise("ambiguous")
     return agg.select(*observation, status.alias("status"), F.when(status == "resolved", F.col("_low")).alias(value))
 
@@ -65,10 +65,10 @@ def alias(observed: DataFrame, aliases: DataFrame, observation: list[str]) -> Da
 
 
 def entity(observed: DataFrame, mapping: DataFrame, observation: list[str]) -> DataFrame:
-    """(observation columns, status, public_id) by the four exact keys."""
-    m = _renamed(mapping)
-    joined = observed.join(m, _on(observed, m, ["source_id", "identifier_namespace", "entity_kind", "source_object_id"]), "left")
-    return one(joined.withColumnRenamed("m_public_id", "public_id"), observation, "public_id")
+    """(observation columns, status, public_id) by the four exact keys. The mapping is brought down to a row a key first: no observation meets all rows of its key."""
+    keys = ["source_id", "identifier_namespace", "entity_kind", "source_object_id"]
+    m = mapping.groupBy(*[F.col(k).alias(f"m_{k}") for k in keys]).agg(F.min("public_id").alias("_least"), F.max("public_id").alias("_most"))
+    return one(observed.join(m, _on(observed, m, keys), "left"), observation, "public_id", "_least", "_most")
 
 
 def source_call(observed: DataFrame, trips: DataFrame, calls: DataFrame, observation: list[str]) -> DataFrame:
