@@ -37,3 +37,16 @@ def test_entities_of_a_key_with_many_rows(spark):
     rows, told = ran(resolve.entity(observed, mapping, ["event_id"]))
     assert {(r.event_id % 3, r.status, r.public_id) for r in rows} == {(0, "ambiguous", None), (1, "resolved", "Q"), (2, "unmatched", None)} and len(rows) == 300
     assert most_joined(told) <= 300
+
+
+def test_trips_per_day_send_no_days_whole(spark):
+    calendars = spark.createDataFrame([("a", "2024-01-01", "2024-01-31", 127), ("a", "2024-01-01", "2024-01-02", 1), ("b", "2024-01-31", "2024-02-01", 127), ("c", "2024-03-01", "2024-03-02", 127)], "service_id string, f string, t string, weekday_mask int")
+    calendars = calendars.selectExpr("service_id", "cast(f AS date) AS valid_from", "cast(t AS date) AS valid_to", "weekday_mask")
+    trips = spark.range(1_000).selectExpr("concat('T', id) AS trip_id", "if(id < 900, 'a', if(id < 990, 'b', null)) AS service_id")
+    rows, told = ran(derive.trips_per_day(trips, calendars))
+    each, sent = ran(derive.trip_instances(trips, derive.active_days(calendars)))
+    counts = {}
+    for r in each:
+        counts[r.service_date] = counts.get(r.service_date, 0) + 1
+    assert {r.service_date: r.trips for r in rows} == counts and len(counts) == 32
+    assert most_joined(told) <= 4 and not [n for n, _ in told + sent if "Broadcast" in n]

@@ -28,10 +28,15 @@ def shape_lines(points: DataFrame) -> DataFrame:
     return agg.select("shape_id", "n_points", F.when(F.col("n_points") > 1, F.concat(F.lit("LINESTRING("), F.array_join("_p", ", "), F.lit(")"))).alias("line"))
 
 
+def _on_days(calendars: DataFrame, *columns: str) -> DataFrame:
+    """(columns, service_date): days in the closed range whose bit is set (bit 0 is Monday)."""
+    days = calendars.select(*columns, "weekday_mask", F.explode(F.sequence("valid_from", "valid_to")).alias("service_date"))
+    return days.filter(F.expr("(shiftright(weekday_mask, weekday(service_date)) & 1) = 1")).select(*columns, "service_date")
+
+
 def active_days(calendars: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """(service_id, service_date): days in the closed range whose bit is set (bit 0 is Monday), with and without the exceptions."""
-    days = calendars.select("service_id", "weekday_mask", F.explode(F.sequence("valid_from", "valid_to")).alias("service_date"))
-    days = days.filter(F.expr("(shiftright(weekday_mask, weekday(service_date)) & 1) = 1")).select("service_id", "service_date")
+    days = _on_days(calendars, "service_id")
     if exceptions is None:
         return days
     removed = exceptions.filter("NOT added").select("service_id", "service_date")
@@ -41,7 +46,15 @@ def active_days(calendars: DataFrame, exceptions: DataFrame | None = None) -> Da
 
 def trip_instances(trips: DataFrame, days: DataFrame) -> DataFrame:
     """(trip_id, service_date): each trip on each active day of its service."""
-    return trips.select("trip_id", "service_id").join(days, "service_id").select("trip_id", "service_date")
+    # days come from few rows of calendars, whose size tells nothing of theirs: they are never broadcast
+    return trips.select("trip_id", "service_id").join(days.hint("merge"), "service_id").select("trip_id", "service_date")
+
+
+def trips_per_day(trips: DataFrame, calendars: DataFrame) -> DataFrame:
+    """(service_date, trips): how many trip_instances() a day has. Trips are counted by service before these are told by days."""
+    counts = trips.groupBy("service_id").agg(F.count("*").alias("trips"))
+    days = _on_days(calendars.join(counts.hint("merge"), "service_id"), "trips")
+    return days.groupBy("service_date").agg(F.sum("trips").alias("trips"))
 
 
 def bitmap_days(rows: DataFrame, bitmap: str, start: str) -> DataFrame:

@@ -222,7 +222,7 @@ query("calendar_active_days", "service_calendar", _DAYS)(lambda f: derive.active
 _WITH_EXCEPTIONS = f"""SELECT DISTINCT service_id, service_date FROM (({_DAYS} EXCEPT SELECT service_id, service_date FROM service_exception WHERE NOT added) UNION ALL SELECT service_id, service_date FROM service_exception WHERE added)"""
 query("calendar_with_exceptions", "service_calendar service_exception", _WITH_EXCEPTIONS)(lambda f: derive.active_days(f["service_calendar"].filter("valid_to >= valid_from"), f["service_exception"]))
 query("trip_instances_per_day", "service_calendar trip", f"SELECT service_date, count(*) AS trips FROM trip JOIN ({_DAYS}) d USING (service_id) GROUP BY service_date")(
-    lambda f: derive.trip_instances(f["trip"], derive.active_days(f["service_calendar"].filter("valid_to >= valid_from"))).groupBy("service_date").agg(F.count("*").alias("trips"))
+    lambda f: derive.trips_per_day(f["trip"], f["service_calendar"].filter("valid_to >= valid_from"))
 )
 query(
     "operating_patterns",
