@@ -5,7 +5,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators import derive, resolve
+from tramline.operators import derive, netex, resolve
+from tramline.sources import joined
 
 
 def ran(df: DataFrame) -> tuple[list, list[tuple[str, int]]]:
@@ -50,3 +51,24 @@ def test_trips_per_day_send_no_days_whole(spark):
         counts[r.service_date] = counts.get(r.service_date, 0) + 1
     assert {r.service_date: r.trips for r in rows} == counts and len(counts) == 32
     assert most_joined(told) <= 4 and not [n for n, _ in told + sent if "Broadcast" in n]
+
+
+def _relations(spark, n: int) -> dict[str, DataFrame]:
+    calls = spark.range(4 * n).selectExpr("concat('T', id % {n}) AS trip_id".format(n=n), f"cast(id div {n} AS int) AS sequence", "'p' AS location_id", "if(id % 2 = 0, 'q\\n<1>', null) AS boarding_point_id", "id % 2 = 0 AS passenger_service", "cast(id AS int) AS scheduled_arrival", "cast(null AS int) AS scheduled_departure", "cast(null AS int) AS scheduled_passage")
+    trips = spark.range(n).selectExpr("concat('T', id) AS trip_id", "'R' AS route_id", "'S' AS service_id", "'up' AS headsign")
+    return {"trip": trips, "trip_call": calls}
+
+
+def test_a_document_is_written_without_being_kept_twice(spark, tmp_path, monkeypatch):
+    """What is joined goes: while the document is joined, parts and document hold its bytes once."""
+    most, append = [0], joined.append_bytes
+
+    def watched(parts, out):
+        for part in parts:
+            append([part], out)
+            out.flush()
+            most[0] = max(most[0], sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()))
+
+    monkeypatch.setattr(joined, "append_bytes", watched)
+    assert netex.write(_relations(spark, 500), tmp_path / "a.xml", size=50) == 500
+    assert most[0] <= (tmp_path / "a.xml").stat().st_size + 1_000

@@ -1,13 +1,15 @@
 """A NeTEx document of the relations: elements made by Spark, nested by aggregation, put in order and written in pieces by many tasks.
 
-Each object is a row: its frame, its place in it and its XML. Frames' ends are rows too, so that the document is all rows in order, and pieces
-of it are written side by side. A ledger decides what a claim may become: a claim is never told as more than its resolution says; what has no standard place goes
+Each object is a row: its list, its place in it and its XML. Ranges of the rows in order are written side by side, and joined between the frames' ends. A ledger decides what a claim may become: a claim is never told as more than its resolution says; what has no standard place goes
 into an extension of a namespace of its own. Texts lose characters that XML forbids. The document isn't checked against the published schema here.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
@@ -54,10 +56,12 @@ MAPPED = {
 
 
 def escaped(text: Column) -> Column:
-    plain = F.regexp_replace(text.cast("string"), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f￾￿]", "")
+    text = text.cast("string")
+    plain = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f￾￿]", "")
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;")):
         plain = F.replace(plain, F.lit(mark), F.lit(name))
-    return plain
+    # most texts have none of these
+    return F.when(text.rlike("[&<>\"\\x00-\\x1f\ufffe\uffff]"), plain).otherwise(text)
 
 
 def element(name: str, *inner: Column, **attributes: Column) -> Column:
@@ -71,6 +75,11 @@ def text(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), escaped(value), F.lit(f"</{name}>"))
 
 
+def number(name: str, value: Column) -> Column:
+    """text() of what needs no escapes."""
+    return F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))
+
+
 def ref(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), element(name, ref=value))
 
@@ -83,14 +92,14 @@ def _clock(name: str, seconds: Column) -> Column:
     """A time of the day and, from the second day on, the days it lies behind."""
     day = F.floor(seconds / 86_400).cast("int")
     rest = seconds - day * 86_400
-    at = F.format_string("%02d:%02d:%02d", F.floor(rest / 3_600).cast("int"), F.floor(rest % 3_600 / 60).cast("int"), (rest % 60).cast("int"))
-    return F.when(seconds.isNotNull(), F.concat(text(f"{name}Time", at), F.when(day != 0, text(f"{name}DayOffset", day)).otherwise(F.lit(""))))
+    at = F.concat_ws(":", *[F.lpad(F.floor(x).cast("string"), 2, "0") for x in (rest / 3_600, rest % 3_600 / 60, rest % 60)])
+    return F.when(seconds.isNotNull(), F.concat(number(f"{name}Time", at), F.when(day != 0, number(f"{name}DayOffset", day)).otherwise(F.lit(""))))
 
 
-def _gathered(rows: DataFrame, key: str, order: list[str], xml: Column, name: str) -> DataFrame:
-    """(key, name): the parts of each key in order, one after another."""
-    own = rows.select(F.col(key).alias("_key"), F.struct(*order, xml.alias("xml")).alias("x"))
-    return own.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["xml"]), "").alias(name)).withColumnRenamed("_key", key)
+def _gathered(rows: DataFrame, key: str, columns: list[str], xml: Callable[[Column], Column], name: str) -> DataFrame:
+    """(key, name): the parts of each key in the order of the columns, one after another. Values are shuffled, not the longer XML that is made of them."""
+    own = rows.select(F.col(key).alias("_key"), F.struct(*columns).alias("x"))
+    return own.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), xml), "").alias(name)).withColumnRenamed("_key", key)
 
 
 def objects(relations: dict[str, DataFrame], namespace_prefix: str = "x") -> DataFrame:
@@ -105,9 +114,13 @@ def objects(relations: dict[str, DataFrame], namespace_prefix: str = "x") -> Dat
         add(relations["agency"], "organisations", "agency_id", element("Operator", text("Name", F.col("name")), **_version(id=F.col("agency_id"))))
     if has("location"):
         locations = relations["location"]
-        there = F.when(F.col("longitude").isNotNull() & F.col("latitude").isNotNull(), element("Centroid", element("Location", text("Longitude", F.col("longitude")), text("Latitude", F.col("latitude")))))
-        quay = element("Quay", text("Name", F.col("name")), there, **_version(id=F.col("location_id")))
-        quays = _gathered(locations.filter("kind = 'boarding_point'"), "parent_location_id", ["location_id"], quay, "_quays")
+
+        def centroid(lon: Column, lat: Column) -> Column:
+            return F.when(lon.isNotNull() & lat.isNotNull(), element("Centroid", element("Location", text("Longitude", lon), text("Latitude", lat))))
+
+        there = centroid(F.col("longitude"), F.col("latitude"))
+        quay = lambda q: element("Quay", text("Name", q["name"]), centroid(q["longitude"], q["latitude"]), **_version(id=q["location_id"]))
+        quays = _gathered(locations.filter("kind = 'boarding_point'"), "parent_location_id", ["location_id", "name", "longitude", "latitude"], quay, "_quays")
         places = locations.filter("kind = 'stop_place'").join(quays.withColumnRenamed("parent_location_id", "_place"), F.col("location_id") == F.col("_place"), "left")
         inner = F.when(F.col("_quays").isNotNull(), F.concat(F.lit("<quays>"), "_quays", F.lit("</quays>")))
         add(places, "stopPlaces", "location_id", element("StopPlace", text("Name", F.col("name")), there, inner, **_version(id=F.col("location_id"))))
@@ -127,13 +140,17 @@ def objects(relations: dict[str, DataFrame], namespace_prefix: str = "x") -> Dat
         one = element("DayTypeAssignment", text("Date", F.col("service_date")), ref("DayTypeRef", F.col("service_id")), text("isAvailable", F.col("added")), **_version(id=F.concat("service_id", F.lit(":"), "service_date")))
         add(relations["service_exception"].withColumn("_id", F.concat("service_id", F.lit(":"), "service_date")), "dayTypeAssignments", "_id", one)
     if has("trip") and has("trip_call"):
-        point = F.when(F.col("passenger_service"), ref("StopPointRef", F.col("location_id"))).otherwise(ref("TimingPointRef", F.col("location_id")))
-        call = element(
-            "TimetabledPassingTime", point, ref("QuayRef", F.col("boarding_point_id")), _clock("Arrival", F.col("scheduled_arrival")), _clock("Departure", F.col("scheduled_departure")),
-            _clock("Passing", F.col("scheduled_passage")), order=F.col("sequence"),
-        )
-        calls = _gathered(relations["trip_call"], "trip_id", ["sequence"], call, "_calls").withColumnRenamed("trip_id", "_trip")
-        trips = relations["trip"].join(calls, F.col("trip_id") == F.col("_trip"), "left")
+
+        def call(c: Column) -> Column:
+            point = F.when(c["passenger_service"], ref("StopPointRef", c["location_id"])).otherwise(ref("TimingPointRef", c["location_id"]))
+            return element(
+                "TimetabledPassingTime", point, ref("QuayRef", c["boarding_point_id"]), _clock("Arrival", c["scheduled_arrival"]), _clock("Departure", c["scheduled_departure"]),
+                _clock("Passing", c["scheduled_passage"]), order=c["sequence"],
+            )
+
+        calls = _gathered(relations["trip_call"], "trip_id", MAPPED["trip_call"].split()[1:], call, "_calls").withColumnRenamed("trip_id", "_trip")
+        # calls of a trip are many times the size of the trip
+        trips = relations["trip"].join(calls.hint("merge"), F.col("trip_id") == F.col("_trip"), "left")
         times = F.when(F.col("_calls").isNotNull(), F.concat(F.lit("<passingTimes>"), "_calls", F.lit("</passingTimes>")))
         journey = element("ServiceJourney", text("DestinationDisplay", F.col("headsign")), element("dayTypes", ref("DayTypeRef", F.col("service_id"))), ref("LineRef", F.col("route_id")), times, **_version(id=F.col("trip_id")))
         add(trips, "vehicleJourneys", "trip_id", journey)
@@ -160,33 +177,51 @@ def claimed(claims: DataFrame) -> DataFrame:
     return through_ledger(rows, F.broadcast(ledger)).drop("relation", "kind", "resolution")
 
 
-def _ends(spark: SparkSession, publication: str, used: set[int], prefix: str) -> DataFrame:
-    """The rows that begin and end the document, its frames and their lists."""
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<PublicationDelivery xmlns="{NAMESPACE}" xmlns:{prefix}="{EXTENSION}" version="{VERSION}"><ParticipantRef>{publication}</ParticipantRef><dataObjects>'
-    rows = [(-1, 0, "", head)]
-    for name, own in FRAMES:
-        lists = [LISTS.index(x) for x in own if LISTS.index(x) in used]
-        for k in lists:
-            opening = (f'<{name} id="{publication}:{name}" version="1">' if k == lists[0] else "") + f"<{LISTS[k]}>"
-            closing = f"</{LISTS[k]}>" + (f"</{name}>" if k == lists[-1] else "")
-            rows += [(k, 0, "", opening), (k, 2, "", closing)]
-    rows.append((len(LISTS), 0, "", "</dataObjects></PublicationDelivery>"))
-    return spark.createDataFrame(rows, "list int, side int, id string, xml string")
-
-
 def write(relations: dict[str, DataFrame], path: str | os.PathLike, publication: str = "tramline", prefix: str = "x", size: int = joined.GROUP) -> int:
-    """Writes the document; the number of its objects. Objects of a list go by id and by their text, so equal relations give equal bytes."""
-    rows = objects(relations, prefix).withColumn("side", F.lit(1))
-    used = {r["list"] for r in rows.select("list").distinct().collect()}  # as many as there are lists
-    every = rows.unionByName(_ends(rows.sparkSession, publication, used, prefix))
-
-    def encode(target: str, batches: list[pa.RecordBatch], group: int) -> None:
-        with open(target, "w", encoding="utf-8", newline="") as file:
-            for batch in batches:
-                file.writelines(f"{x}\n" for x in batch.column("xml").to_pylist())
-
-    lines = joined.write_sorted(every, ["list", "side", "id", "xml"], str(Path(path).resolve()), encode, lambda _, parts, whole: joined.join_bytes(parts, whole), size)
-    return lines - 2 - 2 * len(used)
+    """Writes the document; the number of its objects. Objects of a list go by id and by their text, each on a line of its own, so equal relations give equal bytes.
+
+    Ranges of the objects, of some ``size`` each, are written side by side, a file for each list and range. They are joined between what begins and ends
+    the lists, and go as they are joined: what is written is on the disk once.
+    """
+    rows = objects(relations, prefix)
+    ranges = max(1, -(-sum(df.count() for name, df in relations.items() if name != "trip_call") // size))
+    spread = rows.repartitionByRange(ranges, "list", "id").sortWithinPartitions("list", "id", "xml").select("list", "xml", F.spark_partition_id().alias("part"))
+    whole = str(Path(path).resolve())
+    folder = f"{whole}.{uuid.uuid4().hex}.parts"
+    os.makedirs(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, own, file, now = [], "", None, None
+        for batch in batches:
+            for k, xml, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now:
+                    if file is not None:
+                        file.close()
+                    now, own = k, f"{uuid.uuid4().hex}.part"
+                    file = open(f"{folder}/{own}", "w", encoding="utf-8", newline="")
+                    told.append([k, part, own, 0])
+                file.write(f"{xml}\n")
+                told[-1][3] += 1
+        if file is not None:
+            file.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told), (pa.int32(), pa.int32(), pa.string(), pa.int64()))], names=["list", "part", "file", "n"])
+
+    try:
+        # a task that runs again writes other files; those of the one that ended count
+        told = sorted(map(tuple, spread.mapInArrow(run, "list int, part int, file string, n long").collect()))
+        with open(f"{folder}/whole", "wb") as out:
+            out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<PublicationDelivery xmlns="{NAMESPACE}" xmlns:{prefix}="{EXTENSION}" version="{VERSION}"><ParticipantRef>{publication}</ParticipantRef><dataObjects>\n'.encode())
+            for name, own in FRAMES:
+                lists = [LISTS.index(x) for x in own if any(LISTS.index(x) == t[0] for t in told)]
+                for k in lists:
+                    out.write(((f'<{name} id="{publication}:{name}" version="1">' if k == lists[0] else "") + f"<{LISTS[k]}>\n").encode())
+                    joined.append_bytes([f"{folder}/{t[2]}" for t in told if t[0] == k], out)
+                    out.write((f"</{LISTS[k]}>" + (f"</{name}>" if k == lists[-1] else "") + "\n").encode())
+            out.write(b"</dataObjects></PublicationDelivery>\n")
+        os.replace(f"{folder}/whole", whole)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return sum(t[3] for t in told)
 
 
 def read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:

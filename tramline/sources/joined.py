@@ -11,6 +11,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -53,11 +54,17 @@ def write_groups(rows: DataFrame, keys: list[str], folder: str, encode: Callable
     return paths, total
 
 
+def append_bytes(parts: list[str], out: BinaryIO) -> None:
+    """Adds the parts to a file, one after another; each goes once it is added."""
+    for part in parts:
+        with open(part, "rb") as f:
+            shutil.copyfileobj(f, out, 1 << 20)
+        os.remove(part)
+
+
 def join_bytes(parts: list[str], path: str) -> None:
     with open(path, "wb") as out:
-        for part in parts:
-            with open(part, "rb") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
+        append_bytes(parts, out)
 
 
 def join_parquet(spark: SparkSession, parts: list[str], path: str) -> None:
