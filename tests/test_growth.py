@@ -72,3 +72,17 @@ def test_a_document_is_written_without_being_kept_twice(spark, tmp_path, monkeyp
     monkeypatch.setattr(joined, "append_bytes", watched)
     assert netex.write(_relations(spark, 500), tmp_path / "a.xml", size=50) == 500
     assert most[0] <= (tmp_path / "a.xml").stat().st_size + 1_000
+
+
+def test_lines_of_a_document_are_read_by_many_tasks(spark, tmp_path):
+    relations = _relations(spark, 500)
+    netex.write(relations, tmp_path / "a.xml", size=100)
+    path = f"file://{tmp_path}/a.xml"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = netex.read(spark, path, "ServiceJourney", netex.JOURNEY, lines=True)
+        assert rows.rdd.getNumPartitions() > 5
+        calls = lambda df: sorted(map(repr, netex.calls_of(df).collect()))
+        assert calls(rows) == calls(netex.read(spark, path, "ServiceJourney", netex.JOURNEY)) and len(calls(rows)) == 2_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -224,9 +224,15 @@ def write(relations: dict[str, DataFrame], path: str | os.PathLike, publication:
     return sum(t[3] for t in told)
 
 
-def read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    """Rows of all elements of a name, by Spark's XML reader."""
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+def read(spark: SparkSession, path: str, tag: str, schema: str, lines: bool = False) -> DataFrame:
+    """Rows of all elements of a name, by Spark's XML reader, which reads a file in one task.
+
+    With ``lines`` a file is read by as many tasks as it fills: for documents of write(), where each object begins and ends a line, and for names of objects.
+    """
+    if not lines:
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    own = spark.read.text(path).filter(F.col("value").startswith(f"<{tag} ") | F.col("value").startswith(f"<{tag}>"))
+    return own.select(F.from_xml("value", schema).alias("x")).select("x.*")
 
 
 #: What read() needs for journeys.

@@ -282,7 +282,7 @@ def _document(f: Frames) -> tuple[SparkSession, str]:
 )
 def _netex_calls(f: Frames) -> DataFrame:
     spark, path = _document(f)
-    return netex.calls_of(netex.read(spark, f"file://{path}", "ServiceJourney", netex.JOURNEY))
+    return netex.calls_of(netex.read(spark, f"file://{path}", "ServiceJourney", netex.JOURNEY, lines=True))
 
 
 @query(
@@ -295,7 +295,7 @@ def _netex_calls(f: Frames) -> DataFrame:
 def _netex_interchanges(f: Frames) -> DataFrame:
     spark, path = _document(f)
     schema = "_id string, MaximumWaitTime string, FromJourneyRef struct<_ref: string>, ToJourneyRef struct<_ref: string>"
-    rows = netex.read(spark, f"file://{path}", "ServiceJourneyInterchange", schema)
+    rows = netex.read(spark, f"file://{path}", "ServiceJourneyInterchange", schema, lines=True)
     wait = F.regexp_extract("MaximumWaitTime", r"^PT(-?\d+)M$", 1).cast("int")
     return rows.select(F.col("_id").alias("connection_id"), F.col("FromJourneyRef._ref").alias("from_trip"), F.col("ToJourneyRef._ref").alias("to_trip"), wait.alias("wait"))
 
