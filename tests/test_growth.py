@@ -5,7 +5,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators import derive, netex, resolve
+from tramline.operators import derive, netex, overlay, resolve
 from tramline.sources import joined
 
 
@@ -86,3 +86,12 @@ def test_lines_of_a_document_are_read_by_many_tasks(spark, tmp_path):
         assert calls(rows) == calls(netex.read(spark, path, "ServiceJourney", netex.JOURNEY)) and len(calls(rows)) == 2_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_cycle_costs_no_rounds(spark, monkeypatch):
+    rounds, cut = [], overlay.cut
+    monkeypatch.setattr(overlay, "cut", lambda df: rounds.append(1) or cut(df))
+    rows = spark.range(1_000).selectExpr("id AS old_id", "if(id < 3, (id + 1) % 3, if(id % 4 = 3, 5000, id + 1)) AS new_id")
+    got = {r.old_id: (r.final_id, r.status) for r in overlay.follow_redirects(rows).collect()}
+    assert got == {k: (None, "cycle") if k < 3 else (5000, "redirected") for k in range(1_000)}
+    assert len(rounds) <= 6

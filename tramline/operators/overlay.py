@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -85,25 +87,27 @@ def follow_redirects(redirects: DataFrame) -> DataFrame:
     redirects: old_id, new_id; a null new_id is a tombstone. status: ``redirected``; ``gone`` where the chain ends in a
     tombstone; ``ambiguous`` for an id of several targets, at which chains that lead to it end as at any other id; ``cycle`` for
     ids in a cycle or leading into one. Only a redirected id has a final one. Chains are followed by doubling: as many rounds as
-    their longest length has binary digits, each written.
+    their longest length has binary digits, each written. An id that has come to its end is followed no more; where none comes to
+    one in a round all that are left lead round cycles, as ids of any chain end in each.
     """
     targets = redirects.groupBy("old_id").agg(F.count_distinct("new_id").alias("n"), F.count("*").alias("rows"), F.count("new_id").alias("named"), F.min("new_id").alias("new_id"))
     several = (F.col("n") > 1) | ((F.col("n") == 1) & (F.col("named") < F.col("rows")))
     first = cut(targets.select("old_id", F.when(~several, F.col("new_id")).alias("new_id"), several.alias("several")))
-    single = first.filter("NOT several")
-    now, bound = cut(single.select("old_id", F.col("new_id").alias("at"), F.lit(1).cast("long").alias("steps"))), single.count()
+    now = first.filter("NOT several").select("old_id", F.col("new_id").alias("at"), F.lit(False).alias("ended"))
+    done = []
     while True:
-        ahead = now.select(F.col("old_id").alias("_o"), F.col("at").alias("_at"), F.col("steps").alias("_steps"))
-        joined = now.join(ahead, F.col("at") == F.col("_o"), "left")
-        # more steps than there are redirects are only taken round a cycle
-        open_ = F.col("_o").isNotNull() & (F.col("steps") <= bound)
-        new = cut(joined.select("old_id", F.when(open_, F.col("_at")).otherwise(F.col("at")).alias("at"), (F.col("steps") + F.when(open_, F.col("_steps")).otherwise(0)).alias("steps"), open_.alias("moved")))
-        now = new.drop("moved")
-        if not new.filter("moved").limit(1).count():
+        known = reduce(DataFrame.unionByName, done, now).select(F.col("old_id").alias("_o"), F.col("at").alias("_at"), F.col("ended").alias("_ended"))
+        told = now.join(known, F.col("at") == F.col("_o"), "left")
+        there = F.col("_o").isNotNull()
+        new = cut(told.select("old_id", F.when(there, F.col("_at")).otherwise(F.col("at")).alias("at"), (~there | F.col("_ended")).alias("ended")))
+        left = {r["ended"] for r in new.select("ended").distinct().collect()}
+        done.append(new.filter("ended"))
+        now = new.filter("NOT ended")
+        if left != {True, False}:
             break
-    status = F.when(F.col("steps") > bound, "cycle").when(F.col("at").isNull(), "gone").otherwise("redirected")
-    done = now.select("old_id", F.when(status == "redirected", F.col("at")).alias("final_id"), status.alias("status"))
-    return done.unionByName(first.filter("several").select("old_id", F.col("new_id").alias("final_id"), F.lit("ambiguous").alias("status")))
+    status = F.when(~F.col("ended"), "cycle").when(F.col("at").isNull(), "gone").otherwise("redirected")
+    every = reduce(DataFrame.unionByName, done, now).select("old_id", F.when(status == "redirected", F.col("at")).alias("final_id"), status.alias("status"))
+    return every.unionByName(first.filter("several").select("old_id", F.col("new_id").alias("final_id"), F.lit("ambiguous").alias("status")))
 
 
 def mode_rules(routes: DataFrame, rules: DataFrame) -> DataFrame:
