@@ -95,3 +95,20 @@ def test_a_cycle_costs_no_rounds(spark, monkeypatch):
     got = {r.old_id: (r.final_id, r.status) for r in overlay.follow_redirects(rows).collect()}
     assert got == {k: (None, "cycle") if k < 3 else (5000, "redirected") for k in range(1_000)}
     assert len(rounds) <= 6
+
+
+def test_dates_within_many_intervals(spark):
+    """Intervals of a key that hold a date aren't told one by one; a long one, one of a day, days before 1970 and an empty one are among them."""
+    keys = spark.range(900).selectExpr("cast(1 AS int) AS train_number", "concat('T', id) AS trip_id", "date_add(date '1969-12-20', cast(id % 7 AS int)) AS valid_from", "date_add(date '1970-01-10', cast(id % 5 AS int)) AS valid_to")
+    more = [(2, "U", "1969-12-31", "1969-12-31"), (2, "V", "1970-01-02", "2031-05-07"), (2, "W", "1980-01-02", "1980-01-01"), (3, "X", None, "1980-01-01")]
+    more = spark.createDataFrame(more, "train_number int, trip_id string, f string, t string").selectExpr("train_number", "trip_id", "cast(f AS date) AS valid_from", "cast(t AS date) AS valid_to")
+    keys = keys.unionByName(more)
+    observed = spark.range(400).selectExpr("id AS event_id", "cast(1 + id % 4 AS int) AS train_number", "if(id = 399, null, date_add(date '1969-12-18', cast(id div 4 AS int))) AS service_date")
+    rows, told = ran(resolve.rail_trip(observed, keys, ["event_id"]))
+    by = {}
+    for k in keys.collect():
+        by.setdefault(k.train_number, []).append(k)
+    for o, r in zip(sorted(observed.collect()), sorted(rows)):
+        fit = {k.trip_id for k in by.get(o.train_number, []) if o.service_date and k.valid_from and k.valid_from <= o.service_date <= k.valid_to}
+        assert tuple(r) == (o.event_id, "unmatched" if not fit else "resolved" if len(fit) == 1 else "ambiguous", min(fit) if len(fit) == 1 else None)
+    assert most_joined(told) < 10_000

@@ -85,13 +85,41 @@ def source_call(observed: DataFrame, trips: DataFrame, calls: DataFrame, observa
     return agg.select(*observation, status.alias("status"), F.when(fine, F.col("trip_id")).alias("trip_id"), F.when(fine, F.col("_low")).alias("call_sequence"))
 
 
+def _dyadic(start: Column, end: Column, levels: int) -> Column:
+    """(level, node) of the fewest blocks of 2^level days that make up the closed interval of day numbers: two of a level at most."""
+    nodes = []
+    for k in range(levels):
+        low, high = -F.shiftright(-start, k), F.shiftright(end + 1, k)  # whole blocks begin at low and end before high
+        for at, odd in ((low, low), (high - 1, high)):
+            nodes.append(F.when((low < high) & (odd.bitwiseAND(1) == 1), F.struct(F.lit(k).alias("level"), at.alias("node"))))
+    return F.array_distinct(F.array_compact(F.array(*nodes)))
+
+
+def dated(observed: DataFrame, mapping: DataFrame, keys: list[str], observation: list[str], value: str) -> DataFrame:
+    """(observation columns, status, value): of the mapping's rows of equal keys those whose closed interval holds service_date.
+
+    Intervals are cut into blocks of days, of which the least and greatest value are kept, and a date asks the blocks that it lies in, one of each
+    size: so work grows with the rows of either side, whatever the number of intervals that hold a date.
+    """
+    m = mapping.select(*[F.col(k).alias(f"m_{k}") for k in keys], F.col(value).alias("_v"), F.unix_date("valid_from").alias("_a"), F.unix_date("valid_to").alias("_b")).filter("_a <= _b")
+    longest = m.agg(F.max(F.col("_b") - F.col("_a"))).first()[0] or 0
+    levels = (longest + 1).bit_length()
+    known = m.select(*[f"m_{k}" for k in keys], "_v", F.explode(_dyadic(F.col("_a"), F.col("_b"), levels)).alias("_x"))
+    blocks = known.groupBy(*[f"m_{k}" for k in keys], F.col("_x.level").alias("m__level"), F.col("_x.node").alias("m__node")).agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    day = F.unix_date("service_date")
+    within = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(day, k).alias("node")) for k in range(levels)])
+    asked = observed.select(*keys, "service_date").dropna().distinct().withColumn("_x", F.explode(within)).select(*keys, "service_date", F.col("_x.level").alias("_level"), F.col("_x.node").alias("_node"))
+    met = asked.join(blocks, _on(asked, blocks, [*keys, "_level", "_node"]))
+    dates = [*keys, "service_date"]
+    found = met.groupBy(*[F.col(k).alias(f"m_{k}") for k in dates]).agg(F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+    return one(observed.join(found, _on(observed, found, dates), "left"), observation, value, "_least", "_most")
+
+
 def road_trip(observed: DataFrame, keys: DataFrame, observation: list[str]) -> DataFrame:
     """(observation columns, status, trip_id) by line and trip number on a date."""
-    m = _renamed(keys)
-    return one(observed.join(m, _on(observed, m, ["cis_line_id", "cis_trip_id"], covers(observed["service_date"])), "left").withColumnRenamed("m_trip_id", "trip_id"), observation, "trip_id")
+    return dated(observed, keys, ["cis_line_id", "cis_trip_id"], observation, "trip_id")
 
 
 def rail_trip(observed: DataFrame, keys: DataFrame, observation: list[str]) -> DataFrame:
     """(observation columns, status, trip_id) by train number on a date."""
-    m = _renamed(keys)
-    return one(observed.join(m, _on(observed, m, ["train_number"], covers(observed["service_date"])), "left").withColumnRenamed("m_trip_id", "trip_id"), observation, "trip_id")
+    return dated(observed, keys, ["train_number"], observation, "trip_id")
