@@ -5,7 +5,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators import derive, netex, overlay, resolve
+from tramline.operators import derive, matching, netex, overlay, resolve
 from tramline.sources import joined
 
 
@@ -112,3 +112,13 @@ def test_dates_within_many_intervals(spark):
         fit = {k.trip_id for k in by.get(o.train_number, []) if o.service_date and k.valid_from and k.valid_from <= o.service_date <= k.valid_to}
         assert tuple(r) == (o.event_id, "unmatched" if not fit else "resolved" if len(fit) == 1 else "ambiguous", min(fit) if len(fit) == 1 else None)
     assert most_joined(told) < 10_000
+
+
+def test_points_and_objects_of_a_name_are_not_paired(spark):
+    """Many points and objects share two names that differ in a letter: the closest object is found without a row for each pair, and nothing is sent whole."""
+    points = spark.range(300).selectExpr("concat('p', lpad(id, 3, '0')) AS point_id", "'DE' AS country", "'' AS code", "if(id % 2 = 0, 'kingsford', 'queensbury') AS name")
+    objects = spark.range(300).selectExpr("concat('o', lpad(id, 3, '0')) AS object_id", "cast(null AS string) AS reference", "if(id % 2 = 0, 'kingsfort', 'queensburg') AS name", "cast(id AS double) AS longitude", "cast(id AS double) AS latitude")
+    authority = spark.createDataFrame([], "code string, longitude double, latitude double")
+    rows, told = ran(matching.candidates(points, authority, objects, spark.createDataFrame([], "point_id string, object_id string")))
+    assert sorted((r.point_id, r.object_id, r.longitude, r.method) for r in rows) == [(f"p{k:03}", f"o{k % 2:03}", float(k % 2), "fuzzy_name") for k in range(300)]
+    assert most_joined(told) <= 1_000

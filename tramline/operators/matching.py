@@ -43,7 +43,7 @@ def _met_by_pieces(points: DataFrame, objects: DataFrame, edits: int) -> DataFra
                 at = start + move
                 asked.append(F.when((at >= 0) & (n > edits), F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(F.col("_p"), at + 1, size).alias("piece"))))
     probes = points.select("_p", F.explode(F.array_distinct(F.array_compact(F.array(*asked)))).alias("x")).select("_p", "x.*")
-    return probes.join(own, ["n", "k", "piece"]).select("_p", "_o")
+    return probes.join(own.hint("merge"), ["n", "k", "piece"]).select("_p", "_o")
 
 
 def _grams(names: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def _met_by_rare_grams(points: DataFrame, objects: DataFrame, edits: int) -> Dat
     every = _grams(asked).select("gram").distinct().join(counts, "gram", "left").fillna(0, ["often"])
     probes = _rarest(asked, every, GRAM * edits + 1).withColumnRenamed("name", "_p")
     near = probes.withColumn("n", F.explode(F.sequence(F.col("n") - edits, F.col("n") + edits)))
-    return near.join(there, ["n", "gram", "nth"]).filter(F.abs(F.col("place") - F.col("_at")) <= edits).select("_p", "_o")
+    return near.join(there.hint("merge"), ["n", "gram", "nth"]).filter(F.abs(F.col("place") - F.col("_at")) <= edits).select("_p", "_o")
 
 
 def fuzzy_pairs(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFrame:
@@ -84,14 +84,19 @@ def fuzzy_pairs(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFr
     Different names are compared once. Long ones meet by rare grams; where either is too short for that, by pieces: there both are so short that
     pieces are few. Names no longer than the edits take no part. The distance then decides.
     """
+    names = fuzzy_words(points, objects, edits)
+    return points.select("point_id", "_p").join(names.hint("merge"), "_p").join(objects.select("object_id", "_o").hint("merge"), "_o").select("point_id", "object_id", "_p", "_o", "edits")
+
+
+def fuzzy_words(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFrame:
+    """(_p, _o, edits): fuzzy_pairs() of the different names, whatever the number of points and objects that share one."""
     p, o = points.select("_p").filter(F.length("_p") > edits).distinct(), objects.select("_o").filter(F.length("_o") > edits).distinct()
     # longest name that has no more grams than the edits can change
     short = GRAM * edits - (GRAM - 1)
     small = lambda df, c: df.filter(F.length(c) <= short + edits)
     few = _met_by_pieces(small(p, "_p"), small(o, "_o"), edits)
     met = _met_by_rare_grams(p, o, edits).unionByName(few).distinct()
-    names = met.withColumn("edits", F.levenshtein("_p", "_o", edits)).filter("edits >= 0")
-    return points.select("point_id", "_p").join(names, "_p").join(objects.select("object_id", "_o"), "_o").select("point_id", "object_id", "_p", "_o", "edits")
+    return met.withColumn("edits", F.levenshtein("_p", "_o", edits)).filter("edits >= 0")
 
 
 def _hits(points: DataFrame, objects: DataFrame, left: Column, right: Column, method: str) -> DataFrame:
@@ -99,7 +104,7 @@ def _hits(points: DataFrame, objects: DataFrame, left: Column, right: Column, me
     o = objects.select(right.alias("_key"), "object_id", "longitude", "latitude").filter("_key IS NOT NULL AND _key <> ''")
     single = o.groupBy("_key").agg(F.count("*").alias("_n"), F.first("object_id").alias("object_id"), F.first("longitude").alias("longitude"), F.first("latitude").alias("latitude")).filter("_n = 1").drop("_n")
     p = points.select("point_id", left.alias("_left"))
-    return p.join(single, p["_left"] == single["_key"]).select("point_id", "object_id", "longitude", "latitude", F.lit(METHODS.index(method)).alias("priority"), F.lit(method).alias("method"))
+    return p.join(single.hint("merge"), p["_left"] == single["_key"]).select("point_id", "object_id", "longitude", "latitude", F.lit(METHODS.index(method)).alias("priority"), F.lit(method).alias("method"))
 
 
 def candidates(points: DataFrame, authority: DataFrame, objects: DataFrame, aliases: DataFrame, edits: int = 2) -> DataFrame:
@@ -110,16 +115,19 @@ def candidates(points: DataFrame, authority: DataFrame, objects: DataFrame, alia
     but for so many edits, and in their words that tell sides.
     """
     first = authority.select(F.col("code").alias("_c"), F.lit("authority").alias("object_id"), "longitude", "latitude")
-    found = points.filter("country = 'CZ'").join(first, F.col("code") == F.col("_c")).select("point_id", "object_id", "longitude", "latitude", F.lit(0).alias("priority"), F.lit("authority").alias("method"))
+    found = points.filter("country = 'CZ'").join(first.hint("merge"), F.col("code") == F.col("_c")).select("point_id", "object_id", "longitude", "latitude", F.lit(0).alias("priority"), F.lit("authority").alias("method"))
     found = found.unionByName(_hits(points, objects, F.concat("country", "code"), F.col("reference"), "exact_code"))
-    named = aliases.join(objects.select("object_id", "longitude", "latitude"), "object_id")
+    named = aliases.join(objects.select("object_id", "longitude", "latitude").hint("merge"), "object_id")
     found = found.unionByName(named.select("point_id", "object_id", "longitude", "latitude", F.lit(2).alias("priority"), F.lit("alias").alias("method")))
     found = found.unionByName(_hits(points, objects, normal(F.col("name")), normal(F.col("name")), "exact_name"))
     found = found.unionByName(_hits(points, objects, cleaned(F.col("name")), cleaned(F.col("name")), "cleaned_name"))
     p = points.select("point_id", cleaned(F.col("name")).alias("_p")).filter("length(_p) >= 4")
     o = objects.select("object_id", "longitude", "latitude", cleaned(F.col("name")).alias("_o")).filter("length(_o) >= 4")
-    near = fuzzy_pairs(p, o.select("object_id", "_o"), edits).filter(sides(F.col("_p")) == sides(F.col("_o"))).join(objects.select("object_id", "longitude", "latitude"), "object_id")
-    closest = near.groupBy("point_id").agg(F.min_by(F.struct("object_id", "longitude", "latitude"), F.struct("edits", "object_id")).alias("x"))
+    # of the objects of a name only the first can be the closest, and points of a name have the same
+    near = fuzzy_words(p, o, edits).filter(sides(F.col("_p")) == sides(F.col("_o")))
+    first = o.groupBy("_o").agg(F.min_by(F.struct("object_id", "longitude", "latitude"), "object_id").alias("x"))
+    best = near.join(first.hint("merge"), "_o").groupBy("_p").agg(F.min_by("x", F.struct("edits", "x.object_id")).alias("x"))
+    closest = p.join(best.hint("merge"), "_p")
     return found.unionByName(closest.select("point_id", "x.*", F.lit(5).alias("priority"), F.lit("fuzzy_name").alias("method")))
 
 
@@ -127,8 +135,8 @@ def matched(points: DataFrame, found: DataFrame, vetoed: DataFrame | None = None
     """points with the best candidate that isn't vetoed (point_id, object_id); the authority can't be vetoed. Without one all is null."""
     if vetoed is not None:
         bad = vetoed.select(F.col("point_id").alias("_p"), F.col("object_id").alias("_o"))
-        found = found.join(bad, (F.col("point_id") == F.col("_p")) & (F.col("object_id") == F.col("_o")) & (F.col("method") != "authority"), "left_anti")
-    return points.join(best_candidate(found, "point_id", "object_id").drop("priority"), "point_id", "left")
+        found = found.join(bad.hint("merge"), (F.col("point_id") == F.col("_p")) & (F.col("object_id") == F.col("_o")) & (F.col("method") != "authority"), "left_anti")
+    return points.join(best_candidate(found, "point_id", "object_id").drop("priority").hint("merge"), "point_id", "left")
 
 
 def estimates(calls: DataFrame, known: DataFrame) -> DataFrame:
@@ -140,7 +148,7 @@ def estimates(calls: DataFrame, known: DataFrame) -> DataFrame:
     """
     k = known.select("point_id", F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat"))
     w = W.Window.partitionBy("trip_id").orderBy("sequence")
-    rows = calls.join(k, "point_id", "left").withColumn("_n", F.row_number().over(w))
+    rows = calls.join(k.hint("merge"), "point_id", "left").withColumn("_n", F.row_number().over(w))
     own = F.when(F.col("_lon").isNotNull() & F.col("seconds").isNotNull(), F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), F.col("seconds").alias("t"), F.col("_n").alias("n")))
     rows = rows.withColumn("_a", F.last(own, ignorenulls=True).over(w.rowsBetween(W.Window.unboundedPreceding, -1))).withColumn("_b", F.first(own, ignorenulls=True).over(w.rowsBetween(1, W.Window.unboundedFollowing)))
     open_ = rows.filter("_lon IS NULL AND seconds IS NOT NULL AND (_a IS NOT NULL OR _b IS NOT NULL)")
@@ -161,13 +169,13 @@ def too_fast(found: DataFrame, calls: DataFrame, **limits) -> DataFrame:
     calls: trip_id, sequence, point_id, seconds. Each candidate is tried at its point's calls; calls of other points stand where the authority has them.
     """
     sure = found.filter("method = 'authority'").select(F.col("point_id").alias("_sure"), F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat"))
-    others = found.filter("method <> 'authority'").join(sure, F.col("point_id") == F.col("_sure"), "left_anti")
+    others = found.filter("method <> 'authority'").join(sure.hint("merge"), F.col("point_id") == F.col("_sure"), "left_anti")
     tried = others.groupBy("point_id", "object_id").agg(F.first("longitude").alias("longitude"), F.first("latitude").alias("latitude"))
-    here = calls.join(tried, "point_id").select("trip_id", "sequence", F.struct("point_id", "object_id").alias("candidate"), "longitude", "latitude", "seconds")
-    there = calls.join(sure, F.col("point_id") == F.col("_sure")).select("trip_id", "sequence", "_lon", "_lat", F.col("seconds").alias("_t"))
+    here = calls.join(tried.hint("merge"), "point_id").select("trip_id", "sequence", F.struct("point_id", "object_id").alias("candidate"), "longitude", "latitude", "seconds")
+    there = calls.join(sure.hint("merge"), F.col("point_id") == F.col("_sure")).select("trip_id", "sequence", "_lon", "_lat", F.col("seconds").alias("_t"))
     # a candidate's trips are told apart, as each is a row of tries of its own between the sure calls
     own = here.select(F.struct("trip_id", "candidate").alias("_try"), "trip_id").distinct()
-    around = own.join(there, "trip_id").select("_try", "sequence", F.lit(None).cast(here.schema["candidate"].dataType).alias("candidate"), F.col("_lon").alias("longitude"), F.col("_lat").alias("latitude"), F.col("_t").alias("seconds"))
+    around = own.join(there.hint("merge"), "trip_id").select("_try", "sequence", F.lit(None).cast(here.schema["candidate"].dataType).alias("candidate"), F.col("_lon").alias("longitude"), F.col("_lat").alias("latitude"), F.col("_t").alias("seconds"))
     rows = here.select(F.struct("trip_id", "candidate").alias("_try"), "sequence", "candidate", "longitude", "latitude", "seconds").unionByName(around)
     told = speed_veto(rows, "candidate", trip="_try", **limits).filter("vetoed AND candidate IS NOT NULL")
     return told.select("candidate.point_id", "candidate.object_id")
@@ -176,7 +184,8 @@ def too_fast(found: DataFrame, calls: DataFrame, **limits) -> DataFrame:
 def cascade(points: DataFrame, authority: DataFrame, objects: DataFrame, aliases: DataFrame, calls: DataFrame, edits: int = 2) -> DataFrame:
     """points with (object_id, longitude, latitude, method) by the whole cascade: candidates, those too fast left out, the best that is left, and estimates where none is.
 
-    calls: trip_id, sequence, point_id, seconds, days.
+    calls: trip_id, sequence, point_id, seconds, days. Points, objects and calls meet by shuffles: their number isn't told by the size of the files that
+    they come from, and none of them is sent whole to all tasks.
     """
     found = cut(candidates(points, authority, objects, aliases, edits))
     return with_estimates(matched(points, found, too_fast(found, calls)), calls)
@@ -186,7 +195,7 @@ def with_estimates(found: DataFrame, calls: DataFrame) -> DataFrame:
     """matched() points, those without a coordinate with the estimate of the calls, if there is one."""
     known = found.filter("longitude IS NOT NULL").select("point_id", "longitude", "latitude")
     e = estimates(calls, known).select("point_id", F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat"))
-    both = found.join(e, "point_id", "left")
+    both = found.join(e.hint("merge"), "point_id", "left")
     use = F.col("longitude").isNull() & F.col("_lon").isNotNull()
     new = {"longitude": F.coalesce("longitude", "_lon"), "latitude": F.coalesce("latitude", "_lat"), "method": F.when(use, "estimate").otherwise(F.col("method"))}
     return both.select(*[new.get(c, F.col(c)).alias(c) for c in found.columns])
