@@ -122,3 +122,12 @@ def test_points_and_objects_of_a_name_are_not_paired(spark):
     rows, told = ran(matching.candidates(points, authority, objects, spark.createDataFrame([], "point_id string, object_id string")))
     assert sorted((r.point_id, r.object_id, r.longitude, r.method) for r in rows) == [(f"p{k:03}", f"o{k % 2:03}", float(k % 2), "fuzzy_name") for k in range(300)]
     assert most_joined(told) <= 1_000
+
+
+def test_dates_of_a_road_trip_within_many_intervals(spark):
+    keys = spark.range(600).selectExpr("lpad(cast(id % 2 AS string), 6, '0') AS cis_line_id", "id % 3 AS cis_trip_id", "if(id % 2 = 0, 'T', concat('T', id)) AS trip_id", "date_add(date '1999-12-20', cast(id % 7 AS int)) AS valid_from", "date_add(date '2000-12-31', cast(id % 5 AS int)) AS valid_to")
+    observed = spark.range(300).selectExpr("id AS event_id", "lpad(cast(id % 2 AS string), 6, '0') AS cis_line_id", "id % 4 AS cis_trip_id", "date_add(date '2000-01-01', cast(id AS int)) AS service_date")
+    rows, told = ran(resolve.road_trip(observed, keys, ["event_id"]))
+    want = {k: "unmatched" if k % 4 == 3 else "resolved" if k % 2 == 0 else "ambiguous" for k in range(300)}
+    assert {r.event_id: r.status for r in rows} == want and {r.trip_id for r in rows if r.status == "resolved"} == {"T"}
+    assert most_joined(told) < 10_000
