@@ -131,3 +131,10 @@ def test_dates_of_a_road_trip_within_many_intervals(spark):
     want = {k: "unmatched" if k % 4 == 3 else "resolved" if k % 2 == 0 else "ambiguous" for k in range(300)}
     assert {r.event_id: r.status for r in rows} == want and {r.trip_id for r in rows if r.status == "resolved"} == {"T"}
     assert most_joined(told) < 10_000
+
+
+def test_runs_need_no_table_of_all_runs(spark):
+    calls = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, None), ("a", 4, None), ("a", 5, "x"), ("b", 7, "x"), ("c", 1, None)], "trip_id string, sequence int, line_id string")
+    rows, told = ran(derive.change_segments(calls, "line_id"))
+    assert sorted(map(tuple, rows)) == [("a", 0, "x", 1, 2), ("a", 1, None, 3, 4), ("a", 2, "x", 5, 5), ("b", 0, "x", 7, 7), ("c", 0, None, 1, 1)]
+    assert not [n for n, _ in told if "Aggregate" in n]

@@ -81,8 +81,12 @@ def change_segments(calls: DataFrame, value: str, trip: str = "trip_id", sequenc
     """(trip, segment, value, from_sequence, to_sequence): runs of calls with the same value, nulls being a value."""
     w = _order(trip, sequence)
     new = F.when(F.row_number().over(w) == 1, 0).otherwise((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"))
-    runs = calls.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
-    return runs.groupBy(trip, "segment", value).agg(F.min(sequence).alias("from_sequence"), F.max(sequence).alias("to_sequence"))
+    last = F.lead(F.lit(1)).over(w).isNull() | ~F.col(value).eqNullSafe(F.lead(value).over(w))
+    first = (F.row_number().over(w) == 1) | (new == 1)
+    runs = calls.select(trip, value, sequence, new.alias("_new"), first.alias("_first"), last.alias("_last")).withColumn("segment", F.sum("_new").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
+    # of a run its first call and its last one are left, beside each other in the order that there is
+    ends = runs.filter("_first OR _last").withColumn("to_sequence", F.when(F.col("_last"), F.col(sequence)).otherwise(F.lead(sequence).over(w)))
+    return ends.filter("_first").select(trip, "segment", value, F.col(sequence).alias("from_sequence"), "to_sequence")
 
 
 def line_segments(calls: DataFrame, value: str, trip: str = "trip_id", sequence: str = "sequence") -> DataFrame:
