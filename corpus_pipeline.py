@@ -16,7 +16,7 @@ def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates by five-word shingles the document with the smallest id stays."""
+    """Of each group of near-duplicates by five-word shingles the document with the smallest id stays: the trie join's links, once checked, and those beyond its 3 bits."""
     return simhash.keep_one(docs, simhash.near_duplicates)
 
 

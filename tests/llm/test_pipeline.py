@@ -87,3 +87,25 @@ def test_near_dedup_reaches_similarity(spark, small):
     least = sorted({min(docs[k][0] for k in range(len(docs)) if root(k) == r) for r in {root(k) for k in range(len(docs))}})
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, frame, small).collect()) == least
     assert sorted({r.component_id for r in simhash.near_duplicates(frame, group=4).collect()}) == least
+
+
+def test_near_dedup_takes_the_trie_joins_links(spark):
+    """Without any common bucket what the trie join links is still found; its links of other texts are dropped."""
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join("x" if n == 9 * k + 1 else w for n, w in enumerate(words)) for k in range(30)] + ["one two", "three"]
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    up = list(range(len(texts)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    assert 3 < sum(root(k) != k for k in range(30))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    rows = simhash.signatures(docs).withColumn("buckets", F.array("fp")).cache()
+    ids = {r.fp: r.doc_id for r in rows.collect()}
+    found = simhash.near_links(docs, rows).collect()
+    assert {root(ids[r.a]) == root(ids[r.b]) for r in found} == {True} and len(found) == sum(root(k) != k for k in range(30))
+    assert simhash.near_links(docs, rows.withColumn("simhash", F.xxhash64("fp"))).count() == 0
+    unlike = docs.filter("doc_id >= 30")
+    assert simhash.near_links(unlike, simhash.signatures(unlike).withColumn("simhash", F.lit(0).cast("long"))).count() == 0

@@ -1,7 +1,8 @@
 """SimHash: fingerprints from word shingles, linked by a self-join of their binary trie; and near-duplicates by five-word shingles.
 
-Texts of similarity 0.8 differ in some 10 of 64 fingerprint bits, up to 18, a budget under which a trie join
-rules out nothing; so near-duplicates come from MinHash bands, and an exact check of the shingles decides.
+Near-duplicates are candidates of the trie join, of which an exact check of the shingles decides. Texts of similarity 0.8 differ
+in some 10 of 64 fingerprint bits, up to 18, a budget under which a trie join rules out nothing; so MinHash bands add the
+pairs beyond its budget, and those that it joined aren't compared again.
 """
 
 from __future__ import annotations
@@ -336,15 +337,17 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp, buckets): fp names the set of shingles."""
+    """(doc_id, text_key, fp, simhash, buckets): fp names the set of shingles, simhash is their fingerprint."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def step(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
+        texts = batch.column(1).to_pylist()
+        sets = [shingle_set(x) for x in texts]
         fps = [signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets]
-        return {"doc_id": batch.column(0), "text_key": batch.column(2), "fp": fps, "buckets": [bands(minima(x)) for x in sets]}
+        simhashes = [signed(fingerprint(x, NEAR_WORDS)) for x in texts]
+        return {"doc_id": batch.column(0), "text_key": batch.column(2), "fp": fps, "simhash": simhashes, "buckets": [bands(minima(x)) for x in sets]}
 
-    return arrow_pass(rows.withColumn("text_key", F.xxhash64("text")), step, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long, buckets array<long>")
+    return arrow_pass(rows.withColumn("text_key", F.xxhash64("text")), step, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long, simhash long, buckets array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -408,15 +411,33 @@ def across(members: DataFrame, group: int = GROUP, shingles: int = GROUP_SHINGLE
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def trie_candidates(one: DataFrame, group: int = GROUP) -> DataFrame:
+    """(a, b): pairs of sets of shingles (one: fp, simhash) with the components of all whose fingerprints are linked.
+
+    The sets of one fingerprint go with its least one, and the least ones of linked fingerprints with each other. a is of fewer pairs than b.
+    """
+    least = cut(one.groupBy(F.col("simhash").alias("_s")).agg(F.min("fp").alias("least"), F.count("*").alias("n")))
+    same = split_join(one.select("fp", "simhash"), "simhash", least.filter("n > 1").select("_s", "least"), "_s", F.col("fp")).filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    told = cut(links(least.select(F.col("_s").alias("fp")), ERRORS, group))
+    ends = [least.select(F.col("_s").alias(f"_{x}"), F.col("least").alias(f"{x}_least")) for x in "ab"]
+    between = split_join(split_join(told, "a", ends[0], "_a", F.col("b")), "b", ends[1], "_b", F.col("a"))
+    pairs = cut(same.union(between.select(F.col("a_least").alias("a"), F.col("b_least").alias("b"))).distinct())
+    # the pairs are of forests, so hardly any is of two texts that have many
+    many = hot_keys(pairs.select(F.explode(F.array("a", "b")).alias("a")), "a")
+    turned = join_bounded(pairs, many, "a", F.col("b")).select("a", "b", F.col("parts").isNotNull().alias("turn"))
+    return turned.select(F.when(F.col("turn"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turn"), F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
 def near_links(docs: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
-    """(a, b): links between sets of shingles (rows: fp, text_key, buckets) with the components of all similar pairs.
+    """(a, b): links between sets of shingles (rows: fp, text_key, simhash, buckets) with the components of all similar pairs.
 
-    Texts that share a bucket are compared, first for a few rounds with one text of it only, which joins most of a large group
+    First the candidates of the trie join are checked. Then texts that share a bucket and aren't joined are compared, first for a few rounds with one text of it only, which joins most of a large group
     of near copies: at first, in a large bucket, that with the most others in its buckets. Then those are that aren't yet joined: all
     texts of the buckets that had the same text for their first are one group, so a text goes to few, however many buckets it shares.
     """
     spark = docs.sparkSession
-    one = cut(rows.groupBy("fp").agg(F.min_by(F.struct("text_key", "buckets"), "text_key").alias("x")).select("fp", "x.*"))
+    one = cut(rows.groupBy("fp").agg(F.min_by(F.struct("text_key", "simhash", "buckets"), "text_key").alias("x")).select("fp", "x.*"))
+    candidates = cut(trie_candidates(one, group))
     each = one.select("fp", F.explode("buckets").alias("bucket"))
     sizes = cut(each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     hot = cut(sizes.filter(F.col("n") > SPLIT_ROWS).select("bucket", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("parts")))
@@ -426,7 +447,8 @@ def near_links(docs: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFram
     def step(batch: pa.RecordBatch) -> dict:
         return {"fp": batch.column(1), "shingles": [shingle_set(x).view(np.int64) for x in batch.column(0).to_pylist()]}
 
-    wanted = cut(dealt.select("fp").distinct().join(one.select("fp", "text_key"), "fp").groupBy("text_key").agg(F.min("fp").alias("fp")))
+    of = dealt.select("fp").union(candidates.select(F.explode(F.array("a", "b")))).distinct()
+    wanted = cut(of.join(one.select("fp", "text_key"), "fp").groupBy("text_key").agg(F.min("fp").alias("fp")))
     keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     texts = join_bounded(keyed, wanted, "text_key", F.col("doc_id"), "inner").select("text", "fp")
     sets = cut(arrow_pass(texts.dropDuplicates(["fp"]), step, "fp long, shingles array<long>"))
@@ -434,22 +456,30 @@ def near_links(docs: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFram
     large = dealt.filter(F.col("n") > LARGE)
     central = large.join(large.groupBy("fp").agg(F.sum(F.col("n") - 1).alias("weight")), "fp").groupBy("bucket").agg(F.max_by("fp", F.struct("weight", "fp")).alias("hub"))
     small = dealt.filter(F.col("n") <= LARGE).groupBy("bucket").agg(F.max_by("fp", F.xxhash64("fp", F.lit(0))).alias("hub"))
-    hubs = heads = cut(central.unionByName(small).select(F.col("bucket").alias("_bucket"), "hub", F.col("hub").alias("hub_root")))
-    found, open_ = None, dealt.select("bucket", "fp", F.col("fp").alias("root"))
-    for k in range(STARS):
-        if k:
-            best = F.max_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(k))).alias("x")
-            hubs = open_.groupBy(F.col("bucket").alias("_bucket")).agg(best).select("_bucket", F.col("x.fp").alias("hub"), F.col("x.root").alias("hub_root"))
-        pairs = cut(split_join(open_, "bucket", hubs, "_bucket", F.col("fp"), hot=hot).filter("root <> hub_root").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
-        new = similar(pairs, sets)
-        found = cut(new if found is None else found.union(new))
+    heads = cut(central.unionByName(small).select(F.col("bucket").alias("_bucket"), "hub"))
+
+    def unjoined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(fp, root) of texts by which they go, and (bucket, fp, root) of the buckets with several roots."""
         # a text goes by the least hub that it is linked to, or by this one's: texts that go by one are joined
         own = cut(found.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("hub")))
         above = own.join(found.select(F.col("b").alias("fp")).distinct(), "fp").select(F.col("fp").alias("hub"), F.col("hub").alias("next"))
-        label = join_bounded(own, above, "hub", F.col("fp")).select("fp", F.coalesce("next", "hub").alias("root"))
+        label = cut(join_bounded(own, above, "hub", F.col("fp")).select("fp", F.coalesce("next", "hub").alias("root")))
         members = cut(dealt.select("bucket", "fp").join(label, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root")))
         mixed = members.groupBy(F.col("bucket").alias("_bucket")).agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("_bucket")
-        open_ = cut(split_join(members, "bucket", mixed, "_bucket", F.col("fp"), hot=hot))
+        return label, cut(split_join(members, "bucket", mixed, "_bucket", F.col("fp"), hot=hot))
+
+    found = cut(similar(candidates, sets))
+    label, open_ = unjoined(found)
+    tidy(spark)
+    for k in range(STARS):
+        if not k:
+            hubs = heads.join(label.withColumnRenamed("fp", "hub"), "hub", "left").select("_bucket", "hub", F.coalesce("root", "hub").alias("hub_root"))
+        else:
+            best = F.max_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(k))).alias("x")
+            hubs = open_.groupBy(F.col("bucket").alias("_bucket")).agg(best).select("_bucket", F.col("x.fp").alias("hub"), F.col("x.root").alias("hub_root"))
+        pairs = cut(split_join(open_, "bucket", hubs, "_bucket", F.col("fp"), hot=hot).filter("root <> hub_root").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
+        found = cut(found.union(similar(pairs, sets)))
+        _, open_ = unjoined(found)
         tidy(spark)
     own = sets.join(open_.select("fp").distinct(), "fp").select("fp", "shingles")
     lone = own.select("fp", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n = 1").groupBy("fp").agg(F.count("*").alias("lone"))
