@@ -53,3 +53,17 @@ def test_csv_of_many_groups(spark, tmp_path, monkeypatch):
     assert bundle.write_csv(rows.repartition(6), str(tmp_path / "b.csv"), ["k"]) == 300
     text = open(whole, "rb").read()
     assert text == open(tmp_path / "b.csv", "rb").read() and text.startswith(b'k,even,t\r\n000,1,\r\n001,0,"a ""b"", c"\r\n')
+
+
+def test_small_row_groups_share_tasks(spark, tmp_path, monkeypatch):
+    """Row groups stay as small as asked, and a part holds several."""
+    monkeypatch.setattr(joined, "GROUP", 250)
+    parts = []
+    known = joined.join_parquet
+    monkeypatch.setattr(joined, "join_parquet", lambda spark, paths, path: parts.append(len(paths)) or known(spark, paths, path))
+    rows = spark.range(1_030).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name")).repartition(3, F.xxhash64("id"))
+    path = str(tmp_path / "x.parquet")
+    assert joined.write_parquet(rows, ["k"], path, SCHEMA, 100) == 1_030 and parts == [6]
+    file = pq.ParquetFile(path)
+    assert [file.metadata.row_group(g).num_rows for g in range(file.metadata.num_row_groups)] == [100] * 10 + [30]
+    assert file.read().column("k").to_pylist() == list(range(1_030))

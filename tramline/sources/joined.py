@@ -108,10 +108,13 @@ def write_sorted(rows: DataFrame, keys: list[str], path: str, encode: Callable[[
 
 
 def write_parquet(rows: DataFrame, keys: list[str], path: str, schema: pa.Schema, size: int = GROUP) -> int:
-    """One Parquet file with a row group of each ``size`` rows and schema's fields and marks; the number of rows."""
+    """One Parquet file with a row group of each ``size`` rows and schema's fields and marks; the number of rows.
+
+    A task writes as many whole row groups as GROUP rows fill, so small ones don't make tasks and files many.
+    """
 
     def encode(target: str, batches: list[pa.RecordBatch], group: int) -> None:
         table = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema)
         pq.write_table(table.combine_chunks(), target, compression="snappy", row_group_size=size)
 
-    return write_sorted(rows, keys, path, encode, join_parquet, size)
+    return write_sorted(rows, keys, path, encode, join_parquet, size * max(1, GROUP // size))
