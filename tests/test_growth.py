@@ -1,12 +1,15 @@
 """Work that grows with the input: what joins give, what is sent whole, and how files are cut."""
 
+import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators import derive, matching, netex, overlay, resolve
-from tramline.sources import joined
+from tramline.operators import derive, export, matching, netex, overlay, resolve
+from tramline.plans import further, registry
+from tramline.sources import archives, joined, realtime_feed
 
 
 def ran(df: DataFrame) -> tuple[list, list[tuple[str, int]]]:
@@ -138,3 +141,12 @@ def test_runs_need_no_table_of_all_runs(spark):
     rows, told = ran(derive.change_segments(calls, "line_id"))
     assert sorted(map(tuple, rows)) == [("a", 0, "x", 1, 2), ("a", 1, None, 3, 4), ("a", 2, "x", 5, 5), ("b", 0, "x", 7, 7), ("c", 0, None, 1, 1)]
     assert not [n for n, _ in told if "Aggregate" in n]
+
+
+def test_attributes_of_one_span_meet_days_once(spark):
+    journeys = spark.range(100).selectExpr("id AS journey_id", "if(id < 90, 'a', 'b') AS number", "date_add(date'2024-01-01', cast(id % 50 AS int)) AS service_date")
+    attributes = spark.range(400).selectExpr("'a' AS number", "concat('x', id) AS attribute", "cast(id % 2 AS int) AS priority", "concat('s', 1000 - id) AS source_id", "date'2024-01-01' AS valid_from", "if(id % 2 = 0, date'2024-01-20', null) AS valid_to")
+    rows, told = ran(export.dated_attributes(journeys, attributes, "number"))
+    best = {k: min((f"s{1000 - i}", f"x{i}") for i in range(400) if i % 2 == k) for k in (0, 1)}
+    assert len(rows) == 100 and all((r.source_id, r.attribute) == ((None, None) if r.number == "b" else best[0 if r.service_date.isoformat() <= "2024-01-20" else 1]) for r in rows)
+    assert most_joined(told) <= 100

@@ -92,9 +92,15 @@ def without_disposition(points: DataFrame, accepted: DataFrame, domestic: str) -
 def dated_attributes(journeys: DataFrame, attributes: DataFrame, key: str) -> DataFrame:
     """Journeys with the attributes of their key that are valid on their date: the smallest priority, then the latest start."""
     a = attributes.select(*[F.col(c).alias(f"_{c}") for c in attributes.columns])
+    # of a key's attributes of one span and priority only one can be the best; they are numbered from the best on, so days keep a number and no texts
+    one = a.groupBy(f"_{key}", "_valid_from", "_valid_to", "_priority").agg(F.min_by(F.struct("_attribute", "_source_id"), F.struct("_source_id")).alias("_x"))
+    order = F.struct("_priority", F.datediff(F.lit("9999-12-31").cast("date"), F.col("_valid_from")), "_x._source_id")
+    ranked = one.withColumn("_nth", F.row_number().over(W.Window.partitionBy(f"_{key}").orderBy(order)))
     days = journeys.select(key, "service_date").distinct()
-    there = days.join(a, (days[key] == a[f"_{key}"]) & (a["_valid_from"] <= days["service_date"]) & (a["_valid_to"].isNull() | (a["_valid_to"] >= days["service_date"])))
-    best = there.groupBy(F.col(key).alias("_k"), F.col("service_date").alias("_d")).agg(F.min_by(F.struct("_attribute", "_source_id"), F.struct("_priority", F.datediff(F.lit("9999-12-31").cast("date"), F.col("_valid_from")), "_source_id")).alias("_x"))
+    spans = ranked.select(f"_{key}", "_valid_from", "_valid_to", "_nth")
+    there = days.join(spans, (days[key] == spans[f"_{key}"]) & (spans["_valid_from"] <= days["service_date"]) & (spans["_valid_to"].isNull() | (spans["_valid_to"] >= days["service_date"])))
+    first = there.groupBy(F.col(key).alias("_k"), F.col("service_date").alias("_d")).agg(F.min("_nth").alias("_first"))
+    best = first.join(ranked.select(f"_{key}", "_nth", "_x"), (F.col("_k") == F.col(f"_{key}")) & (F.col("_first") == F.col("_nth"))).select("_k", "_d", "_x")
     both = journeys.join(best, journeys[key].eqNullSafe(best["_k"]) & journeys["service_date"].eqNullSafe(best["_d"]), "left")
     return both.select(*journeys.columns, F.col("_x._attribute").alias("attribute"), F.col("_x._source_id").alias("source_id"))
 
