@@ -150,3 +150,15 @@ def test_attributes_of_one_span_meet_days_once(spark):
     best = {k: min((f"s{1000 - i}", f"x{i}") for i in range(400) if i % 2 == k) for k in (0, 1)}
     assert len(rows) == 100 and all((r.source_id, r.attribute) == ((None, None) if r.number == "b" else best[0 if r.service_date.isoformat() <= "2024-01-20" else 1]) for r in rows)
     assert most_joined(told) <= 100
+
+
+def test_calendar_days_are_told_after_exceptions_meet(spark):
+    spans = "id string, f string, t string, weekday_mask int"
+    calendars = spark.createDataFrame([("a", "2024-01-01", "2024-01-31", 127), ("a", "2024-01-30", "2024-02-02", 127), ("b", "2024-01-01", "2024-01-07", 1), (None, "2024-01-01", "2024-01-01", 127), ("d", None, "2024-01-01", 127)], spans)
+    calendars = calendars.selectExpr("id AS service_id", "cast(f AS date) AS valid_from", "cast(t AS date) AS valid_to", "weekday_mask")
+    exceptions = spark.createDataFrame([("a", "2024-01-31", False), ("a", "2024-01-02", False), ("a", "2024-01-02", True), ("b", "2024-05-01", True), ("b", "2024-05-01", True), ("c", "2024-06-01", True), ("c", None, True), ("c", "2024-06-01", None), (None, "2024-01-01", False)], "service_id string, d string, added boolean")
+    rows, told = ran(derive.active_days(calendars, exceptions.selectExpr("service_id", "cast(d AS date) AS service_date", "added")))
+    january = [f"2024-01-{k:02}" for k in range(1, 31)]
+    expected = [("a", d) for d in [*january, "2024-02-01", "2024-02-02"]] + [("b", "2024-01-01"), ("b", "2024-05-01"), ("c", "2024-06-01"), ("c", "None")]
+    assert sorted((r.service_id, str(r.service_date)) for r in rows) == sorted(expected)
+    assert not [n for n, _ in told if "Join" in n] and max(n for name, n in told if "Aggregate" in name) <= 14

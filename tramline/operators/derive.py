@@ -36,12 +36,22 @@ def _on_days(calendars: DataFrame, *columns: str) -> DataFrame:
 
 def active_days(calendars: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """(service_id, service_date): days in the closed range whose bit is set (bit 0 is Monday), with and without the exceptions."""
-    days = _on_days(calendars, "service_id")
     if exceptions is None:
-        return days
-    removed = exceptions.filter("NOT added").select("service_id", "service_date")
-    added = exceptions.filter("added").select("service_id", "service_date")
-    return days.join(removed, ["service_id", "service_date"], "left_anti").unionByName(added).distinct()
+        return _on_days(calendars, "service_id")
+    # calendars and exceptions meet by service, before days are told: days are neither shuffled nor held but for one service's
+    span, day = F.struct("valid_from", "valid_to", "weekday_mask"), F.struct("service_date")
+    spans = calendars.select("service_id", span.alias("_span"))
+    dated = exceptions.select("service_id", F.when(~F.col("added"), day).alias("_off"), F.when(F.col("added"), day).alias("_on"))
+    sets = [F.collect_set(c).alias(c) for c in ("_span", "_off", "_on")]
+    own = spans.unionByName(dated, allowMissingColumns=True).groupBy("service_id").agg(*sets)
+
+    def on_days(s: Column) -> Column:
+        days = F.filter(F.sequence(s["valid_from"], s["valid_to"]), lambda d: F.call_function("shiftright", s["weekday_mask"], F.weekday(d)).bitwiseAND(1) == 1)
+        return F.coalesce(days, F.array().cast("array<date>"))
+
+    dates = lambda c: F.transform(c, lambda x: x["service_date"])
+    days = F.aggregate("_span", F.array().cast("array<date>"), lambda found, s: F.array_union(found, on_days(s)))
+    return own.select("service_id", F.explode(F.array_union(F.array_except(days, dates("_off")), dates("_on"))).alias("service_date"))
 
 
 def trip_instances(trips: DataFrame, days: DataFrame) -> DataFrame:
