@@ -162,3 +162,12 @@ def test_calendar_days_are_told_after_exceptions_meet(spark):
     expected = [("a", d) for d in [*january, "2024-02-01", "2024-02-02"]] + [("b", "2024-01-01"), ("b", "2024-05-01"), ("c", "2024-06-01"), ("c", "None")]
     assert sorted((r.service_id, str(r.service_date)) for r in rows) == sorted(expected)
     assert not [n for n, _ in told if "Join" in n] and max(n for name, n in told if "Aggregate" in name) <= 14
+
+
+def test_compositions_meet_days_by_spans(spark):
+    trains = spark.range(60).selectExpr("7 AS train_number", "date_add(date'2024-01-01', cast(id % 30 AS int)) AS service_date")
+    compositions = spark.range(200).selectExpr("7 AS train_number", "date'2024-01-01' AS valid_from", "if(id < 3, date'2024-01-10', date'2024-03-01') AS valid_to", "if(id < 3, 1, if(id = 199, null, 2)) AS priority", "cast(id AS int) AS position", "'v' AS vehicle_type")
+    rows, told = ran(overlay.train_composition(trains.filter("service_date <= '2024-01-10'"), compositions))
+    assert sorted((r.service_date.day, r.position) for r in rows) == [(d, p) for d in range(1, 11) for p in range(3)]
+    assert most_joined(told) <= 40
+    assert overlay.train_composition(trains, compositions).count() == 30 + 20 * 196

@@ -264,7 +264,11 @@ def zones_of_calls(calls: DataFrame, zones: DataFrame) -> DataFrame:
 
 def train_composition(trains: DataFrame, compositions: DataFrame) -> DataFrame:
     """Trains (train_number, service_date) with the vehicles (position, vehicle_type) of the composition of their number and day, of the smallest priority."""
-    c = compositions.select(F.col("train_number").alias("_n"), "valid_from", "valid_to", "priority", "position", "vehicle_type")
-    there = trains.select("train_number", "service_date").distinct().join(c, (F.col("train_number") == F.col("_n")) & F.col("service_date").between(F.col("valid_from"), F.col("valid_to")))
-    best = there.withColumn("_best", F.min("priority").over(W.Window.partitionBy("train_number", "service_date"))).filter("priority = _best")
-    return best.select("train_number", "service_date", "position", "vehicle_type")
+    c = compositions.select(*[F.col(old).alias(new) for old, new in (("train_number", "_n"), ("valid_from", "_from"), ("valid_to", "_to"), ("priority", "_p"))], "position", "vehicle_type")
+    # days meet different spans first: a day's vehicles are told once its priority is known
+    spans = c.select("_n", "_from", "_to", "_p").distinct()
+    on = (F.col("train_number") == F.col("_n")) & F.col("service_date").between(F.col("_from"), F.col("_to"))
+    days = trains.select("train_number", "service_date").distinct()
+    best = days.join(spans, on).groupBy("train_number", "service_date").agg(F.min("_p").alias("_best"))
+    met = best.join(spans, on & (F.col("_p") == F.col("_best"))).select("train_number", "service_date", "_n", "_from", "_to", "_p")
+    return met.join(c.hint("merge"), ["_n", "_from", "_to", "_p"]).select("train_number", "service_date", "position", "vehicle_type")
