@@ -171,3 +171,23 @@ def test_compositions_meet_days_by_spans(spark):
     assert sorted((r.service_date.day, r.position) for r in rows) == [(d, p) for d in range(1, 11) for p in range(3)]
     assert most_joined(told) <= 40
     assert overlay.train_composition(trains, compositions).count() == 30 + 20 * 196
+
+
+def test_feeds_are_read_in_frames_of_bounded_rows(spark, small):
+    rows = [{"entity_id": str(k), "kind": "vehicle", "trip_id": "t"} for k in range(25)]
+    pdf = pd.DataFrame({"path": ["a", "b", "c"], "content": [realtime_feed.feed_of(rows, 1), b"\xff", realtime_feed.feed_of(rows, 2)]})
+    frames = list(realtime_feed.row_frames(pdf, 10))
+    assert [len(f) for f in frames] == [10, 10, 10, 10, 10, 1]
+    whole = pd.concat(frames)
+    assert whole.entity_id.dropna().tolist() == 2 * [str(k) for k in range(25)] and (whole.kind == "broken").sum() == 1
+    assert [len(f) for f in realtime_feed.row_frames(pdf[:0], 10)] == [0]
+
+
+def test_payloads_become_more_as_claims_do(spark, small, monkeypatch):
+    held = []
+    known = realtime_feed.feed_rows
+    monkeypatch.setattr(realtime_feed, "feed_rows", lambda p: held.append(p.count()) or known(p))
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(further, "FEED_ROWS", size)
+        assert registry.queries()["feed_vehicles"](spark, small).count() == spark.read.parquet(f"{small}/events.parquet").count()
+    assert held[1] > held[0]

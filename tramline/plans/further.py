@@ -229,6 +229,10 @@ def _cascade(f: Frames) -> DataFrame:
 # captured feeds
 
 
+#: Vehicles of a payload, on an average, from which on there are more payloads.
+FEED_ROWS = 2_048
+
+
 @query(
     "feed_vehicles",
     "claim",
@@ -248,7 +252,8 @@ def _vehicles(f: Frames) -> DataFrame:
         ((F.col("claim_id") % 180).cast("double") + 0.5).alias("longitude"),
         F.when(F.col("claim_id") % 3 > 0, F.col("priority")).cast("int").alias("stop_sequence"),
     )
-    part = F.pmod(F.xxhash64("entity_id"), F.lit(16))
+    # payloads of a feed become more as claims do
+    part = F.pmod(F.xxhash64("entity_id"), F.lit(max(16, -(-rows.count() // (50 * FEED_ROWS)))))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.drop(columns=["feed", "part"]).astype(object)
