@@ -191,3 +191,14 @@ def test_payloads_become_more_as_claims_do(spark, small, monkeypatch):
         monkeypatch.setattr(further, "FEED_ROWS", size)
         assert registry.queries()["feed_vehicles"](spark, small).count() == spark.read.parquet(f"{small}/events.parquet").count()
     assert held[1] > held[0]
+
+
+def test_archives_become_more_as_texts_do(spark, small, monkeypatch):
+    many = []
+    known = archives.split_members
+    monkeypatch.setattr(archives, "split_members", lambda s, folder, **o: many.append(len(os.listdir(folder.removeprefix("file:")))) or known(s, folder, **o))
+    told = []
+    for size in (1 << 40, 20_000):
+        monkeypatch.setattr(further, "ARCHIVE_BYTES", size)
+        told.append(sorted(map(tuple, registry.queries()["read_archives"](spark, small).collect())))
+    assert told[0] == told[1] and many[0] == 8 and many[1] > 20

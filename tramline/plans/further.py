@@ -365,6 +365,10 @@ def _read_gzip(f: Frames) -> DataFrame:
     return lines.select(F.regexp_extract("line", r"^id (\d+)$", 1).cast("long").alias("id"))
 
 
+#: Bytes of texts of an archive, from which on there are more archives.
+ARCHIVE_BYTES = 8 << 20
+
+
 @query(
     "read_archives",
     "text_line",
@@ -374,7 +378,10 @@ def _read_gzip(f: Frames) -> DataFrame:
 )
 def _read_archives(f: Frames) -> DataFrame:
     """Texts are packed into archives, a third of them into archives within these, and read by many tasks."""
-    rows = f["text_line"].filter("text IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    texts = f["text_line"].filter("text IS NOT NULL")
+    # a task packs an archive, so archives become more as texts do
+    many = max(8, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ARCHIVE_BYTES))
+    rows = texts.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(many)))
     folder = _folder(rows, "archives-of")
     local = folder.removeprefix("file:")
 
