@@ -202,3 +202,25 @@ def test_archives_become_more_as_texts_do(spark, small, monkeypatch):
         monkeypatch.setattr(further, "ARCHIVE_BYTES", size)
         told.append(sorted(map(tuple, registry.queries()["read_archives"](spark, small).collect())))
     assert told[0] == told[1] and many[0] == 8 and many[1] > 20
+
+
+def test_ids_of_names_are_paired_last(spark):
+    names = spark.range(400).selectExpr("cast(id as int) AS object_id", "concat('old gear ', cast(100 + id % 4 AS string)) AS _o")
+    asked = spark.range(60).selectExpr("cast(id as int) AS point_id", "concat('old gear ', cast(100 + id % 2 AS string)) AS _p")
+    rows, told = ran(matching.fuzzy_pairs(asked, names).select("point_id", "object_id"))
+    assert len(rows) == len(set(rows)) == 60 * 400 and most_joined(told) < 1_000
+
+
+def test_lists_of_ids_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(matching, "HELD", 7)
+    names = spark.range(40).selectExpr("cast(id as int) AS object_id", "if(id < 30, 'hot bolt', 'hot bell') AS _o")
+    asked = spark.range(20).selectExpr("cast(id as int) AS point_id", "if(id < 15, 'hot bolt', 'cold ring') AS _p")
+    assert max(len(r.object_id) for r in matching._held(names, "_o", "object_id").collect()) == 7
+    assert sorted((r.point_id, r.object_id) for r in matching.fuzzy_pairs(asked, names).collect()) == [(p, o) for p in range(15) for o in range(40)]
+
+
+def test_kept_grams_that_an_edit_repeats_meet(spark):
+    """The rarest gram that both keep may occur once more in one of them, before its place."""
+    for one, other in (("aacacacbcbbbbcbbaacacb", "bacbcacbcbbbbcbbaacacb"), ("cabbaabcbbacbbbbcaabbbbac", "babbaacbbacbbbbcaabbbbac")):
+        p, o = spark.createDataFrame([(1, one)], "point_id int, _p string"), spark.createDataFrame([(2, other)], "object_id int, _o string")
+        assert [tuple(r) for r in matching.fuzzy_pairs(p, o).select("point_id", "object_id", "edits").collect()] == [(1, 2, 2)]

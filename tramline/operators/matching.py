@@ -15,88 +15,98 @@ from .overlay import best_candidate
 METHODS = ("authority", "exact_code", "alias", "exact_name", "cleaned_name", "fuzzy_name", "estimate")
 #: Letters of a gram, and what stands before and behind a name.
 GRAM, PAD = 3, "\u0001"
+#: Letters of a name that is short: what is left without two of its letters are 211 texts at most.
+SHORT = 20
+#: Ids in a list, at most.
+HELD = 1_000
 #: Kilometres of a degree of latitude, and those that a call at an open end lies north of the one before.
 DEGREE_KM, STEP_KM = 111.195, 0.3
 
 
-def _pieces(length: Column, k: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of piece k of a name cut evenly into one piece more than there are edits, the longer ones last."""
-    n = edits + 1
-    size, more = F.floor(length / n), length % n
-    longer = F.greatest(F.lit(0), F.lit(k - n) + more)
-    return (size * k + longer).cast("int"), (size + F.when(F.lit(k - n) + more >= 0, 1).otherwise(0)).cast("int")
-
-
-def _met_by_pieces(points: DataFrame, objects: DataFrame, edits: int) -> DataFrame:
-    """(_p, _o) that meet by an equal piece, its number and the name's length: so many edits leave one of edits + 1 pieces as it is, moved by no more places."""
-    there = []
-    for k in range(edits + 1):
-        start, size = _pieces(F.length("_o"), k, edits)
-        there.append(F.struct(F.length("_o").alias("n"), F.lit(k).alias("k"), F.substring(F.col("_o"), start + 1, size).alias("piece")))
-    own = objects.filter(F.length("_o") > edits).select("_o", F.explode(F.array(*there)).alias("x")).select("_o", "x.*")
-    asked = []
-    for longer in range(-edits, edits + 1):
-        n = F.length("_p") + longer
-        for k in range(edits + 1):
-            start, size = _pieces(n, k, edits)
-            for move in range(-edits, edits + 1):
-                at = start + move
-                asked.append(F.when((at >= 0) & (n > edits), F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(F.col("_p"), at + 1, size).alias("piece"))))
-    probes = points.select("_p", F.explode(F.array_distinct(F.array_compact(F.array(*asked)))).alias("x")).select("_p", "x.*")
-    return probes.join(own.hint("merge"), ["n", "k", "piece"]).select("_p", "_o")
+def _shortened(name: Column, edits: int) -> Column:
+    """The name and all that is left of it without so many letters or fewer."""
+    out = last = F.array(name)
+    for _ in range(edits):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))))
+        out = F.concat(out, last)
+    return F.array_distinct(F.transform(out, lambda x: F.xxhash64(x)))
+
+
+def _met_by_deletions(points: DataFrame, objects: DataFrame, edits: int) -> DataFrame:
+    """(_p, _o) that have something in common once so many letters of each are left out; the letters that an edit doesn't touch are such a rest.
+
+    Names that meet are within twice the edits of each other, however often their grams are in other names.
+    """
+    own = objects.select("_o", F.explode(_shortened(F.col("_o"), edits)).alias("rest"))
+    return points.select("_p", F.explode(_shortened(F.col("_p"), edits)).alias("rest")).join(own.hint("merge"), "rest").select("_p", "_o")
 
 
 def _grams(names: DataFrame) -> DataFrame:
-    """(name, gram, nth, place) for each run of GRAM letters of the padded name; nth tells equal ones apart."""
+    """(name, gram, place) for each run of GRAM letters of the padded name."""
     padded = F.concat(F.lit(PAD * (GRAM - 1)), "name", F.lit(PAD * (GRAM - 1)))
     grams = F.transform(F.sequence(F.lit(1), F.length("name") + GRAM - 1), lambda i: F.substring(padded, i, GRAM))
-    rows = names.select("name", F.posexplode(grams).alias("place", "gram"))
-    w = W.Window.partitionBy("name", "gram").orderBy("place")
-    return rows.withColumn("nth", F.row_number().over(w))
+    return names.select("name", F.posexplode(grams).alias("place", "gram"))
 
 
 def _rarest(names: DataFrame, counts: DataFrame, many: int) -> DataFrame:
-    """(name, n, gram, nth, place) of the ``many`` rarest grams of each name, in one order for all names."""
-    order = F.struct("often", "gram", "nth", "place")
+    """(name, n, gram, place) of the ``many`` rarest grams of each name, in one order for all names."""
+    order = F.struct("often", "gram", "place")
     kept = _grams(names).join(counts, "gram").groupBy("name").agg(F.slice(F.array_sort(F.collect_list(order)), 1, many).alias("x"))
-    return kept.select("name", F.length("name").alias("n"), F.explode("x").alias("x")).select("name", "n", "x.gram", "x.nth", "x.place")
+    return kept.select("name", F.length("name").alias("n"), F.explode("x").alias("x")).select("name", "n", "x.gram", "x.place")
 
 
 def _met_by_rare_grams(points: DataFrame, objects: DataFrame, edits: int) -> DataFrame:
     """(_p, _o) that share a gram, of either's rarest ones, at places and in names of lengths that so many edits allow.
 
-    An edit changes GRAM grams at most, so names within the edits share all but GRAM * edits of the longer one's. Then the first
-    GRAM * edits + 1 of either, in any one order, have one in common; with the rarest first few names meet. Names of no more grams can share none.
+    An edit changes GRAM grams at most, so names within the edits keep all but GRAM * edits of the longer one's, in their order. Then the first
+    that is kept, in any one order of grams and places, is among the first GRAM * edits + 1 of either; with the rarest first few names meet. It is moved
+    by the edits before it, and the end of the name by those behind: both are at most the edits. Names of no more grams can share none.
     """
     own, asked = objects.select(F.col("_o").alias("name")), points.select(F.col("_p").alias("name"))
     counts = _grams(own).groupBy("gram").agg(F.count("*").alias("often"))
-    there = _rarest(own, counts, GRAM * edits + 1).withColumnsRenamed({"name": "_o", "place": "_at"})
+    there = _rarest(own, counts, GRAM * edits + 1).withColumnRenamed("name", "_o")
     # grams that no object has come first and meet nothing
     every = _grams(asked).select("gram").distinct().join(counts, "gram", "left").fillna(0, ["often"])
     probes = _rarest(asked, every, GRAM * edits + 1).withColumnRenamed("name", "_p")
-    near = probes.withColumn("n", F.explode(F.sequence(F.col("n") - edits, F.col("n") + edits)))
-    return near.join(there.hint("merge"), ["n", "gram", "nth"]).filter(F.abs(F.col("place") - F.col("_at")) <= edits).select("_p", "_o")
+    moves = [(longer, move) for longer in range(-edits, edits + 1) for move in range(-edits, edits + 1) if abs(move) + abs(longer - move) <= edits]
+    at = F.explode(F.array(*[F.struct((F.col("n") + longer).alias("n"), (F.col("place") + move).alias("place")) for longer, move in moves]))
+    near = probes.select("_p", "gram", at.alias("x")).select("_p", "gram", "x.*")
+    return near.join(there.hint("merge"), ["n", "gram", "place"]).select("_p", "_o")
+
+
+def _held(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """(name, _part, key): the keys of a name as lists of HELD at most, numbered from 0."""
+    w = W.Window.partitionBy(name).orderBy(key)
+    parts = rows.select(name, key, F.floor((F.row_number().over(w) - 1) / HELD).alias("_part"))
+    return parts.groupBy(name, "_part").agg(F.collect_list(key).alias(key))
+
+
+def _with_held(names: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    """names beside each list of held; the lists of a name lie in several tasks. Only names of more than one list are sent to all, at most a HELDth of the rows."""
+    more = held.groupBy(name).agg(F.max("_part").alias("_last")).filter("_last > 0")
+    spread = names.join(F.broadcast(more), name, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_last", F.lit(0).cast("long"))))).drop("_last")
+    return spread.join(held.hint("merge"), [name, "_part"]).drop("_part")
 
 
 def fuzzy_pairs(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFrame:
     """(point_id, object_id, edits): names (of points: _p, of objects: _o) within so many edits of each other; no pair is missed.
 
-    Different names are compared once. Long ones meet by rare grams; where either is too short for that, by pieces: there both are so short that
-    pieces are few. Names no longer than the edits take no part. The distance then decides.
+    Different names are compared once. Where either is longer than SHORT they meet by rare grams, else by what is left without a few letters.
+    Names no longer than the edits take no part. The distance then decides. Ids meet as lists, and pairs of them are told last, where nothing is shuffled any more.
     """
-    names = fuzzy_words(points, objects, edits)
-    return points.select("point_id", "_p").join(names.hint("merge"), "_p").join(objects.select("object_id", "_o").hint("merge"), "_o").select("point_id", "object_id", "_p", "_o", "edits")
+    names = _with_held(fuzzy_words(points, objects, edits), _held(points, "_p", "point_id"), "_p")
+    both = _with_held(names, _held(objects, "_o", "object_id"), "_o")
+    return both.withColumn("point_id", F.explode("point_id")).withColumn("object_id", F.explode("object_id")).select("point_id", "object_id", "_p", "_o", "edits")
 
 
 def fuzzy_words(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFrame:
     """(_p, _o, edits): fuzzy_pairs() of the different names, whatever the number of points and objects that share one."""
     p, o = points.select("_p").filter(F.length("_p") > edits).distinct(), objects.select("_o").filter(F.length("_o") > edits).distinct()
-    # longest name that has no more grams than the edits can change
-    short = GRAM * edits - (GRAM - 1)
-    small = lambda df, c: df.filter(F.length(c) <= short + edits)
-    few = _met_by_pieces(small(p, "_p"), small(o, "_o"), edits)
-    met = _met_by_rare_grams(p, o, edits).unionByName(few).distinct()
-    return met.withColumn("edits", F.levenshtein("_p", "_o", edits)).filter("edits >= 0")
+    small = lambda df, c: df.filter(F.length(c) <= SHORT)
+    large = lambda df, c: df.filter(F.length(c) > SHORT - edits)
+    met = _met_by_rare_grams(large(p, "_p"), large(o, "_o"), edits).unionByName(_met_by_deletions(small(p, "_p"), small(o, "_o"), edits))
+    # names that meet more than once are fewer, when shuffled, once their distance is known
+    return met.withColumn("edits", F.levenshtein("_p", "_o", edits)).filter("edits >= 0").distinct()
 
 
 def _hits(points: DataFrame, objects: DataFrame, left: Column, right: Column, method: str) -> DataFrame:
