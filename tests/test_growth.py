@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators import derive, export, matching, netex, overlay, resolve
 from tramline.plans import further, registry
-from tramline.sources import archives, joined, realtime_feed
+from tramline.sources import archives, joined, readers, realtime_feed
 
 
 def ran(df: DataFrame) -> tuple[list, list[tuple[str, int]]]:
@@ -224,3 +224,12 @@ def test_kept_grams_that_an_edit_repeats_meet(spark):
     for one, other in (("aacacacbcbbbbcbbaacacb", "bacbcacbcbbbbcbbaacacb"), ("cabbaabcbbacbbbbcaabbbbac", "babbaacbbacbbbbcaabbbbac")):
         p, o = spark.createDataFrame([(1, one)], "point_id int, _p string"), spark.createDataFrame([(2, other)], "object_id int, _o string")
         assert [tuple(r) for r in matching.fuzzy_pairs(p, o).select("point_id", "object_id", "edits").collect()] == [(1, 2, 2)]
+
+
+def test_a_message_is_read_once(spark):
+    rows = spark.createDataFrame([("a", "<M><CZPTTInformation><CZPTTLocation><Location/></CZPTTLocation></CZPTTInformation></M>", 1), ("b", "<M><CZPTTInformation/></M>", 2)], "path string, content string, ord long")
+    calls = readers.message_calls(readers.messages(rows))
+    assert [(r.path, r.sequence) for r in calls.collect()] == [("a", 10)]
+    assert calls._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+    # a change's message is read by two schemas, once by each
+    assert readers.changes(rows)._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 2

@@ -167,7 +167,8 @@ MESSAGE_SCHEMA = (
 def without_namespaces(xml: Column) -> Column:
     """Element names without their prefixes, and no namespace declarations."""
     plain = F.regexp_replace(xml, r"""\sxmlns(?::[\w.-]+)?\s*=\s*("[^"]*"|'[^']*')""", "")
-    return F.regexp_replace(plain, r"(</?)[\w.-]+:", "$1")
+    # possessive: a name without a prefix isn't tried again letter by letter
+    return F.regexp_replace(plain, r"(</?)[\w.-]++:", "$1")
 
 
 def messages(rows: DataFrame, content: str = "content") -> DataFrame:
@@ -202,7 +203,8 @@ def changes(rows: DataFrame, content: str = "content") -> DataFrame:
     calendar = F.when(cancels, F.col("_c.PlannedCalendar")).otherwise(F.col("_m.CZPTTInformation.PlannedCalendar"))
     named = F.when(F.coalesce(F.size(full), F.lit(0)) > 0, message_identity(full)).otherwise(F.raise_error(F.concat(F.lit("no full identity in "), F.col("path"))).cast("string"))
     days = both.select("path", named.alias("trip"), "ord", cancels.alias("cancels"), calendar["BitmapDays"].alias("_bits"), F.substring(calendar["ValidityPeriod"]["StartDateTime"], 1, 10).cast("date").alias("_start"))
-    bits = F.posexplode(F.split(F.col("_bits"), "(?<=.)(?=.)"))
+    # by an outer explode, which reads a message once, as in message_calls()
+    bits = F.posexplode_outer(F.split(F.col("_bits"), "(?<=.)(?=.)"))
     return days.select("path", "trip", "ord", "cancels", "_start", bits.alias("_at", "_bit")).filter("_bit = '1'").select("path", "trip", F.date_add("_start", F.col("_at")).alias("service_date"), "ord", "cancels")
 
 
@@ -224,12 +226,15 @@ def message_calls(parsed: DataFrame) -> DataFrame:
     """
     from ..operators.derive import local_seconds
 
-    x = parsed.select("path", F.posexplode("message.CZPTTInformation.CZPTTLocation").alias("n", "l"))
+    # by an outer explode: of another Spark infers filters on the array, which read a message once more each
+    x = parsed.select("path", F.posexplode_outer("message.CZPTTInformation.CZPTTLocation").alias("n", "l")).filter("n IS NOT NULL")
     timing = lambda code: F.get(F.filter("l.TimingAtLocation.Timing", lambda t: t["_TimingQualifierCode"] == code), F.lit(0))
-    seconds = lambda code: F.when(timing(code).isNotNull(), local_seconds(timing(code)["Time"], F.coalesce(timing(code)["Offset"], F.lit("0"))))
+    # each timing is looked for once
+    x = x.select("path", "n", "l", timing("ALA").alias("_ta"), timing("ALD").alias("_td"))
+    seconds = lambda t: F.when(F.col(t).isNotNull(), local_seconds(F.col(f"{t}.Time"), F.coalesce(f"{t}.Offset", F.lit("0"))))
     acts = F.coalesce(F.transform("l.TrainActivity", lambda a: a["TrainActivityType"]), F.array().cast("array<string>"))
     stops = F.array_contains(acts, "0001")
-    rows = x.select("path", ((F.col("n") + 1) * 10).alias("sequence"), F.col("l.Location.CountryCodeISO").alias("country"), F.col("l.Location.LocationPrimaryCode").alias("code"), F.col("l.Location.PrimaryLocationName").alias("name"), seconds("ALA").alias("_a"), seconds("ALD").alias("_d"), stops.alias("passenger_service"), F.array_join(acts, ",").alias("activities"), F.col("l.OperationalTrainNumber").alias("train_number"))
+    rows = x.select("path", ((F.col("n") + 1) * 10).alias("sequence"), F.col("l.Location.CountryCodeISO").alias("country"), F.col("l.Location.LocationPrimaryCode").alias("code"), F.col("l.Location.PrimaryLocationName").alias("name"), seconds("_ta").alias("_a"), seconds("_td").alias("_d"), stops.alias("passenger_service"), F.array_join(acts, ",").alias("activities"), F.col("l.OperationalTrainNumber").alias("train_number"))
     return rows.select("path", "sequence", "country", "code", "name", "passenger_service", F.when(F.col("passenger_service"), F.col("_a")).alias("scheduled_arrival"), F.when(F.col("passenger_service"), F.col("_d")).alias("scheduled_departure"), F.when(~F.col("passenger_service"), F.coalesce("_a", "_d")).alias("scheduled_passage"), "activities", "train_number")
 
 
