@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators import derive, export, matching, netex, overlay, resolve
+from tramline.operators import checks, derive, export, matching, netex, overlay, resolve
 from tramline.plans import further, registry
 from tramline.sources import archives, joined, readers, realtime_feed
 
@@ -233,3 +233,18 @@ def test_a_message_is_read_once(spark):
     assert calls._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
     # a change's message is read by two schemas, once by each
     assert readers.changes(rows)._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 2
+
+
+def test_rows_without_a_target_are_spread(spark):
+    rows = spark.range(4_000).selectExpr("concat('F', id) AS feature_id", "if(id % 10 = 0, concat('R', id % 7), null) AS route_id")
+    keys = spark.range(5).selectExpr("concat('R', id) AS _r", "true AS _has__r")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        out = checks._found(rows, keys, ("route_id", "_r")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(out) == 4_000 and all((r._r is not None) == (r.route_id in ("R0", "R1", "R2", "R3", "R4")) for r in out)
+    count = [sum(r.task == k for r in out) for k in range(4)]
+    assert max(count) < 1_600

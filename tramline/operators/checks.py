@@ -22,6 +22,16 @@ def _key(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for new, old in columns.items()]).dropna().distinct().withColumn(f"_has_{next(iter(columns))}", F.lit(True))
 
 
+def _found(rows: DataFrame, keys: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """rows left joined with keys, by pairs of a column of rows and one of keys. Rows with a null, which find nothing, are spread over all tasks by their first column, an id, instead of one task."""
+    one, other = pairs[0]
+    spread = F.coalesce(F.col(one), F.concat(F.lit("\u0000"), F.xxhash64(rows.columns[0]).cast("string")))
+    on = spread == F.col(other)
+    for a, b in pairs:
+        on &= F.col(a) == F.col(b)
+    return rows.join(keys, on, "left")
+
+
 def parent_kind(r: Relations) -> DataFrame:
     """Boarding points whose parent is missing, no stop place, or of another domain."""
     parent = r["location"].select(F.col("location_id").alias("_parent"), F.col("kind").alias("_kind"), F.col("domain").alias("_domain"))
@@ -89,10 +99,10 @@ def empty_note(r: Relations) -> DataFrame:
 def feature_references(r: Relations) -> DataFrame:
     """Features whose target, by their scope, or whose note doesn't exist."""
     f = r["service_feature_assignment"]
-    out = f.join(_key(r["route"], _r="route_id"), F.col("route_id") == F.col("_r"), "left")
-    out = out.join(_key(r["trip"], _t="trip_id"), F.col("trip_id") == F.col("_t"), "left")
-    out = out.join(_key(r["trip_call"], _ct="trip_id", _cs="sequence"), (F.col("trip_id") == F.col("_ct")) & (F.col("call_sequence") == F.col("_cs")), "left")
-    out = out.join(_key(r["service_note"], _n="note_id"), F.col("note_id") == F.col("_n"), "left")
+    out = _found(f, _key(r["route"], _r="route_id"), ("route_id", "_r"))
+    out = _found(out, _key(r["trip"], _t="trip_id"), ("trip_id", "_t"))
+    out = _found(out, _key(r["trip_call"], _ct="trip_id", _cs="sequence"), ("trip_id", "_ct"), ("call_sequence", "_cs"))
+    out = _found(out, _key(r["service_note"], _n="note_id"), ("note_id", "_n"))
     bad = "(scope = 'route' AND _has__r IS NULL) OR (scope = 'trip' AND _has__t IS NULL) OR (scope = 'call' AND _has__ct IS NULL) OR (note_id IS NOT NULL AND _has__n IS NULL)"
     return out.filter(bad).select(*f.columns)
 
@@ -114,9 +124,9 @@ def connection_state(r: Relations) -> DataFrame:
 def connection_targets(r: Relations) -> DataFrame:
     """Claims with a target that doesn't exist."""
     c = r["connection_claim"]
-    out = c.join(_key(r["route"], _r="route_id"), F.col("target_route_id") == F.col("_r"), "left")
-    out = out.join(_key(r["trip"], _t="trip_id"), F.col("target_trip_id") == F.col("_t"), "left")
-    out = out.join(_key(r["location"], _l="location_id"), F.col("target_location_id") == F.col("_l"), "left")
+    out = _found(c, _key(r["route"], _r="route_id"), ("target_route_id", "_r"))
+    out = _found(out, _key(r["trip"], _t="trip_id"), ("target_trip_id", "_t"))
+    out = _found(out, _key(r["location"], _l="location_id"), ("target_location_id", "_l"))
     bad = "(target_route_id IS NOT NULL AND _has__r IS NULL) OR (target_trip_id IS NOT NULL AND _has__t IS NULL) OR (target_location_id IS NOT NULL AND _has__l IS NULL)"
     return out.filter(bad).select(*c.columns)
 
@@ -124,8 +134,8 @@ def connection_targets(r: Relations) -> DataFrame:
 def restriction_references(r: Relations) -> DataFrame:
     """Restrictions whose target, by their scope, doesn't exist; a call without a sequence has none."""
     x = r["travel_restriction_assignment"]
-    out = x.join(_key(r["route"], _r="route_id"), F.col("route_id") == F.col("_r"), "left")
-    out = out.join(_key(r["trip_call"], _ct="trip_id", _cs="sequence"), (F.col("trip_id") == F.col("_ct")) & (F.col("call_sequence") == F.col("_cs")), "left")
+    out = _found(x, _key(r["route"], _r="route_id"), ("route_id", "_r"))
+    out = _found(out, _key(r["trip_call"], _ct="trip_id", _cs="sequence"), ("trip_id", "_ct"), ("call_sequence", "_cs"))
     return out.filter("(scope = 'route_stop' AND _has__r IS NULL) OR (scope = 'trip_call' AND _has__ct IS NULL)").select(*x.columns)
 
 
