@@ -1,5 +1,6 @@
 """Work that grows with the input: what joins give, what is sent whole, and how files are cut."""
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -248,3 +249,33 @@ def test_rows_without_a_target_are_spread(spark):
     assert len(out) == 4_000 and all((r._r is not None) == (r.route_id in ("R0", "R1", "R2", "R3", "R4")) for r in out)
     count = [sum(r.task == k for r in out) for k in range(4)]
     assert max(count) < 1_600
+
+
+def test_candidates_meet_calls_with_their_neighbours(spark):
+    """A trip of many candidates and sure calls: no row for each pair of them, and the same candidates are ruled out."""
+    calls = [("t", k, "own" if k in (31, 33, 190) else f"p{k}", k * 60 if k % 11 else None) for k in range(200)]
+    made = spark.createDataFrame(calls, "trip_id string, sequence int, point_id string, seconds int")
+    found = [(f"p{k}", "authority", k / 50, 50.0, "authority") for k in range(0, 200, 2)]
+    found += [(p, f"o{n}", (k + n * n * 3) / 50, 50.0, "alias") for k, p in ((k, p) for _, k, p, _ in calls) if k % 2 or p == "own" for n in range(3)]
+    found = sorted({(p, o): (p, o, x, y, m) for p, o, x, y, m in found}.values()) + [("p1", "null", None, 50.0, "alias")]
+    rows, told = ran(matching.too_fast(spark.createDataFrame(found, "point_id string, object_id string, longitude double, latitude double, method string"), made))
+
+    def fast(a, b, x, y):
+        return math.radians(abs(x - y)) * math.cos(math.radians(50.0)) * 6371.0088 > abs(a - b) / 3600 * 150 + 2
+
+    at = {p: x for p, _, x, _, m in found if m == "authority"}
+    want = set()
+    for point, o, x, _, m in found:
+        stands = [(s, c, at.get(p, x)) for _, s, p, c in calls if c is not None and (p in at or p == point)] if m != "authority" and x is not None else []
+        judged = [any(fast(c, stands[j][1], x, stands[j][2]) for j in (i - 1, i + 1) if 0 <= j < len(stands)) for i, (s, c, _) in enumerate(stands) if calls[s][2] == point]
+        if judged and all(judged):
+            want.add((point, o))
+    assert {tuple(r) for r in rows} == want and 50 < len(want) < 290
+    assert most_joined(told) <= 1_000
+
+
+def test_rests_of_names_fit_the_lengths_beside_them(spark):
+    """Names leave only rests that a name of the other side can have too, and those of one letter a few."""
+    names = spark.createDataFrame([("abcdefghi",), ("other abcdefghi",), ("aaaaaaaaaaaaaaaaaaaa",)], "_o string")
+    rests = lambda lengths: {r._o: r.n for r in matching._shortened(names, "_o", 2, spark.createDataFrame([("x" * n,) for n in lengths], "_p string")).groupBy("_o").agg(F.count("*").alias("n")).collect()}
+    assert rests([9]) == {"abcdefghi": 36} and rests([11]) == {"abcdefghi": 1} and rests([10, 18]) == {"abcdefghi": 9, "aaaaaaaaaaaaaaaaaaaa": 1} and rests([30]) == {}

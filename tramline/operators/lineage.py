@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder as Parquet: smaller than what cut() writes, and of wide rows only the columns that are asked for are read. It stays there."""
+    shared_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, keys: list[str], name: str = "_rank") -> DataFrame:
     """rows with their number in the order of keys, from 0, without sorting in one task: ranges are numbered side by side, from where those before them end.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.names import cleaned, normal, sides
-from .derive import haversine_km, speed_veto
-from .lineage import cut
+from .derive import haversine_km
+from .lineage import cut, kept
 from .overlay import best_candidate
 
 #: From the strongest to the weakest.
@@ -17,19 +19,34 @@ METHODS = ("authority", "exact_code", "alias", "exact_name", "cleaned_name", "fu
 GRAM, PAD = 3, "\u0001"
 #: Letters of a name that is short: what is left without two of its letters are 211 texts at most.
 SHORT = 20
+#: Points that are sent to all tasks, at most.
+BROADCAST_ROWS = 200_000
 #: Ids in a list, at most.
 HELD = 1_000
 #: Kilometres of a degree of latitude, and those that a call at an open end lies north of the one before.
 DEGREE_KM, STEP_KM = 111.195, 0.3
 
 
-def _shortened(name: Column, edits: int) -> Column:
-    """The name and all that is left of it without so many letters or fewer."""
-    out = last = F.array(name)
-    for _ in range(edits):
-        last = F.array_distinct(F.flatten(F.transform(last, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))))
-        out = F.concat(out, last)
-    return F.array_distinct(F.transform(out, lambda x: F.xxhash64(x)))
+def _shortened(names: DataFrame, name: str, edits: int, others: DataFrame) -> DataFrame:
+    """(name, rest): the hashes of what is left of names without so many letters or fewer, as far as others (of a name beside) have lengths that it can meet.
+
+    Names within the edits keep all but so many letters of the longer one. So the longer one, or either if they are of a length, goes without just so many
+    letters, and the shorter one without as many fewer as it is shorter. Of a run of one letter only the last is left out: the others leave the same.
+    """
+    own = F.length(name)
+    (other,) = others.columns
+    lengths = others.agg(F.collect_set(F.length(other)).alias("_lengths"))
+    rows = names.crossJoin(F.broadcast(lengths)).select(name, "_lengths", F.col(name).alias("_text"), own.alias("_upto"))
+    out = None
+    for gone in range(edits + 1):
+        # the length of the longer name, and those of names that can be beside it
+        able = F.arrays_overlap("_lengths", F.array(*[own - k for k in range(edits + 1)])) if gone == edits else F.array_contains("_lengths", own + (edits - gone))
+        told = rows.filter(able).select(name, F.xxhash64("_text").alias("rest"))
+        out = told if out is None else out.unionByName(told)
+        if gone < edits:
+            rows = rows.filter("_upto > 0").select("*", F.explode(F.sequence(F.lit(1), "_upto")).alias("_at")).filter("substr(_text, _at, 1) <> substr(_text, _at + 1, 1)")
+            rows = rows.select(name, "_lengths", F.expr("concat(substr(_text, 1, _at - 1), substr(_text, _at + 1))").alias("_text"), (F.col("_at") - 1).alias("_upto"))
+    return out
 
 
 def _met_by_deletions(points: DataFrame, objects: DataFrame, edits: int) -> DataFrame:
@@ -37,8 +54,7 @@ def _met_by_deletions(points: DataFrame, objects: DataFrame, edits: int) -> Data
 
     Names that meet are within twice the edits of each other, however often their grams are in other names.
     """
-    own = objects.select("_o", F.explode(_shortened(F.col("_o"), edits)).alias("rest"))
-    return points.select("_p", F.explode(_shortened(F.col("_p"), edits)).alias("rest")).join(own.hint("merge"), "rest").select("_p", "_o")
+    return _shortened(points, "_p", edits, objects).join(_shortened(objects, "_o", edits, points).hint("merge"), "rest").select("_p", "_o")
 
 
 def _grams(names: DataFrame) -> DataFrame:
@@ -99,14 +115,20 @@ def fuzzy_pairs(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFr
     return both.withColumn("point_id", F.explode("point_id")).withColumn("object_id", F.explode("object_id")).select("point_id", "object_id", "_p", "_o", "edits")
 
 
-def fuzzy_words(points: DataFrame, objects: DataFrame, edits: int = 2) -> DataFrame:
-    """(_p, _o, edits): fuzzy_pairs() of the different names, whatever the number of points and objects that share one."""
-    p, o = points.select("_p").filter(F.length("_p") > edits).distinct(), objects.select("_o").filter(F.length("_o") > edits).distinct()
+def fuzzy_words(points: DataFrame, objects: DataFrame, edits: int = 2, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(_p, _o, edits): fuzzy_pairs() of the different names, whatever the number of points and objects that share one.
+
+    With ``alike`` names must agree in it too; it is asked only of names that are near enough.
+    """
+    p, o = cut(points.select("_p").filter(F.length("_p") > edits).distinct()), cut(objects.select("_o").filter(F.length("_o") > edits).distinct())
     small = lambda df, c: df.filter(F.length(c) <= SHORT)
     large = lambda df, c: df.filter(F.length(c) > SHORT - edits)
     met = _met_by_rare_grams(large(p, "_p"), large(o, "_o"), edits).unionByName(_met_by_deletions(small(p, "_p"), small(o, "_o"), edits))
+    distance = F.levenshtein("_p", "_o", edits)
+    if alike is not None:
+        distance = F.when(distance >= 0, F.when(alike(F.col("_p"), F.col("_o")), distance))
     # names that meet more than once are fewer, when shuffled, once their distance is known
-    return met.withColumn("edits", F.levenshtein("_p", "_o", edits)).filter("edits >= 0").distinct()
+    return met.withColumn("edits", distance).filter("edits >= 0").distinct()
 
 
 def _hits(points: DataFrame, objects: DataFrame, left: Column, right: Column, method: str) -> DataFrame:
@@ -129,15 +151,20 @@ def candidates(points: DataFrame, authority: DataFrame, objects: DataFrame, alia
     found = found.unionByName(_hits(points, objects, F.concat("country", "code"), F.col("reference"), "exact_code"))
     named = aliases.join(objects.select("object_id", "longitude", "latitude").hint("merge"), "object_id")
     found = found.unionByName(named.select("point_id", "object_id", "longitude", "latitude", F.lit(2).alias("priority"), F.lit("alias").alias("method")))
-    found = found.unionByName(_hits(points, objects, normal(F.col("name")), normal(F.col("name")), "exact_name"))
-    found = found.unionByName(_hits(points, objects, cleaned(F.col("name")), cleaned(F.col("name")), "cleaned_name"))
-    p = points.select("point_id", cleaned(F.col("name")).alias("_p")).filter("length(_p) >= 4")
-    o = objects.select("object_id", "longitude", "latitude", cleaned(F.col("name")).alias("_o")).filter("length(_o) >= 4")
+    # names' forms cost more than all else of a row, and each join would find them again
+    forms = [normal(F.col("name")).alias("_normal"), cleaned(F.col("name")).alias("_cleaned")]
+    points, objects = cut(points.select("point_id", *forms)), cut(objects.select("object_id", "longitude", "latitude", *forms))
+    found = found.unionByName(_hits(points, objects, F.col("_normal"), F.col("_normal"), "exact_name"))
+    found = found.unionByName(_hits(points, objects, F.col("_cleaned"), F.col("_cleaned"), "cleaned_name"))
+    p = points.select("point_id", F.col("_cleaned").alias("_p")).filter("length(_p) >= 4")
+    o = objects.select("object_id", "longitude", "latitude", F.col("_cleaned").alias("_o")).filter("length(_o) >= 4")
     # of the objects of a name only the first can be the closest, and points of a name have the same
-    near = fuzzy_words(p, o, edits).filter(sides(F.col("_p")) == sides(F.col("_o")))
     first = o.groupBy("_o").agg(F.min_by(F.struct("object_id", "longitude", "latitude"), "object_id").alias("x"))
+    # an equal name is the closest, so that other names are looked for only where there is none
+    same = first.select(F.col("_o").alias("_p"), "x")
+    near = fuzzy_words(p.join(same.hint("merge"), "_p", "left_anti"), o, edits, lambda a, b: sides(a) == sides(b))
     best = near.join(first.hint("merge"), "_o").groupBy("_p").agg(F.min_by("x", F.struct("edits", "x.object_id")).alias("x"))
-    closest = p.join(best.hint("merge"), "_p")
+    closest = p.join(same.unionByName(best).hint("merge"), "_p")
     return found.unionByName(closest.select("point_id", "x.*", F.lit(5).alias("priority"), F.lit("fuzzy_name").alias("method")))
 
 
@@ -149,6 +176,16 @@ def matched(points: DataFrame, found: DataFrame, vetoed: DataFrame | None = None
     return points.join(best_candidate(found, "point_id", "object_id").drop("priority").hint("merge"), "point_id", "left")
 
 
+def _with_points(calls: DataFrame, points: DataFrame, called: DataFrame, how: str = "inner") -> DataFrame:
+    """calls joined with points by point_id. The points that have calls (called: point_id) are counted first: calls are shuffled by their point only where these are too many to be sent to all."""
+    own = cut(points.join(called.hint("merge"), "point_id", "left_semi"))
+    return calls.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own.hint("merge"), "point_id", how)
+
+
+def _called(calls: DataFrame) -> DataFrame:
+    return cut(calls.select("point_id").distinct())
+
+
 def estimates(calls: DataFrame, known: DataFrame) -> DataFrame:
     """(point_id, longitude, latitude, two_sided): where the timetable puts points without a coordinate, from one occurrence each.
 
@@ -158,7 +195,7 @@ def estimates(calls: DataFrame, known: DataFrame) -> DataFrame:
     """
     k = known.select("point_id", F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat"))
     w = W.Window.partitionBy("trip_id").orderBy("sequence")
-    rows = calls.join(k.hint("merge"), "point_id", "left").withColumn("_n", F.row_number().over(w))
+    rows = _with_points(calls, k, _called(calls), "left").withColumn("_n", F.row_number().over(w))
     own = F.when(F.col("_lon").isNotNull() & F.col("seconds").isNotNull(), F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), F.col("seconds").alias("t"), F.col("_n").alias("n")))
     rows = rows.withColumn("_a", F.last(own, ignorenulls=True).over(w.rowsBetween(W.Window.unboundedPreceding, -1))).withColumn("_b", F.first(own, ignorenulls=True).over(w.rowsBetween(1, W.Window.unboundedFollowing)))
     open_ = rows.filter("_lon IS NULL AND seconds IS NOT NULL AND (_a IS NOT NULL OR _b IS NOT NULL)")
@@ -173,31 +210,43 @@ def estimates(calls: DataFrame, known: DataFrame) -> DataFrame:
     return open_.groupBy("point_id").agg(F.min_by(F.struct(lon.alias("longitude"), lat.alias("latitude"), two.alias("two_sided")), order).alias("x")).select("point_id", "x.*")
 
 
-def too_fast(found: DataFrame, calls: DataFrame, **limits) -> DataFrame:
+def too_fast(found: DataFrame, calls: DataFrame, km_h: float = 150.0, slack_km: float = 2.0) -> DataFrame:
     """(point_id, object_id) of candidates that every occurrence in calls rules out, by the speed from and to neighbours with a coordinate of the authority's.
 
     calls: trip_id, sequence, point_id, seconds. Each candidate is tried at its point's calls; calls of other points stand where the authority has them.
+    A neighbour is of the authority's or of the candidate's own point, where nothing is too fast. So it is the same for all candidates of a call, and
+    calls are gone through once, whatever the number of candidates; these meet the calls with their neighbours last.
     """
-    sure = found.filter("method = 'authority'").select(F.col("point_id").alias("_sure"), F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat"))
-    others = found.filter("method <> 'authority'").join(sure.hint("merge"), F.col("point_id") == F.col("_sure"), "left_anti")
-    tried = others.groupBy("point_id", "object_id").agg(F.first("longitude").alias("longitude"), F.first("latitude").alias("latitude"))
-    here = calls.join(tried.hint("merge"), "point_id").select("trip_id", "sequence", F.struct("point_id", "object_id").alias("candidate"), "longitude", "latitude", "seconds")
-    there = calls.join(sure.hint("merge"), F.col("point_id") == F.col("_sure")).select("trip_id", "sequence", "_lon", "_lat", F.col("seconds").alias("_t"))
-    # a candidate's trips are told apart, as each is a row of tries of its own between the sure calls
-    own = here.select(F.struct("trip_id", "candidate").alias("_try"), "trip_id").distinct()
-    around = own.join(there.hint("merge"), "trip_id").select("_try", "sequence", F.lit(None).cast(here.schema["candidate"].dataType).alias("candidate"), F.col("_lon").alias("longitude"), F.col("_lat").alias("latitude"), F.col("_t").alias("seconds"))
-    rows = here.select(F.struct("trip_id", "candidate").alias("_try"), "sequence", "candidate", "longitude", "latitude", "seconds").unionByName(around)
-    told = speed_veto(rows, "candidate", trip="_try", **limits).filter("vetoed AND candidate IS NOT NULL")
-    return told.select("candidate.point_id", "candidate.object_id")
+    placed = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
+    of = found.groupBy("point_id").agg(F.bool_or(F.col("method") == "authority").alias("_sure"), F.min(F.when(placed & (F.col("method") == "authority"), F.struct("longitude", "latitude"))).alias("_there"))
+    called = _called(calls)
+    rows = _with_points(calls.filter("seconds IS NOT NULL").select("trip_id", "sequence", "point_id", "seconds"), of.filter("NOT _sure OR _there IS NOT NULL"), called)
+    trip = W.Window.partitionBy("trip_id").orderBy("sequence")
+    own = W.Window.partitionBy("trip_id", "point_id").orderBy("sequence")
+    sure = F.when(F.col("_sure"), F.struct("_there.longitude", "_there.latitude", "seconds", "sequence"))
+    rows = rows.withColumn("_a", F.last(sure, ignorenulls=True).over(trip.rowsBetween(W.Window.unboundedPreceding, -1))).withColumn("_b", F.first(sure, ignorenulls=True).over(trip.rowsBetween(1, W.Window.unboundedFollowing)))
+    rows = rows.filter(~F.col("_sure")).withColumn("_before", F.lag("sequence").over(own)).withColumn("_behind", F.lead("sequence").over(own))
+    told = F.col("_a").isNotNull() | F.col("_b").isNotNull() | F.col("_before").isNotNull() | F.col("_behind").isNotNull()
+
+    def side(name: str, nearer: Column) -> Column:
+        at = F.col(name)
+        return F.when(~F.coalesce(nearer, F.lit(False)), F.struct(at["longitude"].alias("longitude"), at["latitude"].alias("latitude"), (F.abs(F.col("seconds") - at["seconds"]) / 3600 * km_h + slack_km).alias("km"))).alias(name)
+
+    rows = rows.filter(told).select("point_id", side("_a", F.col("_before") > F.col("_a.sequence")), side("_b", F.col("_behind") < F.col("_b.sequence")))
+    tried = found.join(of.filter("_sure").select("point_id").hint("merge"), "point_id", "left_anti").groupBy("point_id", "object_id").agg(F.min("longitude").alias("longitude"), F.min("latitude").alias("latitude"))
+    tried = tried.filter(placed).groupBy("point_id").agg(F.collect_list(F.struct("object_id", "longitude", "latitude")).alias("_tried"))
+    both = _with_points(rows, tried, called).withColumn("_o", F.explode("_tried"))
+    fast = [F.coalesce(haversine_km(F.col(f"{x}.longitude"), F.col(f"{x}.latitude"), F.col("_o.longitude"), F.col("_o.latitude")) > F.col(f"{x}.km"), F.lit(False)) for x in ("_a", "_b")]
+    return both.groupBy("point_id", F.col("_o.object_id").alias("object_id")).agg(F.bool_and(fast[0] | fast[1]).alias("_vetoed")).filter("_vetoed").select("point_id", "object_id")
 
 
 def cascade(points: DataFrame, authority: DataFrame, objects: DataFrame, aliases: DataFrame, calls: DataFrame, edits: int = 2) -> DataFrame:
     """points with (object_id, longitude, latitude, method) by the whole cascade: candidates, those too fast left out, the best that is left, and estimates where none is.
 
     calls: trip_id, sequence, point_id, seconds, days. Points, objects and calls meet by shuffles: their number isn't told by the size of the files that
-    they come from, and none of them is sent whole to all tasks.
+    they come from. Only points that have calls are sent to all tasks, where they are counted to be few. Calls are made once and kept as Parquet for what reads them.
     """
-    found = cut(candidates(points, authority, objects, aliases, edits))
+    found, calls = cut(candidates(points, authority, objects, aliases, edits)), kept(calls.select("trip_id", "sequence", "point_id", "seconds", "days"))
     return with_estimates(matched(points, found, too_fast(found, calls)), calls)
 
 
