@@ -1,10 +1,12 @@
 """Work that grows with the input: what joins give, what is sent whole, and how files are cut."""
 
+import gzip
 import math
 import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -279,3 +281,31 @@ def test_rests_of_names_fit_the_lengths_beside_them(spark):
     names = spark.createDataFrame([("abcdefghi",), ("other abcdefghi",), ("aaaaaaaaaaaaaaaaaaaa",)], "_o string")
     rests = lambda lengths: {r._o: r.n for r in matching._shortened(names, "_o", 2, spark.createDataFrame([("x" * n,) for n in lengths], "_p string")).groupBy("_o").agg(F.count("*").alias("n")).collect()}
     assert rests([9]) == {"abcdefghi": 36} and rests([11]) == {"abcdefghi": 1} and rests([10, 18]) == {"abcdefghi": 9, "aaaaaaaaaaaaaaaaaaaa": 1} and rests([30]) == {}
+
+
+def test_a_packed_document_has_the_same_text_and_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Its members tell their sizes, so that it needn't be unpacked on the disk; calls without a trip, and trips without calls or twice, are as in the plain one."""
+    monkeypatch.setattr(netex, "PIECE", 4_096)
+    monkeypatch.setattr(netex, "READ", 2)
+    relations = _relations(spark, 500)
+    relations["trip"] = relations["trip"].filter("trip_id <> 'T7'").unionByName(spark.sql("SELECT stack(3, 'T8', 'T9', 'none') AS trip_id, 'R' AS route_id, 'S' AS service_id, 'again' AS headsign"))
+    relations["agency"] = spark.createDataFrame([("A", "ž & <x>")], "agency_id string, name string")
+    assert netex.write(relations, tmp_path / "a.xml", size=100) == netex.write(relations, tmp_path / "a.xml.gz", size=30) == netex.objects(relations).count() == 503
+    plain = (tmp_path / "a.xml").read_bytes()
+    assert gzip.decompress((tmp_path / "a.xml.gz").read_bytes()) == plain
+    assert (tmp_path / "a.xml.gz").stat().st_size * 3 < len(plain) and len(netex.members(tmp_path / "a.xml.gz")) > 20
+    read = lambda name: netex.read(spark, f"file://{tmp_path}/{name}", "ServiceJourney", netex.JOURNEY, lines=True)
+    calls = lambda df: sorted(map(repr, netex.calls_of(df).collect()))
+    assert read("a.xml.gz").rdd.getNumPartitions() > 5 and calls(read("a.xml.gz")) == calls(read("a.xml")) and len(calls(read("a.xml"))) == 2_004
+    (tmp_path / "other.gz").write_bytes(gzip.compress(plain))
+    with pytest.raises(ValueError, match="members"):
+        netex.members(tmp_path / "other.gz")
+
+
+def test_a_document_is_shuffled_as_values(spark, tmp_path, monkeypatch):
+    """XML is made behind the only shuffle."""
+    kind, plans = type(spark.range(0)), []
+    write = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: plans.append(self._jdf.queryExecution().executedPlan().toString()) or write(self, *a, **k))
+    netex.write(_relations(spark, 50), tmp_path / "a.xml")
+    assert plans[0].count("Exchange ") == 1 and "passingTimes" not in plans[0][plans[0].index("Exchange ") :]

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import shutil
+import struct
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
@@ -23,6 +25,10 @@ from .overlay import through_ledger
 #: Fixed: the standard's namespace and version.
 NAMESPACE, VERSION = "http://www.netex.org.uk/netex", "2.0"
 EXTENSION = "urn:tramline:netex:1"
+#: Bytes of text from which on a member of a .gz ends, and members that a task reads.
+PIECE, READ = 4 << 20, 16
+#: The head of a member: marks of gzip with an extra field, no time, and a field of this name with the member's size.
+HEAD, MAGIC, FIELD = struct.Struct("<4sIBBH2sHI"), b"\x1f\x8b\x08\x04", b"TL"
 #: Frames in their order, with the list that holds their objects; the calendar's has two.
 FRAMES = (
     ("ResourceFrame", ("organisations",)),
@@ -104,11 +110,39 @@ def _gathered(rows: DataFrame, key: str, columns: list[str], xml: Callable[[Colu
 
 def objects(relations: dict[str, DataFrame], namespace_prefix: str = "x") -> DataFrame:
     """(list, id, xml) of all relations that are given; those not given have no objects."""
+    return _rendered(_valued(relations, namespace_prefix))
+
+
+def _call(c: Column) -> Column:
+    point = F.when(c["passenger_service"], ref("StopPointRef", c["location_id"])).otherwise(ref("TimingPointRef", c["location_id"]))
+    return element(
+        "TimetabledPassingTime", point, ref("QuayRef", c["boarding_point_id"]), _clock("Arrival", c["scheduled_arrival"]), _clock("Departure", c["scheduled_departure"]),
+        _clock("Passing", c["scheduled_passage"]), order=c["sequence"],
+    )
+
+
+def _rendered(values: DataFrame) -> DataFrame:
+    """(list, id, xml) of _valued(): the journeys of an id with all its calls in their order, and other objects as they are.
+
+    Rows that were dealt by ranges of list and id aren't shuffled again.
+    """
+    if "call" not in values.columns:
+        return values.select("list", "id", "xml")
+    parts = values.groupBy("list", "id").agg(F.array_sort(F.collect_list("call")).alias("_calls"), F.collect_list(F.when(F.col("call").isNull(), F.struct("xml", "trip"))).alias("_own"))
+    rows = parts.select("list", "id", "_calls", F.explode("_own").alias("_own")).select("list", "id", "_calls", "_own.xml", "_own.trip")
+    times = F.when(F.size("_calls") > 0, F.concat(F.lit("<passingTimes>"), F.array_join(F.transform("_calls", _call), ""), F.lit("</passingTimes>")))
+    trip = F.col("trip")
+    journey = element("ServiceJourney", text("DestinationDisplay", trip["headsign"]), element("dayTypes", ref("DayTypeRef", trip["service_id"])), ref("LineRef", trip["route_id"]), times, **_version(id=trip["trip_id"]))
+    return rows.select("list", "id", F.when(trip.isNotNull(), journey).otherwise(F.col("xml")).alias("xml"))
+
+
+def _valued(relations: dict[str, DataFrame], namespace_prefix: str) -> DataFrame:
+    """(list, id, xml) of all relations that are given, and of journeys, in place of the far longer XML, what it is made of: (trip) and, as rows of their own with the trip's id, (call)."""
     out: list[DataFrame] = []
     has = relations.__contains__
 
-    def add(rows: DataFrame, where: str, key: str, xml: Column) -> None:
-        out.append(rows.select(F.lit(LISTS.index(where)).alias("list"), F.col(key).cast("string").alias("id"), xml.alias("xml")))
+    def add(rows: DataFrame, where: str, key: str, xml: Column, **values: Column) -> None:
+        out.append(rows.select(F.lit(LISTS.index(where)).alias("list"), F.col(key).cast("string").alias("id"), xml.cast("string").alias("xml"), *[v.alias(k) for k, v in values.items()]))
 
     if has("agency"):
         add(relations["agency"], "organisations", "agency_id", element("Operator", text("Name", F.col("name")), **_version(id=F.col("agency_id"))))
@@ -140,20 +174,9 @@ def objects(relations: dict[str, DataFrame], namespace_prefix: str = "x") -> Dat
         one = element("DayTypeAssignment", text("Date", F.col("service_date")), ref("DayTypeRef", F.col("service_id")), text("isAvailable", F.col("added")), **_version(id=F.concat("service_id", F.lit(":"), "service_date")))
         add(relations["service_exception"].withColumn("_id", F.concat("service_id", F.lit(":"), "service_date")), "dayTypeAssignments", "_id", one)
     if has("trip") and has("trip_call"):
-
-        def call(c: Column) -> Column:
-            point = F.when(c["passenger_service"], ref("StopPointRef", c["location_id"])).otherwise(ref("TimingPointRef", c["location_id"]))
-            return element(
-                "TimetabledPassingTime", point, ref("QuayRef", c["boarding_point_id"]), _clock("Arrival", c["scheduled_arrival"]), _clock("Departure", c["scheduled_departure"]),
-                _clock("Passing", c["scheduled_passage"]), order=c["sequence"],
-            )
-
-        calls = _gathered(relations["trip_call"], "trip_id", MAPPED["trip_call"].split()[1:], call, "_calls").withColumnRenamed("trip_id", "_trip")
-        # calls of a trip are many times the size of the trip
-        trips = relations["trip"].join(calls.hint("merge"), F.col("trip_id") == F.col("_trip"), "left")
-        times = F.when(F.col("_calls").isNotNull(), F.concat(F.lit("<passingTimes>"), "_calls", F.lit("</passingTimes>")))
-        journey = element("ServiceJourney", text("DestinationDisplay", F.col("headsign")), element("dayTypes", ref("DayTypeRef", F.col("service_id"))), ref("LineRef", F.col("route_id")), times, **_version(id=F.col("trip_id")))
-        add(trips, "vehicleJourneys", "trip_id", journey)
+        fields = MAPPED["trip_call"].split()[1:]
+        add(relations["trip"], "vehicleJourneys", "trip_id", F.lit(None), trip=F.struct(*MAPPED["trip"].split()))
+        add(relations["trip_call"].filter("trip_id IS NOT NULL"), "vehicleJourneys", "trip_id", F.lit(None), call=F.struct(*fields))
     if has("connection_claim"):
         claims = claimed(relations["connection_claim"])
         journeys = [ref("FromJourneyRef", F.col("origin_trip_id")), ref("ToJourneyRef", F.col("target_trip_id"))]
@@ -165,7 +188,7 @@ def objects(relations: dict[str, DataFrame], namespace_prefix: str = "x") -> Dat
         add(claims, "extensions", "connection_id", element(f"{namespace_prefix}:ConnectionClaim", *whole))
     if not out:
         raise ValueError("there is no relation to write")
-    return reduce(DataFrame.unionByName, out)
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out)
 
 
 def claimed(claims: DataFrame) -> DataFrame:
@@ -180,29 +203,45 @@ def claimed(claims: DataFrame) -> DataFrame:
 def write(relations: dict[str, DataFrame], path: str | os.PathLike, publication: str = "tramline", prefix: str = "x", size: int = joined.GROUP) -> int:
     """Writes the document; the number of its objects. Objects of a list go by id and by their text, each on a line of its own, so equal relations give equal bytes.
 
-    Ranges of the objects, of some ``size`` each, are written side by side, a file for each list and range. They are joined between what begins and ends
+    A path that ends in .gz gets a gzip file of the same text, in members of some PIECE bytes of text that end with a line and tell their sizes, so that
+    many tasks can read it; any gzip tool reads it whole. Where members end depends on the ranges, the text doesn't.
+
+    Values are dealt out, and XML is made of them where it is written. Ranges of the objects, of some ``size`` each, are written side by side, a file for each list and range. They are joined between what begins and ends
     the lists, and go as they are joined: what is written is on the disk once.
     """
-    rows = objects(relations, prefix)
+    values = _valued(relations, prefix)
     ranges = max(1, -(-sum(df.count() for name, df in relations.items() if name != "trip_call") // size))
-    spread = rows.repartitionByRange(ranges, "list", "id").sortWithinPartitions("list", "id", "xml").select("list", "xml", F.spark_partition_id().alias("part"))
+    spread = _rendered(values.repartitionByRange(ranges, "list", "id")).sortWithinPartitions("list", "id", "xml").select("list", "xml", F.spark_partition_id().alias("part"))
     whole = str(Path(path).resolve())
     folder = f"{whole}.{uuid.uuid4().hex}.parts"
     os.makedirs(folder)
+    packed = whole.endswith(".gz")
+    encode = _member if packed else bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, own, file, now = [], "", None, None
+        told, own, file, now, held = [], "", None, None, bytearray()
+
+        def flush() -> None:
+            if held:
+                file.write(encode(held))
+                held.clear()
+
         for batch in batches:
             for k, xml, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != now:
                     if file is not None:
+                        flush()
                         file.close()
                     now, own = k, f"{uuid.uuid4().hex}.part"
-                    file = open(f"{folder}/{own}", "w", encoding="utf-8", newline="")
+                    file = open(f"{folder}/{own}", "wb")
                     told.append([k, part, own, 0])
-                file.write(f"{xml}\n")
+                held += xml.encode()
+                held += b"\n"
                 told[-1][3] += 1
+                if len(held) >= PIECE:
+                    flush()
         if file is not None:
+            flush()
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told), (pa.int32(), pa.int32(), pa.string(), pa.int64()))], names=["list", "part", "file", "n"])
 
@@ -210,20 +249,61 @@ def write(relations: dict[str, DataFrame], path: str | os.PathLike, publication:
         # a task that runs again writes other files; those of the one that ended count
         told = sorted(map(tuple, spread.mapInArrow(run, "list int, part int, file string, n long").collect()))
         with open(f"{folder}/whole", "wb") as out:
-            out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<PublicationDelivery xmlns="{NAMESPACE}" xmlns:{prefix}="{EXTENSION}" version="{VERSION}"><ParticipantRef>{publication}</ParticipantRef><dataObjects>\n'.encode())
+            add = lambda part: out.write(encode(part.encode()))
+            add(f'<?xml version="1.0" encoding="UTF-8"?>\n<PublicationDelivery xmlns="{NAMESPACE}" xmlns:{prefix}="{EXTENSION}" version="{VERSION}"><ParticipantRef>{publication}</ParticipantRef><dataObjects>\n')
             for name, own in FRAMES:
                 lists = [LISTS.index(x) for x in own if any(LISTS.index(x) == t[0] for t in told)]
                 for k in lists:
-                    out.write(((f'<{name} id="{publication}:{name}" version="1">' if k == lists[0] else "") + f"<{LISTS[k]}>\n").encode())
+                    add((f'<{name} id="{publication}:{name}" version="1">' if k == lists[0] else "") + f"<{LISTS[k]}>\n")
                     joined.append_bytes([f"{folder}/{t[2]}" for t in told if t[0] == k], out)
-                    out.write((f"</{LISTS[k]}>" + (f"</{name}>" if k == lists[-1] else "") + "\n").encode())
-            out.write(b"</dataObjects></PublicationDelivery>\n")
+                    add(f"</{LISTS[k]}>" + (f"</{name}>" if k == lists[-1] else "") + "\n")
+            add("</dataObjects></PublicationDelivery>\n")
         os.replace(f"{folder}/whole", whole)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
     return sum(t[3] for t in told)
 
 
+def _member(text: bytes) -> bytes:
+    """A gzip member whose extra field tells its own size."""
+    body = zlib.compress(text, 1, -15)
+    size = HEAD.size + len(body) + 8
+    return HEAD.pack(MAGIC, 0, 4, 255, 8, FIELD, 4, size) + body + struct.pack("<II", zlib.crc32(text), len(text) & 0xFFFFFFFF)
+
+
+def members(path: str) -> list[tuple[int, int]]:
+    """(place, size) of the members of a file of write(): only their heads are read."""
+    out, at = [], 0
+    with open(path, "rb") as f:
+        while head := f.read(HEAD.size):
+            magic, *_, field, _, size = HEAD.unpack(head)
+            if magic != MAGIC or field != FIELD:
+                raise ValueError(f"{path} has members that don't tell their size")
+            out.append((at, size))
+            at += size
+            f.seek(at)
+    return out
+
+
+def _lines(spark: SparkSession, path: str, heads: tuple[str, ...]) -> DataFrame:
+    """(value): the lines of a .gz file of write() that begin with one of the heads, read by many tasks of READ members each."""
+    path = path.removeprefix("file://")
+    found = members(path)
+    heads = tuple(h.encode() for h in heads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
+            for batch in batches:
+                for at, size in zip(*(c.to_pylist() for c in batch.columns)):
+                    f.seek(at)
+                    own = [x.decode() for x in zlib.decompress(f.read(size), 31).split(b"\n") if x.startswith(heads)]
+                    for k in range(0, len(own), 1_024):
+                        yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 1_024], pa.string())], names=["value"])
+
+    places = spark.createDataFrame(spark.sparkContext.parallelize(found, max(1, -(-len(found) // READ))), "at long, size long")
+    return places.mapInArrow(run, "value string")
+
+
 def read(spark: SparkSession, path: str, tag: str, schema: str, lines: bool = False) -> DataFrame:
     """Rows of all elements of a name, by Spark's XML reader, which reads a file in one task.
 
@@ -231,7 +311,10 @@ def read(spark: SparkSession, path: str, tag: str, schema: str, lines: bool = Fa
     """
     if not lines:
         return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    own = spark.read.text(path).filter(F.col("value").startswith(f"<{tag} ") | F.col("value").startswith(f"<{tag}>"))
+    if path.endswith(".gz"):
+        own = _lines(spark, path, (f"<{tag} ", f"<{tag}>"))
+    else:
+        own = spark.read.text(path).filter(F.col("value").startswith(f"<{tag} ") | F.col("value").startswith(f"<{tag}>"))
     return own.select(F.from_xml("value", schema).alias("x")).select("x.*")
 
 

@@ -273,7 +273,7 @@ def _document(f: Frames) -> tuple[SparkSession, str]:
     spark = f["trip"].sparkSession
     shared_folder(spark)
     folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
-    path = f"{folder}/netex-{uuid.uuid4().hex}.xml"
+    path = f"{folder}/netex-{uuid.uuid4().hex}.xml.gz"
     netex.write(f, path, size=8_192)
     return spark, path
 
